@@ -171,7 +171,8 @@ def resolve_url(
     path = _without_dot_segments(joined)
     path = F.when(r.path == "", b.path).otherwise(path)
     path = F.when((path != "") & ~path.startswith("/"), F.concat(F.lit("/"), path)).otherwise(path)
-    query = F.when((r.path == "") & (r.query == ""), b.query).otherwise(r.query)
+    inherits = (r.authority == "") & (r.path == "") & (r.query == "")
+    query = F.when(inherits, b.query).otherwise(r.query)
     tail = F.concat(
         F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), query)),
         F.when(r.fragment == "", F.lit("")).otherwise(F.concat(F.lit("#"), r.fragment)))
