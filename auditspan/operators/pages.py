@@ -86,7 +86,7 @@ def policy_struct(text: Column, url: Column, page_ord: Column, in_footer: Column
         in_footer.alias("in_footer"), F.coalesce(F.length(stored) > 0, F.lit(False)).alias("has_text"),
         facts["text_hash"].alias("text_hash"), facts["content_length"].alias("content_length"),
         facts["text_truncated"].alias("text_truncated"),
-        F.least(F.length(text), F.lit(fixed.POLICY_TEXT_LIMIT)).alias("stored_length"),
+        F.length(stored).alias("stored_length"),
         tx.is_cyrillic_text(text).alias("is_russian"),
         F.lit(True).alias("is_separate_page"),
         *[flag.alias(name) for name, flag in flags.items()],

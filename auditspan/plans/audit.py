@@ -8,7 +8,7 @@ site, so the whole report needs a single exchange of narrow page rows.
 """
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,31 +19,47 @@ from auditspan.session import cut_lineage
 from auditspan.sources import dimensions
 
 
-@dataclass(frozen=True)
 class Audit:
-    facts: DataFrame
-    sites: DataFrame
-    checks: DataFrame
-    violations: DataFrame
-    reports: DataFrame
+    """Results over one crawl; each is built when first asked for.
+
+    ``materialise`` writes the page facts once to the shared checkpoint folder;
+    use it when several of the results are wanted, so that the HTML is parsed a
+    single time.
+    """
+
+    def __init__(self, crawl: DataFrame, materialise: bool = False,
+                 checklist: DataFrame | None = None, fines: DataFrame | None = None):
+        spark = crawl.sparkSession
+        self.checklist = checklist if checklist is not None else dimensions.checklist(spark)
+        self.fine_schedule = fines if fines is not None else dimensions.fines(spark)
+        facts = pages.page_facts(crawl)
+        self.facts = cut_lineage(facts) if materialise else facts
+
+    @cached_property
+    def sites(self) -> DataFrame:
+        return site_ops.site_facts(self.facts)
+
+    @cached_property
+    def forms(self) -> DataFrame:
+        return pages.forms(self.facts.filter("NOT is_fallback"))
+
+    @cached_property
+    def checks(self) -> DataFrame:
+        return scoring.enrich_checks(rules.site_checks(self.sites), self.checklist)
+
+    @cached_property
+    def violations(self) -> DataFrame:
+        return scoring.enrich_violations(
+            rules.violations(self.sites, self.forms), self.checklist, self.fine_schedule)
+
+    @cached_property
+    def reports(self) -> DataFrame:
+        return reports(self.sites, self.checklist, self.fine_schedule)
 
 
 def audit(crawl: DataFrame, materialise: bool = False,
           checklist: DataFrame | None = None, fines: DataFrame | None = None) -> Audit:
-    """``materialise`` writes the page facts once; use it when several of the
-    results are wanted, so that the HTML is parsed a single time."""
-    spark = crawl.sparkSession
-    checklist = checklist if checklist is not None else dimensions.checklist(spark)
-    fines = fines if fines is not None else dimensions.fines(spark)
-    facts = pages.page_facts(crawl)
-    if materialise:
-        facts = cut_lineage(facts)
-    sites = site_ops.site_facts(facts)
-    checks = rules.site_checks(sites)
-    violations = scoring.enrich_violations(
-        rules.violations(sites, pages.forms(facts)), checklist, fines)
-    return Audit(facts, sites, scoring.enrich_checks(checks, checklist), violations,
-                 reports(sites, checklist, fines))
+    return Audit(crawl, materialise, checklist, fines)
 
 
 def reports(sites: DataFrame, checklist: DataFrame, fines: DataFrame) -> DataFrame:

@@ -16,6 +16,8 @@ def local_session(app: str = "auditspan", cores: int | str = 8, **conf: str) ->
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # call-site capture doubles the time it takes to build large expressions
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)

@@ -322,11 +322,7 @@ violations AS (
 
 
 def violations(spark, sf):
-    page_facts = facts(spark, sf).filter("NOT is_fallback OR policy IS NOT NULL")
-    site_rows = site_ops.site_facts(facts(spark, sf))
-    form_rows = page_ops.forms(page_facts.filter("NOT is_fallback"))
-    return scoring.enrich_violations(
-        rules.violations(site_rows, form_rows), dimensions.checklist(spark), dimensions.fines(spark))
+    return audit_plan.audit(ct.crawl_table(spark, sf)).violations
 
 
 @query("J4_violations_with_fines", f"""WITH {VIOLATIONS_CTE}
@@ -404,11 +400,9 @@ SELECT site, pages_scanned, forms_count, no_box AS forms_without_consent, coales
   CASE WHEN ssl THEN 'да' ELSE 'нет' END AS https_status
 FROM wide LEFT JOIN banned USING (site)""")
 def a9(spark, sf):
-    page_facts = facts(spark, sf)
-    scripts = script_ops.mark_prohibited(script_ops.site_scripts(script_ops.scripts_of_facts(page_facts)))
-    site_rows = site_ops.site_facts(page_facts)
-    lines = scoring.violation_lines(violations(spark, sf))
-    return scoring.summary_inputs(site_rows, scripts, lines).drop("site_url", "violations_summary")
+    a = audit_plan.audit(ct.crawl_table(spark, sf))
+    scripts = script_ops.mark_prohibited(script_ops.site_scripts(script_ops.scripts_of_facts(a.facts)))
+    return scoring.summary_inputs(a.sites, scripts, scoring.violation_lines(a.violations)).drop("site_url", "violations_summary")
 
 
 @query("A9_first_violations_text", f"""WITH {VIOLATIONS_CTE},

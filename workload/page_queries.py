@@ -16,7 +16,12 @@ from workload import crawl_table as ct
 from workload.crawl_table import crawl_cte, host, lit, norm, path, site, values
 from workload.registry import query, table
 
-U = F.col("url")
+
+
+def U():
+    return F.col("url")
+
+
 EXT = "|".join(fixed.SKIP_EXTENSIONS)
 
 
@@ -61,7 +66,7 @@ def s9(spark, sf):
 
 @query("P1_normalize_url", f"SELECT page_id, {norm('url')} AS norm_url FROM pages")
 def p1(spark, sf):
-    return pages(spark, sf).select("page_id", urls.normalize_url(U).alias("norm_url"))
+    return pages(spark, sf).select("page_id", urls.normalize_url(U()).alias("norm_url"))
 
 
 @query("P2_same_site", f"""
@@ -69,34 +74,34 @@ WITH h AS (SELECT DISTINCT {host('url')} AS host FROM pages)
 SELECT p.host AS a, q.host AS b FROM h p JOIN h q
   ON regexp_replace(p.host, '^www[.]', '') = regexp_replace(q.host, '^www[.]', '')""")
 def p2(spark, sf):
-    hosts = pages(spark, sf).select(urls.host_of(U).alias("host")).distinct()
+    hosts = pages(spark, sf).select(urls.host_of(U()).alias("host")).distinct()
     keyed = hosts.withColumn("site", urls.strip_www(F.col("host")))
     return keyed.withColumnRenamed("host", "a").join(keyed.withColumnRenamed("host", "b"), "site").select("a", "b")
 
 
 @query("P2_site_key", f"SELECT page_id, {site('url')} AS site FROM pages")
 def p2b(spark, sf):
-    return pages(spark, sf).select("page_id", urls.site_of(U).alias("site"))
+    return pages(spark, sf).select("page_id", urls.site_of(U()).alias("site"))
 
 
 @query("P3_skip_extension", f"""WITH {crawl_cte()}
 SELECT page_ord, regexp_matches(lower({path('url')}), '[.]({EXT})$') AS skipped FROM crawl""")
 def p3(spark, sf):
-    return ct.crawl_table(spark, sf).select("page_ord", urls.is_skipped(U).alias("skipped"))
+    return ct.crawl_table(spark, sf).select("page_ord", urls.is_skipped(U()).alias("skipped"))
 
 
 @query("P4_crawlable", f"""WITH {crawl_cte()}
 SELECT page_ord, NOT regexp_matches(lower({path('url')}), '[.]({EXT})$')
   OR {rx('url', fixed.POLICY_URL_PATTERN)} AS crawlable FROM crawl""")
 def p4(spark, sf):
-    return ct.crawl_table(spark, sf).select("page_ord", urls.is_crawlable(U).alias("crawlable"))
+    return ct.crawl_table(spark, sf).select("page_ord", urls.is_crawlable(U()).alias("crawlable"))
 
 
 @query("P5_default_scheme", """
 SELECT page_id, CASE WHEN u LIKE 'http://%' OR u LIKE 'https://%' THEN u ELSE 'https://' || u END AS full_url
 FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN regexp_replace(url, '^https?://', '') ELSE url END AS u FROM pages)""")
 def p5(spark, sf):
-    bare = F.when(F.col("page_id") % 2 == 0, F.regexp_replace("url", "^https?://", "")).otherwise(U)
+    bare = F.when(F.col("page_id") % 2 == 0, F.regexp_replace("url", "^https?://", "")).otherwise(U())
     return pages(spark, sf).select("page_id", urls.with_default_scheme(bare).alias("full_url"))
 
 
@@ -122,7 +127,7 @@ FROM d CROSS JOIN r""")
 def p6(spark, sf):
     refs = F.explode(F.array(*[F.lit(r) for r in REFS]))
     return pages(spark, sf).select("page_id", "url", refs.alias("ref")).select(
-        "page_id", "ref", urls.resolve_url(U, F.col("ref")).alias("abs_url"))
+        "page_id", "ref", urls.resolve_url(U(), F.col("ref")).alias("abs_url"))
 
 
 @query("P7_page_title", """
@@ -143,7 +148,7 @@ POLICY_PAGE_SQL = (
 SELECT page_ord, {POLICY_PAGE_SQL} AS is_policy FROM t""")
 def p8(spark, sf):
     return ct.crawl_table(spark, sf).select(
-        "page_ord", urls.is_policy_page(U, tx.page_title(F.col("html"))).alias("is_policy"))
+        "page_ord", urls.is_policy_page(U(), tx.page_title(F.col("html"))).alias("is_policy"))
 
 
 PRIORITY_SQL = ("CASE WHEN lower({p}) LIKE '%politika%' THEN 4 WHEN lower({p}) LIKE '%policy%' THEN 3 "
@@ -153,7 +158,7 @@ PRIORITY_SQL = ("CASE WHEN lower({p}) LIKE '%politika%' THEN 4 WHEN lower({p}) L
 @query("P9_policy_priority", f"""WITH {crawl_cte()}
 SELECT page_ord, {PRIORITY_SQL.format(p=path('url'))} AS priority FROM crawl""")
 def p9(spark, sf):
-    return ct.crawl_table(spark, sf).select("page_ord", urls.policy_url_priority(U).alias("priority"))
+    return ct.crawl_table(spark, sf).select("page_ord", urls.policy_url_priority(U()).alias("priority"))
 
 
 DOMAINS = fixed.RESEARCH_DOMAINS + ("blog.", "example.org")
@@ -162,12 +167,12 @@ DOMAINS = fixed.RESEARCH_DOMAINS + ("blog.", "example.org")
 @query("P15_allowed_domain", "SELECT page_id, " + " OR ".join(
     f"contains({host('url')}, {lit(d)})" for d in DOMAINS) + " AS allowed FROM pages")
 def p15(spark, sf):
-    return pages(spark, sf).select("page_id", urls.is_allowed_domain(U, DOMAINS).alias("allowed"))
+    return pages(spark, sf).select("page_id", urls.is_allowed_domain(U(), DOMAINS).alias("allowed"))
 
 
 @query("P17_https", "SELECT page_id, url LIKE 'https:%' AS is_https FROM pages")
 def p17(spark, sf):
-    return pages(spark, sf).select("page_id", urls.is_https(U).alias("is_https"))
+    return pages(spark, sf).select("page_id", urls.is_https(U()).alias("is_https"))
 
 
 @query("P19_tracking_pixel", """

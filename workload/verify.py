@@ -1,8 +1,9 @@
-"""Compare every query with its oracle SQL: ``python -m workload.verify [sf_dir] [filter]``."""
+"""Compare every query with its oracle SQL: ``python -m workload.verify [sf_dir] [name regex]``."""
 from __future__ import annotations
 
 import datetime as dt
 import math
+import re
 import sys
 import time
 
@@ -62,14 +63,14 @@ def main():
     queries, oracle = all_queries()
     bad = 0
     for name, fn in queries.items():
-        if wanted and wanted not in name:
+        if wanted and not re.search(wanted, name):
             continue
         t = time.time()
         try:
             df = fn(spark, sf_dir)
             if name in oracle:
                 diff = compare(df, con, oracle[name])
-                note = f"{df.count()} rows" if diff is None else diff
+                note = "equal" if diff is None else diff
             else:
                 diff, note = None, f"{df.count()} rows, no oracle"
         except Exception as exc:  # noqa: BLE001
