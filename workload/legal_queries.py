@@ -1,0 +1,489 @@
+"""Legal updates, organisation documents, lists, sinks and streams."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from auditspan.functions import text as tx
+from auditspan.knowledge import fixed_values as fixed
+from auditspan.operators import documents as doc_ops
+from auditspan.operators import legal, monitoring, serving
+from auditspan.plans import audit as audit_plan
+from auditspan.sinks import tables
+from auditspan.sources import crawl as crawl_source
+from auditspan.sources import dimensions
+from auditspan.streaming import jobs
+from workload import crawl_table as ct
+from workload.audit_queries import REPORTS_CTE
+from workload.crawl_table import crawl_cte, lit, site, values
+from workload.monitor_queries import COMPETITOR_CTE, LEGAL_CTE, SNAP_CTE, SNAP_SELECT, analyses, changed, legal as legal_rows, snapshots, sources
+from workload.page_queries import IS_HTML_SQL
+from workload.registry import query, table
+from workload.text_queries import UPDATES_CTE, found_updates
+
+TYPES = [t[0] for t in fixed.DOCUMENT_TYPES]
+TYPE_CASE = "CASE {k} % 12 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(TYPES)) + " END"
+UPDATES_VALUES = values("upd", "id, effective_date, source, title, articles, doc_type, upd_ord", [
+    (u[0], u[2], u[3], u[4], ", ".join(u[7]), d, i) for i, u in enumerate(fixed.LEGAL_UPDATES) for d in u[8]])
+
+# -- organisations, documents and reports from customer / orders ---------------
+
+ORG_FIELDS = {
+    "id": "'org' || CAST(c_custkey AS STRING)", "legal_name": "c_name",
+    "short_name": "CASE WHEN c_custkey % 2 = 0 THEN '' ELSE 'Short ' || CAST(c_custkey AS STRING) END",
+    "inn": "CASE WHEN c_custkey % 3 = 0 THEN '' ELSE CAST(7700000000 + c_custkey AS STRING) END",
+    "ogrn": "''", "legal_address": "CASE WHEN c_custkey % 5 = 0 THEN '' ELSE 'Street ' || CAST(c_nationkey AS STRING) END",
+    "actual_address": "CASE WHEN c_custkey % 4 = 0 THEN 'Other street' ELSE '' END", "ceo_name": "''",
+    "ceo_position": "'Генеральный директор'", "responsible_person": "''", "responsible_contact": "''",
+    "website_url": "'https://org' || CAST(c_custkey AS STRING) || '.example.com'",
+    "email": "CASE WHEN c_custkey % 7 = 0 THEN '' ELSE 'info@org' || CAST(c_custkey AS STRING) || '.example.com' END",
+    "phone": "''", "hosting_location": "'Российская Федерация'",
+}
+ORG_LISTS = {
+    "data_categories": "CASE WHEN c_custkey % 2 = 0 THEN 'имя,email' ELSE '' END", "processing_purposes": "''",
+    "data_subjects": "'клиенты'", "third_parties": "CASE WHEN c_custkey % 3 = 1 THEN 'Банк,Почта' ELSE '' END",
+    "cross_border_countries": "CASE WHEN c_custkey % 4 = 0 THEN 'FR,DE' ELSE '' END", "info_systems": "''",
+}
+
+
+def organizations(spark, sf):
+    flat = table(spark, sf, "customer").select(
+        *[F.expr(e).alias(n) for n, e in ORG_FIELDS.items()],
+        *[F.when(F.expr(e) != "", F.split(F.expr(e), ",")).otherwise(F.array().cast("array<string>")).alias(n)
+          for n, e in ORG_LISTS.items()],
+        (F.col("c_nationkey") < 8).alias("cross_border"))
+    return flat
+
+
+ORGS_CTE = "orgs AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in {**ORG_FIELDS, **ORG_LISTS}.items()) + \
+    ", c_nationkey < 8 AS cross_border, c_custkey FROM customer)"
+DOC_SELECT = f"""SELECT 'org' || CAST(c_custkey AS STRING) || '-' || CAST(v AS STRING) AS id, 'org' || CAST(c_custkey AS STRING) AS organization_id,
+  {TYPE_CASE.format(k='c_custkey')} AS doc_type, 'Документ ' || c_mktsegment AS title, CAST(v AS INT) AS version,
+  CASE WHEN c_custkey % 9 = 0 THEN '' ELSE c_name || chr(10) || 'редакция ' || CAST(v AS STRING) || chr(10) || c_mktsegment END AS content_md, v AS made"""
+DOCS_CTE = f"docs AS ({DOC_SELECT} FROM (SELECT *, unnest(range(1, 2 + c_custkey % 3)) AS v FROM customer))"
+
+
+def org_documents(spark, sf):
+    rows = table(spark, sf, "customer").withColumn(
+        "v", F.explode(F.sequence(F.lit(1).cast("bigint"), 1 + F.col("c_custkey") % 3)))
+    select = DOC_SELECT[len("SELECT "):]
+    return rows.selectExpr(*_split_select(select)).withColumn(
+        "created_at", F.timestamp_seconds(F.col("made") * 86400)).drop("made")
+
+
+def _split_select(select: str) -> list[str]:
+    """Top-level comma split of a select list."""
+    out, depth, start = [], 0, 0
+    for i, ch in enumerate(select):
+        depth += (ch == "(") - (ch == ")")
+        if ch == "," and depth == 0:
+            out.append(select[start:i])
+            start = i + 1
+    return [*out, select[start:]]
+
+
+def org_reports(spark, sf):
+    return table(spark, sf, "orders").select(
+        F.concat(F.lit("r"), F.col("o_orderkey").cast("string")).alias("id"),
+        F.concat(F.lit("org"), F.col("o_custkey").cast("string")).alias("organization_id"),
+        F.col("o_orderdate").alias("report_date"), (F.col("o_orderkey") % 101).cast("int").alias("overall_score"))
+
+
+RECENT_CTE = """recent AS (SELECT DISTINCT organization_id FROM (SELECT 'org' || o_custkey AS organization_id FROM orders
+  ORDER BY o_orderdate DESC, 'r' || o_orderkey DESC LIMIT 1000))"""
+
+
+@query("T1_newest_reports", "SELECT 'r' || o_orderkey AS id, 'org' || o_custkey AS organization_id, o_orderdate AS report_date FROM orders ORDER BY o_orderdate DESC, 'r' || o_orderkey DESC LIMIT 20")
+def t1(spark, sf):
+    return serving.newest(org_reports(spark, sf), "report_date", 20, "id").drop("overall_score")
+
+
+@query("T1_latest_report_per_org", """SELECT 'org' || o_custkey AS organization_id, 'r' || o_orderkey AS id FROM orders
+QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, 'r' || o_orderkey DESC) = 1""")
+def t1_org(spark, sf):
+    return org_reports(spark, sf).groupBy("organization_id").agg(
+        F.max_by("id", F.struct("report_date", "id")).alias("id"))
+
+
+@query("T2_T3_report_by_id", "SELECT 'r' || o_orderkey AS id, 'org' || o_custkey AS organization_id FROM orders WHERE o_orderkey = 77")
+def t3(spark, sf):
+    return serving.by_id(org_reports(spark, sf), "r77").select("id", "organization_id")
+
+
+@query("J15_organization_documents", f"WITH {ORGS_CTE}, {DOCS_CTE} SELECT o.id AS organization_id, legal_name, d.id, doc_type, version FROM orgs o JOIN docs d ON d.organization_id = o.id")
+def j15(spark, sf):
+    return doc_ops.organization_documents(organizations(spark, sf), org_documents(spark, sf)).select(
+        "organization_id", "legal_name", "id", "doc_type", "version")
+
+
+@query("J15_organization_reports", f"WITH {ORGS_CTE} SELECT o.id AS organization_id, legal_name, count(*) AS reports FROM orgs o JOIN orders ON 'org' || o_custkey = o.id GROUP BY ALL")
+def j15_reports(spark, sf):
+    return doc_ops.organization_reports(organizations(spark, sf), org_reports(spark, sf)).groupBy(
+        "organization_id", "legal_name").agg(F.count("*").alias("reports"))
+
+
+@query("P20_decode_organizations", f"WITH {ORGS_CTE} SELECT id, third_parties, cross_border FROM orgs")
+def p20(spark, sf):
+    decoded = doc_ops.decode_organizations(doc_ops.encode_organizations(organizations(spark, sf)))
+    return decoded.select("id", F.array_join("third_parties", ",").alias("third_parties"), "cross_border")
+
+
+# -- legal updates ------------------------------------------------------------
+
+@query("T9_active_updates_for_requests", f"""WITH {UPDATES_VALUES},
+q AS (SELECT o_orderkey, {TYPE_CASE.format(k='o_orderkey')} AS doc_type, DATE '2025-01-01' + CAST(o_orderkey % 365 AS INT) AS as_of FROM orders)
+SELECT o_orderkey, q.doc_type, upd.id FROM q JOIN upd ON upd.doc_type = q.doc_type AND CAST(effective_date AS DATE) <= as_of""")
+def t9(spark, sf):
+    requests = table(spark, sf, "orders").select(
+        "o_orderkey", F.expr(TYPE_CASE.format(k="o_orderkey")).alias("doc_type"),
+        F.date_add(F.lit("2025-01-01").cast("date"), (F.col("o_orderkey") % 365).cast("int")).alias("as_of"))
+    return legal.active_for_requests(requests, dimensions.legal_updates(spark)).select("o_orderkey", "doc_type", "id")
+
+
+@query("J9_affected_documents", f"WITH {UPDATES_VALUES}, {DOCS_CTE} SELECT d.id, organization_id, d.doc_type, upd.id AS update_id FROM docs d JOIN upd USING (doc_type)")
+def j9(spark, sf):
+    return legal.affected_documents(dimensions.legal_updates(spark), org_documents(spark, sf)).select(
+        "id", "organization_id", "doc_type", "update_id")
+
+
+@query("J10_affected_recent_orgs", f"""WITH {UPDATES_VALUES}, {DOCS_CTE}, {RECENT_CTE}
+SELECT d.id, organization_id, upd.id AS update_id FROM docs d JOIN upd USING (doc_type) SEMI JOIN recent USING (organization_id)""")
+def j10(spark, sf):
+    recent = legal.recent_organizations(org_reports(spark, sf))
+    return legal.affected_documents(dimensions.legal_updates(spark), org_documents(spark, sf), recent).select(
+        "id", "organization_id", "update_id")
+
+
+@query("J11_selected_updates", f"WITH {UPDATES_CTE} SELECT doc_id, content_key FROM updates WHERE given IN (SELECT 'LU-' || item_id * 4 FROM benchmark)")
+def j11(spark, sf):
+    ids = table(spark, sf, "benchmark").select(F.concat(F.lit("LU-"), (F.col("item_id") * 4).cast("string")).alias("id"))
+    return legal.selected(found_updates(spark, sf), ids).select("doc_id", "content_key")
+
+
+@query("J12_new_updates", f"""WITH {UPDATES_CTE},
+stored AS (SELECT content_key FROM updates WHERE doc_id % 3 = 0)
+SELECT doc_id, item_ord, title, content_key FROM updates WHERE content_key NOT IN (SELECT content_key FROM stored)
+QUALIFY row_number() OVER (PARTITION BY content_key ORDER BY doc_id, item_ord) = 1""")
+def j12(spark, sf):
+    found = found_updates(spark, sf).drop("content_key").withColumn("found_ord", F.struct("doc_id", "item_ord"))
+    return legal.new_updates(found, found.filter("doc_id % 3 = 0")).select("doc_id", "item_ord", "title", "content_key")
+
+
+@query("U3_existing_and_new_updates", f"WITH {UPDATES_CTE} SELECT doc_id, item_ord, content_key FROM updates")
+def u3(spark, sf):
+    found = found_updates(spark, sf)
+    return found.filter("doc_id % 3 = 0").unionByName(found.filter("doc_id % 3 <> 0")).select("doc_id", "item_ord", "content_key")
+
+
+@query("A17_update_text", f"""WITH {UPDATES_CTE}
+SELECT doc_id, item_ord, 'Изменение: ' || title || chr(10) || 'Источник: ' || source || chr(10) || 'Дата вступления в силу: 2025-09-01' || chr(10) ||
+  'Затронутые статьи: ' || chr(10) || 'Описание: x' AS block FROM updates""")
+def a17(spark, sf):
+    return found_updates(spark, sf).select("doc_id", "item_ord", legal.update_text().alias("block"))
+
+
+CONTEXT_CTE = f"""{UPDATES_VALUES}, ctx AS (SELECT doc_type, {lit(fixed.LEGAL_CONTEXT_HEADER)} || chr(10) || chr(10) || string_agg(
+  '### ' || title || chr(10) || 'Вступило в силу: ' || effective_date || chr(10) || 'Источник: ' || source || chr(10) || 'Статьи: ' || articles ||
+  chr(10) || 'Суть: ' || chr(10), chr(10) ORDER BY effective_date DESC, id) AS legal_context FROM upd GROUP BY doc_type)"""
+
+
+@query("A16_legal_context_of_documents", f"WITH {CONTEXT_CTE}, {DOCS_CTE} SELECT docs.id, md5(legal_context) AS context_md5 FROM docs JOIN ctx USING (doc_type)")
+def a16(spark, sf):
+    contexts = legal.legal_context(dimensions.legal_updates(spark))
+    return org_documents(spark, sf).join(contexts, "doc_type").select("id", F.md5("legal_context").alias("context_md5"))
+
+
+@query("D10_combined_context", f"""SELECT doc_id, array_to_string(list_filter([CASE WHEN doc_id % 3 > 0 THEN 'stored ' || doc_id END,
+  CASE WHEN doc_id % 2 = 0 THEN {lit(fixed.WEB_CONTEXT_HEADER)} || chr(10) || chr(10) || left(text, 50) END], lambda x: x IS NOT NULL), chr(10) || chr(10)) AS context FROM documents""")
+def d10(spark, sf):
+    stored = F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("stored "), F.col("doc_id").cast("string"))).otherwise("")
+    web = F.when(F.col("doc_id") % 2 == 0, F.substring("text", 1, 50))
+    return table(spark, sf, "documents").select("doc_id", legal.combined_context(stored, web).alias("context"))
+
+
+# -- search hits --------------------------------------------------------------
+
+HITS_CTE = """hits AS (SELECT user_id, 'https://hit.example.org/' || event_id % 40 AS url, CASE WHEN event_type IN ('click', 'view') THEN 0 ELSE 1 END AS list_ord,
+  event_id AS hit_ord, event_type AS title, props AS content FROM events),
+merged AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY user_id, url ORDER BY list_ord, hit_ord) = 1),
+top AS (SELECT *, row_number() OVER (PARTITION BY user_id, list_ord ORDER BY hit_ord, url) AS rank FROM merged
+  QUALIFY rank <= CASE list_ord WHEN 0 THEN 8 ELSE 5 END)"""
+
+
+def _merged(spark, sf):
+    hits = table(spark, sf, "events").select(
+        "user_id", F.concat(F.lit("https://hit.example.org/"), (F.col("event_id") % 40).cast("string")).alias("url"),
+        F.col("event_id").alias("hit_ord"), F.col("event_type").alias("title"), F.col("props").alias("content"))
+    ours = F.col("title").isin("click", "view")
+    return legal.merge_hits(hits.filter(ours), hits.filter(~ours), "user_id")
+
+
+@query("U1_W3_merged_hits", f"WITH {HITS_CTE} SELECT user_id, url, list_ord, hit_ord, title FROM merged")
+def u1(spark, sf):
+    return _merged(spark, sf).select("user_id", "url", "list_ord", "hit_ord", "title")
+
+
+@query("T11_top_hits", f"WITH {HITS_CTE} SELECT user_id, url, list_ord, rank FROM top")
+def t11(spark, sf):
+    return legal.top_hits(_merged(spark, sf), {0: 8, 1: 5}, "user_id").select("user_id", "url", "list_ord", "rank")
+
+
+@query("A17_numbered_hits", f"""WITH {HITS_CTE}, n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY list_ord, rank) AS i FROM top)
+SELECT user_id, string_agg('--- Результат ' || i || ' ---' || chr(10) || 'Источник: ' || url || chr(10) || 'Заголовок: ' || title || chr(10) ||
+  'Содержание: ' || content || chr(10), chr(10) ORDER BY i) AS results_text FROM n GROUP BY user_id""")
+def a17_hits(spark, sf):
+    return legal.numbered_hits(legal.top_hits(_merged(spark, sf), {0: 8, 1: 5}, "user_id"), "user_id")
+
+
+@query("U2_keyword_union", f"""WITH {SNAP_CTE} SELECT source_id, count(*) AS snapshots, {len(fixed.LEGAL_STEMS)} + 1 AS words FROM snapshots GROUP BY source_id""")
+def u2(spark, sf):
+    base = F.array(*[F.lit(w) for w in fixed.LEGAL_STEMS])
+    own = F.array(F.concat(F.lit("слово "), F.col("source_id")), F.lit(fixed.LEGAL_STEMS[0]))
+    return snapshots(spark, sf).groupBy("source_id").agg(F.count("*").alias("snapshots")).withColumn(
+        "words", F.size(F.array_union(base, own)))
+
+
+# -- document generation and rewriting ----------------------------------------
+
+TEMPLATES = {
+    0: "# Документ {{LEGAL_NAME}} ({{SHORT_NAME}})\nИНН {{INN}} ОГРН {{OGRN}}\nАдрес {{LEGAL_ADDRESS}} / {{ACTUAL_ADDRESS}}\n{{CROSS_BORDER_INFO}}",
+    1: "{{WEBSITE_URL}} {{EMAIL}} {{PHONE}} {{RESPONSIBLE_CONTACT}}\nДанные: {{DATA_CATEGORIES}}; третьи лица: {{THIRD_PARTIES}}\n{{PUBLICATION_DATE}}",
+    2: "Приказ от {{ORDER_DATE}}: {{CEO_POSITION}} {{CEO_NAME}}, субъекты {{DATA_SUBJECTS}}, срок {{RETENTION_PERIODS}}, {{UPDATE_DATE}}",
+}
+TEMPLATE_ROWS = [(t, TEMPLATES[i % 3]) for i, t in enumerate(TYPES) if fixed.DOCUMENT_TYPES[i][2]]
+TEMPLATES_CTE = "templates(doc_type, template) AS (VALUES " + ", ".join(
+    f"({lit(t)}, {lit(x).replace(chr(10), chr(39) + ' || chr(10) || ' + chr(39))})" for t, x in TEMPLATE_ROWS) + ")"
+TYPES_CTE = values("types", "type_ord, doc_type, type_title, is_public", [
+    (i, t[0], t[1], t[0] in fixed.PUBLIC_DOCUMENT_TYPES) for i, t in enumerate(fixed.DOCUMENT_TYPES)])
+PACKAGE_CTE = f"""{ORGS_CTE}, {TYPES_CTE}, {TEMPLATES_CTE}, {CONTEXT_CTE},
+package AS (SELECT o.*, type_ord, doc_type, type_title, is_public, coalesce(template, {lit(fixed.NO_TEMPLATE_TEXT)}) AS template,
+  coalesce(legal_context, '') AS legal_context FROM orgs o, types LEFT JOIN templates USING (doc_type) LEFT JOIN ctx USING (doc_type))"""
+
+
+def _inputs(spark, sf, public_only=False):
+    from auditspan.localtable import local_table
+    templates = local_table(spark, TEMPLATE_ROWS, "doc_type string, template string")
+    return doc_ops.generation_inputs(
+        organizations(spark, sf), templates, legal.legal_context(dimensions.legal_updates(spark)), public_only)
+
+
+@query("J14_document_package", f"""WITH {PACKAGE_CTE}
+SELECT id, doc_type, type_title AS title, md5(template) AS template_md5, md5(legal_context) AS context_md5 FROM package""")
+def j14(spark, sf):
+    return _inputs(spark, sf).select(
+        "id", "doc_type", "title", F.md5("template").alias("template_md5"), F.md5("legal_context").alias("context_md5"))
+
+
+@query("J14_public_package", f"WITH {PACKAGE_CTE} SELECT id, doc_type FROM package WHERE is_public")
+def j14_public(spark, sf):
+    return _inputs(spark, sf, public_only=True).select("id", "doc_type")
+
+
+R = lit(fixed.REQUIRED_MARK)
+FILL_SQL = {
+    "LEGAL_NAME": "legal_name", "SHORT_NAME": "coalesce(nullif(short_name, ''), legal_name)", "INN": f"coalesce(nullif(inn, ''), {R})",
+    "OGRN": R, "LEGAL_ADDRESS": f"coalesce(nullif(legal_address, ''), {R})",
+    "ACTUAL_ADDRESS": f"coalesce(nullif(actual_address, ''), nullif(legal_address, ''), {R})", "CEO_NAME": R, "CEO_POSITION": "ceo_position",
+    "RESPONSIBLE_CONTACT": f"coalesce(nullif(email, ''), {R})", "WEBSITE_URL": "website_url", "EMAIL": f"coalesce(nullif(email, ''), {R})",
+    "PHONE": R, "DATA_CATEGORIES": f"coalesce(nullif(replace(data_categories, ',', ', '), ''), {R})", "DATA_SUBJECTS": "data_subjects",
+    "THIRD_PARTIES": f"coalesce(nullif(replace(third_parties, ',', ', '), ''), {lit(fixed.NO_THIRD_PARTIES)})",
+    "CROSS_BORDER_INFO": f"""CASE WHEN cross_border AND cross_border_countries <> '' THEN {lit(fixed.CROSS_BORDER_LISTED)} || replace(cross_border_countries, ',', ', ')
+      WHEN cross_border THEN {lit(fixed.CROSS_BORDER_UNLISTED)} ELSE {lit(fixed.CROSS_BORDER_NONE)} END""",
+    "PUBLICATION_DATE": "'01.12.2025'", "UPDATE_DATE": "'01.12.2025'", "RETENTION_PERIODS": R,
+}
+_fill = "template"
+for _name, _sql in FILL_SQL.items():
+    _fill = f"replace({_fill}, '{{{{{_name}}}}}', {_sql})"
+
+
+@query("D9_S8_filled_templates", f"""WITH {PACKAGE_CTE}
+SELECT id, doc_type, md5({lit(fixed.TEMPLATE_DISCLAIMER.strip())} || chr(10) || chr(10) || {_fill}) AS content_md5 FROM package""")
+def d9(spark, sf):
+    return _inputs(spark, sf).select(
+        "id", "doc_type", F.md5(doc_ops.fill_template(F.col("template"), F.lit("01.12.2025"))).alias("content_md5"))
+
+
+@query("W8_next_versions", f"""WITH {DOCS_CTE}
+SELECT id, row_number() OVER w AS version, lag(content_md) OVER w AS previous_content FROM docs
+WINDOW w AS (PARTITION BY organization_id, doc_type ORDER BY made, id)""")
+def w8(spark, sf):
+    return doc_ops.number_versions(org_documents(spark, sf)).select("id", "version", "previous_content")
+
+
+@query("W8_latest_versions", f"WITH {DOCS_CTE} SELECT organization_id, doc_type, max(version) AS version, arg_max(id, version) AS id FROM docs GROUP BY ALL")
+def w8_latest(spark, sf):
+    return doc_ops.latest_versions(org_documents(spark, sf)).select("organization_id", "doc_type", "version", "id")
+
+
+def _rewrites(spark, sf, diff):
+    current = doc_ops.latest_versions(org_documents(spark, sf))
+    affected = legal.affected_documents(dimensions.legal_updates(spark), current)
+    number = F.regexp_extract("organization_id", r"(\d+)", 1).cast("bigint")
+    contents = affected.select("organization_id", "doc_type", "update_id", F.when(
+        number % 5 != 0, F.concat("content_md", F.lit("\nдополнено"))).alias("new_content"),
+        F.when(number % 5 == 0, F.lit("timeout")).alias("error"))
+    return doc_ops.rewrite_results(affected, contents, diff=diff)
+
+
+@query("D11_rewrite_results", f"""WITH {UPDATES_VALUES}, {DOCS_CTE},
+cur AS (SELECT *, CAST(regexp_extract(organization_id, '([0-9]+)', 1) AS BIGINT) AS n FROM docs QUALIFY row_number() OVER (PARTITION BY organization_id, doc_type ORDER BY version DESC) = 1)
+SELECT organization_id, doc_type, upd.id AS update_id, CASE WHEN content_md = '' THEN 'skipped' WHEN n % 5 = 0 THEN 'error' ELSE 'draft' END AS status,
+  CASE WHEN content_md <> '' AND n % 5 = 0 THEN 'timeout' END AS error,
+  CASE WHEN content_md <> '' AND n % 5 <> 0 THEN version END AS old_version, CASE WHEN content_md <> '' AND n % 5 <> 0 THEN version + 1 END AS new_version
+FROM cur JOIN upd USING (doc_type)""")
+def d11(spark, sf):
+    return _rewrites(spark, sf, diff=False).select(
+        "organization_id", "doc_type", "update_id", "status", "error", "old_version", "new_version")
+
+
+@query("D2_document_diff")
+def d2(spark, sf):
+    return _rewrites(spark, sf, diff=True).select("organization_id", "doc_type", "update_id", "status", "diff")
+
+
+@query("A15_generation_totals", f"WITH {ORGS_CTE} SELECT id AS organization_id, 12 AS total, 12 - CAST(c_custkey % 3 AS BIGINT) AS successful FROM orgs")
+def a15(spark, sf):
+    n = F.regexp_extract("id", r"(\d+)", 1).cast("bigint")
+    docs = doc_ops.package(organizations(spark, sf)).select(
+        F.col("id").alias("organization_id"), F.when(F.col("type_ord") < n % 3, F.lit("failed")).alias("error"))
+    return serving.generation_totals(docs)
+
+
+# -- sinks --------------------------------------------------------------------
+
+@query("K1_scan_rows", f"WITH {REPORTS_CTE} SELECT site, site_url, pages_scanned FROM wide")
+def k1(spark, sf):
+    path = tables.scratch_path(spark, "scans")
+    tables.append_scans(audit_plan.audit(ct.crawl_table(spark, sf)).sites, path)
+    return spark.read.parquet(path).select("site", "site_url", "pages_scanned")
+
+
+@query("K2_report_rows", f"WITH {REPORTS_CTE} SELECT site, overall_score, risk_level, summary FROM reports")
+def k2(spark, sf):
+    path = tables.scratch_path(spark, "reports")
+    tables.append_reports(audit_plan.audit(ct.crawl_table(spark, sf)).reports, path)
+    stored = spark.read.parquet(path)
+    return stored.select("site", F.get_json_object("report_json", "$.overall_score").cast("int").alias("overall_score"),
+                         "risk_level", "summary")
+
+
+@query("K3_upsert_organizations", f"WITH {ORGS_CTE} SELECT id, CASE WHEN c_custkey % 3 = 0 THEN 'renamed' ELSE legal_name END AS legal_name FROM orgs")
+def k3(spark, sf):
+    orgs = organizations(spark, sf).withColumn("updated_at", F.lit("2025-01-01").cast("timestamp"))
+    n = F.regexp_extract("id", r"(\d+)", 1).cast("bigint")
+    incoming = orgs.filter(n % 3 == 0).withColumns({
+        "legal_name": F.lit("renamed"), "updated_at": F.lit("2025-02-01").cast("timestamp")})
+    root = tables.scratch_path(spark, "orgs")
+    tables.write_version(orgs, root, 1)
+    tables.write_version(tables.upserted(tables.read_version(spark, root), incoming), root, 2)
+    return tables.read_version(spark, root).select("id", "legal_name")
+
+
+@query("K4_upsert_documents", f"WITH {DOCS_CTE} SELECT id, CASE WHEN version = 2 THEN 'rewritten' ELSE content_md END AS content_md FROM docs")
+def k4(spark, sf):
+    docs = org_documents(spark, sf).withColumn("updated_at", F.col("created_at"))
+    incoming = docs.filter("version = 2").withColumns({
+        "content_md": F.lit("rewritten"), "updated_at": F.lit("2025-02-01").cast("timestamp")})
+    return tables.upserted(docs, incoming).select("id", "content_md")
+
+
+@query("K8_append_digest", "SELECT count(*) AS changes, '2024-01-01' AS period_start, '2024-01-08' AS period_end FROM events WHERE event_type = 'error'")
+def k8(spark, sf):
+    n = table(spark, sf, "events").filter("event_type = 'error'").agg(F.count("*").cast("string").alias("content_md"))
+    path = tables.scratch_path(spark, "digests")
+    tables.append_digest(n, path, "2024-01-01", "2024-01-08")
+    return spark.read.parquet(path).select(F.col("content_md").cast("bigint").alias("changes"), "period_start", "period_end")
+
+
+@query("K9_append_updates", f"WITH {UPDATES_CTE} SELECT source, title, count(*) AS n FROM updates GROUP BY ALL")
+def k9(spark, sf):
+    path = tables.scratch_path(spark, "updates")
+    tables.append_legal_updates(found_updates(spark, sf).select("id", "source", "title", "effective_date"), path)
+    return spark.read.schema("id string, source string, title string").json(path).groupBy("source", "title").agg(F.count("*").alias("n"))
+
+
+@query("K10_nested_export", f"""WITH {REPORTS_CTE}, p AS (SELECT {site('url')} AS site, page_ord // 100 AS part, count(*) AS pages FROM crawl WHERE {IS_HTML_SQL} GROUP BY ALL)
+SELECT site, part, pages, overall_score FROM p JOIN reports USING (site)""")
+def k10(spark, sf):
+    docs = tables.export_documents(audit_plan.audit(ct.crawl_table(spark, sf), materialise=True), chunk=100)
+    return docs.select("site", "part", F.size(F.from_json("document", "pages array<struct<url:string>>").getField("pages")).cast("bigint").alias("pages"),
+                       F.get_json_object("document", "$.report.overall_score").cast("int").alias("overall_score"))
+
+
+# -- streams ------------------------------------------------------------------
+
+def _run(spark, stream, name, mode="append"):
+    """Drain a stream into a table in the shared folder and read it back."""
+    out = tables.scratch_path(spark, name)
+    q = (stream.writeStream.outputMode(mode).format("parquet").option("path", out)
+         .option("checkpointLocation", tables.scratch_path(spark, name + "-progress")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out)
+
+
+def _event_stream(spark, sf):
+    schema = table(spark, sf, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+
+
+def _snapshot_stream(spark, sf):
+    events = _event_stream(spark, sf).withColumn("k", F.regexp_extract("props", "[0-9]+", 0).cast("int"))
+    body = SNAP_SELECT[SNAP_SELECT.index("SELECT") + 6:SNAP_SELECT.index("FROM (SELECT")]
+    fetches = events.selectExpr(*_split_select(body)).withColumn("captured_at", F.col("captured_at").cast("timestamp"))
+    return monitoring.snapshot_rows(fetches)
+
+
+@query("ST1_snapshot_change_stream", f"""WITH {SNAP_CTE}
+SELECT id, CASE WHEN fetch_status <> 'ok' THEN 'failed' WHEN NOT has_previous THEN 'baseline'
+  WHEN content_hash = previous_hash THEN 'unchanged' ELSE 'changed' END AS route, previous_hash FROM history""")
+def st1(spark, sf):
+    return _run(spark, jobs.snapshot_changes(_snapshot_stream(spark, sf)), "st1").select("id", "route", "previous_hash")
+
+
+@query("ST2_parse_warning_stream", f"""WITH {SNAP_CTE},
+n AS (SELECT *, CASE WHEN fetch_status = 'ok' THEN len(list_filter(string_split(raw_text, chr(10)), lambda x: trim(x) <> '')) ELSE 0 END AS items,
+  CASE WHEN fetch_status = 'ok' THEN len(list_filter(string_split(raw_text, chr(10)), lambda x: trim(x) <> '')) END AS good FROM snapshots),
+l AS (SELECT *, lag(good, 1 IGNORE NULLS) OVER w AS g1, lag(good, 2 IGNORE NULLS) OVER w AS g2, lag(good, 3 IGNORE NULLS) OVER w AS g3
+  FROM n WINDOW w AS (PARTITION BY source_id, url ORDER BY captured_at, id))
+SELECT id, source_id, url FROM l WHERE items = 0 AND g1 > 0 AND g2 > 0 AND g3 > 0""")
+def st2(spark, sf):
+    return _run(spark, jobs.snapshot_changes(_snapshot_stream(spark, sf)), "st2").filter("parse_warning").select("id", "source_id", "url")
+
+
+@query("ST3_new_update_stream", "SELECT DISTINCT md5('src' || user_id || ':' || event_type) AS content_key FROM events")
+def st3(spark, sf):
+    found = _event_stream(spark, sf).select(
+        F.concat(F.lit("src"), F.col("user_id").cast("string")).alias("source"), F.col("event_type").alias("title"),
+        F.col("ts").cast("timestamp").alias("found_at"))
+    return _run(spark, jobs.new_updates(found, "found_at", "60 days"), "st3").select("content_key")
+
+
+@query("ST4_critical_alert_stream", f"WITH {LEGAL_CTE} SELECT id, threat_score FROM legal WHERE npa_critical AND threat_score IS NOT NULL")
+def st4(spark, sf):
+    stored = tables.scratch_path(spark, "legal-changes")
+    legal_rows(spark, sf).write.parquet(stored)
+    out = tables.scratch_path(spark, "alerts")
+    stream = spark.readStream.schema(spark.read.parquet(stored).schema).parquet(stored)
+    q = (stream.writeStream.foreachBatch(jobs.alert_writer(lambda alerts, epoch: tables.append_alerts(alerts, out)))
+         .option("checkpointLocation", tables.scratch_path(spark, "alerts-progress")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.schema("id bigint, threat_score int, message string").json(out).select("id", "threat_score")
+
+
+@query("ST5_weekly_digest_stream", f"""WITH w AS (SELECT *, time_bucket(INTERVAL '7 days', ts, TIMESTAMP '1970-01-05 10:00:00') AS week_start FROM events)
+SELECT week_start, count(*) AS changes, CAST(max(event_id % 5 + 1) AS INT) AS max_score, count_if(event_type = 'signup') AS legal_changes FROM w
+GROUP BY week_start HAVING week_start + INTERVAL '7 days' <= (SELECT max(ts) - INTERVAL '1 day' FROM events)""")
+def st5(spark, sf):
+    changes = _event_stream(spark, sf).select(
+        F.col("ts").cast("timestamp").alias("detected_at"), (F.col("event_id") % 5 + 1).cast("int").alias("threat_score"),
+        F.when(F.col("event_type") == "signup", "npa").otherwise("ui").alias("change_type"), F.lit(None).cast("boolean").alias("npa_critical"))
+    return _run(spark, jobs.weekly_totals(changes), "st5").select(
+        F.col("week.start").alias("week_start"), "changes", "max_score", "legal_changes")
+
+
+@query("ST7_arriving_pages_stream", f"""WITH {crawl_cte()} SELECT page_ord, url, length(url) AS n FROM crawl WHERE {IS_HTML_SQL}""")
+def st7(spark, sf):
+    stored = tables.scratch_path(spark, "crawl")
+    ct.crawl_table(spark, sf).write.parquet(stored)
+    facts = jobs.arriving_pages(crawl_source.stream_crawl(spark, stored))
+    out = _run(spark, facts.filter("is_html").select("page_ord", "url", "has_footer_link"), "st7")
+    return out.select("page_ord", "url", F.length("url").alias("n"))
