@@ -36,20 +36,20 @@ def duck(sf_dir: str):
 
 
 def compare(df, con, sql):
-    """None when equal, else a short description of the difference."""
+    """(difference or None, rows)."""
     left = rows_of(df.columns, [tuple(r) for r in df.collect()])
     cur = con.execute(sql)
     right = rows_of([d[0] for d in cur.description], cur.fetchall())
     if left[0] != right[0]:
-        return f"columns {left[0]} != {right[0]}"
+        return f"columns {left[0]} != {right[0]}", 0
     if len(left[1]) != len(right[1]):
         missing = set(map(repr, right[1])) ^ set(map(repr, left[1]))
-        return f"rows {len(left[1])} != {len(right[1])}; e.g. {sorted(missing)[:3]}"
+        return f"rows {len(left[1])} != {len(right[1])}; e.g. {sorted(missing)[:3]}", 0
     for a, b in zip(left[1], right[1]):
         if a != b:
             bad = [(c, x, y) for c, x, y in zip(left[0], a, b) if x != y]
-            return f"spark/oracle differ in {bad[:4]} of row {a[:3]}"
-    return None
+            return f"spark/oracle differ in {bad[:4]} of row {a[:3]}", 0
+    return None, len(left[1])
 
 
 def main():
@@ -69,8 +69,8 @@ def main():
         try:
             df = fn(spark, sf_dir)
             if name in oracle:
-                diff = compare(df, con, oracle[name])
-                note = "equal" if diff is None else diff
+                diff, rows = compare(df, con, oracle[name])
+                note = f"{rows} rows equal" if diff is None else diff
             else:
                 diff, note = None, f"{df.count()} rows, no oracle"
         except Exception as exc:  # noqa: BLE001
