@@ -22,12 +22,16 @@ def flat_source(html: Column) -> Column:
         r"(?is)(<(script|style)\b[^>]*>).*?(</\2\s*>|\z)", "$1$3")
 
 
-def attribute(tag: Column, name: str) -> Column:
-    """Decoded value of an attribute of an opening tag; NULL when absent."""
+def raw_attribute(tag: Column, name: str) -> Column:
+    """Value of an attribute of an opening tag as written; NULL when absent."""
     pattern = rf"""(?is)[\s"'/]{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
     raw = F.regexp_extract(tag, pattern, 1)
-    bare = F.regexp_replace(raw, r"""^["']|["']$""", "")
-    return F.when(raw != "", tx.decode_entities(bare))
+    return F.when(raw != "", F.regexp_replace(raw, r"""^["']|["']$""", ""))
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """Decoded value of an attribute of an opening tag; NULL when absent."""
+    return tx.decode_entities(raw_attribute(tag, name))
 
 
 def open_tags(source: Column, name: str) -> Column:
@@ -81,23 +85,26 @@ def resource_tags(source: Column) -> Column:
     Kinds are tried in the order js, css, font, iframe, pixel; a preconnect link
     counts as a font.
     """
-    def refs(tag: str, attr: str, kind: str, keep=None) -> Column:
-        found = open_tags(source, tag)
+    def tags(name: str, attr: str, kind: str, keep=None) -> Column:
+        found = open_tags(source, name)
         if keep is not None:
             found = F.filter(found, keep)
-        rows = F.transform(found, lambda t, i: F.struct(
+        return F.transform(found, lambda t, i: F.struct(
             F.lit(_KINDS.index(kind)).alias("kind_ord"), i.alias("tag_ord"),
-            F.lit(kind).alias("kind"), attribute(t, attr).alias("ref")))
-        return F.filter(rows, lambda r: r.getField("ref").isNotNull())
+            F.lit(kind).alias("kind"), raw_attribute(t, attr).alias("raw")))
 
     def rel(tag: Column) -> Column:
-        return F.lower(F.coalesce(attribute(tag, "rel"), F.lit("")))
+        return F.lower(F.coalesce(raw_attribute(tag, "rel"), F.lit("")))
 
-    return F.concat(
-        refs("script", "src", "js"),
-        refs("link", "href", "css", lambda t: rel(t).contains("stylesheet")),
-        refs("link", "href", "font",
+    found = F.concat(
+        tags("script", "src", "js"),
+        tags("link", "href", "css", lambda t: rel(t).contains("stylesheet")),
+        tags("link", "href", "font",
              lambda t: rel(t).contains("font") | rel(t).contains("preconnect")),
-        refs("iframe", "src", "iframe"),
-        refs("img", "src", "pixel",
-             lambda t: is_tracking_pixel(attribute(t, "width"), attribute(t, "height"))))
+        tags("iframe", "src", "iframe"),
+        tags("img", "src", "pixel",
+             lambda t: is_tracking_pixel(raw_attribute(t, "width"), raw_attribute(t, "height"))))
+    named = F.filter(found, lambda r: r.getField("raw").isNotNull())
+    return F.transform(named, lambda r: F.struct(
+        r.getField("kind_ord").alias("kind_ord"), r.getField("tag_ord").alias("tag_ord"),
+        r.getField("kind").alias("kind"), tx.decode_entities(r.getField("raw")).alias("ref")))

@@ -1,0 +1,33 @@
+"""SQL access to the page parser.
+
+    extract_page_facts(html, url) -> rows (kind, ord, facts as JSON)
+
+``SELECT p.url, f.* FROM pages p, LATERAL extract_page_facts(p.html, p.url) f``
+"""
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import SparkSession
+from pyspark.sql.functions import udtf
+
+from auditspan.functions.page_tree import page_facts
+
+
+class _ExtractPageFacts:
+    def eval(self, html: str, url: str):
+        facts = page_facts(html) or {}
+        for i, form in enumerate(facts.get("forms") or []):
+            yield "form", i, json.dumps({"page_url": url, **form}, ensure_ascii=False)
+        if facts.get("banner"):
+            yield "banner", 0, json.dumps({"page_url": url, **facts["banner"]}, ensure_ascii=False)
+        for i, href in enumerate(dict.fromkeys(facts.get("banner_hrefs") or [])):
+            yield "banner_link", i, json.dumps({"page_url": url, "href": href}, ensure_ascii=False)
+        if facts.get("error"):
+            yield "error", 0, json.dumps({"page_url": url, "error": facts["error"]}, ensure_ascii=False)
+
+
+def register(spark: SparkSession) -> None:
+    """Make ``extract_page_facts`` callable from SQL."""
+    spark.udtf.register("extract_page_facts", udtf(
+        _ExtractPageFacts, returnType="kind string, ord int, facts string"))

@@ -21,7 +21,7 @@ def with_source(crawl: DataFrame) -> DataFrame:
     url = F.col("url")
     is_html = crawl_source.is_html_page(url, F.col("status_code"), F.col("content_type"))
     return (
-        crawl.withColumns({"site": urls.site_of(url), "host": urls.host_of(url), "is_html": is_html})
+        crawl_source.spread(crawl).withColumns({"site": urls.site_of(url), "host": urls.host_of(url), "is_html": is_html})
         .withColumn("html", F.when(F.col("is_html"), F.col("html")))
         .withColumn("source", markup.flat_source(F.col("html")))
     )
@@ -137,7 +137,7 @@ def page_facts(crawl: DataFrame) -> DataFrame:
         "library_banner": F.exists(
             markup.open_tags(F.col("source"), "script"),
             lambda t: F.coalesce(tx.matches(
-                markup.attribute(t, "src"), fixed.CONSENT_LIBRARY_PATTERN), F.lit(False))),
+                markup.raw_attribute(t, "src"), fixed.CONSENT_LIBRARY_PATTERN), F.lit(False))),
     })
     pages = pages.withColumn("policy_text", F.when(
         F.col("is_policy_page"), tx.visible_text(F.col("html"))).otherwise(
@@ -193,10 +193,14 @@ def page_forms_type() -> str:
 
 
 def forms(facts: DataFrame) -> DataFrame:
-    """One row per form."""
-    return facts.filter("is_html").select(
-        "site", "page_ord", F.col("url").alias("page_url"), F.explode("forms").alias("f")
-    ).select(
+    """One row per form.
+
+    ``explode_outer``: a plain explode makes the optimizer add a size filter that
+    evaluates the form extraction a second time.
+    """
+    return facts.select(
+        "site", "page_ord", F.col("url").alias("page_url"), F.explode_outer("forms").alias("f")
+    ).filter("f IS NOT NULL").select(
         "site", "page_ord", "page_url", "f.*",
         F.col("f.privacy_href").isNotNull().alias("has_privacy_link"),
         (F.size("f.pd_categories") > 0).alias("collects_pd"))

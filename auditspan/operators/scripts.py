@@ -62,10 +62,11 @@ def match_services(scripts: DataFrame, services: DataFrame) -> DataFrame:
     can be broadcast or shuffled, whatever the registry's size; a theta join
     would have to broadcast it.
     """
-    lengths = services.agg(F.sort_array(F.collect_set(F.length("domain"))).alias("lengths"))
+    # domain names have at most 253 characters, so this is a short list
+    lengths = services.agg(F.collect_set(F.length("domain")).alias("lengths")).scalar()
     hosts = scripts.select("domain").distinct()
-    pieces = hosts.crossJoin(lengths).select(
-        F.col("domain").alias("host"), F.explode("lengths").alias("n")
+    pieces = hosts.select(F.col("domain").alias("host"), lengths.alias("lengths")).select(
+        "host", F.explode("lengths").alias("n")
     ).filter(F.length("host") >= F.col("n")).select(
         "host", F.explode(F.transform(
             F.sequence(F.lit(1), F.length("host") - F.col("n") + 1),

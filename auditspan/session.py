@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,12 +38,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return shared
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder.
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder in the shared checkpoint area."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
-    Used where one expensive result (the parsed pages) feeds several jobs: the
-    result survives the loss of executors and is not computed again.
+
+def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` as a table in the shared checkpoint folder and read it back.
+
+    Used where one expensive result (the parsed pages) feeds several jobs: it is
+    computed once, survives the loss of executors, and each reader loads only the
+    columns it needs.
     """
-    spark = df.sparkSession
-    spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

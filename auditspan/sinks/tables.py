@@ -6,18 +6,11 @@ never leaves a half-written table and readers never see one.
 """
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditspan.knowledge import fixed_values as fixed
-from auditspan.session import checkpoint_dir
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the shared checkpoint area."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from auditspan.session import scratch_path  # noqa: F401 - part of this module's interface
 
 
 def append(df: DataFrame, path: str, *partition_by: str, fmt: str = "parquet") -> None:

@@ -17,6 +17,21 @@ def stream_crawl(spark: SparkSession, path: str, fmt: str = "parquet", **options
     return spark.readStream.schema(schemas.CRAWL).format(fmt).options(**options).load(path)
 
 
+def spread(df: DataFrame, split_bytes: int = 64 << 20) -> DataFrame:
+    """Divide a small input among all cores before CPU-heavy row work.
+
+    A table that fits into one read split would be parsed by one task.  Only such
+    tables are redistributed, so at most ``split_bytes`` are ever shuffled here;
+    larger tables arrive in many splits and pass through unchanged.
+    """
+    if df.isStreaming:
+        return df
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) > split_bytes:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def from_pages(pages: DataFrame) -> DataFrame:
     """Crawl rows from a bare (page_id, url, html) table."""
     return pages.select(

@@ -3,7 +3,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from auditspan.functions import text as tx
 from auditspan.knowledge import fixed_values as fixed
 from auditspan.operators import documents as doc_ops
 from auditspan.operators import legal, monitoring, serving
@@ -11,11 +10,13 @@ from auditspan.plans import audit as audit_plan
 from auditspan.sinks import tables
 from auditspan.sources import crawl as crawl_source
 from auditspan.sources import dimensions
+from auditspan.sources import snapshots as snapshot_source
 from auditspan.streaming import jobs
 from workload import crawl_table as ct
 from workload.audit_queries import REPORTS_CTE
 from workload.crawl_table import crawl_cte, lit, site, values
-from workload.monitor_queries import COMPETITOR_CTE, LEGAL_CTE, SNAP_CTE, SNAP_SELECT, analyses, changed, legal as legal_rows, snapshots, sources
+from workload.monitor_queries import LEGAL_CTE, SNAP_CTE, SNAP_SELECT, snapshots
+from workload.monitor_queries import legal as legal_rows
 from workload.page_queries import IS_HTML_SQL
 from workload.registry import query, table
 from workload.text_queries import UPDATES_CTE, found_updates
@@ -422,7 +423,8 @@ def _run(spark, stream, name, mode="append"):
 
 def _event_stream(spark, sf):
     schema = table(spark, sf, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option(
+        "maxFilesPerTrigger", 1).parquet(sf)
 
 
 def _snapshot_stream(spark, sf):
@@ -480,6 +482,43 @@ def st5(spark, sf):
         F.col("week.start").alias("week_start"), "changes", "max_score", "legal_changes")
 
 
+@query("ST6_late_snapshots", f"""WITH {SNAP_CTE}
+SELECT id, id % 10 = 3 AND EXISTS (SELECT 1 FROM snapshots l WHERE l.source_id = s.source_id AND l.url = s.url AND l.id % 10 <> 3
+  AND (l.captured_at, l.id) > (s.captured_at, s.id)) AS late FROM snapshots s""")
+def st6(spark, sf):
+    stored = tables.scratch_path(spark, "snapshots")
+    rows = snapshots(spark, sf).withColumn("captured_at", F.col("captured_at").cast("timestamp"))
+    rows.filter("id % 10 <> 3").coalesce(1).write.parquet(stored)
+    rows.filter("id % 10 = 3").coalesce(1).write.mode("append").parquet(stored)
+    stream = snapshot_source.stream_snapshots(spark, stored, max_files=1)
+    return _run(spark, jobs.snapshot_changes(stream), "st6").select("id", (F.col("route") == "late").alias("late"))
+
+
+@query("U4_except_seen_updates", f"""WITH {UPDATES_CTE}
+SELECT DISTINCT content_key FROM updates EXCEPT SELECT content_key FROM updates WHERE doc_id % 3 = 0""")
+def u4(spark, sf):
+    found = found_updates(spark, sf).drop("content_key").withColumn("found_ord", F.struct("doc_id", "item_ord"))
+    return legal.new_updates(found, found.filter("doc_id % 3 = 0")).select("content_key")
+
+
+@query("S7_watched_sources", f"""WITH {SNAP_CTE}
+SELECT source_id, 'Источник ' || source_id AS name, url, count(*) AS snapshots, count_if(fetch_status = 'ok') AS ok
+FROM snapshots WHERE url <> 'https://watched.example.org/2' GROUP BY ALL""")
+def s7(spark, sf):
+    config = {"competitors": [{"id": f"src{i}", "name": f"Источник src{i}", "urls": [f"https://watched.example.org/{k}" for k in (0, 1)]}
+                              for i in range(6)],
+              "npa_sources": [{"id": f"src{i}", "name": f"Источник src{i}", "url": f"https://watched.example.org/{k}", "keywords": ["закон"]}
+                              for i in range(6, 12) for k in (0, 1)]}
+    watched = dimensions.sources_from_config(spark, config).select("source_id", "name", "url")
+    return snapshots(spark, sf).join(watched, ["source_id", "url"]).groupBy("source_id", "name", "url").agg(
+        F.count("*").alias("snapshots"), F.count_if(F.col("fetch_status") == "ok").alias("ok"))
+
+
+@query("T1_newest_organizations", "SELECT c_custkey, c_name FROM customer ORDER BY c_acctbal DESC, c_custkey DESC LIMIT 50")
+def t1_organizations(spark, sf):
+    return serving.newest(table(spark, sf, "customer"), "c_acctbal", 50, "c_custkey").select("c_custkey", "c_name")
+
+
 @query("ST7_arriving_pages_stream", f"""WITH {crawl_cte()} SELECT page_ord, url, length(url) AS n FROM crawl WHERE {IS_HTML_SQL}""")
 def st7(spark, sf):
     stored = tables.scratch_path(spark, "crawl")

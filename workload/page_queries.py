@@ -3,11 +3,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from auditspan.functions import markup, page_tree, urls
+from auditspan.functions import markup, page_tree, udtf, urls
 from auditspan.functions import text as tx
 from auditspan.knowledge import fixed_values as fixed
 from auditspan.operators import pages as page_ops
-from auditspan.operators import policies as policy_ops
 from auditspan.operators import scripts as script_ops
 from auditspan.operators import sites as site_ops
 from auditspan.sources import crawl as crawl_source
@@ -30,7 +29,7 @@ def rx(column: str, pattern: str) -> str:
 
 
 def pages(spark, sf):
-    return table(spark, sf, "pages")
+    return crawl_source.spread(table(spark, sf, "pages"))
 
 
 # -- sources ------------------------------------------------------------------
@@ -69,14 +68,15 @@ def p1(spark, sf):
     return pages(spark, sf).select("page_id", urls.normalize_url(U()).alias("norm_url"))
 
 
-@query("P2_same_site", f"""
-WITH h AS (SELECT DISTINCT {host('url')} AS host FROM pages)
-SELECT p.host AS a, q.host AS b FROM h p JOIN h q
-  ON regexp_replace(p.host, '^www[.]', '') = regexp_replace(q.host, '^www[.]', '')""")
+BASE_HOST = "CASE page_id % 3 WHEN 0 THEN 'www.' || replace({h}, 'www.', '') WHEN 1 THEN replace({h}, 'www.', '') ELSE 'm.' || {h} END"
+
+
+@query("P2_same_site", f"""SELECT page_id, regexp_replace({host('url')}, '^www[.]', '') =
+  regexp_replace({BASE_HOST.format(h=host('url'))}, '^www[.]', '') AS same_site FROM pages""")
 def p2(spark, sf):
-    hosts = pages(spark, sf).select(urls.host_of(U()).alias("host")).distinct()
-    keyed = hosts.withColumn("site", urls.strip_www(F.col("host")))
-    return keyed.withColumnRenamed("host", "a").join(keyed.withColumnRenamed("host", "b"), "site").select("a", "b")
+    base = F.expr(BASE_HOST.format(h="host"))
+    return pages(spark, sf).withColumn("host", urls.host_of(U())).select(
+        "page_id", urls.is_same_site(U(), base).alias("same_site"))
 
 
 @query("P2_site_key", f"SELECT page_id, {site('url')} AS site FROM pages")
@@ -468,3 +468,13 @@ def x10(spark, sf):
 def x11(spark, sf):
     t = pages(spark, sf).select("page_id", page_tree.main_content(F.col("html"), "research").alias("t"))
     return t.select("page_id", F.md5("t").alias("text_md5"), F.length("t").alias("n_chars"))
+
+
+@query("X3_X8_page_facts_udtf", f"""WITH {crawl_cte()}, {FORM_VALUES}, {BANNER_VALUES}
+SELECT page_ord, 'form' AS kind, form_ord AS ord FROM crawl JOIN form_facts USING (f) WHERE {IS_HTML_SQL}
+UNION ALL SELECT page_ord, 'banner', 0 FROM crawl JOIN banner_facts USING (b) WHERE {IS_HTML_SQL}
+UNION ALL SELECT page_ord, 'banner_link', 0 FROM crawl JOIN banner_facts USING (b) WHERE {IS_HTML_SQL} AND privacy_href IS NOT NULL""")
+def x3_udtf(spark, sf):
+    udtf.register(spark)
+    pages_ = crawl_source.html_pages(ct.crawl_table(spark, sf)).filter(page_tree.needs_tree(F.col("html")))
+    return spark.sql("SELECT p.page_ord, f.kind, f.ord FROM {p} p, LATERAL extract_page_facts(p.html, p.url) f", p=pages_)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from auditspan.functions import replies
 from auditspan.functions import text as tx
+from auditspan.sources.crawl import spread
 from workload.audit_queries import cyrillic
 from workload.crawl_table import lit
 from workload.registry import query, table
@@ -23,7 +24,7 @@ MIXED = ("CASE doc_id % 5 WHEN 0 THEN text WHEN 1 THEN repeat('Политика
 
 
 def docs(spark, sf):
-    return table(spark, sf, "documents")
+    return spread(table(spark, sf, "documents"))
 
 
 @query("P10_cyrillic_share", f"SELECT doc_id, {cyrillic('t')} AS is_russian FROM (SELECT doc_id, {MIXED.replace('n_chars / 10', 'n_chars // 10')} AS t FROM documents)")
