@@ -28,6 +28,15 @@ _ENTITIES = (
 _WS = r"[\s\u0085   -     　\u001c-\u001f]"
 
 
+def fill(template: str, *values: Column | str) -> Column:
+    """``{}`` placeholders of a fixed text filled with columns (or column names)."""
+    parts = template.split("{}")
+    out = [F.lit(parts[0])]
+    for value, rest in zip(values, parts[1:], strict=True):
+        out += [(F.col(value) if isinstance(value, str) else value).cast("string"), F.lit(rest)]
+    return F.concat(*out)
+
+
 def any_of(text: Column, words: Iterable[str]) -> Column:
     """True when any of the words is a substring of ``text``."""
     found = F.lit(False)

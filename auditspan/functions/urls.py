@@ -149,7 +149,10 @@ def _without_dot_segments(path: Column) -> Column:
     closed = F.when(
         F.element_at(segments, -1).isin(".", ".."), F.concat(folded, F.array(F.lit("")))
     ).otherwise(folded)
-    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), F.array_join(closed, "/")).otherwise(path)
+    resolved = F.array_join(closed, "/")
+    return F.when(
+        path.rlike(r"(^|/)\.\.?(/|$)"), F.when(resolved == "", F.lit("/")).otherwise(resolved)
+    ).otherwise(path)
 
 
 def resolve_url(

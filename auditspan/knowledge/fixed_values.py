@@ -548,3 +548,142 @@ NOTE_POLICY_UNREADABLE = (
     "Политика ПДн найдена в формате PDF, но текст не удалось извлечь "
     "(возможно, сканированный документ или защищённый PDF). "
     "Содержимое политики требует ручной проверки.")
+
+# ---------------------------------------------------------------------------
+# Texts of checks and violations; {} stands for a value
+# ---------------------------------------------------------------------------
+CHECK_TEXTS = {
+    "FORM_001": {
+        "skipped": "На сайте не обнаружены формы, собирающие персональные данные",
+        "details": "Форм с ПДн: {}, без согласия: {}",
+        "title": "Форма без согласия на обработку ПДн",
+        "description": "На странице {} обнаружена форма, собирающая персональные данные ({}), но без чекбокса согласия."},
+    "FORM_002": {
+        "details": "Форм с предотмеченным чекбоксом согласия: {}",
+        "title": "Чекбокс согласия предотмечен по умолчанию",
+        "description": "На странице {} чекбокс согласия установлен заранее: пользователь не выразил "
+                       "активного согласия на обработку ПДн."},
+    "FORM_003": {
+        "details": "Форм без ссылки на Политику: {}",
+        "title": "Нет ссылки на Политику обработки ПДн рядом с формой",
+        "description": "{} форм(ы) не содержат ссылку на Политику."},
+    "FORM_006": {"details": "Требуется ручная проверка наличия отдельного согласия для маркетинга"},
+    "FORM_007": {"details": "Форм с >5 полями ПДн: {}"},
+    "CONSENT_001": {
+        "ok": "Все формы содержат механизм согласия", "details": "Формы без согласия: {}",
+        "title": "Формы без механизма получения согласия",
+        "description": "Обнаружено {} форм сбора ПДн без чекбокса или текста согласия"},
+    "CONSENT_002": {
+        "ok": "Согласие не обнаружено в тексте оферты", "details": "Согласие на ПДн включено в текст оферты",
+        "title": "Согласие вшито в оферту",
+        "description": "Согласие на обработку ПДн включено в текст публичной оферты. "
+                       "С 01.09.2025 согласие должно быть отдельным документом"},
+    "CONSENT_003": {
+        "ok": "Все обязательные реквизиты присутствуют", "details": "Отсутствуют реквизиты: {}",
+        "title": "Неполные реквизиты согласия",
+        "description": "В тексте согласия отсутствуют обязательные элементы: {}"},
+    "CONSENT_004": {
+        "ok": "Информация об отзыве согласия найдена",
+        "details": "Не найдена информация о порядке отзыва согласия",
+        "title": "Нет инструкции по отзыву согласия",
+        "description": "На сайте не найдена информация о порядке отзыва согласия на обработку ПДн"},
+    "CONSENT_005": {
+        "ok": "Раздельные согласия или маркетинговые цели не обнаружены",
+        "details": "Маркетинговое согласие не отделено от основного",
+        "title": "Смешанное согласие на обработку и маркетинг",
+        "description": "Согласие на обработку ПДн и на маркетинговые рассылки объединены в одном "
+                       "чекбоксе. С 01.09.2025 требуются раздельные согласия"},
+    "COOKIE_001": {
+        "ok": "Cookie-баннер обнаружен", "details": "Cookie-баннер не обнаружен",
+        "title": "Отсутствует cookie-баннер",
+        "description": "На сайте не обнаружен механизм получения согласия на использование cookie."},
+    "COOKIE_002": {
+        "ok": "Кнопка 'Отклонить' есть", "details": "Кнопка 'Отклонить' нет",
+        "title": "Cookie-баннер без возможности отказа",
+        "description": "Cookie-баннер обнаружен, но не содержит равноценной кнопки отклонения. "
+                       "Пользователь лишён возможности отказаться от необязательных cookie."},
+    "COOKIE_003": {"ok": "Выбор категорий cookie: есть", "details": "Выбор категорий cookie: нет"},
+    "COOKIE_005": {
+        "details": "Аналитика загружается до получения согласия",
+        "title": "Аналитика загружается до согласия на cookie",
+        "description": "Скрипты аналитики загружаются до получения согласия пользователя."},
+    "POLICY_001": {
+        "ok": "Политика обработки ПДн найдена", "details": "Политика обработки ПДн не найдена",
+        "title": "Политика обработки ПДн не опубликована",
+        "description": "На сайте не обнаружена Политика обработки персональных данных."},
+    "POLICY_002": {
+        "details": "Страниц без ссылки на Политику в футере: {}/{}",
+        "title": "Ссылка на Политику отсутствует в футере",
+        "description": "{} из {} страниц не имеют ссылки на Политику в футере."},
+    "POLICY_017": {"ok": "Политика на отдельной странице: да", "details": "Политика на отдельной странице: нет"},
+    "TECH_001": {
+        "ok": "HTTPS активен", "details": "HTTPS не настроен", "title": "Сайт не использует HTTPS",
+        "description": "Сайт не защищён SSL-сертификатом."},
+    "TRACKER_001": {
+        "unreadable": "Не применимо: текст политики ПДн недоступен для анализа",
+        "details": "Не упомянуты в политике: {}",
+        "ok": "Все обнаруженные трекеры упомянуты в политике ПДн", "none": "Трекеры из реестра не обнаружены",
+        "title": "Трекеры не упомянуты в политике обработки ПДн",
+        "description": "На сайте подключены сервисы, обрабатывающие данные пользователей, но они не "
+                       "упоминаются в политике обработки ПДн: {}. Субъект ПДн не был проинформирован "
+                       "об этих обработчиках.",
+        "advice": "Добавить в политику ПДн раздел о третьих лицах, которым передаются данные, "
+                  "с указанием каждого сервиса: {}."},
+    "TRACKER_002": {
+        "details": "Иностранные трекеры без раскрытия трансграничной передачи: {}",
+        "ok": "Трансграничная передача данных раскрыта в политике",
+        "none": "Иностранные трекеры из реестра не обнаружены",
+        "title": "Иностранные трекеры без раскрытия трансграничной передачи данных",
+        "description": "На сайте подключены иностранные сервисы ({}), передающие данные пользователей "
+                       "за рубеж, однако политика обработки ПДн не содержит информации о "
+                       "трансграничной передаче данных.",
+        "advice": "Добавить в политику ПДн раздел о трансграничной передаче данных с указанием "
+                  "стран назначения и правовых оснований передачи для следующих сервисов: {}."},
+    "REG_001": {"details": "Требуется ручная проверка: оператор зарегистрирован в реестре РКН"},
+    "REG_002": {"details": "Требуется ручная проверка: уведомление об обработке ПДн подано в РКН"},
+    "REG_003": {"details": "Требуется ручная проверка: хостинг на территории РФ"},
+}
+FORMS_SKIPPED = "Не применимо: формы, собирающие ПДн, не обнаружены"
+CONSENT_SKIPPED = "Формы сбора ПДн не обнаружены"
+COOKIES_SKIPPED = "Не применимо: cookie-баннер не обнаружен"
+POLICY_SKIPPED = "Не применимо: политика обработки ПДн не найдена на сайте"
+POLICY_UNREADABLE = (
+    "Требуется ручная проверка: текст политики недоступен для "
+    "автоматического анализа (PDF-документ не удалось прочитать)")
+POLICY_FLAG_TITLE = "В Политике отсутствует: {}"
+POLICY_FLAG_DESCRIPTION = "Политика обработки ПДн не содержит обязательного раздела: {}."
+SERVICE_FOUND, SERVICE_ABSENT = "{}: обнаружен", "{}: не обнаружен"
+SERVICE_TITLE = "Использование запрещённого сервиса: {}"
+SERVICE_DESCRIPTION = "На сайте обнаружено подключение {}, что запрещено с 01.07.2025."
+SERVICE_ADVICE = "Заменить {} на {}."
+FINE_RANGE = "{} – {} руб."
+FALLBACK_SUMMARY = (
+    "Обнаружено нарушений: {} (критических: {}, высокой серьёзности: {}). Требуется детальная проверка.")
+SUMMARY_WORDS = {
+    "banner": ("обнаружен", "не обнаружен"), "policy": ("найдена", "не найдена"), "https": ("да", "нет"),
+    "no_violations": "Нарушений не обнаружено"}
+
+# Digest, alert, legal-context and search-result formats
+DIGEST_DIVIDER = "─" * 24
+DIGEST_HEADER = "📋 *Дайджест изменений — {}*\n\nИтоговый уровень угрозы: {}\n\n"
+DIGEST_LEGAL_SECTION = "🏛 *НПА — нормативные изменения*"
+DIGEST_COMPETITOR_SECTION = "🏢 *Конкуренты*"
+DIGEST_EMPTY_SECTION = "_нет изменений за период_"
+DIGEST_CRITICAL_BADGE = "⚠️ *КРИТИЧНО*  •  {}"
+DIGEST_META = "_Тип: {}  •  Угроза: {}_"
+DIGEST_NO_SUMMARY = "_описание не сформировано_"
+DIGEST_LINK = "🔗 {}"
+THREAT_UNKNOWN, THREAT_OTHER, THREAT_OF_FIVE = "❓ не определён", "❓ {}", "{} ({}/5)"
+ALERT_HEADER = "⚠️ *НПА — критическое изменение*"
+ALERT_SOURCE, ALERT_THREAT, ALERT_URL = "*Источник:* {}", "*Уровень угрозы:* {}", "*URL:* {}"
+ALERT_CHANGE, ALERT_NO_SUMMARY = "*Изменение:*", "нет описания"
+ALERT_ACTION = "\n*Требуемые действия:*\n{}"
+CONTEXT_UPDATE = "### {}\nВступило в силу: {}\nИсточник: {}\nСтатьи: {}\nСуть: {}"
+CONTEXT_REQUIREMENTS = "Требования:"
+UPDATE_BLOCK = "Изменение: {}\nИсточник: {}\nДата вступления в силу: {}\nЗатронутые статьи: {}\nОписание: {}"
+UPDATE_REQUIREMENTS = "Новые требования:"
+HIT_HEADER = "--- Результат {} ---\n"
+HIT_BLOCK = "Источник: {}\nЗаголовок: {}\nСодержание: {}\n"
+DIFF_LABELS = ("Текущая версия", "Обновлённая версия")
+MISSING_TEMPLATE = "Шаблон {} не найден. Сгенерируй документ с нуля, основываясь на требованиях 152-ФЗ."
+EMPTY_DOCUMENT = "Document has no content"

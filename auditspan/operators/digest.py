@@ -4,10 +4,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditspan.functions import text as tx
 from auditspan.knowledge import fixed_values as fixed
 
-_DIVIDER = "─" * 24
-
 
 def pending_changes(changes: DataFrame, digested: DataFrame, limit: int = 100) -> DataFrame:
     """Changes not yet part of a digest: highest score, then newest, top ``limit``.
@@ -42,22 +41,21 @@ def _label(value: Column, pairs, otherwise: Column) -> Column:
 
 
 def threat_label(score: Column) -> Column:
-    full = [(k, f"{v} ({k}/5)") for k, v in fixed.THREAT_LABELS]
-    unknown = F.concat(F.lit("❓ "), score.cast("string"), F.lit("/5"))
-    return F.when(score.isNull(), F.lit("❓ не определён")).otherwise(_label(score, full, unknown))
+    full = [(k, fixed.THREAT_OF_FIVE.format(v, k)) for k, v in fixed.THREAT_LABELS]
+    other = tx.fill(fixed.THREAT_OTHER + "/5", score)
+    return F.when(score.isNull(), F.lit(fixed.THREAT_UNKNOWN)).otherwise(_label(score, full, other))
 
 
 def change_block(critical: Column | None = None) -> Column:
     """Markdown block of one change."""
-    source = F.concat(F.lit("`"), F.col("source_id"), F.lit("`"))
+    source = tx.fill("`{}`", "source_id")
     header = source if critical is None else F.when(
-        critical, F.concat(F.lit("⚠️ *КРИТИЧНО*  •  "), source)).otherwise(source)
+        critical, tx.fill(fixed.DIGEST_CRITICAL_BADGE, source)).otherwise(source)
     kind = F.coalesce("change_type", F.lit("?"))
-    meta = F.concat(F.lit("_Тип: "), _label(kind, fixed.CHANGE_TYPE_LABELS, kind),
-                    F.lit("  •  Угроза: "), threat_label(F.col("threat_score")), F.lit("_"))
+    meta = tx.fill(fixed.DIGEST_META, _label(kind, fixed.CHANGE_TYPE_LABELS, kind), threat_label(F.col("threat_score")))
     summary = F.when(F.coalesce("diff_summary", F.lit("")) != "", F.col("diff_summary")).otherwise(
-        F.lit("_описание не сформировано_"))
-    link = F.when(F.coalesce("url", F.lit("")) != "", F.concat(F.lit("🔗 "), F.col("url")))
+        F.lit(fixed.DIGEST_NO_SUMMARY))
+    link = F.when(F.coalesce("url", F.lit("")) != "", tx.fill(fixed.DIGEST_LINK, "url"))
     return F.concat_ws("\n", header, meta, summary, link)
 
 
@@ -87,15 +85,16 @@ def digest_text(pending: DataFrame, day: Column, *by: str) -> DataFrame:
     def section(name: str) -> Column:
         rows = F.array_sort(F.collect_list(F.when(F.col("section") == name, entry)))
         blocks = F.array_join(F.transform(rows, lambda r: r.getField("block")), "")
-        return F.when(F.size(rows) > 0, blocks).otherwise(F.lit("_нет изменений за период_\n"))
+        return F.when(F.size(rows) > 0, blocks).otherwise(F.lit(fixed.DIGEST_EMPTY_SECTION + "\n"))
 
     gathered = digest_order(pending).groupBy(*by).agg(
         F.count("*").alias("changes"), F.max("threat_score").alias("max_score"),
         section("npa").alias("npa"), section("competitor").alias("competitors"))
+    rule = fixed.DIGEST_DIVIDER
     text = F.concat(
-        F.lit("📋 *Дайджест изменений — "), day, F.lit("*\n\nИтоговый уровень угрозы: "),
-        threat_label(F.col("max_score")), F.lit(f"\n\n{_DIVIDER}\n\n🏛 *НПА — нормативные изменения*\n\n"),
-        F.col("npa"), F.lit(f"\n{_DIVIDER}\n\n🏢 *Конкуренты*\n\n"), F.col("competitors"))
+        tx.fill(fixed.DIGEST_HEADER, day, threat_label(F.col("max_score"))),
+        F.lit(f"{rule}\n\n{fixed.DIGEST_LEGAL_SECTION}\n\n"), F.col("npa"),
+        F.lit(f"\n{rule}\n\n{fixed.DIGEST_COMPETITOR_SECTION}\n\n"), F.col("competitors"))
     return gathered.filter("changes > 0").withColumn("content_md", F.regexp_replace(text, r"\s+\z", ""))
 
 
@@ -108,12 +107,11 @@ def truncate_message(text: Column, limit: int = fixed.MESSAGE_LIMIT) -> Column:
 def alert_text() -> Column:
     """Message for one critical change; cut to the messenger's limit."""
     score = F.coalesce("threat_score", F.lit(0))
-    label = _label(score, fixed.THREAT_LABELS, F.concat(F.lit("❓ "), score.cast("string")))
+    label = _label(score, fixed.THREAT_LABELS, tx.fill(fixed.THREAT_OTHER, score))
     act = F.coalesce("action_required", F.lit(False)) & (F.coalesce("action", F.lit("")) != "")
     return truncate_message(F.concat_ws(
-        "\n", F.lit("⚠️ *НПА — критическое изменение*"), F.lit(""),
-        F.concat(F.lit("*Источник:* "), F.coalesce("source_name", "source_id", F.lit("?"))),
-        F.concat(F.lit("*Уровень угрозы:* "), label),
-        F.concat(F.lit("*URL:* "), F.coalesce("url", F.lit(""))), F.lit(""), F.lit("*Изменение:*"),
-        F.coalesce("diff_summary", F.lit("нет описания")),
-        F.when(act, F.concat(F.lit("\n*Требуемые действия:*\n"), F.col("action")))))
+        "\n", F.lit(fixed.ALERT_HEADER), F.lit(""),
+        tx.fill(fixed.ALERT_SOURCE, F.coalesce("source_name", "source_id", F.lit("?"))),
+        tx.fill(fixed.ALERT_THREAT, label), tx.fill(fixed.ALERT_URL, F.coalesce("url", F.lit(""))), F.lit(""),
+        F.lit(fixed.ALERT_CHANGE), F.coalesce("diff_summary", F.lit(fixed.ALERT_NO_SUMMARY)),
+        F.when(act, tx.fill(fixed.ALERT_ACTION, "action"))))

@@ -117,7 +117,7 @@ def rewrite_results(affected: DataFrame, contents: DataFrame, mode: str = "confi
     done = ~empty & ~failed
     return joined.withColumn("status", status).select(
         *keys, "update_title", F.coalesce("title", "doc_type").alias("doc_title"), "status",
-        F.when(empty, F.lit("Document has no content")).alias("reason"),
+        F.when(empty, F.lit(fixed.EMPTY_DOCUMENT)).alias("reason"),
         F.when(~empty & failed, F.coalesce("error", F.lit("no new content"))).alias("error"),
         F.when(done, F.col("version")).alias("old_version"),
         F.when(done, F.col("version") + 1).alias("new_version"),

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditspan.functions import replies
+from auditspan.functions import text as tx
 from auditspan.knowledge import fixed_values as fixed
 
 
@@ -52,10 +53,9 @@ def _requirement_lines(title: str) -> Column:
 
 def context_block() -> Column:
     """Lines of one update inside a document's legal context."""
-    return F.concat(
-        F.lit("### "), F.col("title"), F.lit("\nВступило в силу: "), F.col("effective_date").cast("string"),
-        F.lit("\nИсточник: "), F.col("source"), F.lit("\nСтатьи: "), F.array_join("articles", ", "),
-        F.lit("\nСуть: "), F.coalesce("summary", F.lit("")), _requirement_lines("Требования:"), F.lit("\n"))
+    return F.concat(tx.fill(
+        fixed.CONTEXT_UPDATE, "title", "effective_date", "source", F.array_join("articles", ", "),
+        F.coalesce("summary", F.lit(""))), _requirement_lines(fixed.CONTEXT_REQUIREMENTS), F.lit("\n"))
 
 
 def legal_context(updates: DataFrame) -> DataFrame:
@@ -81,11 +81,9 @@ def combined_context(stored: Column, web: Column) -> Column:
 
 def update_text() -> Column:
     """One update as a text block for a document rewrite."""
-    return F.concat(
-        F.lit("Изменение: "), F.col("title"), F.lit("\nИсточник: "), F.col("source"),
-        F.lit("\nДата вступления в силу: "), F.col("effective_date").cast("string"),
-        F.lit("\nЗатронутые статьи: "), F.array_join("articles", ", "),
-        F.lit("\nОписание: "), F.coalesce("summary", F.lit("")), _requirement_lines("Новые требования:"))
+    return F.concat(tx.fill(
+        fixed.UPDATE_BLOCK, "title", "source", "effective_date", F.array_join("articles", ", "),
+        F.coalesce("summary", F.lit(""))), _requirement_lines(fixed.UPDATE_REQUIREMENTS))
 
 
 def merge_hits(document_hits: DataFrame, general_hits: DataFrame, *by: str) -> DataFrame:
@@ -109,12 +107,9 @@ def top_hits(hits: DataFrame, limits: dict[int, int], *by: str) -> DataFrame:
 
 def numbered_hits(hits: DataFrame, *by: str) -> DataFrame:
     """Top hits as one numbered text per group (``hits`` come from :func:`top_hits`)."""
-    block = F.concat(
-        F.lit("Источник: "), F.coalesce("url", F.lit("N/A")), F.lit("\nЗаголовок: "), F.coalesce("title", F.lit("N/A")),
-        F.lit("\nСодержание: "), F.coalesce("content", F.lit("N/A")), F.lit("\n"))
+    block = tx.fill(fixed.HIT_BLOCK, *[F.coalesce(c, F.lit("N/A")) for c in ("url", "title", "content")])
     rows = F.array_sort(F.collect_list(F.struct("list_ord", "rank", "url", block.alias("block"))))
-    lines = F.transform(rows, lambda r, i: F.concat(
-        F.lit("--- Результат "), (i + 1).cast("string"), F.lit(" ---\n"), r.getField("block")))
+    lines = F.transform(rows, lambda r, i: F.concat(tx.fill(fixed.HIT_HEADER, i + 1), r.getField("block")))
     return hits.groupBy(*by).agg(F.array_join(lines, "\n").alias("results_text"))
 
 

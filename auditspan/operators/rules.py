@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditspan.functions import registries
+from auditspan.functions import text as tx
 from auditspan.knowledge import fixed_values as fixed
 
 PASS, FAIL, WARNING = "pass", "fail", "warning"
@@ -31,15 +32,6 @@ class Check:
     per_form: bool = False
 
 
-def _text(template: str, *values: Column | str) -> Column:
-    """``{}`` placeholders filled with columns; codegen-friendly concat."""
-    parts = template.split("{}")
-    out = [F.lit(parts[0])]
-    for value, rest in zip(values, parts[1:], strict=True):
-        out += [F.col(value) if isinstance(value, str) else value, F.lit(rest)]
-    return F.concat(*[p.cast("string") for p in out])
-
-
 def _pass_if(test: Column, otherwise: str = FAIL) -> Column:
     return F.when(test, F.lit(PASS)).otherwise(F.lit(otherwise))
 
@@ -48,28 +40,27 @@ def _yes(test: Column, yes: str, no: str) -> Column:
     return F.when(test, F.lit(yes)).otherwise(F.lit(no))
 
 
+_T = fixed.CHECK_TEXTS
+
+
 def _form_checks() -> list[Check]:
     has_forms = F.col("forms_pd") > 0
-    not_found = "Не применимо: формы, собирающие ПДн, не обнаружены"
 
-    def form(cid, status, details, missing=not_found, **violation):
-        return Check(cid, "forms", F.when(has_forms, status).otherwise(F.lit(NA)),
-                     F.when(has_forms, details).otherwise(F.lit(missing)), **violation)
+    def form(cid, status, *counts, violation=False, **more):
+        texts = _T[cid]
+        if violation:
+            more |= {"title": F.lit(texts["title"]), "description": tx.fill(texts["description"], *counts)}
+        return Check(
+            cid, "forms", F.when(has_forms, status).otherwise(F.lit(NA)),
+            F.when(has_forms, tx.fill(texts["details"], *counts)).otherwise(
+                F.lit(texts.get("skipped", fixed.FORMS_SKIPPED))), **more)
 
     return [
-        form("FORM_001", _pass_if(F.col("forms_no_box") == 0),
-             _text("Форм с ПДн: {}, без согласия: {}", "forms_pd", "forms_no_box"),
-             missing="На сайте не обнаружены формы, собирающие персональные данные", per_form=True),
-        form("FORM_002", _pass_if(F.col("forms_prechecked") == 0),
-             _text("Форм с предотмеченным чекбоксом согласия: {}", "forms_prechecked"), per_form=True),
-        form("FORM_003", _pass_if(F.col("forms_no_link") == 0),
-             _text("Форм без ссылки на Политику: {}", "forms_no_link"),
-             title=F.lit("Нет ссылки на Политику обработки ПДн рядом с формой"),
-             description=_text("{} форм(ы) не содержат ссылку на Политику.", "forms_no_link")),
-        form("FORM_006", F.lit(WARNING),
-             F.lit("Требуется ручная проверка наличия отдельного согласия для маркетинга")),
-        form("FORM_007", _pass_if(F.col("forms_excessive") == 0, WARNING),
-             _text("Форм с >5 полями ПДн: {}", "forms_excessive")),
+        form("FORM_001", _pass_if(F.col("forms_no_box") == 0), "forms_pd", "forms_no_box", per_form=True),
+        form("FORM_002", _pass_if(F.col("forms_prechecked") == 0), "forms_prechecked", per_form=True),
+        form("FORM_003", _pass_if(F.col("forms_no_link") == 0), "forms_no_link", violation=True),
+        form("FORM_006", F.lit(WARNING)),
+        form("FORM_007", _pass_if(F.col("forms_excessive") == 0, WARNING), "forms_excessive"),
     ]
 
 
@@ -88,39 +79,25 @@ def _consent_checks() -> list[Check]:
     def policy(flag):
         return F.coalesce(F.col(f"policy.{flag}"), F.lit(False))
 
-    def check(cid, ok, details_ok, details_fail, title, description):
+    def check(cid, ok, *shown):
+        texts = _T[cid]
+
+        def text(kind):
+            return tx.fill(texts[kind], *(shown if "{}" in texts[kind] else ()))
+
         return Check(
             cid, "consent", F.when(~has_forms, F.lit(NA)).otherwise(_pass_if(ok)),
-            F.when(~has_forms, F.lit("Формы сбора ПДн не обнаружены"))
-            .when(ok, F.lit(details_ok)).otherwise(details_fail),
-            F.lit(title), description, F.col("site_url"))
+            F.when(~has_forms, F.lit(fixed.CONSENT_SKIPPED)).when(ok, F.lit(texts["ok"])).otherwise(text("details")),
+            F.lit(texts["title"]), text("description"), F.col("site_url"))
 
     missing = missing_elements()
     withdrawal = policy("has_withdrawal") | policy("has_withdrawal_stem") | F.col("form_withdrawal")
     return [
-        check("CONSENT_001", F.col("forms_no_mechanism") == 0,
-              "Все формы содержат механизм согласия",
-              _text("Формы без согласия: {}", "forms_no_mechanism"),
-              "Формы без механизма получения согласия",
-              _text("Обнаружено {} форм сбора ПДн без чекбокса или текста согласия", "forms_no_mechanism")),
-        check("CONSENT_002", ~(policy("has_offer") & policy("has_consent_wording")),
-              "Согласие не обнаружено в тексте оферты",
-              F.lit("Согласие на ПДн включено в текст оферты"), "Согласие вшито в оферту",
-              F.lit("Согласие на обработку ПДн включено в текст публичной оферты. "
-                    "С 01.09.2025 согласие должно быть отдельным документом")),
-        check("CONSENT_003", missing == "", "Все обязательные реквизиты присутствуют",
-              F.concat(F.lit("Отсутствуют реквизиты: "), missing), "Неполные реквизиты согласия",
-              F.concat(F.lit("В тексте согласия отсутствуют обязательные элементы: "), missing)),
-        check("CONSENT_004", withdrawal, "Информация об отзыве согласия найдена",
-              F.lit("Не найдена информация о порядке отзыва согласия"),
-              "Нет инструкции по отзыву согласия",
-              F.lit("На сайте не найдена информация о порядке отзыва согласия на обработку ПДн")),
-        check("CONSENT_005", ~F.col("mixed_consent"),
-              "Раздельные согласия или маркетинговые цели не обнаружены",
-              F.lit("Маркетинговое согласие не отделено от основного"),
-              "Смешанное согласие на обработку и маркетинг",
-              F.lit("Согласие на обработку ПДн и на маркетинговые рассылки объединены в одном "
-                    "чекбоксе. С 01.09.2025 требуются раздельные согласия")),
+        check("CONSENT_001", F.col("forms_no_mechanism") == 0, "forms_no_mechanism"),
+        check("CONSENT_002", ~(policy("has_offer") & policy("has_consent_wording"))),
+        check("CONSENT_003", missing == "", missing),
+        check("CONSENT_004", withdrawal),
+        check("CONSENT_005", ~F.col("mixed_consent")),
     ]
 
 
@@ -130,53 +107,40 @@ def _cookie_checks() -> list[Check]:
     def flag(name):
         return F.coalesce(F.col(f"banner.{name}"), F.lit(False))
 
-    def check(cid, status, details, title=None, description=None):
-        return Check(
-            cid, "cookies", F.when(found, status).otherwise(F.lit(NA)),
-            F.when(found, details).otherwise(F.lit("Не применимо: cookie-баннер не обнаружен")),
-            None if title is None else F.lit(title),
-            None if description is None else F.lit(description), F.col("site_url"))
+    def check(cid, ok, negative=FAIL, always=False):
+        texts = _T[cid]
+        fine = F.lit(texts["ok"]) if "ok" in texts else F.lit(None).cast("string")
+        details = F.when(ok, fine).otherwise(F.lit(texts["details"]))
+        status = _pass_if(ok, negative)
+        if not always:
+            status = F.when(found, status).otherwise(F.lit(NA))
+            details = F.when(found, details).otherwise(F.lit(fixed.COOKIES_SKIPPED))
+        title, description = texts.get("title"), texts.get("description")
+        return Check(cid, "cookies", status, details, None if title is None else F.lit(title),
+                     None if description is None else F.lit(description), F.col("site_url"))
 
     return [
-        Check("COOKIE_001", "cookies", _pass_if(found),
-              _yes(found, "Cookie-баннер обнаружен", "Cookie-баннер не обнаружен"),
-              F.lit("Отсутствует cookie-баннер"),
-              F.lit("На сайте не обнаружен механизм получения согласия на использование cookie."),
-              F.col("site_url")),
-        check("COOKIE_002", _pass_if(flag("has_decline")),
-              _yes(flag("has_decline"), "Кнопка 'Отклонить' есть", "Кнопка 'Отклонить' нет"),
-              "Cookie-баннер без возможности отказа",
-              "Cookie-баннер обнаружен, но не содержит равноценной кнопки отклонения. "
-              "Пользователь лишён возможности отказаться от необязательных cookie."),
-        check("COOKIE_003", _pass_if(flag("has_settings"), WARNING),
-              _yes(flag("has_settings"), "Выбор категорий cookie: есть", "Выбор категорий cookie: нет")),
-        check("COOKIE_005", _pass_if(~flag("analytics_before_consent")),
-              F.when(flag("analytics_before_consent"), F.lit("Аналитика загружается до получения согласия")),
-              "Аналитика загружается до согласия на cookie",
-              "Скрипты аналитики загружаются до получения согласия пользователя."),
+        check("COOKIE_001", found, always=True),
+        check("COOKIE_002", flag("has_decline")),
+        check("COOKIE_003", flag("has_settings"), WARNING),
+        check("COOKIE_005", ~flag("analytics_before_consent")),
     ]
 
 
 def _policy_checks() -> list[Check]:
     found, has_text = F.col("policy_found"), F.col("policy_has_text")
-    skipped = "Не применимо: политика обработки ПДн не найдена на сайте"
-    unreadable = ("Требуется ручная проверка: текст политики недоступен для "
-                  "автоматического анализа (PDF-документ не удалось прочитать)")
 
     def check(cid, status, details, **violation):
         return Check(cid, "privacy_policy", F.when(found, status).otherwise(F.lit(NA)),
-                     F.when(found, details).otherwise(F.lit(skipped)), **violation)
+                     F.when(found, details).otherwise(F.lit(fixed.POLICY_SKIPPED)), **violation)
 
+    first, footer, page = _T["POLICY_001"], _T["POLICY_002"], _T["POLICY_017"]
+    counts = ("pages_without_link", "pages_scanned")
     checks = [
-        Check("POLICY_001", "privacy_policy", _pass_if(found),
-              _yes(found, "Политика обработки ПДн найдена", "Политика обработки ПДн не найдена"),
-              F.lit("Политика обработки ПДн не опубликована"),
-              F.lit("На сайте не обнаружена Политика обработки персональных данных."), F.col("site_url")),
-        check("POLICY_002", _pass_if(F.col("pages_without_link") == 0),
-              _text("Страниц без ссылки на Политику в футере: {}/{}", "pages_without_link", "pages_scanned"),
-              title=F.lit("Ссылка на Политику отсутствует в футере"),
-              description=_text("{} из {} страниц не имеют ссылки на Политику в футере.",
-                                "pages_without_link", "pages_scanned")),
+        Check("POLICY_001", "privacy_policy", _pass_if(found), _yes(found, first["ok"], first["details"]),
+              F.lit(first["title"]), F.lit(first["description"]), F.col("site_url")),
+        check("POLICY_002", _pass_if(F.col("pages_without_link") == 0), tx.fill(footer["details"], *counts),
+              title=F.lit(footer["title"]), description=tx.fill(footer["description"], *counts)),
     ]
     flags = {cid: name for cid, name, _, _ in fixed.POLICY_FLAGS_RU}
     for cid, title, message in fixed.POLICY_FLAG_TITLES:
@@ -184,28 +148,27 @@ def _policy_checks() -> list[Check]:
         negative = WARNING if cid == "POLICY_012" else FAIL
         checks.append(check(
             cid, F.when(has_text, _pass_if(value, negative)).otherwise(F.lit(REVIEW)),
-            F.when(has_text, F.lit(title)).otherwise(F.lit(unreadable)),
-            title=F.lit(message or f"В Политике отсутствует: {title}"),
-            description=F.lit(message or f"Политика обработки ПДн не содержит обязательного раздела: {title}."),
+            F.when(has_text, F.lit(title)).otherwise(F.lit(fixed.POLICY_UNREADABLE)),
+            title=F.lit(message or fixed.POLICY_FLAG_TITLE.format(title)),
+            description=F.lit(message or fixed.POLICY_FLAG_DESCRIPTION.format(title)),
             page_url=F.col("policy_url")))
-    checks.append(check(
-        "POLICY_017", _pass_if(F.col("policy_separate"), WARNING),
-        _yes(F.col("policy_separate"), "Политика на отдельной странице: да", "Политика на отдельной странице: нет")))
+    separate = F.col("policy_separate")
+    checks.append(check("POLICY_017", _pass_if(separate, WARNING), _yes(separate, page["ok"], page["details"])))
     return checks
 
 
 def _technical_checks() -> list[Check]:
-    ssl = F.col("has_ssl")
+    ssl, texts = F.col("has_ssl"), _T["TECH_001"]
     checks = [Check(
-        "TECH_001", "technical", _pass_if(ssl), _yes(ssl, "HTTPS активен", "HTTPS не настроен"),
-        F.lit("Сайт не использует HTTPS"), F.lit("Сайт не защищён SSL-сертификатом."), F.col("site_url"))]
+        "TECH_001", "technical", _pass_if(ssl), _yes(ssl, texts["ok"], texts["details"]),
+        F.lit(texts["title"]), F.lit(texts["description"]), F.col("site_url"))]
     for cid, service, replacement in fixed.SERVICE_CHECKS:
         used = F.col("prohibited_mask").bitwiseAND(F.lit(registries.service_bit(service))) != 0
         checks.append(Check(
-            cid, "technical", _pass_if(~used), _yes(used, f"{service}: обнаружен", f"{service}: не обнаружен"),
-            F.lit(f"Использование запрещённого сервиса: {service}"),
-            F.lit(f"На сайте обнаружено подключение {service}, что запрещено с 01.07.2025."),
-            recommendation=F.lit(f"Заменить {service} на {replacement}.")))
+            cid, "technical", _pass_if(~used),
+            _yes(used, fixed.SERVICE_FOUND.format(service), fixed.SERVICE_ABSENT.format(service)),
+            F.lit(fixed.SERVICE_TITLE.format(service)), F.lit(fixed.SERVICE_DESCRIPTION.format(service)),
+            recommendation=F.lit(fixed.SERVICE_ADVICE.format(service, replacement))))
     return checks
 
 
@@ -218,46 +181,27 @@ def _tracker_checks() -> list[Check]:
     transfer = F.coalesce(F.col("policy.discloses_transfer"), F.lit(False)) & has_text
     silent = F.when(transfer, F.lit(0)).otherwise(foreign)
     hidden_names, silent_names = registries.tracker_names(hidden), registries.tracker_names(silent)
-    skipped = "Не применимо: политика обработки ПДн не найдена на сайте"
+    one, two = _T["TRACKER_001"], _T["TRACKER_002"]
     return [
         Check("TRACKER_001", "trackers",
               F.when(~found | ~has_text, F.lit(NA)).otherwise(_pass_if(hidden == 0)),
-              F.when(~found, F.lit(skipped))
-              .when(~has_text, F.lit("Не применимо: текст политики ПДн недоступен для анализа"))
-              .when(hidden != 0, F.concat(F.lit("Не упомянуты в политике: "), hidden_names))
-              .when(used != 0, F.lit("Все обнаруженные трекеры упомянуты в политике ПДн"))
-              .otherwise(F.lit("Трекеры из реестра не обнаружены")),
-              F.lit("Трекеры не упомянуты в политике обработки ПДн"),
-              _text("На сайте подключены сервисы, обрабатывающие данные пользователей, но они не "
-                    "упоминаются в политике обработки ПДн: {}. Субъект ПДн не был проинформирован "
-                    "об этих обработчиках.", hidden_names),
-              F.col("policy_url"),
-              _text("Добавить в политику ПДн раздел о третьих лицах, которым передаются данные, "
-                    "с указанием каждого сервиса: {}.", hidden_names)),
+              F.when(~found, F.lit(fixed.POLICY_SKIPPED)).when(~has_text, F.lit(one["unreadable"]))
+              .when(hidden != 0, tx.fill(one["details"], hidden_names))
+              .when(used != 0, F.lit(one["ok"])).otherwise(F.lit(one["none"])),
+              F.lit(one["title"]), tx.fill(one["description"], hidden_names), F.col("policy_url"),
+              tx.fill(one["advice"], hidden_names)),
         Check("TRACKER_002", "trackers",
               F.when(~found, F.lit(NA)).otherwise(_pass_if(silent == 0)),
-              F.when(~found, F.lit(skipped))
-              .when(silent != 0, F.concat(
-                  F.lit("Иностранные трекеры без раскрытия трансграничной передачи: "), silent_names))
-              .when(transfer & (foreign != 0), F.lit("Трансграничная передача данных раскрыта в политике"))
-              .otherwise(F.lit("Иностранные трекеры из реестра не обнаружены")),
-              F.lit("Иностранные трекеры без раскрытия трансграничной передачи данных"),
-              _text("На сайте подключены иностранные сервисы ({}), передающие данные пользователей "
-                    "за рубеж, однако политика обработки ПДн не содержит информации о "
-                    "трансграничной передаче данных.", silent_names),
-              F.col("policy_url"),
-              _text("Добавить в политику ПДн раздел о трансграничной передаче данных с указанием "
-                    "стран назначения и правовых оснований передачи для следующих сервисов: {}.",
-                    silent_names)),
+              F.when(~found, F.lit(fixed.POLICY_SKIPPED)).when(silent != 0, tx.fill(two["details"], silent_names))
+              .when(transfer & (foreign != 0), F.lit(two["ok"])).otherwise(F.lit(two["none"])),
+              F.lit(two["title"]), tx.fill(two["description"], silent_names), F.col("policy_url"),
+              tx.fill(two["advice"], silent_names)),
     ]
 
 
 def _regulatory_checks() -> list[Check]:
-    topics = (("REG_001", "оператор зарегистрирован в реестре РКН"),
-              ("REG_002", "уведомление об обработке ПДн подано в РКН"),
-              ("REG_003", "хостинг на территории РФ"))
-    return [Check(cid, "regulatory", F.lit(MANUAL), F.lit(f"Требуется ручная проверка: {topic}"))
-            for cid, topic in topics]
+    return [Check(cid, "regulatory", F.lit(MANUAL), F.lit(_T[cid]["details"]))
+            for cid in ("REG_001", "REG_002", "REG_003")]
 
 
 def checks() -> list[Check]:
@@ -292,19 +236,15 @@ def form_violations(forms: DataFrame) -> DataFrame:
     no_box = ~F.col("has_consent_checkbox")
     prechecked = F.col("has_consent_checkbox") & F.col("consent_prechecked")
 
-    def row(order, cid, title, description):
+    def row(order, cid, *shown):
         return F.struct(
             F.lit(order).alias("check_ord"), F.lit(cid).alias("check_id"), F.lit("forms").alias("category"),
-            F.lit(title).alias("title"), description.alias("description"),
+            F.lit(_T[cid]["title"]).alias("title"), tx.fill(_T[cid]["description"], *shown).alias("description"),
             F.col("page_url").alias("page_url"), F.lit(None).cast("string").alias("recommendation"))
 
     rows = F.array(
-        F.when(no_box, row(0, "FORM_001", "Форма без согласия на обработку ПДн", _text(
-            "На странице {} обнаружена форма, собирающая персональные данные ({}), но без чекбокса согласия.",
-            "page_url", F.array_join("pd_categories", ", ")))),
-        F.when(prechecked, row(1, "FORM_002", "Чекбокс согласия предотмечен по умолчанию", _text(
-            "На странице {} чекбокс согласия установлен заранее: пользователь не выразил "
-            "активного согласия на обработку ПДн.", "page_url"))))
+        F.when(no_box, row(0, "FORM_001", "page_url", F.array_join("pd_categories", ", "))),
+        F.when(prechecked, row(1, "FORM_002", "page_url")))
     return forms.filter("collects_pd").select(
         "site", "page_ord", "form_ord", F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("v")
     ).select("site", "v.*", "page_ord", "form_ord")

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditspan.functions import text as tx
 from auditspan.knowledge import fixed_values as fixed
 
 
@@ -34,8 +35,7 @@ def enrich_violations(violations: DataFrame, checklist: DataFrame, fines: DataFr
         "recommendation": F.coalesce("recommendation", "advice", F.lit("")),
     }).withColumn("fine_range", F.when(
         F.col("severity").isin("critical", "high") & F.col("first_offense_min").isNotNull(),
-        F.concat(roubles(F.col("first_offense_min")), F.lit(" – "),
-                 roubles(F.col("first_offense_max")), F.lit(" руб.")))
+        tx.fill(fixed.FINE_RANGE, roubles(F.col("first_offense_min")), roubles(F.col("first_offense_max"))))
     ).drop("advice", "first_offense_min", "first_offense_max")
 
 
@@ -107,10 +107,7 @@ def fold_outcomes(priced: DataFrame, key: str, *carry: Column) -> DataFrame:
 
 
 def fallback_summary(total: Column, critical: Column, high: Column) -> Column:
-    return F.concat(
-        F.lit("Обнаружено нарушений: "), total.cast("string"), F.lit(" (критических: "),
-        critical.cast("string"), F.lit(", высокой серьёзности: "), high.cast("string"),
-        F.lit("). Требуется детальная проверка."))
+    return tx.fill(fixed.FALLBACK_SUMMARY, total, critical, high)
 
 
 def scan_limitations(crawler_notes: Column | None = None) -> Column:
@@ -144,12 +141,16 @@ def violation_lines(violations: DataFrame, limit: int = 15) -> DataFrame:
 
 def summary_inputs(sites: DataFrame, site_scripts: DataFrame, lines: DataFrame) -> DataFrame:
     """Facts a summary is written from, one row per site."""
+    def word(kind: str, test: str) -> Column:
+        yes, no = fixed.SUMMARY_WORDS[kind]
+        return F.when(F.col(test), F.lit(yes)).otherwise(F.lit(no))
+
     prohibited = site_scripts.groupBy("site").agg(F.count_if("is_prohibited").alias("prohibited_scripts"))
     return sites.join(prohibited, "site", "left").join(lines, "site", "left").select(
         "site", "site_url", "pages_scanned", F.col("forms_forms").alias("forms_count"),
         F.col("forms_no_box").alias("forms_without_consent"),
         F.coalesce("prohibited_scripts", F.lit(0)).alias("prohibited_scripts"),
-        F.when(F.col("banner_found"), F.lit("обнаружен")).otherwise(F.lit("не обнаружен")).alias("cookie_banner_status"),
-        F.when(F.col("policy_found"), F.lit("найдена")).otherwise(F.lit("не найдена")).alias("privacy_policy_status"),
-        F.when(F.col("has_ssl"), F.lit("да")).otherwise(F.lit("нет")).alias("https_status"),
-        F.coalesce("violations_summary", F.lit("Нарушений не обнаружено")).alias("violations_summary"))
+        word("banner", "banner_found").alias("cookie_banner_status"),
+        word("policy", "policy_found").alias("privacy_policy_status"),
+        word("https", "has_ssl").alias("https_status"),
+        F.coalesce("violations_summary", F.lit(fixed.SUMMARY_WORDS["no_violations"])).alias("violations_summary"))

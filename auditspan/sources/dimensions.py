@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditspan import schemas
+from auditspan.functions import text as tx
 from auditspan.knowledge import fixed_values as fixed
 from auditspan.localtable import local_table
 
@@ -139,9 +140,7 @@ def templates(spark: SparkSession, folder: str) -> DataFrame:
 
 def templates_for_types(types: DataFrame, files: DataFrame) -> DataFrame:
     """Template text of every document type, with the stated texts for gaps."""
-    missing = F.concat(
-        F.lit("Шаблон "), F.col("template_file"),
-        F.lit(" не найден. Сгенерируй документ с нуля, основываясь на требованиях 152-ФЗ."))
+    missing = tx.fill(fixed.MISSING_TEMPLATE, "template_file")
     return types.join(files, "template_file", "left").withColumn(
         "template", F.coalesce(
             "template", F.when(F.col("template_file").isNotNull(), missing),

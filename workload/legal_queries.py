@@ -479,7 +479,7 @@ def st5(spark, sf):
         F.col("ts").cast("timestamp").alias("detected_at"), (F.col("event_id") % 5 + 1).cast("int").alias("threat_score"),
         F.when(F.col("event_type") == "signup", "npa").otherwise("ui").alias("change_type"), F.lit(None).cast("boolean").alias("npa_critical"))
     return _run(spark, jobs.weekly_totals(changes), "st5").select(
-        F.col("week.start").alias("week_start"), "changes", "max_score", "legal_changes")
+        F.col("week.start").cast("timestamp_ntz").alias("week_start"), "changes", "max_score", "legal_changes")
 
 
 @query("ST6_late_snapshots", f"""WITH {SNAP_CTE}
