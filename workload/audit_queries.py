@@ -17,7 +17,7 @@ from workload.crawl_table import crawl_cte, lit, norm, path, site, values
 from workload.page_queries import (
     BANNERS_CTE, FOOTER_SQL, FORM_VALUES, IS_HTML_SQL, POLICY_PAGE_SQL, PRIORITY_SQL, SCRIPTS_CTE, TITLE_SQL,
     VISIBLE_SQL, facts, rx)
-from workload.registry import query, table
+from workload.registry import plan_once, query, table
 
 
 def contains_any(column: str, words) -> str:
@@ -62,6 +62,7 @@ best AS (
   QUALIFY row_number() OVER (PARTITION BY site ORDER BY coalesce(length(text), 0) DESC, priority DESC, page_ord) = 1)"""
 
 
+@plan_once
 def candidates(spark, sf):
     return page_ops.policy_candidates(ct.crawl_table(spark, sf))
 
@@ -256,6 +257,7 @@ CHECKS_CTE = BASE + ",\nchecks AS (SELECT site, c.i AS check_ord, c.id AS check_
     for i, (cid, sql) in enumerate(STATUS.items())) + "]) AS c FROM wide))"
 
 
+@plan_once
 def sites(spark, sf):
     return site_ops.site_facts(facts(spark, sf))
 
@@ -355,8 +357,9 @@ reports AS (SELECT *, CASE WHEN critical_violations >= 3 OR overall_score < 30 T
   FROM scored)"""
 
 
+@plan_once
 def reports(spark, sf):
-    return audit_plan.audit(ct.crawl_table(spark, sf)).reports
+    return audit_plan.reports(sites(spark, sf), dimensions.checklist(spark), dimensions.fines(spark))
 
 
 @query("A1_A2_score_and_counts", f"""WITH {REPORTS_CTE}

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from workload.registry import plan_once
+
 SCRIPTS = {
     0: "",
     1: '<script src="https://www.google-analytics.com/ga.js?p=#"></script><script src="/local.js"></script>',
@@ -142,6 +144,7 @@ def pages_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
 
+@plan_once
 def crawl_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = pages_table(spark, sf_dir)
     raw = spark.sql(CRAWL_SELECT, pages=pages)

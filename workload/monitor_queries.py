@@ -9,7 +9,7 @@ from auditspan.operators import digest, monitoring
 from auditspan.localtable import local_table
 from workload.audit_queries import contains_any
 from workload.crawl_table import lit, values
-from workload.registry import query, table
+from workload.registry import plan_once, query, table
 
 SNAP_SELECT = """
 SELECT event_id AS id, 'src' || CAST(user_id % 12 AS STRING) AS source_id, 'https://watched.example.org/' || CAST(user_id % 3 AS STRING) AS url,
@@ -47,6 +47,7 @@ def snapshots(spark, sf):
     return monitoring.snapshot_rows(fetches)
 
 
+@plan_once
 def history(spark, sf):
     return monitoring.snapshot_history(snapshots(spark, sf))
 

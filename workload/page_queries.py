@@ -13,7 +13,7 @@ from auditspan.sources import crawl as crawl_source
 from auditspan.sources import dimensions
 from workload import crawl_table as ct
 from workload.crawl_table import crawl_cte, host, lit, norm, path, site, values
-from workload.registry import query, table
+from workload.registry import plan_once, query, table
 
 
 
@@ -328,6 +328,7 @@ forms AS (
   FROM crawl JOIN form_facts USING (f) JOIN feet USING (page_ord) WHERE {IS_HTML_SQL})"""
 
 
+@plan_once
 def facts(spark, sf):
     return page_ops.page_facts(ct.crawl_table(spark, sf))
 

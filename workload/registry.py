@@ -19,5 +19,21 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def plan_once(fn):
+    """Reuse the logical plan ``fn`` builds for a session and folder.
+
+    Plans are immutable and lazy: this saves building large expressions again for
+    every query, no data is kept.
+    """
+    plans: dict = {}
+
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (id(spark), spark.sparkContext.applicationId, sf_dir)
+        if key not in plans:
+            plans[key] = fn(spark, sf_dir)
+        return plans[key]
+    return build
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
