@@ -27,13 +27,15 @@ def _candidates(body: Column) -> list[Column]:
 def with_json(replies: DataFrame, reply: str = "reply") -> DataFrame:
     """Adds ``json`` (text) and ``doc`` (variant): the JSON document of a reply.
 
-    Both are NULL when nothing in the reply parses.
+    Both are NULL when nothing in the reply parses.  The candidates are tried in
+    one array expression: nested conditionals would be copied into every filter
+    on a derived column and outgrow generated code.
     """
     bodies = replies.withColumn("_body", unfenced(F.col(reply)))
-    tries = [F.struct(F.try_parse_json(F.nullif(c, F.lit(""))).alias("doc"), c.alias("json"))
-             for c in _candidates(F.col("_body"))]
-    found = bodies.withColumn("_tries", F.array(*tries)).withColumn(
-        "_hit", F.get(F.filter("_tries", lambda t: t.getField("doc").isNotNull()), F.lit(0)))
+    texts = F.filter(F.array(*_candidates(F.col("_body"))), lambda t: t != "")
+    tries = F.transform(texts, lambda t: F.struct(F.try_parse_json(t).alias("doc"), t.alias("json")))
+    found = bodies.withColumn("_hit", F.get(F.filter(
+        tries, lambda t: t.getField("doc").isNotNull()), F.lit(0)))
     return found.select(*replies.columns, F.col("_hit.json").alias("json"), F.col("_hit.doc").alias("doc"))
 
 

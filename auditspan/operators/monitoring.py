@@ -119,9 +119,9 @@ def merge_analyses(changes: DataFrame, analyses: DataFrame) -> DataFrame:
 
     A failed analysis leaves the heuristic class and no score.
     """
-    parsed = replies.with_json(analyses).select(
-        "id", replies.analysis(F.col("doc")).alias("a"))
-    joined = changes.join(parsed, "id", "left")
+    # join first: only replies to queued changes are parsed
+    answered = replies.with_json(changes.join(analyses.select("id", "reply"), "id", "left"))
+    joined = answered.withColumn("a", replies.analysis(F.col("doc")))
     use = (F.col("route") == "analyse") & F.col("a").isNotNull()
     return joined.select(
         "id", *KEYS, F.when(use, F.col("a.summary")).alias("diff_summary"),
@@ -135,10 +135,10 @@ def legal_changes(diffed: DataFrame, sources: DataFrame, analyses: DataFrame) ->
     """Changes of legal sources: minor, analysed, or kept without a score."""
     known = sources.select("source_id", F.col("name").alias("source_name"), "keywords",
                            F.col("npa_critical").alias("source_critical"))
-    parsed = replies.with_json(analyses).select(
-        "id", replies.analysis(F.col("doc"), legal=True).alias("a"))
-    joined = diffed.join(known, "source_id", "left").withColumn(
-        "meaningful", diffs.is_legally_meaningful(F.col("diff"), F.col("keywords"))).join(parsed, "id", "left")
+    named = diffed.join(known, "source_id", "left").withColumn(
+        "meaningful", diffs.is_legally_meaningful(F.col("diff"), F.col("keywords")))
+    answered = replies.with_json(named.join(analyses.select("id", "reply"), "id", "left"))
+    joined = answered.withColumn("a", replies.analysis(F.col("doc"), legal=True))
     use = F.col("meaningful") & F.col("a").isNotNull()
     return joined.select(
         "id", *KEYS, F.coalesce("source_name", "source_id").alias("source_name"),

@@ -47,7 +47,7 @@ ORG_LISTS = {
 
 
 def organizations(spark, sf):
-    flat = table(spark, sf, "customer").select(
+    flat = crawl_source.spread(table(spark, sf, "customer")).select(
         *[F.expr(e).alias(n) for n, e in ORG_FIELDS.items()],
         *[F.when(F.expr(e) != "", F.split(F.expr(e), ",")).otherwise(F.array().cast("array<string>")).alias(n)
           for n, e in ORG_LISTS.items()],
