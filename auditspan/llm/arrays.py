@@ -14,6 +14,9 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _WORD_ODD = np.uint64(0xD1342543DE82EF95)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: white space and every other ASCII sign: what stands between runs of letters and digits
+_SIGN = np.zeros(256, bool)
+_SIGN[:128] = [not chr(i).isalnum() for i in range(128)]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: one random 64-bit value per byte value
@@ -49,9 +52,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _piece_words(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _piece_words(a: np.ndarray, between: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     space = np.ones(len(a) + 2, np.int8)
-    space[1:-1] = _SPACE[a]
+    space[1:-1] = between[a]
     edges = np.flatnonzero(space[1:] != space[:-1])
     starts, ends = edges[0::2], edges[1::2]
     up, down = powers(_ODD, len(a))
@@ -61,17 +64,18 @@ def _piece_words(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mix(hashes + (ends - starts).astype(np.uint64)), starts, ends
 
 
-def words(data: bytes, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first byte and end of every word; ``lower`` folds A-Z."""
+def words(data: bytes, lower: bool = False, signs: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first byte and end of every word; ``lower`` folds A-Z, ``signs`` splits at ASCII signs too."""
+    between = _SIGN if signs else _SPACE
     whole = np.frombuffer(data, np.uint8)
     parts, at = [], 0
     while at < len(whole):
         end = min(len(whole), at + PIECE)
-        while end < len(whole) and not _SPACE[whole[end]]:
-            ahead = np.flatnonzero(_SPACE[whole[end:end + PIECE]])
+        while end < len(whole) and not between[whole[end]]:
+            ahead = np.flatnonzero(between[whole[end:end + PIECE]])
             end = end + int(ahead[0]) if len(ahead) else min(len(whole), end + PIECE)
         piece = whole[at:end]
-        h, s, e = _piece_words(_LOWER[piece] if lower else piece)
+        h, s, e = _piece_words(_LOWER[piece] if lower else piece, between)
         parts.append((h, s + at, e + at))
         at = end
     if not parts:

@@ -23,8 +23,10 @@ MASKS = ((0, 1, 2, 4, 7, 9), (0, 2, 3, 5, 8, 9), (0, 1, 3, 6, 7, 9))
 SPAN = 10
 WINDOW = 15
 SIMILARITY = 0.8
-#: masked spans of a benchmark (about 120 bytes each with the item's words) that are sent to every executor
-MAX_BROADCAST_SEEDS = 200_000
+#: masked spans of a benchmark, at most 350 bytes each with the words around them, that are sent to every executor
+MAX_BROADCAST_SEEDS = 100_000
+#: places of a text that are joined as one row
+BLOCK = 256
 SPLIT = "[ \\t-\\r]+"
 
 
@@ -34,65 +36,74 @@ def word_list(text: Column) -> Column:
     return F.transform(F.array_remove(F.split(F.coalesce(lower, F.lit("")), SPLIT), ""), lambda w: F.xxhash64(w))
 
 
-def _word(at: Column | int) -> Column:
-    return F.get(F.col("words"), F.col("at") + at)
-
-
-def _seed(places: tuple[int, ...]) -> Column:
-    return F.xxhash64(*[_word(p) for p in places])
-
-
 def _families(lengths: list[int], masks, span: int) -> list[tuple[int, tuple[int, ...]]]:
     """(words covered, places): the masks, and whole items for each length below the span."""
     return [(span, tuple(m)) for m in masks] + [(n, tuple(range(n))) for n in lengths]
 
 
+def _seeds(blocks: DataFrame, families, keep: list[str], fits) -> DataFrame:
+    """(keep, words, at, family, covers, seed) of every place of every block.
+
+    ``at`` counts within ``words``; ``fits(covers)`` says whether a span is used.
+    The arrays are only referred to while places are joined, not copied.
+    """
+    places = blocks.select(*keep, "words", F.explode(F.sequence("first", "last")).alias("at"))
+    parts = []
+    for k, (n, offsets) in enumerate(families):
+        seed = F.xxhash64(*[F.get(F.col("words"), F.col("at") + o) for o in offsets])
+        parts.append(F.when((F.col("at") + n <= F.size("words")) & fits(n), F.struct(
+            F.lit(k).alias("family"), F.lit(n).alias("covers"), seed.alias("seed"))))
+    return (places.select(*keep, "words", "at", F.explode(F.array(*parts)).alias("s")).filter("s is not null")
+            .select(*keep, "words", "at", F.col("s.family").alias("family"), F.col("s.covers").alias("covers"),
+                    F.col("s.seed").alias("seed")))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, masks=MASKS, span: int = SPAN, window: int = WINDOW,
                  similarity: float = SIMILARITY, doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, item_id, doc_start, window_words, matched_words): best verified overlap of each pair."""
-    items = (benchmark.select("item_id", word_list(F.col("text")).alias("item_words"))
-             .filter(F.size("item_words") > 0).distinct())
-    # how many spans the benchmark has decides the join; one small job over its lengths alone
-    sizes = items.groupBy(F.least(F.size("item_words"), F.lit(span)).alias("n")).agg(
-        F.count(F.lit(1)).alias("items"), F.sum(F.size("item_words")).alias("words")).collect()
-    short = sorted(r.n for r in sizes if r.n < span)
-    families = _families(short, masks, span)
-
-    def seeds(words: Column, rows: DataFrame, exact: bool, keep: list[str]) -> DataFrame:
-        rows = rows.withColumn("words", words).filter(F.size("words") > 0)
-        rows = rows.select(*keep, "words", F.explode(F.sequence(F.lit(0), F.size("words") - 1)).alias("at"))
-        parts = []
-        for k, (n, places) in enumerate(families):
-            fits = F.col("at") + n <= F.size("words")
-            if exact and n < span:
-                fits = fits & (F.size("words") == n)
-            parts.append(F.when(fits, F.struct(F.lit(k).alias("family"), F.lit(n).alias("covers"), _seed(places).alias("seed"))))
-        return rows.select(*keep, "words", "at", F.explode(F.array(*parts)).alias("s")).filter("s is not null") \
-            .select(*keep, "words", "at", F.col("s.family").alias("family"), F.col("s.covers").alias("covers"),
-                    F.col("s.seed").alias("seed"))
-
-    wanted = (seeds(F.col("item_words"), items, True, ["item_id"])
-              .select("family", "covers", "seed", "item_id", F.col("words").alias("item_words"), F.col("at").alias("item_at")))
+    items = (benchmark.select("item_id", word_list(F.col("text")).alias("words"))
+             .filter(F.size("words") > 0).distinct())
+    # the lengths of the items decide the join; at most ``span`` rows
+    sizes = items.groupBy(F.least(F.size("words"), F.lit(span)).alias("n")).agg(
+        F.sum(F.size("words").cast("long")).alias("words")).collect()
+    families = _families(sorted(r.n for r in sizes if r.n < span), masks, span)
+
+    whole = items.withColumns({"first": F.lit(0), "last": F.size("words") - 1})
+    used = _seeds(whole, families, ["item_id"], lambda n: F.lit(True) if n == span else F.size("words") == n)
+    wanted = used.select(
+        "family", "covers", "seed", "item_id", F.size("words").alias("item_size"), F.col("at").alias("item_at"),
+        F.greatest(F.col("at") - window, F.lit(0)).alias("near_from"),
+        F.slice("words", F.greatest(F.col("at") - window, F.lit(0)) + 1, 2 * window + 1).alias("near"))
     if sum(r.words for r in sizes) * len(masks) <= MAX_BROADCAST_SEEDS:  # beyond, the join is shuffled by seed
         wanted = F.broadcast(wanted)
-    found = seeds(word_list(F.col("text")), docs.select(F.col(doc_id).alias("doc_id"), "text"), False, ["doc_id"])
-    hits = found.join(wanted, ["family", "covers", "seed"])
+
+    # blocks of words with a window before and after them: no row holds a long text's words again and again
+    lists = docs.select(F.col(doc_id).alias("doc_id"), word_list(F.col("text")).alias("all"))
+    starts = F.when(F.size("all") > 0, F.sequence(F.lit(0), F.size("all") - 1, F.lit(BLOCK)))
+    blocks = lists.select("doc_id", "all", F.explode(starts).alias("b"))
+    blocks = blocks.select("doc_id", F.greatest(F.col("b") - window, F.lit(0)).alias("base"), "b",
+                           F.slice("all", F.greatest(F.col("b") - window, F.lit(0)) + 1,
+                                   BLOCK + 2 * window).alias("words"))
+    blocks = blocks.select("doc_id", "base", "words", (F.col("b") - F.col("base")).alias("first"),
+                           (F.least(F.col("b") - F.col("base") + BLOCK, F.size("words")) - 1).alias("last"))
+    hits = _seeds(blocks, families, ["doc_id", "base"], lambda n: F.lit(True)).join(
+        wanted, ["family", "covers", "seed"])
+
     # the window slides along the alignment so that it holds the seed and stays inside both texts
-    size = F.size("item_words")
     shift = F.col("at") - F.col("item_at")
-    length = F.least(F.lit(window), size)
+    length = F.least(F.lit(window), F.col("item_size"))
     lo = F.greatest(F.col("item_at") + F.col("covers") - length, F.lit(0), -shift)
-    hi = F.least(F.col("item_at"), size - length, F.size("words") - shift - length)
-    placed = hits.select(
-        "doc_id", "item_id", "words", "item_words", shift.alias("shift"), length.alias("length"), lo.alias("lo"),
-        hi.alias("hi")).filter("lo <= hi")
-    same = F.expr("transform(sequence(lo, hi), i -> struct("
+    hi = F.least(F.col("item_at"), F.col("item_size") - length, F.size("words") - shift - length)
+    placed = hits.select("doc_id", "item_id", "base", "words", "near", "near_from", shift.alias("shift"),
+                         length.alias("length"), lo.alias("lo"), hi.alias("hi"))
+    same = F.expr("if(lo <= hi, transform(sequence(lo, hi), i -> struct("
                   "aggregate(sequence(0, length - 1), 0, (n, j) -> n + if(get(words, i + j + shift) = "
-                  "get(item_words, i + j), 1, 0)) as matched, -(i + shift) as place))")
+                  "get(near, i + j - near_from), 1, 0)) as matched, -(i + shift + base) as place)), null)")
     best = placed.select("doc_id", "item_id", "length", F.array_max(same).alias("m"))
-    best = best.filter(F.col("m.matched") >= F.ceil(F.lit(similarity) * F.col("length")))
-    top = best.groupBy("doc_id", "item_id").agg(
-        F.max(F.struct(F.col("m.matched").alias("matched"), F.col("m.place").alias("place"),
-                       "length")).alias("b"))
-    return top.select("doc_id", "item_id", (-F.col("b.place")).alias("doc_start"),
-                      F.col("b.length").alias("window_words"), F.col("b.matched").alias("matched_words"))
+    enough = F.col("m.matched") >= F.ceil(F.lit(similarity) * F.col("length"))
+    # filtered after the aggregate, so that the join above stays one piece of generated code
+    top = best.groupBy("doc_id", "item_id").agg(F.max(F.when(enough, F.struct(
+        F.col("m.matched").alias("matched"), F.col("m.place").alias("place"), "length"))).alias("b"))
+    return top.filter("b is not null").select(
+        "doc_id", "item_id", (-F.col("b.place")).alias("doc_start"), F.col("b.length").alias("window_words"),
+        F.col("b.matched").alias("matched_words"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditspan.llm import decontamination, url_filters
+from auditspan.llm import decontamination, fingerprints, language, quality, secrets, toxicity, url_filters
+from auditspan.llm.tasks import fold
 
 ABC, abc = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -75,5 +76,40 @@ SELECT page_id, host, path, rule,
   CASE {actions} WHEN {patterns} THEN 'block' ELSE 'allow' END AS verdict FROM r"""
 
 
-QUERIES = {f.__name__: f for f in (op2_benchmark_decontamination, op6_url_filters)}
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.filter(fold("doc_id", 4) != 2))
+    found = language.identify(docs, model)
+    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    network = quality.fit(docs, table(spark, sf_dir, "labels").filter(fold("doc_id", 5) != 0))
+    return _scores(quality.score(docs, network), 5, 0)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learned = fold("doc_id", 4) != 2
+    model = toxicity.fit(docs.filter(learned), table(spark, sf_dir, "labels").filter(learned))
+    return _scores(toxicity.score(docs, model), 4, 2)
+
+
+def _scores(scored: DataFrame, parts: int, held_out: int) -> DataFrame:
+    return scored.select("doc_id", (fold("doc_id", parts) == held_out).alias("held_out"), "score",
+                         (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents"), with_text=False))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_language_id, op2_benchmark_decontamination, op3_quality_classifier, op5_toxicity, op6_url_filters,
+    op9_document_fingerprints, op10_secret_scans)}
 ORACLE = {"op2_benchmark_decontamination": _op2_sql(), "op6_url_filters": _op6_sql()}
