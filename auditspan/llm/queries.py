@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditspan.llm import decontamination, fingerprints, language, quality, secrets, toxicity, url_filters
+from auditspan.llm import decontamination, fingerprints, language, quality, secrets, substrings, toxicity, url_filters
 from auditspan.llm.tasks import fold
 
 ABC, abc = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -89,6 +89,25 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scores(quality.score(docs, network), 5, 0)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicated(table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
+
+
+def _op4_sql() -> str:
+    w = substrings.WIDTH
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id,
+  list_filter(string_split_regex(coalesce(text, ''), '[ \\t-\\r]+'), lambda w: w <> '') AS words FROM documents),
+s AS (SELECT row, p, array_to_string(words[p + 1 : p + {w}], ' ') AS seq FROM
+  (SELECT row, words, unnest(range(len(words) - {w - 1})) AS p FROM d WHERE len(words) >= {w})),
+r AS (SELECT row, p FROM s WHERE seq IN (SELECT seq FROM s GROUP BY seq HAVING count(*) > 1)),
+gone AS (SELECT row, list(DISTINCT q) AS spots FROM (SELECT row, unnest(range(p, p + {w})) AS q FROM r) GROUP BY row),
+kept AS (SELECT doc_id, words, coalesce(len(spots), 0) AS n_removed, CASE WHEN spots IS NULL THEN words ELSE
+  list_transform(list_filter(list_zip(words, range(len(words))), lambda x: NOT list_contains(spots, x[2])), lambda x: x[1])
+  END AS stay FROM d LEFT JOIN gone USING (row))
+SELECT doc_id, len(words) AS n_words, n_removed, sha256(array_to_string(stay, ' ')) AS kept_sha256 FROM kept"""
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     learned = fold("doc_id", 4) != 2
@@ -110,6 +129,6 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_language_id, op2_benchmark_decontamination, op3_quality_classifier, op5_toxicity, op6_url_filters,
+    op1_language_id, op2_benchmark_decontamination, op3_quality_classifier, op4_substring_dedup, op5_toxicity, op6_url_filters,
     op9_document_fingerprints, op10_secret_scans)}
-ORACLE = {"op2_benchmark_decontamination": _op2_sql(), "op6_url_filters": _op6_sql()}
+ORACLE = {"op2_benchmark_decontamination": _op2_sql(), "op4_substring_dedup": _op4_sql(), "op6_url_filters": _op6_sql()}
