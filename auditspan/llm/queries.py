@@ -4,12 +4,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditspan.llm import decontamination, fingerprints, language, quality, secrets, substrings, toxicity, url_filters
+from auditspan.llm import decontamination, fingerprints, language, packing, quality, secrets, substrings, toxicity, url_filters
 from auditspan.llm.tasks import fold
 
 ABC, abc = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -120,6 +125,10 @@ def _scores(scored: DataFrame, parts: int, held_out: int) -> DataFrame:
                          (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()).drop("ids")
+
+
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -130,5 +139,5 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_benchmark_decontamination, op3_quality_classifier, op4_substring_dedup, op5_toxicity, op6_url_filters,
-    op9_document_fingerprints, op10_secret_scans)}
+    op8_packing, op9_document_fingerprints, op10_secret_scans)}
 ORACLE = {"op2_benchmark_decontamination": _op2_sql(), "op4_substring_dedup": _op4_sql(), "op6_url_filters": _op6_sql()}
