@@ -170,14 +170,23 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", fit_rows:
     return network
 
 
-def score(docs: DataFrame, network: Network) -> DataFrame:
-    """(doc_id, score): the probability of label 1 for every whole text."""
-    kind = dict(docs.dtypes)["doc_id"]
+def with_score(docs: DataFrame, network: Network) -> DataFrame:
+    """``docs`` with a column ``score``, the probability of label 1 for every whole text.
+
+    A column of that name is replaced.
+    """
+    docs = docs.drop("score")
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = [network.score(t or b"") for t in utf8(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())],
-                                             ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())],
+                                             [*batch.schema.names, "score"])
 
-    return map_rows(docs.select("doc_id", "text"), run, f"doc_id {kind}, score double")
+    return map_rows(docs, run, ", ".join([*fields, "score double"]))
+
+
+def score(docs: DataFrame, network: Network) -> DataFrame:
+    """(doc_id, score) of every row."""
+    return with_score(docs.select("doc_id", "text"), network).select("doc_id", "score")

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditspan.llm import decontamination, fingerprints, language, packing, quality, secrets, substrings, toxicity, url_filters
+from auditspan.llm import decontamination, fingerprints, jaccard, language, packing, quality, secrets, substrings, toxicity, url_filters
 from auditspan.llm.tasks import fold
 
 ABC, abc = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -125,6 +125,28 @@ def _scores(scored: DataFrame, parts: int, held_out: int) -> DataFrame:
                          (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicate_classes(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
+def _op7_sql() -> str:
+    words = f"list_filter(string_split_regex(translate(coalesce(text, ''), '{ABC}', '{abc}'), '[ \\t-\\r]+'), " \
+            "lambda w: w <> '')"
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, {words} AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(words[p + 1 : p + 3], ' ') AS shingle FROM
+  (SELECT doc_id, words, unnest(range(greatest(len(words) - 2, 1))) AS p FROM d WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b USING (shingle)
+  WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+  WHERE 100 * common >= 90 * (x.n + y.n - common)),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(least.b, d.doc_id)) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least ON least.a = d.doc_id"""
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()).drop("ids")
 
@@ -139,5 +161,6 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_benchmark_decontamination, op3_quality_classifier, op4_substring_dedup, op5_toxicity, op6_url_filters,
-    op8_packing, op9_document_fingerprints, op10_secret_scans)}
-ORACLE = {"op2_benchmark_decontamination": _op2_sql(), "op4_substring_dedup": _op4_sql(), "op6_url_filters": _op6_sql()}
+    op7_ngram_jaccard_join, op8_packing, op9_document_fingerprints, op10_secret_scans)}
+ORACLE = {"op2_benchmark_decontamination": _op2_sql(), "op4_substring_dedup": _op4_sql(), "op6_url_filters": _op6_sql(),
+          "op7_ngram_jaccard_join": _op7_sql()}

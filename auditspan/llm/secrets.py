@@ -172,10 +172,25 @@ def scan(docs: DataFrame, *, words=WORDS, min_bits: float = MIN_BITS, mark: str
                     "n_guess long, redacted string")
 
 
+def redact(docs: DataFrame, *, words=WORDS, min_bits: float = MIN_BITS, mark: str = "[SECRET]") -> DataFrame:
+    """``docs`` with every secret of column ``text`` replaced by ``mark``; a null text stays null."""
+    bits = word_bits(words)
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t if t is None else redacted(t, sorted(base_spans(t) + guess_spans(t, bits, min_bits)), mark)
+                     for t in batch.column("text").to_pylist()]
+            at = batch.schema.get_field_index("text")
+            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+
+    return map_rows(docs, run, ", ".join(fields))
+
+
 def digest(scanned: DataFrame) -> DataFrame:
     """The contract's columns of a scan."""
     return scanned.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"),
                           "spans")
 
 
-__all__ = ["scan", "digest", "guess_bits", "word_bits", "base_spans", "guess_spans", "redacted"]
+__all__ = ["scan", "redact", "digest", "guess_bits", "word_bits", "base_spans", "guess_spans", "redacted"]

@@ -1,12 +1,68 @@
-"""The corpus pipeline: stages over documents, each an operator of ``auditspan.llm``."""
+"""The corpus pipeline: stages over documents, each an operator of ``auditspan.llm``.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all
+but the last return the columns of documents.  Rows of one doc_id share their fate.
+Nulls: a null text is scored like an empty one, matches nothing and packs as the end id alone;
+rows with a null doc_id cannot be told apart by the decisions and are kept.
+"""
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from auditspan.llm import decontamination, jaccard, packing, quality, secrets
+from auditspan.llm.queries import table, tokenizer_path
+from auditspan.llm.tasks import fold
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: documents whose probability of label 1 is below this go
+KEEP_SCORE = 0.3
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the network does not reject."""
+    network = quality.fit(docs, table(spark, sf_dir, "labels").filter(fold("doc_id", 5) != 0))
+    return quality.with_score(docs.select(*COLUMNS), network).filter(F.col("score") >= KEEP_SCORE).select(*COLUMNS)
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies: the one with the smallest id."""
+    found = jaccard.near_duplicate_classes(docs, width=5, percent=80)
+    # only ids move: rows that another one stands for
+    gone = found.filter("component_id < doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark passage."""
+    found = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, every secret replaced by a mark."""
+    found = secrets.redact(docs.select(*COLUMNS))
+    return found.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences, with their ids."""
+    return packing.pack(docs, tokenizer_path(), with_ids=True)
+
+
+STAGES = [("quality classifier", quality_classifier), ("n-gram Jaccard join", ngram_jaccard_join),
+          ("benchmark decontamination", benchmark_decontamination), ("secret scans", secret_scans),
+          ("packing", pack_sequences)]
+#: a trained network and a tokenizer have no SQL form; tests compare each stage with a brute-force version
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written and read again before the next."""
+    from auditspan.llm.tasks import kept_table
+    docs = table(spark, sf_dir, "documents")
+    for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if number < len(STAGES) - 1:
+            docs = kept_table(docs, "stage")
     return docs
