@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 from auditspan.functions import text as tx
 from auditspan.knowledge import fixed_values as fixed
 
-_ATTRS = tx.ATTRS
+_ATTRS, _END = tx.ATTRS, tx.TAG_END
 
 
 def flat_source(html: Column) -> Column:
     """Markup without comments and without the code inside scripts and styles."""
     return F.regexp_replace(
-        F.regexp_replace(html, r"(?s)<!--.*?-->", ""),
-        r"(?is)(<(script|style)\b[^>]*>).*?(</\2\s*>|\z)", "$1$3")
+        F.regexp_replace(html, r"(?s)<!--.*?(?:-->|\z)", ""),
+        rf"(?is)(<(script|style)\b[^>]*+{_END}).*?(</\2\s*>|\z)", "$1$3")
 
 
 def raw_attribute(tag: Column, name: str) -> Column:
@@ -35,16 +35,16 @@ def attribute(tag: Column, name: str) -> Column:
 
 
 def open_tags(source: Column, name: str) -> Column:
-    return F.regexp_extract_all(source, F.lit(rf"(?is)<{name}\b{_ATTRS}>"), F.lit(0))
+    return F.regexp_extract_all(source, F.lit(rf"(?is)<{name}\b{_ATTRS}{_END}"), F.lit(0))
 
 
 def anchors(source: Column) -> Column:
     """Links with ``href``: array<struct<ord, href, text>> in page order."""
     found = F.regexp_extract_all(
-        source, F.lit(rf"(?is)<a\b{_ATTRS}>(?:(?!</a\s*>|<a\b).)*+"), F.lit(0))
+        source, F.lit(rf"(?is)<a\b{_ATTRS}{_END}(?:(?!</a\s*>|<a\b).)*+"), F.lit(0))
     parsed = F.transform(found, lambda t: F.struct(
-        attribute(F.regexp_extract(t, rf"(?is)^<a\b{_ATTRS}>", 0), "href").alias("href"),
-        tx.inner_text(F.regexp_replace(t, rf"(?is)^<a\b{_ATTRS}>", "")).alias("text")))
+        attribute(F.regexp_extract(t, rf"(?is)^<a\b{_ATTRS}{_END}", 0), "href").alias("href"),
+        tx.inner_text(F.regexp_replace(t, rf"(?is)^<a\b{_ATTRS}{_END}", "")).alias("text")))
     with_href = F.filter(parsed, lambda a: a.getField("href").isNotNull())
     return F.transform(with_href, lambda a, i: F.struct(
         i.alias("ord"), a.getField("href").alias("href"), a.getField("text").alias("text")))

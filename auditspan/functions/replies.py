@@ -62,11 +62,11 @@ def analysis(doc: Column, legal: bool = False) -> Column:
     ).otherwise(_get(doc, "action_required", "boolean"))
     is_object = F.coalesce(F.schema_of_variant(doc).startswith("OBJECT"), F.lit(False))
     return F.when(is_object, F.struct(
-        F.substring(F.coalesce(_get(doc, "summary", "string"), F.lit("")), 1, 1000).alias("summary"),
+        F.coalesce(_get(doc, "summary", "string"), F.lit("")).alias("summary"),
         F.when(kind.isin(*allowed), kind).otherwise(F.lit(default)).alias("change_type"),
         score.alias("threat_score"),
         F.coalesce(required, F.lit(False)).alias("action_required"),
-        F.substring(F.coalesce(_get(doc, "action", "string"), F.lit("")), 1, 500).alias("action")))
+        F.coalesce(_get(doc, "action", "string"), F.lit("")).alias("action")))
 
 
 def update_rows(replies: DataFrame, year: Column, reply: str = "reply") -> DataFrame:

@@ -14,6 +14,9 @@ _BREAK = "\u0001"
 # Attributes of a tag: a quote opens a value only after "=", so stray quotes
 # and ">" inside quoted values are both read correctly.
 ATTRS = r"""(?:[^>=]++|=\s*"[^"]*"|=\s*'[^']*'|=)*+"""
+# A tag that is never closed runs to the end: every match consumes what it read,
+# and hostile markup is still passed over once.
+TAG_END = r"(?:>|\z)"
 
 # Named character references resolved without leaving the JVM.
 _ENTITIES = (
@@ -86,18 +89,19 @@ def decode_entities(text: Column) -> Column:
 
 
 def drop_comments(html: Column) -> Column:
-    return F.regexp_replace(html, r"(?s)<!--.*?-->", _BREAK)
+    """An unclosed comment runs to the end, so the text is passed over once."""
+    return F.regexp_replace(html, r"(?s)<!--.*?(?:-->|\z)", _BREAK)
 
 
 def drop_elements(html: Column, tags: Iterable[str]) -> Column:
     """Remove elements with their content; an unclosed one runs to the end."""
     names = "|".join(tags)
-    return F.regexp_replace(html, rf"(?is)<({names})\b[^>]*>.*?(</\1\s*>|\z)", _BREAK)
+    return F.regexp_replace(html, rf"(?is)<({names})\b[^>]*+{TAG_END}.*?(</\1\s*>|\z)", _BREAK)
 
 
 def text_nodes(html: Column) -> Column:
     """Stripped, non-empty text nodes of a fragment without scripts."""
-    marked = F.regexp_replace(html, f"<[a-zA-Z/!?]{ATTRS}>", _BREAK)
+    marked = F.regexp_replace(html, f"<[a-zA-Z/!?]{ATTRS}{TAG_END}", _BREAK)
     nodes = F.transform(F.split(marked, _BREAK), lambda t: strip(decode_entities(t)))
     return F.filter(nodes, lambda t: t != "")
 
@@ -115,15 +119,16 @@ def inner_text(fragment: Column, separator: str = " ") -> Column:
 
 
 def page_title(html: Column) -> Column:
-    raw = F.regexp_extract(drop_comments(html), r"(?is)<title[^>]*>([^<]*)", 1)
+    raw = F.regexp_extract(drop_comments(html), rf"(?is)<title[^>]*+{TAG_END}([^<]*)", 1)
     title = strip(decode_entities(raw))
     return F.when(title != "", title)
 
 
-def tidy_lines(text: Column, limit: int) -> Column:
-    """Trim lines, drop blank ones, cut to ``limit`` characters."""
+def tidy_lines(text: Column, limit: int | None = None) -> Column:
+    """Trim lines, drop blank ones; cut to ``limit`` characters if one is given."""
     lines = F.filter(F.transform(F.split(text, "\n"), strip), lambda s: s != "")
-    return F.substring(F.array_join(lines, "\n"), 1, limit)
+    whole = F.array_join(lines, "\n")
+    return whole if limit is None else F.substring(whole, 1, limit)
 
 
 def count_items(text: Column) -> Column:
@@ -165,11 +170,11 @@ def content_flags(text: Column, pack=fixed.POLICY_FLAGS_RU) -> dict[str, Column]
     return flags
 
 
-def provenance(text: Column, limit: int = fixed.POLICY_TEXT_LIMIT) -> dict[str, Column]:
-    """Hash and full length of the text, and the stored (cut) form."""
+def provenance(text: Column, limit: int | None = None) -> dict[str, Column]:
+    """Hash and full length of the text, and the stored form, cut only if a limit is given."""
     return {
         "text_hash": F.sha2(text, 256),
         "content_length": F.length(text).cast("bigint"),
-        "stored_text": F.substring(text, 1, limit),
-        "text_truncated": F.length(text) > limit,
+        "stored_text": text if limit is None else F.substring(text, 1, limit),
+        "text_truncated": F.when(text.isNotNull(), F.lit(False)) if limit is None else F.length(text) > limit,
     }

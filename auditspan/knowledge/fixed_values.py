@@ -354,7 +354,6 @@ BANNER_DECLINE_PATTERN = (
     r"(reject|отклонить|отказа|отказаться|не\s+соглашаюсь|"
     r"decline|deny|запретить|refuse|only\s+necessary|только\s+необходимые)")
 BANNER_SETTINGS_PATTERN = r"(settings|настройк|manage|управлени|preferences|подробнее|выбрать)"
-BANNER_HTML_LIMIT = 2000
 
 # Form inputs that are not data fields
 NON_DATA_INPUT_TYPES = ("hidden", "submit", "button", "reset", "image")
@@ -363,13 +362,9 @@ NON_DATA_INPUT_TYPES = ("hidden", "submit", "button", "reset", "image")
 MONITOR_DROP_TAGS = ("script", "style", "nav", "header", "footer", "aside", "iframe", "noscript", "svg")
 MONITOR_CLASS_PATTERN = r"content|article|post|entry|pricing|features"
 MONITOR_ID_PATTERN = r"content|main|article"
-MONITOR_TEXT_LIMIT = 10240
 RESEARCH_DROP_TAGS = MONITOR_DROP_TAGS + ("form",)
 RESEARCH_CLASS_PATTERN = r"content|article|post|entry"
 RESEARCH_ID_PATTERN = r"content|article|main"
-RESEARCH_INPUT_LIMIT = 240000
-RESEARCH_TEXT_LIMIT = 12000
-POLICY_TEXT_LIMIT = 100000
 POLICY_TEXT_MINIMUM = 500
 
 # ---------------------------------------------------------------------------
@@ -485,8 +480,6 @@ LEGAL_STEMS = (
     "уведомлен", "обработк", "согласи", "оператор")
 CHANGE_TYPES = ("feature", "pricing", "ui", "npa", "minor")
 LEGAL_CHANGE_TYPES = ("npa", "minor")
-DIFF_LINE_LIMIT = 200
-ANALYSIS_DIFF_LIMIT = 4000
 
 # Severity and checklist-status sort orders
 SEVERITY_ORDER = (("critical", 0), ("high", 1), ("medium", 2), ("low", 3), ("info", 4))

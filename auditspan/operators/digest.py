@@ -8,7 +8,7 @@ from auditspan.functions import text as tx
 from auditspan.knowledge import fixed_values as fixed
 
 
-def pending_changes(changes: DataFrame, digested: DataFrame, limit: int = 100) -> DataFrame:
+def pending_changes(changes: DataFrame, digested: DataFrame, limit: int) -> DataFrame:
     """Changes not yet part of a digest: highest score, then newest, top ``limit``.
 
     Digest membership is an append-only table (change_id, digest_id), so marking

@@ -113,10 +113,10 @@ def numbered_hits(hits: DataFrame, *by: str) -> DataFrame:
     return hits.groupBy(*by).agg(F.array_join(lines, "\n").alias("results_text"))
 
 
-def recent_organizations(reports: DataFrame, limit: int = 1000) -> DataFrame:
-    """Organisations that own one of the newest reports."""
-    return reports.orderBy(F.col("report_date").desc(), F.col("id").desc()).limit(limit).select(
-        "organization_id").filter("organization_id IS NOT NULL").distinct()
+def recent_organizations(reports: DataFrame, since: Column | None = None) -> DataFrame:
+    """Organisations that own a report, or one dated ``since`` or later."""
+    kept = reports if since is None else reports.filter(F.col("report_date") >= since)
+    return kept.select("organization_id").filter("organization_id IS NOT NULL").distinct()
 
 
 def affected_documents(updates: DataFrame, documents: DataFrame, organizations: DataFrame | None = None) -> DataFrame:

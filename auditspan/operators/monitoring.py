@@ -6,18 +6,17 @@ from pyspark.sql import functions as F
 
 from auditspan.functions import diffs, replies
 from auditspan.functions import text as tx
-from auditspan.knowledge import fixed_values as fixed
 
 KEYS = ("source_id", "url")
 
 
 def snapshot_rows(fetches: DataFrame) -> DataFrame:
-    """Rows to store: texts cut to the limit; failed fetches have no text or hash."""
+    """Rows to store: whole texts; failed fetches have no text or hash."""
     ok = F.col("fetch_status") == "ok"
     text = F.when(ok, F.col("text")).otherwise(F.lit(""))
     return fetches.select(
         "id", *KEYS, F.when(ok, F.sha2("text", 256)).otherwise(F.lit("")).alias("content_hash"),
-        F.substring(text, 1, fixed.MONITOR_TEXT_LIMIT).alias("raw_text"), "fetch_status", "captured_at")
+        text.alias("raw_text"), "fetch_status", "captured_at")
 
 
 def snapshot_history(snapshots: DataFrame, bucket: str = "day") -> DataFrame:

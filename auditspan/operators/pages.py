@@ -21,7 +21,7 @@ def with_source(crawl: DataFrame) -> DataFrame:
     url = F.col("url")
     is_html = crawl_source.is_html_page(url, F.col("status_code"), F.col("content_type"))
     return (
-        crawl_source.spread(crawl).withColumns({"site": urls.site_of(url), "host": urls.host_of(url), "is_html": is_html})
+        crawl.withColumns({"site": urls.site_of(url), "host": urls.host_of(url), "is_html": is_html})
         .withColumn("html", F.when(F.col("is_html"), F.col("html")))
         .withColumn("source", markup.flat_source(F.col("html")))
     )
@@ -73,8 +73,7 @@ def policy_struct(text: Column, url: Column, page_ord: Column, in_footer: Column
                   method: Column) -> Column:
     """Everything later stages need to know about a policy text, without the text."""
     facts = tx.provenance(text)
-    stored = facts["stored_text"]
-    lower = F.lower(stored)
+    lower = F.lower(text)
     flags = {name: F.coalesce(flag, F.lit(False)) for name, flag in tx.content_flags(text).items()}
     elements = [F.coalesce(tx.any_of(lower, words), F.lit(False)) for _, words in fixed.CONSENT_ELEMENTS]
 
@@ -83,10 +82,9 @@ def policy_struct(text: Column, url: Column, page_ord: Column, in_footer: Column
 
     return F.struct(
         url.alias("url"), page_ord.alias("page_ord"), method.alias("extraction_method"),
-        in_footer.alias("in_footer"), F.coalesce(F.length(stored) > 0, F.lit(False)).alias("has_text"),
+        in_footer.alias("in_footer"), F.coalesce(F.length(text) > 0, F.lit(False)).alias("has_text"),
         facts["text_hash"].alias("text_hash"), facts["content_length"].alias("content_length"),
         facts["text_truncated"].alias("text_truncated"),
-        F.length(stored).alias("stored_length"),
         tx.is_cyrillic_text(text).alias("is_russian"),
         F.lit(True).alias("is_separate_page"),
         *[flag.alias(name) for name, flag in flags.items()],
@@ -104,8 +102,9 @@ def policy_candidates(crawl: DataFrame, keep_text: bool = True) -> DataFrame:
     """Policy texts of the crawl: policy pages as text, and extracted PDF texts."""
     pages = with_source(crawl).withColumn("title", tx.page_title(F.col("html")))
     url = F.col("url")
-    is_page = F.col("is_html") & urls.is_policy_page(url, F.col("title"))
-    is_file = (crawl_source.is_pdf(url, F.col("content_type")) & urls.is_policy_url(url)
+    answered = crawl_source.probe_answered(F.col("is_fallback"), F.col("status_code"))
+    is_page = F.col("is_html") & answered & urls.is_policy_page(url, F.col("title"))
+    is_file = answered & (crawl_source.is_pdf(url, F.col("content_type")) & urls.is_policy_url(url)
                & ~crawl_source.is_client_error(F.col("status_code")))
     found = pages.filter(is_page | is_file).withColumn(
         "text", F.when(F.col("is_html"), tx.visible_text(F.col("html"))).otherwise(F.col("pdf_text"))
@@ -123,6 +122,7 @@ def policy_candidates(crawl: DataFrame, keep_text: bool = True) -> DataFrame:
 def page_facts(crawl: DataFrame) -> DataFrame:
     """One narrow row per fetch, the input of every site-level operator."""
     url = F.col("url")
+    answered = crawl_source.probe_answered(F.col("is_fallback"), F.col("status_code"))
     pages = with_source(crawl).withColumns({
         "title": tx.page_title(F.col("html")),
         "links": markup.anchors(F.col("source")),
@@ -131,8 +131,8 @@ def page_facts(crawl: DataFrame) -> DataFrame:
     pages = with_resources(pages).withColumns({
         "footer_href": markup.footer_privacy_href(F.col("source"), F.col("links")),
         "page_href": markup.first_privacy_href(F.col("links")),
-        "is_policy_page": F.col("is_html") & urls.is_policy_page(url, F.col("title")),
-        "is_policy_file": (crawl_source.is_pdf(url, F.col("content_type")) & urls.is_policy_url(url)
+        "is_policy_page": F.col("is_html") & answered & urls.is_policy_page(url, F.col("title")),
+        "is_policy_file": answered & (crawl_source.is_pdf(url, F.col("content_type")) & urls.is_policy_url(url)
                            & ~crawl_source.is_client_error(F.col("status_code"))),
         "library_banner": F.exists(
             markup.open_tags(F.col("source"), "script"),

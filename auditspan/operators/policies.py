@@ -10,7 +10,7 @@ from auditspan.knowledge import fixed_values as fixed
 
 def is_valid(policy: Column) -> Column:
     """A policy without readable text passes; a readable one must be real."""
-    length = policy.getField("stored_length")
+    length = policy.getField("content_length")
     return length.isNull() | (
         (length >= fixed.POLICY_TEXT_MINIMUM) & F.coalesce(policy.getField("is_russian"), F.lit(False)))
 
@@ -18,7 +18,7 @@ def is_valid(policy: Column) -> Column:
 def preference(policy: Column) -> Column:
     """Sort key: longest text, then the more telling URL, then the first found."""
     return F.struct(
-        F.coalesce(policy.getField("stored_length"), F.lit(0)).alias("length"),
+        F.coalesce(policy.getField("content_length"), F.lit(0)).alias("length"),
         urls.policy_url_priority(policy.getField("url")).alias("priority"),
         (-policy.getField("page_ord")).alias("earlier"))
 
@@ -60,10 +60,11 @@ def url_only_policies(facts: DataFrame) -> DataFrame:
     included) whose path is the most telling.
     """
     norm = urls.normalize_url(F.col("url"))
-    by_url = urls.is_policy_url(norm)
+    own = ~F.col("is_fallback")
+    by_url = urls.is_policy_url(norm) & own
     return facts.groupBy("site").agg(
         F.count_if(F.col("policy").isNotNull()).alias("candidates"),
-        F.min_by("url", F.when(F.col("is_policy_page"), F.col("page_ord"))).alias("page_url"),
+        F.min_by("url", F.when(F.col("is_policy_page") & own, F.col("page_ord"))).alias("page_url"),
         F.max_by(norm, F.when(by_url, F.struct(
             urls.policy_url_priority(norm), -F.col("page_ord")))).alias("visited_url"),
     ).filter("candidates = 0").select(

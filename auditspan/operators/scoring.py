@@ -124,7 +124,7 @@ def scan_limitations(crawler_notes: Column | None = None) -> Column:
     return own if crawler_notes is None else F.concat(crawler_notes, own)
 
 
-def violation_lines(violations: DataFrame, limit: int = 15) -> DataFrame:
+def violation_lines(violations: DataFrame, limit: int) -> DataFrame:
     """The first violations of a site as one text.
 
     The rank filter is a group limit: each map task forwards at most ``limit``

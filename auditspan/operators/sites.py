@@ -13,6 +13,7 @@ from auditspan.functions import text as tx
 from auditspan.functions import urls
 from auditspan.knowledge import fixed_values as fixed
 from auditspan.operators import policies
+from auditspan.sources import crawl as crawl_source
 
 
 def _count(forms: Column, test) -> Column:
@@ -59,18 +60,20 @@ def site_facts(facts: DataFrame) -> DataFrame:
     extra = ~primary & policy.isNotNull()
     valid = policy.isNotNull() & policies.is_valid(policy)
     norm = urls.normalize_url(F.col("url"))
+    # a probe of a well-known path is no visited page: its address and its failure say nothing
+    seen = F.when(primary, F.col("page_ord"))
 
     def total(name: str) -> Column:
         return F.coalesce(F.sum(F.when(html, F.col(f"f.{name}"))), F.lit(0)).alias(f"forms_{name}")
 
     folded = rows.groupBy("site").agg(
-        F.min_by("url", "page_ord").alias("site_url"),
+        F.coalesce(F.min_by("url", seen), F.min_by("url", "page_ord")).alias("site_url"),
         F.count_if(html).alias("main_pages"),
         F.count_if(html & ~F.col("has_footer_link")).alias("main_without_link"),
         F.count_if(extra).alias("extra_pages"),
         F.count_if(extra & ~F.col("has_footer_link")).alias("extra_without_link"),
-        F.coalesce(F.bool_or(F.col("url").startswith("https")), F.lit(False)).alias("has_ssl"),
-        F.count_if(F.col("status_code").between(400, 499)).alias("client_errors"),
+        F.coalesce(F.bool_or(primary & F.col("url").startswith("https")), F.lit(False)).alias("has_ssl"),
+        F.count_if(primary & F.col("status_code").between(400, 499)).alias("client_errors"),
         F.coalesce(F.sum(F.when(html, F.col("external_scripts"))), F.lit(0)).alias("script_tags"),
         *[total(n) for n in ("forms", "pd", "no_box", "prechecked", "no_link", "excessive", "no_mechanism")],
         F.coalesce(F.bool_or("f.mixed"), F.lit(False)).alias("mixed_consent"),
@@ -84,7 +87,7 @@ def site_facts(facts: DataFrame) -> DataFrame:
         F.count_if(policy.isNotNull()).alias("all_policies"),
         F.max_by(policy, F.when(valid & primary, policies.preference(policy))).alias("main_policy"),
         F.max_by(policy, F.when(valid & ~primary, policies.preference(policy))).alias("other_policy"),
-        F.max_by(norm, F.when(urls.is_policy_url(norm), F.struct(
+        F.max_by(norm, F.when(urls.is_policy_url(norm) & primary, F.struct(
             urls.policy_url_priority(norm), -F.col("page_ord")))).alias("policy_url_only"),
     )
     chosen = F.when(F.col("crawled_policies") > 0, F.col("main_policy")).otherwise(F.col("other_policy"))
@@ -106,8 +109,13 @@ def site_facts(facts: DataFrame) -> DataFrame:
 
 
 def site_cookies(crawl: DataFrame) -> DataFrame:
-    """Cookies of a site by name, the first setter wins."""
-    rows = crawl.filter(F.size("cookies") > 0).select(
+    """Cookies of a site by name, the first setter wins.
+
+    Only pages that were read count: no failed fetches, no files, no probes.
+    """
+    read = crawl_source.is_html_page(F.col("url"), F.col("status_code"), F.col("content_type"))
+    own = ~F.coalesce("is_fallback", F.lit(False))
+    rows = crawl.filter(read & own & (F.size("cookies") > 0)).select(
         urls.site_of(F.col("url")).alias("site"), "page_ord", "url", F.posexplode("cookies").alias("i", "name"))
     return rows.groupBy("site", "name").agg(
         F.min_by("url", F.struct("page_ord", "i")).alias("page_url")
@@ -128,7 +136,7 @@ def is_poor_result(pages: Column, errors: Column, policy_found: Column) -> Colum
 
 
 def crawl_frontier(
-    links: DataFrame, fetched: DataFrame, max_pages: int = 50,
+    links: DataFrame, fetched: DataFrame, max_pages: int,
     banner_links: DataFrame | None = None,
 ) -> DataFrame:
     """Next URLs to fetch per site: unseen same-site links, policy links first.

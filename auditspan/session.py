@@ -1,6 +1,7 @@
 """Session helpers shared by jobs, tests and the benchmark."""
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,11 +29,13 @@ def local_session(app: str = "auditspan", cores: int | str = 8, **conf: str) ->
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder shared by all executors, as named by the cluster.
 
-    Only a session without ``spark.checkpoint.dir`` (tests, local runs) gets a
-    temporary folder.
+    A local session without ``spark.checkpoint.dir`` (tests) gets a temporary
+    folder; on a cluster its executors would not see it, so the setting is required.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", shared)
     return shared

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditspan.knowledge import fixed_values as fixed
 from auditspan.session import scratch_path  # noqa: F401 - part of this module's interface
 
 
@@ -41,8 +40,7 @@ def append_reports(reports: DataFrame, path: str) -> None:
 
 
 def append_snapshots(snapshots: DataFrame, path: str) -> None:
-    cut = F.substring("raw_text", 1, fixed.MONITOR_TEXT_LIMIT)
-    append(snapshots.withColumn("raw_text", cut).withColumn("day", F.to_date("captured_at")), path, "day")
+    append(snapshots.withColumn("day", F.to_date("captured_at")), path, "day")
 
 
 def append_changes(changes: DataFrame, path: str) -> None:

@@ -17,21 +17,6 @@ def stream_crawl(spark: SparkSession, path: str, fmt: str = "parquet", **options
     return spark.readStream.schema(schemas.CRAWL).format(fmt).options(**options).load(path)
 
 
-def spread(df: DataFrame, split_bytes: int = 64 << 20) -> DataFrame:
-    """Divide a small input among all cores before CPU-heavy row work.
-
-    A table that fits into one read split would be parsed by one task.  Only such
-    tables are redistributed, so at most ``split_bytes`` are ever shuffled here;
-    larger tables arrive in many splits and pass through unchanged.
-    """
-    if df.isStreaming:
-        return df
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(size)) > split_bytes:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-
-
 def from_pages(pages: DataFrame) -> DataFrame:
     """Crawl rows from a bare (page_id, url, html) table."""
     return pages.select(
@@ -57,13 +42,19 @@ def is_html_page(url: Column, status: Column, content_type: Column) -> Column:
         & content_type.contains("text/html"), F.lit(False))
 
 
+def probe_answered(is_fallback: Column, status: Column) -> Column:
+    """False for a probe of a well-known path that did not answer with 200."""
+    return ~F.coalesce(is_fallback, F.lit(False)) | F.coalesce(status == 200, F.lit(False))
+
+
 def html_pages(crawl: DataFrame) -> DataFrame:
     return crawl.filter(is_html_page(F.col("url"), F.col("status_code"), F.col("content_type")))
 
 
 def crawl_errors(crawl: DataFrame) -> DataFrame:
-    """One row per fetch that ended with a 4xx status."""
-    return crawl.filter(is_client_error(F.col("status_code"))).select(
+    """One row per fetch that ended with a 4xx status; probes of well-known paths may fail."""
+    own = ~F.coalesce("is_fallback", F.lit(False))
+    return crawl.filter(own & is_client_error(F.col("status_code"))).select(
         urls.site_of(F.col("url")).alias("site"), "page_ord", "url",
         F.concat(F.col("url"), F.lit(": HTTP "), F.col("status_code").cast("string")).alias("error"))
 

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from auditspan import schemas
 from auditspan.functions import text as tx
-from auditspan.operators import policies, scoring, serving
+from auditspan.operators import policies, scoring, serving, sites
 from auditspan.plans.audit import audit
 from auditspan.sinks import tables
 from auditspan.sources import dimensions
@@ -53,6 +53,31 @@ def test_policy_known_by_url_of_an_error(spark):
     assert row.policy_found and row.policy_url == "https://e.com/policy" and not row.policy_has_text
 
 
+def test_failed_probe_of_a_well_known_path_says_nothing(spark):
+    probe = {"url": "https://e.com/privacy-policy", "status": 404, "fallback": True}
+    row = run(spark, {"html": ""}, {"url": "https://e.com/gone", "status": 404}, probe).sites.first()
+    assert not row.policy_found and row.client_errors == 1
+    for status in (404, 500):
+        found = run(spark, {"html": ""}, {**policy(""), "url": "https://e.com/privacy-policy", "status": status, "fallback": True})
+        assert not found.sites.first().policy_found
+        assert found.checks.filter("check_id = 'POLICY_001'").first().status == "fail"
+    assert run(spark, {"html": ""}, {**policy(""), "url": "https://e.com/privacy-policy", "fallback": True}).sites.first().policy_found
+
+
+def test_cookies_of_pages_that_were_read(spark):
+    rows = [(0, "https://e.com/a", 404, "text/html", ["gone"], False), (1, "https://e.com/b.pdf", 200, "application/pdf", ["file"], False),
+            (2, "https://e.com/c", 200, "text/plain", ["plain"], False), (3, "https://e.com/d", 200, "text/html", ["probe"], True),
+            (4, "https://e.com/e", 200, "text/html", ["own"], None)]
+    crawl = spark.createDataFrame(rows, "page_ord long, url string, status_code int, content_type string, cookies array<string>, is_fallback boolean")
+    assert [r.name for r in sites.site_cookies(crawl).collect()] == ["own"]
+
+
+def test_markers_after_a_very_long_text(spark):
+    far = policy("слово " * 40_000 + "трансграничная передача, google analytics")
+    got = statuses(spark, script("www.google-analytics.com"), far)
+    assert (got["TRACKER_001"], got["TRACKER_002"]) == ("pass", "pass")
+
+
 def test_invalid_candidate_blocks_fallback_documents(spark):
     short = {"url": POLICY, "html": "<p>Кратко</p>"}
     extra = {**policy(""), "url": "https://e.com/legal/privacy", "fallback": True}
@@ -159,7 +184,7 @@ def test_best_policy_prefers_valid_then_long_then_url(spark):
             ("s", 2, "https://e.com/politika", 600, True), ("t", 0, "https://t.com/a", 18, True), ("t", 1, "https://t.com/b", 5000, True)]
     table = spark.createDataFrame(rows, "site string, page_ord bigint, url string, n int, ru boolean").select(
         "site", "page_ord", "url", F.lit(False).alias("is_fallback"), F.struct(
-            "url", "page_ord", F.col("n").alias("stored_length"), F.col("ru").alias("is_russian")).alias("policy"))
+            "url", "page_ord", F.col("n").alias("content_length"), F.col("ru").alias("is_russian")).alias("policy"))
     got = {r.site: r.url for r in policies.best_policies(table).collect()}
     assert got == {"s": "https://e.com/politika", "t": "https://t.com/b"}
 

@@ -46,8 +46,9 @@ CANDIDATES_CTE = f"""titled AS (SELECT *, {TITLE_SQL} AS title FROM crawl),
 texts AS (
   SELECT {site('url')} AS site, page_ord, url, is_fallback, pdf_method, content_type,
     CASE WHEN content_type = 'application/pdf' THEN pdf_text ELSE {VISIBLE_SQL} END AS text
-  FROM titled WHERE ({IS_HTML_SQL} AND {POLICY_PAGE_SQL})
-    OR (content_type = 'application/pdf' AND status_code NOT BETWEEN 400 AND 499)),
+  FROM titled WHERE (({IS_HTML_SQL} AND {POLICY_PAGE_SQL})
+    OR (content_type = 'application/pdf' AND status_code NOT BETWEEN 400 AND 499))
+    AND (NOT is_fallback OR status_code = 200)),
 candidates AS (SELECT *, {PRIORITY_SQL.format(p=path('url'))} AS priority,
   {cyrillic('text')} AS is_russian, {FLAG_COLUMNS}, {ELEMENTS}, {DISCLOSED},
   coalesce({contains_any('lower(text)', fixed.OFFER_MARKERS)}, FALSE) AS has_offer,
@@ -76,7 +77,7 @@ def p12(spark, sf):
 
 
 @query("P13_policy_provenance", f"""WITH {crawl_cte()}, {CANDIDATES_CTE}
-SELECT site, page_ord, sha256(text) AS text_hash, length(text) AS content_length, length(text) > 100000 AS text_truncated FROM candidates""")
+SELECT site, page_ord, sha256(text) AS text_hash, length(text) AS content_length, CASE WHEN text IS NOT NULL THEN FALSE END AS text_truncated FROM candidates""")
 def p13(spark, sf):
     return candidates(spark, sf).select(
         "site", "page_ord", "policy.text_hash", "policy.content_length", "policy.text_truncated")
@@ -103,7 +104,7 @@ def w6(spark, sf):
 
 URL_ONLY_CTE = f"""url_only AS (
   SELECT site, norm_url AS policy_url FROM (
-    SELECT {site('url')} AS site, page_ord, {norm('url')} AS norm_url FROM crawl) t
+    SELECT {site('url')} AS site, page_ord, {norm('url')} AS norm_url FROM crawl WHERE NOT is_fallback) t
   WHERE {rx('norm_url', fixed.POLICY_URL_PATTERN)} AND site NOT IN (SELECT site FROM candidates)
   QUALIFY row_number() OVER (PARTITION BY site ORDER BY {PRIORITY_SQL.format(p=path('norm_url'))} DESC, page_ord) = 1)"""
 
@@ -181,8 +182,9 @@ script_sites AS (
 banner_sites AS (
   SELECT * FROM banners WHERE NOT is_fallback QUALIFY row_number() OVER (PARTITION BY site ORDER BY page_ord) = 1),
 page_sites AS (
-  SELECT {site('url')} AS site, arg_min(url, page_ord) AS site_url, bool_or(url LIKE 'https%') AS ssl,
-    count_if(status_code BETWEEN 400 AND 499) AS client_errors,
+  SELECT {site('url')} AS site, coalesce(arg_min(url, page_ord) FILTER (NOT is_fallback),
+      arg_min(url, page_ord)) AS site_url, bool_or(url LIKE 'https%' AND NOT is_fallback) AS ssl,
+    count_if(status_code BETWEEN 400 AND 499 AND NOT is_fallback) AS client_errors,
     count_if({IS_HTML_SQL} AND NOT is_fallback) AS main_pages,
     count_if({IS_HTML_SQL} AND NOT is_fallback AND NOT has_footer_link) AS main_without
   FROM crawl LEFT JOIN feet USING (page_ord) GROUP BY 1),
@@ -406,7 +408,7 @@ FROM wide LEFT JOIN banned USING (site)""")
 def a9(spark, sf):
     a = audit_plan.audit(ct.crawl_table(spark, sf), materialise=True)
     scripts = script_ops.mark_prohibited(script_ops.site_scripts(script_ops.scripts_of_facts(a.facts)))
-    return scoring.summary_inputs(a.sites, scripts, scoring.violation_lines(a.violations)).drop("site_url", "violations_summary")
+    return scoring.summary_inputs(a.sites, scripts, scoring.violation_lines(a.violations, 15)).drop("site_url", "violations_summary")
 
 
 @query("A9_first_violations_text", f"""WITH {VIOLATIONS_CTE},
@@ -415,7 +417,7 @@ SELECT site, count(*) AS lines, string_agg('[' || severity || ']', ',' ORDER BY
 FROM ranked WHERE rank <= 15 GROUP BY site""")
 def a9_lines(spark, sf):
     lines = F.split("violations_summary", "\n")
-    return scoring.violation_lines(violations(spark, sf)).select(
+    return scoring.violation_lines(violations(spark, sf), 15).select(
         "site", F.size(lines).cast("bigint").alias("lines"),
         F.array_join(F.transform(lines, lambda s: F.regexp_extract(s, r"^- (\[[a-z]+\])", 1)), ",").alias("severities"))
 

@@ -123,7 +123,7 @@ FROM (
          WHEN page_id % 11 = 7 THEN regexp_extract(url, '^[a-z]+://[^/]+', 0) || '/politika/'
          WHEN page_id % 11 = 9 THEN regexp_extract(url, '^[a-z]+://[^/]+', 0) || '/docs/policy-' || CAST(page_id AS STRING) || '.pdf'
          ELSE url END AS url,
-    CAST(CASE WHEN page_id % 13 = 5 THEN 404 ELSE 200 END AS INT) AS status_code,
+    CAST(CASE WHEN page_id % 13 = 5 OR (page_id % 19 = 6 AND page_id % 2 = 0 AND {IS_POLICY_PAGE_ROW}) THEN 404 ELSE 200 END AS INT) AS status_code,
     CASE WHEN page_id % 11 = 9 THEN 'application/pdf'
          WHEN page_id % 17 = 8 THEN 'text/plain' ELSE 'text/html; charset=utf-8' END AS content_type,
     replace(replace(replace(

@@ -47,7 +47,7 @@ ORG_LISTS = {
 
 
 def organizations(spark, sf):
-    flat = crawl_source.spread(table(spark, sf, "customer")).select(
+    flat = table(spark, sf, "customer").select(
         *[F.expr(e).alias(n) for n, e in ORG_FIELDS.items()],
         *[F.when(F.expr(e) != "", F.split(F.expr(e), ",")).otherwise(F.array().cast("array<string>")).alias(n)
           for n, e in ORG_LISTS.items()],
@@ -90,7 +90,7 @@ def org_reports(spark, sf):
 
 
 RECENT_CTE = """recent AS (SELECT DISTINCT organization_id FROM (SELECT 'org' || o_custkey AS organization_id FROM orders
-  ORDER BY o_orderdate DESC, 'r' || o_orderkey DESC LIMIT 1000))"""
+  WHERE o_orderdate >= DATE '1998-01-01'))"""
 
 
 @query("T1_newest_reports", "SELECT 'r' || o_orderkey AS id, 'org' || o_custkey AS organization_id, o_orderdate AS report_date FROM orders ORDER BY o_orderdate DESC, 'r' || o_orderkey DESC LIMIT 20")
@@ -149,7 +149,7 @@ def j9(spark, sf):
 @query("J10_affected_recent_orgs", f"""WITH {UPDATES_VALUES}, {DOCS_CTE}, {RECENT_CTE}
 SELECT d.id, organization_id, upd.id AS update_id FROM docs d JOIN upd USING (doc_type) SEMI JOIN recent USING (organization_id)""")
 def j10(spark, sf):
-    recent = legal.recent_organizations(org_reports(spark, sf))
+    recent = legal.recent_organizations(org_reports(spark, sf), F.lit("1998-01-01").cast("date"))
     return legal.affected_documents(dimensions.legal_updates(spark), org_documents(spark, sf), recent).select(
         "id", "organization_id", "update_id")
 
@@ -194,10 +194,10 @@ def a16(spark, sf):
 
 
 @query("D10_combined_context", f"""SELECT doc_id, array_to_string(list_filter([CASE WHEN doc_id % 3 > 0 THEN 'stored ' || doc_id END,
-  CASE WHEN doc_id % 2 = 0 THEN {lit(fixed.WEB_CONTEXT_HEADER)} || chr(10) || chr(10) || left(text, 50) END], lambda x: x IS NOT NULL), chr(10) || chr(10)) AS context FROM documents""")
+  CASE WHEN doc_id % 2 = 0 THEN {lit(fixed.WEB_CONTEXT_HEADER)} || chr(10) || chr(10) || text END], lambda x: x IS NOT NULL), chr(10) || chr(10)) AS context FROM documents""")
 def d10(spark, sf):
     stored = F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("stored "), F.col("doc_id").cast("string"))).otherwise("")
-    web = F.when(F.col("doc_id") % 2 == 0, F.substring("text", 1, 50))
+    web = F.when(F.col("doc_id") % 2 == 0, F.col("text"))
     return table(spark, sf, "documents").select("doc_id", legal.combined_context(stored, web).alias("context"))
 
 

@@ -99,7 +99,7 @@ def d1_full(spark, sf):
 
 @query("D3_change_class", f"""WITH {SNAP_CTE} SELECT id, {contains_any('d', fixed.MEANINGFUL_STEMS)} AS meaningful, {CLASS_SQL} AS change_type FROM diffed""")
 def d3(spark, sf):
-    return monitoring.with_line_diff(changed(spark, sf)).select(
+    return monitoring.with_diff(changed(spark, sf)).select(
         "id", diffs.is_meaningful(F.col("diff")).alias("meaningful"), diffs.change_class(F.col("diff")).alias("change_type"))
 
 
@@ -124,7 +124,7 @@ def d4_queue(spark, sf):
 
 
 def queue(spark, sf):
-    return monitoring.competitor_changes(monitoring.with_line_diff(changed(spark, sf)), sources(spark))
+    return monitoring.competitor_changes(monitoring.with_diff(changed(spark, sf)), sources(spark))
 
 
 ANALYSIS_SELECT = """SELECT event_id AS id, CASE event_id % 5 WHEN 0 THEN 'ошибка'
@@ -177,12 +177,12 @@ legal AS (SELECT d.id, d.source_id, d.url, coalesce(name, d.source_id) AS source
 
 def legal(spark, sf):
     return monitoring.legal_changes(
-        monitoring.with_line_diff(changed(spark, sf)), sources(spark), analyses(spark, sf))
+        monitoring.with_diff(changed(spark, sf)), sources(spark), analyses(spark, sf))
 
 
 @query("J7_keyword_filter", f"""WITH {SNAP_CTE}, {SOURCES_CTE} SELECT id, {MEANING_SQL} AS meaningful FROM diffed LEFT JOIN sources USING (source_id)""")
 def j7(spark, sf):
-    joined = monitoring.with_line_diff(changed(spark, sf)).join(sources(spark), "source_id", "left")
+    joined = monitoring.with_diff(changed(spark, sf)).join(sources(spark), "source_id", "left")
     return joined.select("id", diffs.is_legally_meaningful(F.col("diff"), F.col("keywords")).alias("meaningful"))
 
 
@@ -230,7 +230,7 @@ IS_LEGAL_SQL = "coalesce(change_type = 'npa' OR coalesce(npa_critical, FALSE), F
 
 def all_changes(spark, sf):
     """Competitor and legal changes from one pass over the history."""
-    diffed = monitoring.with_line_diff(changed(spark, sf))
+    diffed = monitoring.with_diff(changed(spark, sf))
     is_legal_source = F.col("source_id").isin(*LEGAL_SOURCES)
     cols = ["id", "source_id", "url", "diff_summary", "change_type", "threat_score", "npa_critical", "detected_at"]
     replies_ = analyses(spark, sf)
@@ -243,7 +243,7 @@ def all_changes(spark, sf):
 def pending(spark, sf):
     changes = all_changes(spark, sf)
     digested = table(spark, sf, "events").filter("event_id % 4 = 1").select(F.col("event_id").alias("change_id"))
-    return digest.pending_changes(changes, digested)
+    return digest.pending_changes(changes, digested, 100)
 
 
 @query("T4_pending_changes", f"WITH {ALL_CHANGES_CTE} SELECT id, source_id, change_type, threat_score, npa_critical FROM pending")

@@ -29,7 +29,7 @@ def rx(column: str, pattern: str) -> str:
 
 
 def pages(spark, sf):
-    return crawl_source.spread(table(spark, sf, "pages"))
+    return table(spark, sf, "pages")
 
 
 # -- sources ------------------------------------------------------------------
@@ -49,7 +49,7 @@ def s2(spark, sf):
 
 @query("S2_error_relation", f"""WITH {crawl_cte()}
 SELECT {site('url')} AS site, page_ord, url, url || ': HTTP ' || status_code AS error
-FROM crawl WHERE status_code BETWEEN 400 AND 499""")
+FROM crawl WHERE status_code BETWEEN 400 AND 499 AND NOT is_fallback""")
 def s2_errors(spark, sf):
     return crawl_source.crawl_errors(ct.crawl_table(spark, sf))
 
@@ -228,10 +228,10 @@ g AS (SELECT *, {POLICY_PAGE_SQL} AS is_policy FROM f
   WHERE NOT regexp_matches(lower({path('abs_url')}), '[.]({EXT})$') OR {rx('abs_url', fixed.POLICY_URL_PATTERN)})
 SELECT site, norm_url, abs_url, is_policy,
   row_number() OVER (PARTITION BY site ORDER BY is_policy DESC, page_ord, link_ord, norm_url) AS rank
-FROM g QUALIFY rank <= 10""")
+FROM g QUALIFY rank <= 50""")
 def w9(spark, sf):
     crawl = ct.crawl_table(spark, sf)
-    return site_ops.crawl_frontier(page_ops.outlinks(crawl), site_ops.fetched_urls(crawl), max_pages=10)
+    return site_ops.crawl_frontier(page_ops.outlinks(crawl), site_ops.fetched_urls(crawl), max_pages=50)
 
 
 PRIV = fixed.PRIVACY_LINK_PATTERN
@@ -414,7 +414,7 @@ def a8(spark, sf):
 
 
 @query("A5_site_cookies", f"""WITH {crawl_cte()},
-c AS (SELECT {site('url')} AS site, page_ord, url, unnest(string_split(cookies_csv, ',')) AS name FROM crawl WHERE cookies_csv <> '')
+c AS (SELECT {site('url')} AS site, page_ord, url, unnest(string_split(cookies_csv, ',')) AS name FROM crawl WHERE cookies_csv <> '' AND NOT is_fallback AND {IS_HTML_SQL})
 SELECT site, name, url AS page_url FROM c QUALIFY row_number() OVER (PARTITION BY site, name ORDER BY page_ord) = 1""")
 def a5_cookies(spark, sf):
     return site_ops.site_cookies(ct.crawl_table(spark, sf)).select("site", "name", "page_url")
@@ -452,20 +452,20 @@ def x12(spark, sf):
     return t.select("page_id", F.md5("t").alias("text_md5"), F.length("t").alias("n_chars"))
 
 
-def main_text_sql(limit: int) -> str:
+def main_text_sql() -> str:
     inner = "regexp_extract(regexp_replace(html, '(?s)<!--.*?-->', chr(1), 'g'), '(?is)<article[^>]*>(.*?)</article>', 1)"
     lines = (f"list_filter(list_transform(string_split({strip_tags_sql(inner)}, chr(10)), lambda t: "
              "trim(t, ' ' || chr(9) || chr(13) || chr(160))), lambda t: t <> '')")
-    return f"left(array_to_string({lines}, chr(10)), {limit})"
+    return f"array_to_string({lines}, chr(10))"
 
 
-@query("X10_main_text_monitor", f"SELECT page_id, md5(t) AS text_md5, length(t) AS n_chars FROM (SELECT page_id, {main_text_sql(10240)} AS t FROM pages)")
+@query("X10_main_text_monitor", f"SELECT page_id, md5(t) AS text_md5, length(t) AS n_chars FROM (SELECT page_id, {main_text_sql()} AS t FROM pages)")
 def x10(spark, sf):
     t = pages(spark, sf).select("page_id", page_tree.main_content(F.col("html")).alias("t"))
     return t.select("page_id", F.md5("t").alias("text_md5"), F.length("t").alias("n_chars"))
 
 
-@query("X11_main_text_research", f"SELECT page_id, md5(t) AS text_md5, length(t) AS n_chars FROM (SELECT page_id, {main_text_sql(12000)} AS t FROM pages)")
+@query("X11_main_text_research", f"SELECT page_id, md5(t) AS text_md5, length(t) AS n_chars FROM (SELECT page_id, {main_text_sql()} AS t FROM pages)")
 def x11(spark, sf):
     t = pages(spark, sf).select("page_id", page_tree.main_content(F.col("html"), "research").alias("t"))
     return t.select("page_id", F.md5("t").alias("text_md5"), F.length("t").alias("n_chars"))

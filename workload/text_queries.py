@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from auditspan.functions import replies
 from auditspan.functions import text as tx
-from auditspan.sources.crawl import spread
 from workload.audit_queries import cyrillic
 from workload.crawl_table import lit
 from workload.registry import query, table
@@ -20,11 +19,11 @@ POLICY_FLAGS_EN = (
 
 MIXED = ("CASE doc_id % 5 WHEN 0 THEN text WHEN 1 THEN repeat('Политика данных. ', CAST(1 + n_chars % 60 AS INT)) "
          "WHEN 2 THEN repeat('данные и ', CAST(n_chars / 10 AS INT)) || text WHEN 3 THEN '' "
-         "ELSE repeat('Обработка ', 60) || substring(text, 1, 400) END")
+         "ELSE repeat('Обработка ', 60) || text END")
 
 
 def docs(spark, sf):
-    return spread(table(spark, sf, "documents"))
+    return table(spark, sf, "documents")
 
 
 @query("P10_cyrillic_share", f"SELECT doc_id, {cyrillic('t')} AS is_russian FROM (SELECT doc_id, {MIXED.replace('n_chars / 10', 'n_chars // 10')} AS t FROM documents)")
@@ -50,9 +49,9 @@ def p12_en(spark, sf):
 
 
 @query("P13_text_provenance", """SELECT doc_id, sha256(text) AS text_hash, length(text) AS content_length,
-  length(left(text, 5000)) AS stored, length(text) > 5000 AS text_truncated FROM documents""")
+  length(text) AS stored, FALSE AS text_truncated FROM documents""")
 def p13(spark, sf):
-    p = tx.provenance(F.col("text"), limit=5000)
+    p = tx.provenance(F.col("text"))
     return docs(spark, sf).select(
         "doc_id", p["text_hash"].alias("text_hash"), p["content_length"].alias("content_length"),
         F.length(p["stored_text"]).alias("stored"), p["text_truncated"].alias("text_truncated"))
@@ -63,12 +62,12 @@ def p16(spark, sf):
     return docs(spark, sf).select("doc_id", tx.count_items(F.col("text")).cast("bigint").alias("items"))
 
 
-PREAMBLE = ("CASE doc_id % 3 WHEN 0 THEN 'Here is the answer:' || chr(10) || 'Вывод: ' || substring(text, 1, 300) "
-            "WHEN 1 THEN 'Итог' || chr(10) || substring(text, 1, 100) ELSE 'No ' || replace(substring(text, 1, 100), chr(10), ' ') END")
+PREAMBLE = ("CASE doc_id % 3 WHEN 0 THEN 'Here is the answer:' || chr(10) || 'Вывод: ' || text "
+            "WHEN 1 THEN 'Итог' || chr(10) || text ELSE 'No ' || replace(text, chr(10), ' ') END")
 
 
-@query("X17_strip_preamble", f"""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Вывод: ' || substring(text, 1, 300)
-  WHEN 1 THEN 'Итог' || chr(10) || substring(text, 1, 100) ELSE '' END AS kept FROM documents""")
+@query("X17_strip_preamble", f"""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Вывод: ' || text
+  WHEN 1 THEN 'Итог' || chr(10) || text ELSE '' END AS kept FROM documents""")
 def x17(spark, sf):
     return docs(spark, sf).select("doc_id", F.expr(PREAMBLE).alias("t")).select(
         "doc_id", tx.strip_preamble(F.col("t")).alias("kept"))
