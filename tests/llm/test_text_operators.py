@@ -439,3 +439,12 @@ def test_the_unlabelled_risk_is_not_pushed_below_zero():
     unlabelled = toxicity.Rows(np.concatenate([np.zeros(50, np.int64), np.ones(50, np.int64)]), np.arange(101))
     w = toxicity.train(toxic, unlabelled, 2, 0.5, 0)
     assert w[0] + w[2] > 1 and w[1] + w[2] < -1
+
+
+def test_samples_are_bounded_and_do_not_depend_on_the_split(spark):
+    from auditspan.llm.samples import labelled_sample
+    rows = spark.range(5000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 100 == 0, "rare").otherwise("often").alias("y"),
+                                    F.lit(1).alias("label"), F.lit(2).alias("place"))
+    taken = labelled_sample(rows, "y", 30).groupBy("label").count().collect()
+    assert {r.label: r["count"] for r in taken} == {"rare": 30, "often": 30}
+    assert set(labelled_sample(rows, "y", 30).collect()) == set(labelled_sample(rows.repartition(7), "y", 30).collect())
