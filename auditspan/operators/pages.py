@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditspan.functions import forms as fm
-from auditspan.functions import markup, page_tree, registries, urls
+from auditspan.functions import markup, page_elements, registries, urls
 from auditspan.functions import text as tx
 from auditspan.knowledge import fixed_values as fixed
 from auditspan.sources import crawl as crawl_source
@@ -126,8 +126,11 @@ def page_facts(crawl: DataFrame) -> DataFrame:
     pages = with_source(crawl).withColumns({
         "title": tx.page_title(F.col("html")),
         "links": markup.anchors(F.col("source")),
-        "tree": page_tree.tree_facts(F.col("html")),
+        "elements": page_elements.page_elements(F.col("html")),
     })
+    pages = pages.withColumn("tree", F.struct(
+        page_elements.page_forms(F.col("elements")).alias("forms"), page_elements.page_banner(F.col("elements")).alias("banner"),
+        page_elements.banner_hrefs(F.col("elements")).alias("banner_hrefs"), F.col("elements.error").alias("error")))
     pages = with_resources(pages).withColumns({
         "footer_href": markup.footer_privacy_href(F.col("source"), F.col("links")),
         "page_href": markup.first_privacy_href(F.col("links")),

@@ -2,13 +2,23 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from auditspan.functions import markup, page_tree
+from auditspan.functions import markup, page_elements
 from auditspan.functions import text as tx
 from auditspan.operators import pages, scripts
 
 
+@pytest.fixture(autouse=True)
+def session(spark):
+    global SPARK
+    SPARK = spark
+
+
 def tree(html):
-    return page_tree.page_facts(html)
+    e = F.col("e")
+    row = SPARK.createDataFrame([(html,)], "html string").select(page_elements._elements("html").alias("e")).select(
+        page_elements.page_forms(e).alias("forms"), page_elements.page_banner(e).alias("banner"),
+        page_elements.banner_hrefs(e).alias("hrefs"), e["error"].alias("error")).first()
+    return row.asDict(recursive=True)
 
 
 def crawl(spark, *rows):
@@ -108,7 +118,7 @@ def test_entities_attributes_and_quotes(spark):
 
 def main(spark, html, purpose="monitor"):
     return spark.createDataFrame([(html,)], "html string").select(
-        page_tree.main_content(F.col("html"), purpose).alias("t")).first().t
+        page_elements.main_content(F.col("html"), purpose).alias("t")).first().t
 
 
 def test_main_content(spark):
@@ -129,8 +139,9 @@ def test_title_and_text(spark):
 
 
 def test_broken_input_is_reported_not_raised():
-    assert page_tree.page_facts(None) is None
-    assert page_tree.page_facts("<form><input name=a" + "<" * 50)["error"] is None
+    assert page_elements.elements_of(None) is None
+    assert page_elements.elements_of("<form><input name=a" + "<" * 50)["error"] is None
+    assert "error" in page_elements.elements_of(5) and tree(None)["forms"] is None
 
 
 @pytest.mark.parametrize("piece", ["<!--", "<a ", "<script", "<script ", "<title ", "<style x", "<a href='", '<img a="'])
@@ -143,3 +154,21 @@ def test_hostile_markup_is_passed_over_once(spark, piece):
         F.length(tx.visible_text(F.col("html"))), tx.page_title(F.col("html")), F.size(markup.anchors(source)),
         F.size(markup.resource_tags(source))).collect()
     assert time.perf_counter() - started < 20
+
+
+def test_rules_over_intervals():
+    form, = tree('<div id=cookie-bar><form action=/x><label for=m>Почта <b>тут</b></label><div><input id=m name=m>'
+                 '<input type=checkbox id=k checked> принимаю <b>обработку</b></div><a href=/privacy>Условия</a></form></div>'
+                 '<label for=k>чужая</label>')["forms"]
+    assert form["fields"][0]["label"] == "Почтатут" and form["action"] == "/x" and form["form_privacy_href"] == "/privacy"
+    assert form["consent_prechecked"] and form["consent_text"] == "принимаю обработку принимаю"
+    found = tree('<div class="a cookie_notice"><p id=x>t</p><a href="/legal">L</a><div id="cookie-popup"><a href="/legal">L</a>'
+                 '<input type=button value="Decline"></div></div><a href="/privacy">out</a>')
+    assert found["hrefs"] == ["/legal"] and found["banner"]["has_decline"] and not found["banner"]["has_accept"]
+
+
+@pytest.mark.parametrize("piece", ["<b></i>", "<div>", "<p><b>", "</div>"])
+def test_cutting_is_linear(piece):
+    started = time.perf_counter()
+    page_elements.elements_of(piece * (500_000 // len(piece)))
+    assert time.perf_counter() - started < 10

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from auditspan.functions import markup, page_tree, udtf, urls
+from auditspan.functions import markup, page_elements, urls
 from auditspan.functions import text as tx
 from auditspan.knowledge import fixed_values as fixed
 from auditspan.operators import pages as page_ops
@@ -461,21 +461,30 @@ def main_text_sql() -> str:
 
 @query("X10_main_text_monitor", f"SELECT page_id, md5(t) AS text_md5, length(t) AS n_chars FROM (SELECT page_id, {main_text_sql()} AS t FROM pages)")
 def x10(spark, sf):
-    t = pages(spark, sf).select("page_id", page_tree.main_content(F.col("html")).alias("t"))
+    t = pages(spark, sf).select("page_id", page_elements.main_content(F.col("html")).alias("t"))
     return t.select("page_id", F.md5("t").alias("text_md5"), F.length("t").alias("n_chars"))
 
 
 @query("X11_main_text_research", f"SELECT page_id, md5(t) AS text_md5, length(t) AS n_chars FROM (SELECT page_id, {main_text_sql()} AS t FROM pages)")
 def x11(spark, sf):
-    t = pages(spark, sf).select("page_id", page_tree.main_content(F.col("html"), "research").alias("t"))
+    t = pages(spark, sf).select("page_id", page_elements.main_content(F.col("html"), "research").alias("t"))
     return t.select("page_id", F.md5("t").alias("text_md5"), F.length("t").alias("n_chars"))
 
 
-@query("X3_X8_page_facts_udtf", f"""WITH {crawl_cte()}, {FORM_VALUES}, {BANNER_VALUES}
+@query("X3_X8_page_fact_rows", f"""WITH {crawl_cte()}, {FORM_VALUES}, {BANNER_VALUES}
 SELECT page_ord, 'form' AS kind, form_ord AS ord FROM crawl JOIN form_facts USING (f) WHERE {IS_HTML_SQL}
 UNION ALL SELECT page_ord, 'banner', 0 FROM crawl JOIN banner_facts USING (b) WHERE {IS_HTML_SQL}
 UNION ALL SELECT page_ord, 'banner_link', 0 FROM crawl JOIN banner_facts USING (b) WHERE {IS_HTML_SQL} AND privacy_href IS NOT NULL""")
-def x3_udtf(spark, sf):
-    udtf.register(spark)
-    pages_ = crawl_source.html_pages(ct.crawl_table(spark, sf)).filter(page_tree.needs_tree(F.col("html")))
-    return spark.sql("SELECT p.page_ord, f.kind, f.ord FROM {p} p, LATERAL extract_page_facts(p.html, p.url) f", p=pages_)
+def x3_rows(spark, sf):
+    e = F.col("e")
+    cut = crawl_source.html_pages(ct.crawl_table(spark, sf)).select(
+        "page_ord", page_elements.page_elements(F.col("html")).alias("e")).filter("e IS NOT NULL")
+    found = cut.select("page_ord", page_elements.page_forms(e).alias("forms"), page_elements.page_banner(e).alias("banner"),
+                       page_elements.banner_hrefs(e).alias("hrefs"))
+
+    def row(kind, ord_):
+        return F.struct(F.lit(kind).alias("kind"), ord_.cast("int").alias("ord"))
+    return found.select("page_ord", F.explode(F.concat(
+        F.transform("forms", lambda f: row("form", f.getField("form_ord"))),
+        F.array_compact(F.array(F.when(F.col("banner").isNotNull(), row("banner", F.lit(0))))),
+        F.transform("hrefs", lambda h, i: row("banner_link", i)))).alias("r")).select("page_ord", "r.*")
