@@ -20,6 +20,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,17 +32,18 @@ from auditspan.llm.tasks import kept_table, map_rows
 
 SIZE = 1024
 END_ID = 0
-#: texts cut at spaces whose ids a worker remembers
-CACHE = 200_000
+#: words whose ids a worker process remembers, about 250 bytes each
+CACHE = 500_000
 #: rows of (task, length) that are sent to every executor
 MOST_OFFSETS = 2_000_000
 
 
 class Encoder:
-    """Ids of texts by a tokenizer file, remembering those of frequent words.
+    """Ids of texts by a tokenizer file, remembering those of words met before.
 
     A byte-level tokenizer never joins a word with the space after it, so a text is
-    cut before every single space between two other characters.
+    cut before every single space between two other characters.  Only words
+    without white space at their ends are remembered.
     """
 
     def __init__(self, path: str):
@@ -50,30 +52,43 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
         self.cache: dict[str, bytes] = {}
+        self.end = np.array([END_ID], np.uint32).tobytes()
 
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes()
-                for e in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word with a space before it, from one call."""
+        found = self.tokenizer.encode(" " + " ".join(words), add_special_tokens=False)
+        ids = np.array(found.ids, np.uint32)
+        first = np.cumsum([0, *(len(w) + 1 for w in words)])
+        cuts = np.searchsorted(np.array([o[0] for o in found.offsets], np.int64), first)
+        return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids, END_ID last."""
         words = text.split(" ")
-        if "" in words or any(w[0].isspace() or w[-1].isspace() for w in words):
-            words = self._joined(words)
         head, rest = words[0], words[1:]
-        cache = self.cache
-        found = list(map(cache.get, rest))
-        if None in found:
+        found = list(map(self.cache.get, rest))
+        if None in found or head[-1:].isspace() or not head:
             new = list(dict.fromkeys(w for w, ids in zip(rest, found) if ids is None))
-            if len(cache) + len(new) > CACHE:
-                cache.clear()
-                new = list(dict.fromkeys(rest))
-            fresh = dict(zip(new, self._encode([" " + w for w in new])))
-            found = [ids if ids is not None else fresh[w] for w, ids in zip(rest, found)]
-            if len(new) <= CACHE:
-                cache.update((w, ids) for w, ids in fresh.items() if len(w) <= 64)
-        start = self._encode([head])[0] if head else b""
-        return b"".join([start, *found, np.array([END_ID], np.uint32).tobytes()])
+            if head[-1:].isspace() or not head or any(not w or w[0].isspace() or w[-1].isspace() for w in new):
+                return self._spaced(words)
+            known = dict(zip(new, self._encode_words(new))) if new else {}
+            found = [known[w] if ids is None else ids for w, ids in zip(rest, found)]
+            self._remember(known)
+        return b"".join([self._encode(head).tobytes(), *found, self.end])
+
+    def _remember(self, known: dict[str, bytes]) -> None:
+        if len(self.cache) + len(known) > CACHE:
+            self.cache.clear()
+        if len(known) <= CACHE:
+            self.cache.update((w, ids) for w, ids in known.items() if len(w) <= 64)
+
+    def _spaced(self, words: list[str]) -> bytes:
+        """A text with white space next to a space: its words stay together there."""
+        head, *rest = self._joined(words)
+        return b"".join([self._encode(head).tobytes(), *(self._encode(" " + w).tobytes() for w in rest), self.end])
 
     @staticmethod
     def _joined(words: list[str]) -> list[str]:
@@ -87,6 +102,12 @@ class Encoder:
         return [*out, " ".join(held)]
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """One encoder per worker process, so that what it remembers serves later tasks."""
+    return Encoder(path)
+
+
 @dataclass
 class Lot:
     """``count`` packs of one pattern; a slot is (rest length, offset in it, piece length, first rank)."""
@@ -233,7 +254,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, size: int = SIZE, with_ids: bo
     kind = dict(docs.dtypes)["doc_id"]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task = Encoder(tokenizer_path), TaskContext.get().partitionId()
+        encoder, task = encoder_of(tokenizer_path), TaskContext.get().partitionId()
         wide = encoder.tokenizer.get_vocab_size() > 1 << 16
         ranks, full = [0] * size, 0
         for batch in batches:

@@ -224,6 +224,16 @@ def test_remembered_ids_are_the_tokenizers(encoder, text):
     assert encoder.ids(text) == want == encoder.ids(text)
 
 
+def test_ids_of_many_new_words(encoder):
+    import random
+    r = random.Random(3)
+    signs = "abcé中😀'#$9.-\u0301Ġ"
+    for _ in range(200):
+        text = " ".join("".join(r.choice(signs) for _ in range(r.randrange(1, 12))) for _ in range(40))
+        ids = encoder.tokenizer.encode(text, add_special_tokens=False).ids + [packing.END_ID]
+        assert encoder.ids(text) == np.array(ids, np.uint32).tobytes()
+
+
 def test_packing_round_trip(tricky, texts, none, encoder):
     pieces = packing.pack(tricky.repartition(3), queries.tokenizer_path(), with_ids=True).collect()
     sequences, documents = {}, {}
