@@ -102,7 +102,8 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     runs = kept_table(map_rows(rows, suspects, f"run long, salt int, doc_id {kind}, key long, first int, "
                                                "windows array<long>"), "windows")
-    each = runs.select("run", "salt", "doc_id", "key", "first", F.posexplode("windows").alias("place", "window"))
+    # dealt before the windows are unpacked: a run of them moves as one row
+    each = runs.repartition("run", "salt").select("run", "salt", "doc_id", "key", "first", F.posexplode("windows").alias("place", "window"))
     same = Window.partitionBy("run", "salt", "window")
     each = each.select("run", "salt", "doc_id", "key", (F.col("first") + F.col("place")).alias("start"), "window",
                        F.count(F.lit(1)).over(same).alias("n"))
