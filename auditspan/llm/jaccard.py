@@ -149,7 +149,11 @@ def _links(members: DataFrame, percent: int) -> DataFrame:
     grouped = nodes.select("node", F.xxhash64("n", "prefix").alias("group"), "prefix")
     groups = grouped.groupBy("group", "prefix").agg(F.count(F.lit(1)).alias("size"))
     listed = groups.select("group", "size", F.explode("prefix").alias("shingle"))
-    lists = listed.groupBy("shingle").agg(F.sum("size").alias("members")).filter("members > 1")
+    lists = listed.groupBy("shingle").agg(
+        F.sum("size").alias("members"), F.bit_xor(F.xxhash64("group")).alias("who"),
+        F.bit_xor(F.xxhash64("group", F.lit(1))).alias("also")).filter("members > 1")
+    # shingles with the same members (two near copies share many) are one list
+    lists = lists.groupBy("members", "who", "also").agg(F.min("shingle").alias("shingle")).select("shingle", "members")
     # expand: the members of each listed group, in parts
     places = (listed.select("group", "shingle").join(lists, "shingle")
               .join(grouped.select("group", "node"), "group").select("shingle", "members", "node"))
