@@ -61,14 +61,14 @@ def placeholder_values(day: Column) -> dict[str, Column]:
         .when(abroad, F.lit(fixed.CROSS_BORDER_UNLISTED)).otherwise(F.lit(fixed.CROSS_BORDER_NONE)))
     legal_address = _filled("legal_address")
     return {
-        "LEGAL_NAME": F.col("legal_name"), "SHORT_NAME": _filled("short_name", F.col("legal_name")),
+        "LEGAL_NAME": F.coalesce("legal_name", need), "SHORT_NAME": _filled("short_name", F.col("legal_name"), need),
         "INN": _filled("inn", need), "OGRN": _filled("ogrn", need),
         "LEGAL_ADDRESS": F.coalesce(legal_address, need),
         "ACTUAL_ADDRESS": _filled("actual_address", legal_address, need),
         "CEO_NAME": _filled("ceo_name", need), "CEO_POSITION": F.coalesce("ceo_position", F.lit("Генеральный директор")),
         "RESPONSIBLE_PERSON": _filled("responsible_person", need),
         "RESPONSIBLE_CONTACT": _filled("responsible_contact", _filled("email"), need),
-        "WEBSITE_URL": F.col("website_url"), "EMAIL": _filled("email", need), "PHONE": _filled("phone", need),
+        "WEBSITE_URL": F.coalesce("website_url", need), "EMAIL": _filled("email", need), "PHONE": _filled("phone", need),
         "DATA_CATEGORIES": _listed("data_categories", fixed.REQUIRED_MARK),
         "PROCESSING_PURPOSES": _listed("processing_purposes", fixed.REQUIRED_MARK),
         "DATA_SUBJECTS": _listed("data_subjects", fixed.REQUIRED_MARK),

@@ -60,8 +60,9 @@ def append_legal_updates(updates: DataFrame, path: str) -> None:
     append(updates, path, fmt="json")
 
 
-def append_alerts(alerts: DataFrame, path: str) -> None:
-    append(alerts, path, fmt="json")
+def write_alerts(alerts: DataFrame, path: str, epoch: int) -> None:
+    """Alerts of one micro-batch; a retried batch replaces its own."""
+    alerts.write.mode("overwrite").json(f"{path.rstrip('/')}/epoch={epoch}")
 
 
 def upserted(existing: DataFrame, incoming: DataFrame, key: str = "id", updated_at: str = "updated_at") -> DataFrame:

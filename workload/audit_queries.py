@@ -13,6 +13,7 @@ from auditspan.operators import sites as site_ops
 from auditspan.plans import audit as audit_plan
 from auditspan.sources import dimensions
 from workload import crawl_table as ct
+from workload import dimension_files
 from workload.crawl_table import crawl_cte, lit, norm, path, site, values
 from workload.page_queries import (
     BANNERS_CTE, FOOTER_SQL, FORM_VALUES, IS_HTML_SQL, POLICY_PAGE_SQL, PRIORITY_SQL, SCRIPTS_CTE, TITLE_SQL,
@@ -307,7 +308,7 @@ def p18(spark, sf):
 SELECT site, check_id, status, coalesce(title, check_id) AS title, coalesce(severity, 'medium') AS severity, law AS law_reference
 FROM checks LEFT JOIN checklist USING (check_id)""")
 def j3(spark, sf):
-    return scoring.enrich_checks(checks(spark, sf), dimensions.checklist(spark)).select(
+    return scoring.enrich_checks(checks(spark, sf), dimension_files.checklist(spark)).select(
         "site", "check_id", "status", "title", "severity", "law_reference")
 
 
@@ -361,7 +362,7 @@ reports AS (SELECT *, CASE WHEN critical_violations >= 3 OR overall_score < 30 T
 
 @plan_once
 def reports(spark, sf):
-    return audit_plan.reports(sites(spark, sf), dimensions.checklist(spark), dimensions.fines(spark))
+    return audit_plan.reports(sites(spark, sf), dimension_files.checklist(spark), dimension_files.fines(spark))
 
 
 @query("A1_A2_score_and_counts", f"""WITH {REPORTS_CTE}
@@ -478,7 +479,7 @@ def t8(spark, sf):
 @query("T10_checks_by_category", f"""WITH {CHECKS_CTE}, {CHECKLIST}
 SELECT site, check_id, status FROM checks JOIN checklist USING (check_id) WHERE category = 'privacy_policy'""")
 def t10(spark, sf):
-    wanted = dimensions.checks_by_category(dimensions.checklist(spark), "privacy_policy").select(F.col("id").alias("check_id"))
+    wanted = dimensions.checks_by_category(dimension_files.checklist(spark), "privacy_policy").select(F.col("id").alias("check_id"))
     return checks(spark, sf).join(wanted, "check_id", "left_semi").select("site", "check_id", "status")
 
 

@@ -18,7 +18,8 @@ from workload.crawl_table import crawl_cte, lit, site, values
 from workload.monitor_queries import LEGAL_CTE, SNAP_CTE, SNAP_SELECT, snapshots
 from workload.monitor_queries import legal as legal_rows
 from workload.page_queries import IS_HTML_SQL
-from workload.registry import query, table
+from workload import dimension_files
+from workload.registry import plan_once, query, table
 from workload.text_queries import UPDATES_CTE, found_updates
 
 TYPES = [t[0] for t in fixed.DOCUMENT_TYPES]
@@ -137,12 +138,12 @@ def t9(spark, sf):
     requests = table(spark, sf, "orders").select(
         "o_orderkey", F.expr(TYPE_CASE.format(k="o_orderkey")).alias("doc_type"),
         F.date_add(F.lit("2025-01-01").cast("date"), (F.col("o_orderkey") % 365).cast("int")).alias("as_of"))
-    return legal.active_for_requests(requests, dimensions.legal_updates(spark)).select("o_orderkey", "doc_type", "id")
+    return legal.active_for_requests(requests, dimension_files.legal_updates(spark)).select("o_orderkey", "doc_type", "id")
 
 
 @query("J9_affected_documents", f"WITH {UPDATES_VALUES}, {DOCS_CTE} SELECT d.id, organization_id, d.doc_type, upd.id AS update_id FROM docs d JOIN upd USING (doc_type)")
 def j9(spark, sf):
-    return legal.affected_documents(dimensions.legal_updates(spark), org_documents(spark, sf)).select(
+    return legal.affected_documents(dimension_files.legal_updates(spark), org_documents(spark, sf)).select(
         "id", "organization_id", "doc_type", "update_id")
 
 
@@ -150,7 +151,7 @@ def j9(spark, sf):
 SELECT d.id, organization_id, upd.id AS update_id FROM docs d JOIN upd USING (doc_type) SEMI JOIN recent USING (organization_id)""")
 def j10(spark, sf):
     recent = legal.recent_organizations(org_reports(spark, sf), F.lit("1998-01-01").cast("date"))
-    return legal.affected_documents(dimensions.legal_updates(spark), org_documents(spark, sf), recent).select(
+    return legal.affected_documents(dimension_files.legal_updates(spark), org_documents(spark, sf), recent).select(
         "id", "organization_id", "update_id")
 
 
@@ -189,7 +190,7 @@ CONTEXT_CTE = f"""{UPDATES_VALUES}, ctx AS (SELECT doc_type, {lit(fixed.LEGAL_CO
 
 @query("A16_legal_context_of_documents", f"WITH {CONTEXT_CTE}, {DOCS_CTE} SELECT docs.id, md5(legal_context) AS context_md5 FROM docs JOIN ctx USING (doc_type)")
 def a16(spark, sf):
-    contexts = legal.legal_context(dimensions.legal_updates(spark))
+    contexts = legal.legal_context(dimension_files.legal_updates(spark))
     return org_documents(spark, sf).join(contexts, "doc_type").select("id", F.md5("legal_context").alias("context_md5"))
 
 
@@ -264,7 +265,7 @@ def _inputs(spark, sf, public_only=False):
     from auditspan.localtable import local_table
     templates = local_table(spark, TEMPLATE_ROWS, "doc_type string, template string")
     return doc_ops.generation_inputs(
-        organizations(spark, sf), templates, legal.legal_context(dimensions.legal_updates(spark)), public_only)
+        organizations(spark, sf), templates, legal.legal_context(dimension_files.legal_updates(spark)), public_only)
 
 
 @query("J14_document_package", f"""WITH {PACKAGE_CTE}
@@ -317,7 +318,7 @@ def w8_latest(spark, sf):
 
 def _rewrites(spark, sf, diff):
     current = doc_ops.latest_versions(org_documents(spark, sf))
-    affected = legal.affected_documents(dimensions.legal_updates(spark), current)
+    affected = legal.affected_documents(dimension_files.legal_updates(spark), current)
     number = F.regexp_extract("organization_id", r"(\d+)", 1).cast("bigint")
     contents = affected.select("organization_id", "doc_type", "update_id", F.when(
         number % 5 != 0, F.concat("content_md", F.lit("\nдополнено"))).alias("new_content"),
@@ -421,10 +422,28 @@ def _run(spark, stream, name, mode="append"):
     return spark.read.parquet(out)
 
 
+SLICES = 4
+
+
+@plan_once
+def _event_slices(spark, sf):
+    """Folder with the events in files of rising time, one micro-batch each."""
+    events = table(spark, sf, "events")
+    path = tables.scratch_path(spark, "events")
+    cuts = events.agg(F.percentile_approx(F.col("ts").cast("timestamp"), [i / SLICES for i in range(1, SLICES)])).first()[0]
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = events
+        if low is not None:
+            part = part.filter(F.col("ts").cast("timestamp") > F.lit(low))
+        if high is not None:
+            part = part.filter(F.col("ts").cast("timestamp") <= F.lit(high))
+        part.coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
 def _event_stream(spark, sf):
     schema = table(spark, sf, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option(
-        "maxFilesPerTrigger", 1).parquet(sf)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(_event_slices(spark, sf))
 
 
 def _snapshot_stream(spark, sf):
@@ -465,7 +484,7 @@ def st4(spark, sf):
     legal_rows(spark, sf).write.parquet(stored)
     out = tables.scratch_path(spark, "alerts")
     stream = spark.readStream.schema(spark.read.parquet(stored).schema).parquet(stored)
-    q = (stream.writeStream.foreachBatch(jobs.alert_writer(lambda alerts, epoch: tables.append_alerts(alerts, out)))
+    q = (stream.writeStream.foreachBatch(jobs.alert_writer(lambda alerts, epoch: tables.write_alerts(alerts, out, epoch)))
          .option("checkpointLocation", tables.scratch_path(spark, "alerts-progress")).trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.schema("id bigint, threat_score int, message string").json(out).select("id", "threat_score")

@@ -13,6 +13,7 @@ from auditspan.sources import crawl as crawl_source
 from auditspan.sources import dimensions
 from workload import crawl_table as ct
 from workload.crawl_table import crawl_cte, host, lit, norm, path, site, values
+from workload import dimension_files
 from workload.registry import plan_once, query, table
 
 
@@ -287,7 +288,7 @@ def j1(spark, sf):
 SELECT site, page_ord, url, service_name, service_name IS NOT NULL AS is_prohibited FROM scripts""")
 def j1_table(spark, sf):
     scripts = script_ops.page_scripts(ct.crawl_table(spark, sf))
-    return script_ops.match_services(scripts, dimensions.prohibited_services(spark)).select(
+    return script_ops.match_services(scripts, dimension_files.prohibited_services(spark)).select(
         "site", "page_ord", "url", "service_name", "is_prohibited")
 
 
@@ -302,7 +303,7 @@ def j2(spark, sf):
 SELECT domain, count(*) AS scripts FROM scripts
 WHERE domain IN ({', '.join(lit(d) for _, _, _, ds in fixed.PROHIBITED_SERVICES for d in ds)}) GROUP BY domain""")
 def a12(spark, sf):
-    banned = dimensions.prohibited_domains(dimensions.prohibited_services(spark))
+    banned = dimensions.prohibited_domains(dimension_files.prohibited_services(spark))
     scripts = script_ops.page_scripts(ct.crawl_table(spark, sf))
     return scripts.join(banned, "domain").groupBy("domain").agg(F.count("*").alias("scripts"))
 
