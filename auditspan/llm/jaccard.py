@@ -10,8 +10,8 @@ when 100 * common >= percent * all.
    stands nowhere else; it fills its place in the prefix but needs no look-up.
 2. Documents with equal sets become one member.  Members with equal size and
    equal prefix are collapsed into one group, and the groups, not the members, are listed under
-   the shingles of the prefix; shingles that only one member has are dropped.
-3. A shingle's groups are expanded and their members verified against each other in blocks: a
+   the shingles of the prefix; shingles that only one member has are dropped, and lists with the same first member are one.
+3. A list's groups are expanded and their members verified against each other in blocks: a
    list of many members is cut into parts, every pair of parts is one unit of work, and no
    unit holds more than two parts.  A unit hands on only as many links as
    connect its members, at most one fewer than they are.
@@ -147,20 +147,20 @@ def _links(members: DataFrame, percent: int) -> DataFrame:
     nodes = members.filter("node is not null").select("node", "n", "prefix").dropDuplicates(["node"])
     # groups: equal size and equal prefix; a shingle is listed once for each group
     grouped = nodes.select("node", F.xxhash64("n", "prefix").alias("group"), "prefix")
-    groups = grouped.groupBy("group", "prefix").agg(F.count(F.lit(1)).alias("size"))
-    listed = groups.select("group", "size", F.explode("prefix").alias("shingle"))
-    lists = listed.groupBy("shingle").agg(
-        F.sum("size").alias("members"), F.bit_xor(F.xxhash64("group")).alias("who"),
-        F.bit_xor(F.xxhash64("group", F.lit(1))).alias("also")).filter("members > 1")
-    # shingles with the same members (two near copies share many) are one list
-    lists = lists.groupBy("members", "who", "also").agg(F.min("shingle").alias("shingle")).select("shingle", "members")
+    groups = grouped.groupBy("group", "prefix").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("head"))
+    listed = groups.select("group", "size", "head", F.explode("prefix").alias("shingle"))
+    # shingles whose lists begin with the same member are one list: near copies share most of their shingles
+    lists = (listed.groupBy("shingle").agg(F.sum("size").alias("members"), F.min("head").alias("list"))
+             .filter("members > 1").select("shingle", "list"))
+    listed = listed.join(lists, "shingle").select("list", "group", "size").distinct()
+    sizes = listed.groupBy("list").agg(F.sum("size").alias("members"))
     # expand: the members of each listed group, in parts
-    places = (listed.select("group", "shingle").join(lists, "shingle")
-              .join(grouped.select("group", "node"), "group").select("shingle", "members", "node"))
+    places = (listed.select("list", "group").join(sizes, "list")
+              .join(grouped.select("group", "node"), "group").select("list", "members", "node"))
     parts = F.ceil(F.col("members") / PART).cast("int")
     own = F.pmod(F.xxhash64("node", F.lit(3)), parts).cast("int")
-    units = places.select("shingle", "node", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("with"))
-    units = units.select("node", "own", F.xxhash64("shingle", F.least("own", "with"), F.greatest("own", "with"))
+    units = places.select("list", "node", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("with"))
+    units = units.select("node", "own", F.xxhash64("list", F.least("own", "with"), F.greatest("own", "with"))
                          .alias("unit"))
     sets = members.filter("node is not null").select("node", "n", "common").dropDuplicates(["node"])
     dealt = units.join(sets, "node").select("unit", "own", "node", "n", "common")
