@@ -32,8 +32,8 @@ from auditspan.llm.tasks import kept_table, map_rows
 
 SIZE = 1024
 END_ID = 0
-#: words whose ids a worker process remembers, about 250 bytes each
-CACHE = 500_000
+#: words of a generation whose ids a worker process remembers, about 250 bytes each
+CACHE = 400_000
 #: rows of (task, length) that are sent to every executor
 MOST_OFFSETS = 2_000_000
 
@@ -51,7 +51,9 @@ class Encoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
+        # two generations: when the young one is full it becomes the old one
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.end = np.array([END_ID], np.uint32).tobytes()
 
     def _encode(self, text: str) -> np.ndarray:
@@ -71,17 +73,20 @@ class Encoder:
         head, rest = words[0], words[1:]
         found = list(map(self.cache.get, rest))
         if None in found or head[-1:].isspace() or not head:
-            new = list(dict.fromkeys(w for w, ids in zip(rest, found) if ids is None))
+            missing = dict.fromkeys(w for w, ids in zip(rest, found) if ids is None)
+            known = {w: ids for w in missing if (ids := self.older.get(w)) is not None}
+            new = [w for w in missing if w not in known]
             if head[-1:].isspace() or not head or any(not w or w[0].isspace() or w[-1].isspace() for w in new):
                 return self._spaced(words)
-            known = dict(zip(new, self._encode_words(new))) if new else {}
+            if new:
+                known.update(zip(new, self._encode_words(new)))
             found = [known[w] if ids is None else ids for w, ids in zip(rest, found)]
             self._remember(known)
         return b"".join([self._encode(head).tobytes(), *found, self.end])
 
     def _remember(self, known: dict[str, bytes]) -> None:
         if len(self.cache) + len(known) > CACHE:
-            self.cache.clear()
+            self.older, self.cache = self.cache, {}
         if len(known) <= CACHE:
             self.cache.update((w, ids) for w, ids in known.items() if len(w) <= 64)
 
