@@ -39,6 +39,8 @@ from auditspan.llm.tasks import kept_table, map_rows, text_bytes, utf8
 CLASSES = (2, 16, 200)
 #: members of one part of a shingle's list
 PART = 500
+#: tasks that the rows of one class are spread over when they get its name
+SALTS = 16
 #: columns of the table of common shingles that are multiplied at once
 COLUMNS = 4096
 
@@ -210,11 +212,16 @@ def near_duplicate_classes(docs: DataFrame, *, width: int = 3, percent: int = 90
     # rows that can link with nothing keep clear of the joins, where they would all have the key null
     alone = members.filter("node is null").select("doc_id", F.col("n").alias("n_shingles"),
                                                   F.col("doc_id").alias("component_id"))
-    rows = members.filter("node is not null").select("doc_id", "n", "node").join(roots, "node", "left").select(
-        "doc_id", "n", F.coalesce("root", "node").alias("class"))
-    least = rows.groupBy("class").agg(F.min("doc_id").alias("least"))
-    named = rows.join(least, "class").select("doc_id", F.col("n").alias("n_shingles"),
-                                             F.coalesce("least", "doc_id").alias("component_id"))
+    # a set or a class may hold a third of all rows: their rows meet one copy of the answer per salt
+    rows = members.filter("node is not null").select(
+        "doc_id", "n", "node", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    rows = rows.join(roots.select("node", "root", salts), ["node", "salt"], "left").select(
+        "doc_id", "n", "salt", F.coalesce("root", "node").alias("class"))
+    least = (rows.groupBy("class").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"))
+             .filter("rows > 1").select("class", "least", salts))
+    named = rows.join(least, ["class", "salt"], "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
     return alone.union(named)
 
 
