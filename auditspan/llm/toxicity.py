@@ -10,7 +10,8 @@ the step goes the other way, so that unlabelled toxic texts are not learned as
 clean.  A text is the set of its lower-cased words and of its byte strings of
 ``GRAMS`` lengths; the classifiers are linear in those that confirmed texts hold
 clearly more often than unlabelled ones.  Several of them, each with its own part
-of the unlabelled texts, are averaged.
+of the unlabelled texts, are averaged.  Only rows are sampled to fit: of each
+sampled text all features are counted.
 
 Rows: one per input row, repeated rows too.  Null and empty texts have no words
 and get the score of the bare intercept.  Without confirmed toxic texts every
@@ -18,6 +19,7 @@ score is the prior (0 without labels).
 """
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,15 +30,11 @@ from pyspark.sql import functions as F
 
 from auditspan.llm.arrays import mix, words
 from auditspan.llm.samples import labelled_sample, texts_of
-from auditspan.llm.tasks import map_rows, utf8
+from auditspan.llm.tasks import kept_table, map_rows, utf8
 
 #: confirmed texts, and unlabelled texts, that the classifiers are fitted on
 FIT_TOXIC = 1500
 FIT_UNLABELLED = 4500
-#: distinct features taken from one confirmed text of the sample (a longer text gives those of smallest hash)
-FIT_FEATURES = 6000
-#: features that enter the comparison with unlabelled texts
-MOST_FEATURES = 400_000
 CLASSIFIERS = 3
 #: a feature stands in at least this share of the confirmed texts, and in at least 3
 MIN_SHARE = 0.005
@@ -45,6 +43,8 @@ MIN_SCORE = 6.0
 GRAMS = (6, 8)
 #: bytes whose strings are taken at once
 PIECE = 1 << 20
+#: features of several texts that are counted at once
+COUNTED = 1 << 20
 STEPS = 400
 _FOLD = np.arange(256, dtype=np.uint64)
 _FOLD[65:91] += np.uint64(32)
@@ -164,16 +164,57 @@ def _rows(kept: list[np.ndarray]) -> Rows:
     return Rows(np.concatenate(kept), np.concatenate([[0], np.cumsum([len(k) for k in kept])]).astype(np.int64))
 
 
-def _gathered(texts: DataFrame, pick) -> list[np.ndarray]:
-    """``pick(bytes)`` of every text, an array each, in the order of ids."""
+def _gathered(texts: DataFrame, key: str, places: Places) -> list[np.ndarray]:
+    """Which of some features each text holds, an array each, in the order of ``key``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [pick(t).tobytes() for t in utf8(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "found"])
+            sets = [places.of(t).astype(np.int32).tobytes() for t in utf8(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(sets, pa.binary())], [key, "found"])
 
-    kind = dict(texts.dtypes)["doc_id"]
-    rows = map_rows(texts.select("doc_id", "text"), run, f"doc_id {kind}, found binary").toArrow().sort_by("doc_id")
-    return [np.frombuffer(x, np.uint64) for x in rows.column("found").to_pylist()]
+    kind = dict(texts.dtypes)[key]
+    rows = map_rows(texts.select(key, "text"), run, f"{key} {kind}, found binary").toArrow()
+    rows = rows.sort_by([(key, "ascending"), ("found", "ascending")])
+    return [np.frombuffer(x, np.int32) for x in rows.column("found").to_pylist()]
+
+
+def _without_copies(texts: DataFrame) -> DataFrame:
+    """(mark, text): one text of each set of features."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = [hashlib.blake2b(feature_set(t).tobytes(), digest_size=16).digest()
+                     for t in utf8(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([pa.array(marks, pa.binary()), batch.column("text")], ["mark", "text"])
+
+    return map_rows(texts.select("text"), run, "mark binary, text string").groupBy("mark").agg(
+        F.min("text").alias("text"))
+
+
+def _counted(texts: DataFrame, pick) -> DataFrame:
+    """(feature, n): how many texts have each of the distinct numbers that ``pick(bytes)`` gives."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted(sets):
+            found, n = np.unique(np.concatenate(sets), return_counts=True)
+            for at in range(0, len(found), COUNTED):
+                yield pa.RecordBatch.from_arrays([pa.array(x[at:at + COUNTED].astype(np.int64)) for x in (found, n)],
+                                                 ["feature", "n"])
+        sets, held = [], 0
+        for batch in batches:
+            for t in utf8(batch.column("text")):
+                sets.append(pick(t).view(np.int64))
+                held += len(sets[-1])
+                if held >= COUNTED:
+                    yield from counted(sets)
+                    sets, held = [], 0
+        if sets:
+            yield from counted(sets)
+
+    rows = map_rows(texts.select("text"), run, "feature long, n long")
+    return rows.groupBy("feature").agg(F.sum("n").alias("n"))
+
+
+def _collected(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    rows = counts.select("feature", "n").toArrow()
+    return tuple(rows.column(c).to_numpy().astype(np.int64) for c in ("feature", "n"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", prior: float | None = None,
@@ -181,8 +222,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", prior: floa
         classifiers: int = CLASSIFIERS) -> Model:
     """Fit on bounded samples; ``docs`` and ``labels`` are the rows that may be learned from.
 
-    ``prior`` is the share of toxic texts; by default that of the labels.  Only
-    sets of feature hashes reach the driver.
+    ``prior`` is the share of toxic texts; by default that of the labels.  Features
+    are counted in Spark over the whole sampled texts; those that stand in enough
+    confirmed texts reach the driver, and which telling ones each row holds.
     """
     counts = {int(r[0]): r[1] for r in labels.filter(f"{label} is not null").groupBy(label).count().collect()}
     total = sum(counts.values())
@@ -194,32 +236,29 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", prior: floa
     toxic = labelled_sample(labels.filter(f"{label} = 1"), label, fit_toxic).select("doc_id", F.lit(1).alias("label"))
     other = labelled_sample(docs.filter("text is not null").withColumn("label", F.lit(0)), "label", fit_unlabelled)
 
-    confirmed = _gathered(texts_of(docs, toxic), lambda t: feature_set(t)[:FIT_FEATURES])
+    sample = kept_table(texts_of(docs, toxic.union(other)), "toxicity")
     # copies of one text would make all of its words look typical
-    confirmed = list({x.tobytes(): x for x in confirmed}.values())
-    if not confirmed:
+    confirmed = kept_table(_without_copies(sample.filter("label = 1")), "confirmed")
+    unlabelled = sample.filter("label = 0")
+    n_confirmed, n_unlabelled = confirmed.count(), unlabelled.count()
+    if not n_confirmed or not n_unlabelled:
         return none
-    seen, texts = np.unique(np.concatenate(confirmed), return_counts=True)
-    often = texts >= min(max(3, MIN_SHARE * len(confirmed)), len(confirmed))
-    seen, texts = seen[often], texts[often]
-    if len(seen) > MOST_FEATURES:
-        top = np.sort(np.argsort(-texts, kind="stable")[:MOST_FEATURES])
-        seen, texts = seen[top], texts[top]
+    least = min(max(3, MIN_SHARE * n_confirmed), n_confirmed)
+    seen, texts = _collected(_counted(confirmed, feature_set).filter(F.col("n") >= least))
+    order = np.argsort(seen.view(np.uint64))
+    seen, texts = seen.view(np.uint64)[order], texts[order]
     if not len(seen):
         return none
-    places = Places(seen)
-    found = _gathered(texts_of(docs, other), lambda t: places.of(t).astype(np.uint64))
-    if not found:
-        return none
-    held = np.bincount(np.concatenate(found).astype(np.int64), minlength=len(seen))
-    low = (held + 0.5) / (len(found) + 1)
-    telling = (texts / len(confirmed) - low) / np.sqrt(low * (1 - low) / len(confirmed)) >= MIN_SCORE
+    at, n = _collected(_counted(unlabelled, Places(seen).of))
+    held = np.zeros(len(seen), np.int64)
+    held[at] = n
+    low = (held + 0.5) / (n_unlabelled + 1)
+    telling = (texts / n_confirmed - low) / np.sqrt(low * (1 - low) / n_confirmed) >= MIN_SCORE
     if not telling.any():
         return none
-    new = np.cumsum(telling) - 1
-    other_rows = [new[x[telling[x]]] for x in (y.astype(np.int64) for y in found)]
     features = seen[telling]
-    inputs = _rows([matches(x, features) for x in confirmed]), _rows(other_rows)
+    places = Places(features)
+    inputs = _rows(_gathered(confirmed, "mark", places)), _rows(_gathered(unlabelled, "doc_id", places))
     return Model(features, np.stack([train(*inputs, len(features), prior, seed) for seed in range(classifiers)]),
                  prior)
 

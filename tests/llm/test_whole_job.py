@@ -3,9 +3,10 @@ import math
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 
-from auditspan.llm import decontamination
+from auditspan.llm import decontamination, toxicity
 from tests.llm.conftest import prose
 
 
@@ -58,3 +59,28 @@ def test_decontamination_equals_alignment_without_seeds(spark, monkeypatch):
         found = {(x.doc_id, x.item_id): (x.doc_start, x.window_words, x.matched_words)
                  for x in decontamination.contaminated(*tables).collect()}
         assert found == want
+
+
+# 5 toxicity
+
+def test_whole_toxic_texts_enter_the_fit(spark):
+    r = random.Random(8)
+
+    def text(toxic):
+        noise = [f"w{r.randrange(10 ** 9)}" for _ in range(700)]
+        return " ".join(noise + ["grumbler snarling at the knave", "you blithering scoundrel"] * toxic)
+    rows = [(i, text(i % 5 == 0), int(i % 5 == 0)) for i in range(150)]
+    rows += [(1000 + i, rows[0][1], 1) for i in range(5)] + [(rows[5][0], rows[5][1], 1), (2000, None, 1)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    model = toxicity.fit(table.select("doc_id", "text"), table.select("doc_id", "toxic").distinct())
+
+    texts = [(t.encode(), y) for _, t, y in rows if t is not None]
+    confirmed = {s.tobytes(): s for s in (toxicity.feature_set(t) for t, y in texts if y)}.values()
+    assert min(map(len, confirmed)) > 12_000
+    seen, n = np.unique(np.concatenate(list(confirmed)), return_counts=True)
+    seen, n = seen[n >= 3], n[n >= 3]
+    found = np.concatenate([toxicity.feature_set(t) for t, _ in texts])
+    held = np.array([(found == f).sum() for f in seen])
+    low = (held + 0.5) / (len(texts) + 1)
+    telling = (n / len(confirmed) - low) / np.sqrt(low * (1 - low) / len(confirmed)) >= toxicity.MIN_SCORE
+    assert telling.sum() > 50 and model.features.tolist() == seen[telling].tolist()
