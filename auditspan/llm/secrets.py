@@ -34,8 +34,10 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 CONTEXTS = tuple(re.compile(p, re.ASCII | re.IGNORECASE) for p in (
     r"""\b(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|auth|credentials?)["']?(?:\x20*[:=]\x20*|\x20+is\x20+)["']?([!#-&(-_a-~]{6,})""",
     r"\bbearer\x20+([A-Za-z0-9+/_.=~-]{6,})",
-    r"://[A-Za-z0-9._-]{1,64}:([^@/\s]{6,256})@",
 ))
+#: the authority of a URL, of which ``user:value@`` is a context too; looked ahead, as its last sign may begin the next
+AUTHORITY = re.compile(r"://(?=([^/\s]+))", re.ASCII)
+SHORTEST_VALUE = 6
 #: lower-cased literals without one of which a text has no ``assign`` match, or no context
 ASSIGN_HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 CONTEXT_HINTS = ("pass", "pwd", "secret", "token", "api", "auth", "credential", "bearer", "://")
@@ -122,11 +124,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
+def url_values(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the value in ``://user:value@`` of every URL authority; the user may be empty."""
+    for m in AUTHORITY.finditer(text):
+        at, to = m.span(1)
+        end = text.rfind("@", at, to)
+        start = text.find(":", at, end) + 1 if end >= 0 else 0
+        if start and end - start >= SHORTEST_VALUE:
+            yield start, end
+
+
 def guess_spans(text: str, words: dict[str, float], min_bits: float) -> list[tuple[int, int, int]]:
     low = text.lower()
     if not any(h in low for h in CONTEXT_HINTS):
         return []
     values = {(m.start(1), m.end(1)) for p in CONTEXTS for m in p.finditer(text)}
+    values.update(url_values(text))
     return sorted((s, 3, e) for s, e in values if guess_bits(text[s:e], words) >= min_bits)
 
 

@@ -1,12 +1,14 @@
 """Cases that bounded seeds, samples of features and capped patterns would miss, against brute force."""
 import math
 import random
+import re
+import time
 from itertools import combinations
 
 import numpy as np
 import pytest
 
-from auditspan.llm import decontamination, toxicity
+from auditspan.llm import decontamination, secrets, toxicity
 from tests.llm.conftest import prose
 
 
@@ -84,3 +86,46 @@ def test_whole_toxic_texts_enter_the_fit(spark):
     low = (held + 0.5) / (len(texts) + 1)
     telling = (n / len(confirmed) - low) / np.sqrt(low * (1 - low) / len(confirmed)) >= toxicity.MIN_SCORE
     assert telling.sum() > 50 and model.features.tolist() == seen[telling].tolist()
+
+
+# 10 secrets
+
+def test_url_credentials_of_any_length(spark):
+    r = random.Random(6)
+
+    def value(n):
+        return "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZghijklmnopqrstuvwxyz0123456789-_.") for _ in range(n))
+    rows = []
+    for user, n in [("u", 256), ("u", 257), ("u", 5000), ("u" * 64, 40), ("u" * 65, 40), ("u" * 900, 900), ("", 40),
+                    ("a%40b.c", 40), ("a+b", 40)]:
+        v = value(n)
+        start = len(f"git clone https://{user}:")
+        rows.append((len(rows), f"git clone https://{user}:{v}@host/x y", f"{start}:{start + n}", v))
+    rows.append((len(rows), "x://://u:Zx81k@Qpw92Lm@h", "9:22", "Zx81k@Qpw92Lm"))
+    docs = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")
+    found = {x.doc_id: x for x in secrets.scan(docs).collect()}
+    for i, text, span, v in rows:
+        assert f"guess:{span}" in found[i].spans.split(","), text[:90]
+        assert v not in found[i].redacted
+    kept = {x.doc_id: x.text for x in secrets.redact(docs).collect()}
+    assert all(v not in kept[i] for i, _, _, v in rows)
+
+
+def test_url_values_equal_brute_force_and_take_linear_time():
+    r = random.Random(7)
+    for _ in range(3000):
+        text = "".join(r.choice([":", "/", "@", "a", " ", "://", "secret", "\n", "é"]) for _ in range(25))
+        want = []
+        for at in range(len(text)):
+            if text.startswith("://", at):
+                part = re.split(r"[/ \t\n\r\f\v]", text[at + 3:])[0]
+                front, sign, _ = part.rpartition("@")
+                user, colon, v = front.partition(":")
+                if sign and colon and len(v) >= 6:
+                    want.append((at + 4 + len(user), at + 4 + len(user) + len(v)))
+        assert list(secrets.url_values(text)) == want, text
+    began = time.process_time()
+    for text in ("://" * 400_000, "://a:" * 300_000, "://" + "a" * 1_000_000, "://" + "a:" * 500_000 + "/",
+                 "://" + "@" * 1_000_000 + ":"):
+        assert not any(True for s, e in secrets.url_values(text))
+    assert time.process_time() - began < 10
