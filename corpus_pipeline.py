@@ -1,24 +1,29 @@
 """The corpus pipeline: stages over documents, each an operator of ``auditspan.llm``.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all
-but the last return the columns of documents.  Rows of one doc_id share their fate.
-Nulls: a null text is scored like an empty one, matches nothing and packs as the end id alone;
-rows with a null doc_id cannot be told apart by the decisions and are kept.
+but the last return the columns of documents.  Decisions hold for an id together with its text,
+so rows of one id with different texts are judged apart, and rows without an id like all others.
+Nulls: a null text is scored like an empty one, matches nothing and packs as the end id alone.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditspan.llm import decontamination, jaccard, packing, quality, secrets
 from auditspan.llm.queries import table, tokenizer_path
-from auditspan.llm.tasks import fold
+from auditspan.llm.tasks import fold, kept_table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: documents whose probability of label 1 is below this go
 KEEP_SCORE = 0.3
 
 
+def text_key() -> Column:
+    """128 bits that stand for a text where decisions are carried back to rows."""
+    return F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), F.col("text")).alias("b"))
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network does not reject."""
     network = quality.fit(docs, table(spark, sf_dir, "labels").filter(fold("doc_id", 5) != 0))
@@ -26,17 +31,30 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies: the one with the smallest id."""
-    found = jaccard.near_duplicate_classes(docs, width=5, percent=80)
-    # only ids move: rows that another one stands for
-    gone = found.filter("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each class of near copies: that with the smallest id, rows without an id last.
+
+    Rows with the same id and text are copies too.  Texts without words are copies of nothing.
+    """
+    # no null inside: rows without an id come after all others
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"),
+                   text_key().alias("text"))
+    keyed = docs.select(*COLUMNS, key.alias("row"))
+    found = jaccard.near_duplicate_classes(keyed.select(F.col("row").alias("doc_id"), "text"), width=5, percent=80)
+    # only keys move: rows that another one stands for, and rows that are repeated
+    decided = kept_table(found.filter("n_shingles > 0").groupBy(F.col("doc_id").alias("row")).agg(
+        F.max(F.col("component_id") < F.col("doc_id")).alias("gone"), F.count(F.lit(1)).alias("n"))
+        .filter("gone or n > 1").select("row", "gone"), "copies")
+    single = keyed.join(decided.select("row"), "row", "left_anti").select(*COLUMNS)
+    repeated = keyed.join(decided.filter("not gone").select("row"), "row", "left_semi")
+    return single.union(repeated.groupBy("row").agg(F.min(F.struct(*COLUMNS)).alias("r")).select("r.*"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark passage."""
-    found = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    keyed = docs.select(*COLUMNS, text_key().alias("key"))
+    found = decontamination.contaminated(keyed, table(spark, sf_dir, "benchmark"), doc_id="key")
+    gone = found.select(F.col("doc_id").alias("key")).distinct()
+    return keyed.join(gone, "key", "left_anti").select(*COLUMNS)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +77,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again before the next."""
-    from auditspan.llm.tasks import kept_table
     docs = table(spark, sf_dir, "documents")
     for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -129,3 +129,23 @@ def test_url_values_equal_brute_force_and_take_linear_time():
                  "://" + "@" * 1_000_000 + ":"):
         assert not any(True for s, e in secrets.url_values(text))
     assert time.process_time() - began < 10
+
+
+# pipeline
+
+def test_decisions_of_the_pipeline_hold_for_id_and_text(spark, tmp_path):
+    import corpus_pipeline as pipeline
+    a, b, c, d, e = (prose(800 + i, 60) for i in range(5))
+    near = a + " end"
+    rows = [(1, a), (1, a), (1, a), (2, near), (3, b), (3, a), (None, a), (None, c), (None, c), (None, d), (4, None),
+            (4, None), (5, ""), (None, None), (6, e), (6, e)]
+    docs = spark.createDataFrame([(i, t, "en", f"s{k}", len(t or "")) for k, (i, t) in enumerate(rows)],
+                                 "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    left = pipeline.ngram_jaccard_join(spark, docs, str(tmp_path))
+    assert left.columns == list(pipeline.COLUMNS)
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=repr) == sorted(
+        [(1, a), (3, b), (None, c), (None, d), (4, None), (4, None), (5, ""), (None, None), (6, e)], key=repr)
+    spark.createDataFrame([(1, a)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = pipeline.benchmark_decontamination(spark, docs, str(tmp_path)).collect()
+    assert sorted(((r.doc_id, r.text) for r in clean), key=repr) == sorted(
+        [r for r in rows if r[1] not in (a, near)], key=repr)
