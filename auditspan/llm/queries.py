@@ -4,7 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditspan.llm import decontamination, fingerprints, jaccard, language, packing, quality, secrets, substrings, toxicity, url_filters
+from auditspan.llm import (decontamination, divergence, exact_dedup, fill_middle, fingerprints, jaccard, language, packing,
+                           quality, secrets, substrings, toxicity, url_filters)
 from auditspan.llm.tasks import fold
 
 ABC, abc = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -159,8 +160,74 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents"), with_text=False))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.duplicates(table(spark, sf_dir, "documents")).select(
+        "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+_OP11_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT doc_id, length(t) AS n, regexp_replace(t, '[ \\t-\\r]', '', 'g') AS content FROM d)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY content) AS group_size,
+  row_number() OVER w = 1 AS kept, sha256(content) AS text_sha256
+FROM n WINDOW w AS (PARTITION BY content ORDER BY n DESC, doc_id NULLS LAST)"""
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.rewritten(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(fill_middle.restored(), 256).alias("restored_sha256"))
+
+
+_OP12_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+c AS (SELECT *, length(t) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2,
+  ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+    WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM c),
+o AS (SELECT *, substr(t, 1, a) AS p, substr(t, a + 1, b - a) AS m, substr(t, b + 1) AS s FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+    ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM o"""
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def _op13_sql() -> str:
+    least, top, scale = divergence.LEAST_DOCS, divergence.TOP_TERMS, divergence.SCALE
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  translate(coalesce(text, ''), '{ABC}', '{abc}') AS text FROM documents),
+t AS (SELECT row, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM t GROUP BY ALL HAVING count(DISTINCT row) >= {least}),
+langs AS (SELECT lang, count(*) AS v, sum(n)::BIGINT AS total FROM kept GROUP BY lang),
+own AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS (SELECT g.lang, g.source, coalesce(sum(n), 0)::BIGINT AS total FROM (SELECT DISTINCT lang, source FROM d) g
+  LEFT JOIN own USING (lang, source) GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(own.n, 0) AS n, k.n AS lang_n, l.total AS lang_total, l.v,
+  1 + ({scale} * (coalesce(own.n, 0) + 2)) // (g.total + 2 * l.v) AS p
+  FROM groups g JOIN langs l USING (lang) JOIN kept k ON k.lang = g.lang
+  LEFT JOIN own ON own.lang = g.lang AND own.source = g.source AND own.term = k.term),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p))::BIGINT AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+q AS (SELECT *, 1 + ({scale} * (lang_n + 2)) // (lang_total + 2 * v) AS q FROM p WHERE n > 0),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // (p + q) AS value FROM q WHERE p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= {top}"""
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_benchmark_decontamination, op3_quality_classifier, op4_substring_dedup, op5_toxicity, op6_url_filters,
-    op7_ngram_jaccard_join, op8_packing, op9_document_fingerprints, op10_secret_scans)}
+    op7_ngram_jaccard_join, op8_packing, op9_document_fingerprints, op10_secret_scans, op11_exact_dedup,
+    op12_fill_in_middle, op13_source_divergence)}
 ORACLE = {"op2_benchmark_decontamination": _op2_sql(), "op4_substring_dedup": _op4_sql(), "op6_url_filters": _op6_sql(),
-          "op7_ngram_jaccard_join": _op7_sql()}
+          "op7_ngram_jaccard_join": _op7_sql(), "op11_exact_dedup": _OP11_SQL, "op12_fill_in_middle": _OP12_SQL,
+          "op13_source_divergence": _op13_sql()}
