@@ -28,7 +28,8 @@ from auditspan.llm.tasks import kept_table
 
 #: reducers that the tasks' copies of one content are spread over, and parts of a group's rows
 SALTS = 32
-_SHIFT = "18446744073709551616"  # 2**64, beyond every difference of two long values
+#: 2**65: more than there are long values, and one more for a null id
+_SHIFT = "36893488147419103232"
 
 
 def normalised(text: str = "text") -> Column:
@@ -60,11 +61,10 @@ def _id_of(kind: T.DataType, place: str) -> Column:
     """The id in a place."""
     if not _is_integer(kind):
         return F.col(f"{place}.id")
-    # the id is the remainder that lies between -2**63 and 2**63
-    turned = f"(cast({place} as decimal(38,0)) + cast(9223372036854775808 as decimal(20,0)))"
-    value = F.expr(f"pmod({turned}, cast({_SHIFT} as decimal(21,0))) - cast(9223372036854775808 as decimal(20,0))")
-    none = F.expr(f"pmod({turned}, cast({_SHIFT} as decimal(21,0)))") == 0
-    return F.when(~none, value.cast(kind))
+    # ids lie between -2**63 and 2**63, the last stands for null
+    moved = F.expr(f"pmod({place} + cast(9223372036854775808 as decimal(20,0)), cast({_SHIFT} as decimal(21,0)))")
+    value = moved - F.lit("9223372036854775808").cast("decimal(20,0)")
+    return F.when(moved < F.lit("18446744073709551616").cast("decimal(21,0)"), value.cast(kind))
 
 
 def _groups(rows: DataFrame, key: list[str]) -> DataFrame:
