@@ -172,3 +172,110 @@ def test_cutting_is_linear(piece):
     started = time.perf_counter()
     page_elements.elements_of(piece * (500_000 // len(piece)))
     assert time.perf_counter() - started < 10
+
+
+CONTROLS = "".join(f"<label for=i{i}>L {i}</label><input id=i{i} name=n{i}>" for i in range(20_000))
+BOXES = "".join(f"<label for=i{i}>L {i}</label><input type=checkbox id=i{i} name=n{i}> t" for i in range(20_000))
+
+
+@pytest.mark.parametrize("html", [
+    "<form>" + "<a href=x>t" * 90_000, "<form>" + "<a href=x><b>t" * 70_000, "<form>" + "<label>t" * 125_000,
+    "<form>" + "<label for=q>t" * 70_000, "<div id=cookie-banner><button>t" * 32_000, "<form><b><a href=x>t" * 50_000,
+    "<form><div><input type=checkbox>t" * 30_000, "<form>" + CONTROLS, "<form>" + BOXES],
+    ids=["a", "nested a", "label", "label for", "banners", "nested forms", "nested boxes", "controls", "boxes"])
+def test_page_index_is_linear(spark, html):
+    """1 MB of elements that never end, and 20 000 controls: index and rules together."""
+    e = F.col("e")
+    started = time.perf_counter()
+    if html.count("<form>") > 1:  # a form in a form lists its fields again, so only the index is linear
+        index = page_elements.elements_of(html)
+        assert index["error"] is None and sum(len(p) for p in index["pieces"]) <= len(html)
+    else:
+        row = spark.createDataFrame([(html,)], "html string").withColumn("e", page_elements._elements("html")).select(
+            F.size(page_elements.page_forms(e)), page_elements.page_banner(e), F.size(page_elements.banner_hrefs(e)), e["error"]).first()
+        assert row[3] is None
+    assert time.perf_counter() - started < 5
+
+
+def plain_index(html):
+    """Forms and banner links of a page by nested loops over element texts, the definition of the index."""
+    from auditspan.knowledge import fixed_values as fixed
+    import re
+    page = page_elements.Intervals(html)
+    size = range(len(page.names))
+
+    def text(at, separator):
+        a, b = page.text(at)
+        return separator.join(page.pieces[a:b])
+
+    def inside(at, outer):
+        return page.first[outer] < page.first[at] < page.last[outer]
+
+    def privacy(at, separator):
+        return any(re.search(fixed.PRIVACY_LINK_PATTERN, t, re.I) for t in (text(at, separator), page.attrs[at]["href"]))
+
+    named = [at for at in size if any(re.search(p, v, re.I) for p in fixed.BANNER_PATTERNS
+                                      for v in (page.attrs[at].get("id", ""), page.attrs[at].get("class", "")))]
+    links = [at for at in size if page.names[at] == "a" and "href" in page.attrs[at]]
+    labels = [at for at in size if page.names[at] == "label"]
+    forms = []
+    for form in (at for at in size if page.names[at] == "form"):
+        asked = None
+        for box in (at for at in size if page.names[at] == "input" and page.attrs[at].get("type") == "checkbox" and inside(at, form)):
+            parent, parts = page.parents[box], []
+            if page.names[parent] in ("label", "div", "span", "p", "li"):
+                parts.append(text(parent, " "))
+            own = [at for at in labels if inside(at, form) and page.attrs[box].get("id") and page.attrs[at].get("for") == page.attrs[box]["id"]]
+            parts += [text(own[0], " ")] if own else []
+            after = page.events[page.first[box] + 1]
+            parts += [] if after is None else [text(after, " ") if isinstance(after, int) else after]
+            if asked is None and re.search(fixed.CONSENT_TEXT_PATTERN, " ".join(parts), re.I):
+                asked = " ".join(parts).strip()
+        fields = [(page.attrs[at].get("name", ""), next((text(x, "") for x in labels if page.attrs[at].get("id")
+                   and page.attrs[x].get("for") == page.attrs[at]["id"]), None))
+                  for at in size if page.names[at] in ("input", "select", "textarea") and inside(at, form)
+                  and page.attrs[at].get("type") not in fixed.NON_DATA_INPUT_TYPES]
+        if fields:
+            forms.append((fields, asked, next((page.attrs[a]["href"] for a in links if inside(a, form) and privacy(a, " ")), None)))
+    hrefs = [page.attrs[a]["href"] for a in links if any(inside(a, n) for n in named) and privacy(a, "")]
+    return forms, list(dict.fromkeys(hrefs))
+
+
+def random_page(seed):
+    import random
+    r = random.Random(seed)
+    pieces = ["<form>", "</form>", "<div>", "</div>", "<p>", "<b>", "</b>", "<a href=/x>", "<a href=/privacy>", "<a>", "</a>", "<label for=a>",
+              "<label for=b>", "<label>", "</label>", "<input id=a name=n>", "<input type=checkbox id=a>", "<input type=checkbox id=b checked>",
+              "<input type=checkbox>", "<select name=s>", "</select>", "<input type=submit>", "<div class='x cookie-bar'>", "<span id=onetrust>",
+              "</span>", "<button value=no>", "personal", "data", "согласие", "поли", "тика", "обработка", "данных", "word " * 30, " ", "terms",
+              "<script>personal data</script>", "text"]
+    return "".join(r.choice(pieces) for _ in range(r.randrange(5, 90)))
+
+
+def test_page_index_equals_nested_loops(spark):
+    pages_ = [random_page(i) for i in range(400)]
+    e = F.col("e")
+    rows = spark.createDataFrame(list(enumerate(pages_)), "i int, html string").withColumn(
+        "e", page_elements._elements("html")).select("i", page_elements.page_forms(e).alias("f"), page_elements.banner_hrefs(e).alias("h"))
+    for r in rows.collect():
+        forms, hrefs = plain_index(pages_[r.i])
+        assert r.h == hrefs, pages_[r.i]
+        assert [([(x.name, x.label) for x in f.fields], f.consent_text, f.form_privacy_href) for f in r.f] == forms, pages_[r.i]
+
+
+def test_matches_across_parts_are_found_in_long_texts():
+    from auditspan.knowledge import fixed_values as fixed
+    text = page_elements.JoinedText(["x" * 300, "personal", "data", "y" * 300], " ")
+    pattern = fixed.CONSENT_TEXT_PATTERN
+    assert text.holds(pattern, (0, 4)) and not text.holds(pattern, (0, 2)) and not text.holds(pattern, (2, 4))
+    assert text.any_holds(pattern, [(0, 2), (2, 4)]) and not text.any_holds(pattern, [(2, 4), (0, 2)])
+    assert text.any_holds("only +necessary", [(0, 2)], "only necessary") and text.any_holds("personal +now", [(0, 2)], "now")
+
+
+@pytest.mark.parametrize("purpose", ["monitor", "research"])
+@pytest.mark.parametrize("opened, closed", [("<main>", "</main>"), ("<div class=content>", "</div>")])
+def test_main_text_of_a_hundred_thousand_tags(spark, purpose, opened, closed):
+    assert main(spark, opened + "<p>x</p>" * 10 + closed, purpose)
+    started = time.perf_counter()
+    assert len(main(spark, opened + "<p>x</p>" * 100_000 + closed, purpose)) == 199_999
+    assert time.perf_counter() - started < 5
