@@ -65,6 +65,11 @@ def write_alerts(alerts: DataFrame, path: str, epoch: int) -> None:
     alerts.write.mode("overwrite").json(f"{path.rstrip('/')}/epoch={epoch}")
 
 
+def write_epoch(rows: DataFrame, path: str, epoch: int) -> None:
+    """Rows of one micro-batch; a retried batch replaces its own."""
+    rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/epoch={epoch}")
+
+
 def upserted(existing: DataFrame, incoming: DataFrame, key: str = "id", updated_at: str = "updated_at") -> DataFrame:
     """Newest row per key of both tables, as an aggregate that combines early."""
     both = existing.withColumn("_new", F.lit(0)).unionByName(incoming.withColumn("_new", F.lit(1)))

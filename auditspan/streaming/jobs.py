@@ -1,80 +1,90 @@
 """Structured Streaming forms of the monitoring dataflows."""
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from auditspan.functions import replies
 from auditspan.functions import text as tx
 from auditspan.operators import digest, monitoring, pages
+from auditspan.streaming.processors import BestOfWeek, FirstSeen, SnapshotRouter, use_rocksdb
 
-CHANGE_SCHEMA = (
-    "source_id string, url string, id long, captured_at timestamp, fetch_status string, route string, "
-    "previous_hash string, previous_text string, raw_text string, parse_warning boolean")
-STATE_SCHEMA = (
-    "content_hash string, raw_text string, captured_at timestamp, id long, recent array<int>")
+#: parts that the changes of one week are gathered in
+WEEK_PARTS = 16
+_WEEK = 7 * 24 * 3600 * 1_000_000
+#: microseconds of Monday 1970-01-05 10:00, the end of a digest period
+_MONDAY = (4 * 24 + 10) * 3600 * 1_000_000
 
 
-def _advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Keep the last snapshot and the last three good item counts of a page.
+def snapshot_changes(snapshots: DataFrame, delay: str = "0 seconds") -> DataFrame:
+    """Route of every arriving snapshot against the one before it in time.
 
-    A micro-batch is bounded by the source's rate limit; its rows of one page are
-    put in time order here.  Rows older than the state are reported as late and
-    do not touch it.
+    Snapshots may arrive up to ``delay`` out of order: each is held back until the watermark reaches it.
+    Later ones, and those without a time, come out with route ``late``.  A snapshot leaves when the watermark,
+    the newest time less ``delay``, has passed it.
     """
-    rows = pd.concat(list(batches), ignore_index=True).sort_values(["captured_at", "id"])
-    last = state.get if state.exists else None
-    recent = list(last[4]) if last else []
-    out = []
-    for row in rows.itertuples(index=False):
-        route, warning, before = "failed", False, (None, None)
-        if last and (row.captured_at, row.id) < (pd.Timestamp(last[2]), last[3]):
-            out.append((*key, row.id, row.captured_at, row.fetch_status, "late", None, None, row.raw_text, False))
-            continue
-        good = row.fetch_status == "ok"
-        items = int(row.items) if good else 0
-        warning = items == 0 and len(recent) == 3 and all(n > 0 for n in recent)
-        if last:
-            before = (last[0], last[1])
-        if good:
-            route = ("baseline" if last is None else
-                     "unchanged" if last[0] == row.content_hash else "changed")
-            recent = [items, *recent][:3]
-        last = (row.content_hash, row.raw_text, row.captured_at, row.id)
-        out.append((*key, row.id, row.captured_at, row.fetch_status, route, *before, row.raw_text, warning))
-    if last:
-        state.update((last[0], last[1], pd.Timestamp(last[2]).to_pydatetime(), int(last[3]), recent))
-    names = [c.split()[0] for c in CHANGE_SCHEMA.split(", ")]
-    yield pd.DataFrame(out, columns=names)
-
-
-def snapshot_changes(snapshots: DataFrame) -> DataFrame:
-    """Route of every arriving snapshot against the last one of its page."""
-    counted = snapshots.withColumn("items", tx.count_items(F.col("raw_text")))
-    return counted.groupBy(*monitoring.KEYS).applyInPandasWithState(
-        _advance, CHANGE_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
-
-
-def new_updates(found: DataFrame, event_time: str, delay: str = "30 days") -> DataFrame:
-    """First appearance of every ``source:title`` within the watermark.
-
-    Join the result with the stored table (left anti) for older ones.
+    use_rocksdb(snapshots.sparkSession)
+    # the time goes on as a number: a watermarked column would drop late rows unseen
+    rows = snapshots.withWatermark("captured_at", delay).select(
+        "id", *monitoring.KEYS, "content_hash", "raw_text", "fetch_status", F.unix_micros("captured_at").alias("at"),
+        tx.count_items(F.col("raw_text")).alias("items"))
+    routed = rows.groupBy(*monitoring.KEYS).transformWithState(
+        SnapshotRouter(), "source_id string, url string, id long, at long, fetch_status string, route string, "
+        "previous_hash string, previous_text string, raw_text string, parse_warning boolean", "Append", "EventTime")
+    return routed.withColumn("captured_at", F.timestamp_micros("at")).drop("at")
+
+
+def new_updates(found: DataFrame, event_time: str | None = None, known: DataFrame | None = None) -> DataFrame:
+    """First appearance of every ``source:title``; rows without a time count as others do.
+
+    ``known`` holds the ``content_key`` of updates that are stored already.  They are the stream's initial
+    state, so none of them comes out and no batch join is needed afterwards.
     """
-    key = replies.content_key(F.col("source"), F.col("title"))
-    return found.withColumn("content_key", key).withWatermark(event_time, delay).dropDuplicatesWithinWatermark(
-        ["content_key"])
+    use_rocksdb(found.sparkSession)
+    time = F.lit(None).cast("long") if event_time is None else F.unix_micros(event_time)
+    rows = found.select(replies.content_key(F.col("source"), F.col("title")).alias("content_key"), "source", "title",
+                        time.alias("found_at"))
+    state = None if known is None else known.select("content_key").distinct().groupBy("content_key")
+    first = rows.groupBy("content_key").transformWithState(
+        FirstSeen(), "content_key string, source string, title string, found_at long", "Append", "None", initialState=state)
+    return first.withColumn("found_at", F.timestamp_micros("found_at"))
 
 
-def weekly_totals(changes: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Digest periods: weeks that end on Monday at 10:00."""
-    week = F.window("detected_at", "7 days", "7 days", "4 days 10 hours")
-    return changes.withWatermark("detected_at", delay).groupBy(week.alias("week")).agg(
-        F.count("*").alias("changes"), F.max("threat_score").alias("max_score"),
-        F.count_if(digest.is_legal(F.col("change_type"), F.col("npa_critical"))).alias("legal_changes"))
+def weekly_changes(changes: DataFrame, limit: int, delay: str = "1 day") -> DataFrame:
+    """The best ``limit`` changes of every part of a week, once the week is over.
+
+    Weeks end on Monday at 10:00.  A change whose week is over already, or without a time, is left out.  The
+    columns ``changes`` and ``legal_changes`` add up to the week's totals.
+    """
+    use_rocksdb(changes.sparkSession)
+    at = F.unix_micros("detected_at")
+    week_end = F.col("at") - F.pmod(F.col("at") - F.lit(_MONDAY), F.lit(_WEEK)) + F.lit(_WEEK)
+    rows = changes.withWatermark("detected_at", delay).select(
+        "id", "source_id", "url", "diff_summary", "change_type", "threat_score", "npa_critical", at.alias("at"),
+        digest.is_legal(F.col("change_type"), F.col("npa_critical")).alias("legal")).filter("at is not null")
+    rows = rows.withColumn("week_end", week_end).withColumn(
+        "part", F.pmod(F.xxhash64("id"), F.lit(WEEK_PARTS)).cast("int"))
+    return rows.groupBy("week_end", "part").transformWithState(
+        BestOfWeek(limit), f"week_end long, part int, {BestOfWeek.CHANGE}, changes long, legal_changes long",
+        "Append", "EventTime")
+
+
+def digest_writer(deliver: Callable[[DataFrame, int], None], limit: int):
+    """foreachBatch function over :func:`weekly_changes` that hands on the digest of every week that is over.
+
+    All parts of a week end with the same watermark, so one micro-batch holds them all.
+    """
+    def write(batch: DataFrame, epoch: int) -> None:
+        weeks = batch.withColumns({"week_end": F.timestamp_micros("week_end"), "detected_at": F.timestamp_micros("at")})
+        order = Window.partitionBy("week_end").orderBy(
+            F.col("threat_score").desc_nulls_last(), F.col("detected_at").desc(), F.col("id").asc_nulls_last())
+        best = weeks.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
+        texts = digest.digest_text(best, F.date_format("week_end", "dd.MM.yyyy"), "week_end")
+        totals = weeks.groupBy("week_end").agg(F.sum("changes").alias("all_changes"), F.sum("legal_changes").alias("legal_changes"))
+        deliver(texts.select("week_end", F.col("changes").alias("listed"), "max_score", "content_md").join(totals, "week_end"), epoch)
+    return write
 
 
 def alert_writer(deliver: Callable[[DataFrame, int], None]):

@@ -4,8 +4,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from auditspan.knowledge import fixed_values as fixed
+from auditspan.functions import replies
 from auditspan.operators import documents as doc_ops
 from auditspan.operators import legal, monitoring, serving
+from auditspan.operators import pages as page_ops
 from auditspan.plans import audit as audit_plan
 from auditspan.sinks import tables
 from auditspan.sources import crawl as crawl_source
@@ -15,9 +17,9 @@ from auditspan.streaming import jobs
 from workload import crawl_table as ct
 from workload.audit_queries import REPORTS_CTE
 from workload.crawl_table import crawl_cte, lit, site, values
-from workload.monitor_queries import LEGAL_CTE, SNAP_CTE, SNAP_SELECT, snapshots
+from workload.monitor_queries import DIGEST_PARTS_SQL, DIGEST_TEXT_SQL, IS_LEGAL_SQL, LEGAL_CTE, SNAP_CTE, SNAP_SELECT, snapshots
 from workload.monitor_queries import legal as legal_rows
-from workload.page_queries import IS_HTML_SQL
+from workload.page_queries import FORM_VALUES, IS_HTML_SQL, SCRIPT_VALUES
 from workload import dimension_files
 from workload.registry import plan_once, query, table
 from workload.text_queries import UPDATES_CTE, found_updates
@@ -422,28 +424,36 @@ def _run(spark, stream, name, mode="append"):
     return spark.read.parquet(out)
 
 
-SLICES = 4
+SLICES, FILES = 4, 4
+#: which quarter of the time span a row's time lies in; rows without a time come first
+QUARTER = "coalesce(least(3, ((us - lo) * 4) {div} greatest(1, hi - lo)), 0)"
+
+
+def _in_slices(spark, rows, number, slices, name):
+    """Folder with the rows of one slice after another, each in ``FILES`` files: one micro-batch each."""
+    path = tables.scratch_path(spark, name)
+    for i in range(slices):
+        rows.filter(number == i).repartition(FILES).write.mode("append").parquet(path)
+    return path
+
+
+def _with_quarter(rows, time):
+    us = F.unix_micros(F.col(time).cast("timestamp"))
+    low, high = rows.agg(F.min(us), F.max(us)).first()
+    return rows.withColumns({"us": us, "lo": F.lit(low), "hi": F.lit(high)}).withColumn(
+        "quarter", F.expr(QUARTER.format(div="div")).cast("int")).drop("us", "lo", "hi")
 
 
 @plan_once
 def _event_slices(spark, sf):
-    """Folder with the events in files of rising time, one micro-batch each."""
-    events = table(spark, sf, "events")
-    path = tables.scratch_path(spark, "events")
-    cuts = events.agg(F.percentile_approx(F.col("ts").cast("timestamp"), [i / SLICES for i in range(1, SLICES)])).first()[0]
-    for low, high in zip([None, *cuts], [*cuts, None]):
-        part = events
-        if low is not None:
-            part = part.filter(F.col("ts").cast("timestamp") > F.lit(low))
-        if high is not None:
-            part = part.filter(F.col("ts").cast("timestamp") <= F.lit(high))
-        part.coalesce(1).write.mode("append").parquet(path)
-    return path
+    """Events in files of rising time."""
+    rows = _with_quarter(table(spark, sf, "events"), "ts")
+    return _in_slices(spark, rows, F.col("quarter"), SLICES, "events")
 
 
 def _event_stream(spark, sf):
     schema = table(spark, sf, "events").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(_event_slices(spark, sf))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES).parquet(_event_slices(spark, sf))
 
 
 def _snapshot_stream(spark, sf):
@@ -470,47 +480,81 @@ def st2(spark, sf):
     return _run(spark, jobs.snapshot_changes(_snapshot_stream(spark, sf)), "st2").filter("parse_warning").select("id", "source_id", "url")
 
 
-@query("ST3_new_update_stream", "SELECT DISTINCT md5('src' || user_id || ':' || event_type) AS content_key FROM events")
+@query("ST3_new_update_stream", """SELECT DISTINCT md5('src' || user_id || ':' || event_type) AS content_key, 'src' || user_id AS source, event_type AS title
+FROM events WHERE user_id % 3 <> 0""")
 def st3(spark, sf):
-    found = _event_stream(spark, sf).select(
-        F.concat(F.lit("src"), F.col("user_id").cast("string")).alias("source"), F.col("event_type").alias("title"),
-        F.col("ts").cast("timestamp").alias("found_at"))
-    return _run(spark, jobs.new_updates(found, "found_at", "60 days"), "st3").select("content_key")
+    named = [F.concat(F.lit("src"), F.col("user_id").cast("string")).alias("source"), F.col("event_type").alias("title")]
+    found = _event_stream(spark, sf).select(*named, F.col("ts").cast("timestamp").alias("found_at"))
+    stored = table(spark, sf, "events").filter("user_id % 3 = 0").select(*named).select(
+        replies.content_key(F.col("source"), F.col("title")).alias("content_key"))
+    return _run(spark, jobs.new_updates(found, "found_at", stored), "st3").select("content_key", "source", "title")
+
+
+def _stored_in_files(spark, rows, name):
+    """Rows written in several files, one micro-batch each."""
+    stored = tables.scratch_path(spark, name)
+    rows.repartition(SLICES).write.parquet(stored)
+    return stored
 
 
 @query("ST4_critical_alert_stream", f"WITH {LEGAL_CTE} SELECT id, threat_score FROM legal WHERE npa_critical AND threat_score IS NOT NULL")
 def st4(spark, sf):
-    stored = tables.scratch_path(spark, "legal-changes")
-    legal_rows(spark, sf).write.parquet(stored)
+    stored = _stored_in_files(spark, legal_rows(spark, sf), "legal-changes")
     out = tables.scratch_path(spark, "alerts")
-    stream = spark.readStream.schema(spark.read.parquet(stored).schema).parquet(stored)
+    stream = spark.readStream.schema(spark.read.parquet(stored).schema).option("maxFilesPerTrigger", 1).parquet(stored)
     q = (stream.writeStream.foreachBatch(jobs.alert_writer(lambda alerts, epoch: tables.write_alerts(alerts, out, epoch)))
          .option("checkpointLocation", tables.scratch_path(spark, "alerts-progress")).trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.schema("id bigint, threat_score int, message string").json(out).select("id", "threat_score")
 
 
-@query("ST5_weekly_digest_stream", f"""WITH w AS (SELECT *, time_bucket(INTERVAL '7 days', ts, TIMESTAMP '1970-01-05 10:00:00') AS week_start FROM events)
-SELECT week_start, count(*) AS changes, CAST(max(event_id % 5 + 1) AS INT) AS max_score, count_if(event_type = 'signup') AS legal_changes FROM w
-GROUP BY week_start HAVING week_start + INTERVAL '7 days' <= (SELECT max(ts) - INTERVAL '1 day' FROM events)""")
+WEEK_CHANGES = """SELECT event_id AS id, 'src' || CAST(user_id % 12 AS STRING) AS source_id,
+  'https://watched.example.org/' || CAST(user_id % 3 AS STRING) AS url, CASE WHEN event_id % 4 <> 0 THEN props END AS diff_summary,
+  CASE WHEN event_type = 'signup' THEN 'npa' ELSE 'ui' END AS change_type,
+  CASE WHEN event_id % 6 <> 0 THEN CAST(event_id % 5 + 1 AS INT) END AS threat_score, event_id % 9 = 0 AS npa_critical, ts AS detected_at FROM {events}"""
+WEEK_LIMIT = 30
+
+
+@query("ST5_weekly_digest_stream", f"""WITH c AS ({WEEK_CHANGES.format(events="events")}),
+w AS (SELECT *, time_bucket(INTERVAL '7 days', detected_at, TIMESTAMP '1970-01-05 10:00:00') + INTERVAL '7 days' AS week_end FROM c),
+totals AS (SELECT week_end, count(*) AS all_changes, count_if({IS_LEGAL_SQL}) AS legal_changes FROM w GROUP BY week_end
+  HAVING week_end <= (SELECT max(detected_at) - INTERVAL '1 day' FROM c)),
+s AS (SELECT *, CASE WHEN {IS_LEGAL_SQL} THEN 'npa' ELSE 'competitor' END AS section FROM w
+  QUALIFY row_number() OVER (PARTITION BY week_end ORDER BY threat_score DESC NULLS LAST, detected_at DESC, id) <= {WEEK_LIMIT}),
+{DIGEST_PARTS_SQL.format(by="week_end,", group="GROUP BY week_end")}
+SELECT week_end, changes AS listed, threat_score AS max_score, {DIGEST_TEXT_SQL.format(day="strftime(week_end, '%d.%m.%Y')")} AS content_md, all_changes, legal_changes
+FROM t JOIN totals USING (week_end)""")
 def st5(spark, sf):
-    changes = _event_stream(spark, sf).select(
-        F.col("ts").cast("timestamp").alias("detected_at"), (F.col("event_id") % 5 + 1).cast("int").alias("threat_score"),
-        F.when(F.col("event_type") == "signup", "npa").otherwise("ui").alias("change_type"), F.lit(None).cast("boolean").alias("npa_critical"))
-    return _run(spark, jobs.weekly_totals(changes), "st5").select(
-        F.col("week.start").cast("timestamp_ntz").alias("week_start"), "changes", "max_score", "legal_changes")
+    changes = spark.sql(WEEK_CHANGES, events=_event_stream(spark, sf)).withColumn("detected_at", F.col("detected_at").cast("timestamp"))
+    out = tables.scratch_path(spark, "digests")
+    write = jobs.digest_writer(lambda texts, epoch: tables.write_epoch(texts, out, epoch), WEEK_LIMIT)
+    q = (jobs.weekly_changes(changes, WEEK_LIMIT).writeStream.foreachBatch(write)
+         .option("checkpointLocation", tables.scratch_path(spark, "digests-progress")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out).drop("epoch").withColumn("week_end", F.col("week_end").cast("timestamp_ntz"))
+
+
+DELAY_DAYS = 2
+MOVED = "CASE id % 10 WHEN 3 THEN 1 WHEN 7 THEN 2 ELSE 0 END"
 
 
-@query("ST6_late_snapshots", f"""WITH {SNAP_CTE}
-SELECT id, id % 10 = 3 AND EXISTS (SELECT 1 FROM snapshots l WHERE l.source_id = s.source_id AND l.url = s.url AND l.id % 10 <> 3
-  AND (l.captured_at, l.id) > (s.captured_at, s.id)) AS late FROM snapshots s""")
+@query("ST6_late_snapshots", f"""WITH {SNAP_CTE}, span AS (SELECT min(epoch_us(captured_at)) AS lo, max(epoch_us(captured_at)) AS hi FROM snapshots),
+timed AS (SELECT *, epoch_us(captured_at) AS us FROM snapshots, span),
+a AS (SELECT *, us // 1000 AS ms, {QUARTER.format(div="//")} + {MOVED} AS arrival FROM timed),
+marks AS (SELECT arrival, max(max(ms)) OVER (ORDER BY arrival) - {DELAY_DAYS * 86_400_000} AS mark FROM a GROUP BY arrival),
+judged AS (SELECT a.*, EXISTS (SELECT 1 FROM a x JOIN marks m ON x.ms <= m.mark WHERE m.arrival = a.arrival - 2 AND x.arrival < a.arrival
+  AND x.source_id = a.source_id AND x.url = a.url AND (x.us, x.id) > (a.us, a.id)) AS late FROM a),
+ordered AS (SELECT *, lag(content_hash) OVER w AS before, row_number() OVER w > 1 AS has_before FROM judged
+  WHERE NOT late AND ms <= (SELECT max(mark) FROM marks) WINDOW w AS (PARTITION BY source_id, url ORDER BY us, id))
+SELECT id, 'late' AS route, NULL AS previous_hash FROM judged WHERE late
+UNION ALL SELECT id, CASE WHEN fetch_status <> 'ok' THEN 'failed' WHEN NOT has_before THEN 'baseline'
+  WHEN content_hash = before THEN 'unchanged' ELSE 'changed' END, before FROM ordered""")
 def st6(spark, sf):
-    stored = tables.scratch_path(spark, "snapshots")
     rows = snapshots(spark, sf).withColumn("captured_at", F.col("captured_at").cast("timestamp"))
-    rows.filter("id % 10 <> 3").coalesce(1).write.parquet(stored)
-    rows.filter("id % 10 = 3").coalesce(1).write.mode("append").parquet(stored)
-    stream = snapshot_source.stream_snapshots(spark, stored, max_files=1)
-    return _run(spark, jobs.snapshot_changes(stream), "st6").select("id", (F.col("route") == "late").alias("late"))
+    rows = _with_quarter(rows, "captured_at").withColumn("arrival", F.col("quarter") + F.expr(MOVED))
+    stored = _in_slices(spark, rows, F.col("arrival"), SLICES + 2, "snapshots")
+    stream = snapshot_source.stream_snapshots(spark, stored, max_files=FILES)
+    return _run(spark, jobs.snapshot_changes(stream, f"{DELAY_DAYS} days"), "st6").select("id", "route", "previous_hash")
 
 
 @query("U4_except_seen_updates", f"""WITH {UPDATES_CTE}
@@ -538,10 +582,10 @@ def t1_organizations(spark, sf):
     return serving.newest(table(spark, sf, "customer"), "c_acctbal", 50, "c_custkey").select("c_custkey", "c_name")
 
 
-@query("ST7_arriving_pages_stream", f"""WITH {crawl_cte()} SELECT page_ord, url, length(url) AS n FROM crawl WHERE {IS_HTML_SQL}""")
+@query("ST7_arriving_pages_stream", f"""WITH {crawl_cte()}, {FORM_VALUES}, {SCRIPT_VALUES}
+SELECT page_ord, url, (SELECT count(*) FROM form_facts x WHERE x.f = c.f) AS forms_count,
+  (SELECT count(*) FROM script_facts x WHERE x.s = c.s) AS external_scripts_count FROM crawl c WHERE {IS_HTML_SQL}""")
 def st7(spark, sf):
-    stored = tables.scratch_path(spark, "crawl")
-    ct.crawl_table(spark, sf).write.parquet(stored)
-    facts = jobs.arriving_pages(crawl_source.stream_crawl(spark, stored))
-    out = _run(spark, facts.filter("is_html").select("page_ord", "url", "has_footer_link"), "st7")
-    return out.select("page_ord", "url", F.length("url").alias("n"))
+    stored = _stored_in_files(spark, ct.crawl_table(spark, sf), "crawl")
+    facts = jobs.arriving_pages(crawl_source.stream_crawl(spark, stored, maxFilesPerTrigger=1))
+    return _run(spark, page_ops.page_summary(facts).select("page_ord", "url", "forms_count", "external_scripts_count"), "st7")

@@ -277,13 +277,17 @@ BLOCK_SQL = f"""(CASE WHEN section = 'npa' AND coalesce(npa_critical, FALSE) THE
   coalesce(diff_summary, '_описание не сформировано_') || chr(10) || '🔗 ' || url || chr(10) || chr(10))"""
 
 
-@query("D7_A13_digest_text", f"""WITH {ALL_CHANGES_CTE}, s AS (SELECT *, CASE WHEN {IS_LEGAL_SQL} THEN 'npa' ELSE 'competitor' END AS section FROM pending),
-t AS (SELECT max(threat_score) AS threat_score, count(*) AS changes,
+DIGEST_PARTS_SQL = f"""t AS (SELECT {{by}} max(threat_score) AS threat_score, count(*) AS changes,
   coalesce(string_agg({BLOCK_SQL}, '' ORDER BY {ORDER_SQL}) FILTER (section = 'npa'), '_нет изменений за период_' || chr(10)) AS npa,
-  coalesce(string_agg({BLOCK_SQL}, '' ORDER BY {ORDER_SQL}) FILTER (section = 'competitor'), '_нет изменений за период_' || chr(10)) AS comp FROM s)
-SELECT changes, threat_score AS max_score, rtrim('📋 *Дайджест изменений — 05.02.2024*' || chr(10) || chr(10) || 'Итоговый уровень угрозы: ' || {LABEL_SQL} || chr(10) || chr(10) ||
+  coalesce(string_agg({BLOCK_SQL}, '' ORDER BY {ORDER_SQL}) FILTER (section = 'competitor'), '_нет изменений за период_' || chr(10)) AS comp FROM s {{group}})"""
+DIGEST_TEXT_SQL = f"""rtrim('📋 *Дайджест изменений — ' || {{day}} || '*' || chr(10) || chr(10) || 'Итоговый уровень угрозы: ' || {LABEL_SQL} || chr(10) || chr(10) ||
   repeat('─', 24) || chr(10) || chr(10) || '🏛 *НПА — нормативные изменения*' || chr(10) || chr(10) || npa || chr(10) ||
-  repeat('─', 24) || chr(10) || chr(10) || '🏢 *Конкуренты*' || chr(10) || chr(10) || comp, chr(10)) AS content_md FROM t""")
+  repeat('─', 24) || chr(10) || chr(10) || '🏢 *Конкуренты*' || chr(10) || chr(10) || comp, chr(10))"""
+
+
+@query("D7_A13_digest_text", f"""WITH {ALL_CHANGES_CTE}, s AS (SELECT *, CASE WHEN {IS_LEGAL_SQL} THEN 'npa' ELSE 'competitor' END AS section FROM pending),
+{DIGEST_PARTS_SQL.format(by="", group="")}
+SELECT changes, threat_score AS max_score, {DIGEST_TEXT_SQL.format(day="'05.02.2024'")} AS content_md FROM t""")
 def d7(spark, sf):
     return digest.digest_text(pending(spark, sf), F.lit("05.02.2024")).select("changes", "max_score", "content_md")
 
