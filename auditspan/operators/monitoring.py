@@ -20,48 +20,63 @@ def snapshot_rows(fetches: DataFrame) -> DataFrame:
 
 
 def snapshot_history(snapshots: DataFrame, bucket: str = "day") -> DataFrame:
-    """Every snapshot with the one before it and the last three good item counts.
+    """Every snapshot, without its text, with the one before it.
 
     A page can be polled so often that its history alone is a large share of the
     table.  The history of a page is therefore cut into time buckets that are
     windowed in parallel; each bucket hands one small tail row to the next, and
     the tails of a page (one per bucket) form the only per-page sequence.
 
-    Adds ``has_previous``, ``previous_hash``, ``previous_text``, ``items`` and
+    Only ids, hashes and counts are sorted; :func:`with_texts` fetches the texts of the rows that need them.
+    Adds ``has_previous``, ``previous_id``, ``previous_hash``, ``items`` and
     ``recent_items`` (counts of up to three good snapshots, newest first).
     """
     items = F.when(F.col("fetch_status") == "ok", tx.count_items(F.col("raw_text"))).otherwise(F.lit(0))
     rows = snapshots.withColumns({
         "bucket": F.date_trunc(bucket, "captured_at"), "items": items}).withColumn(
-        "good", F.when(F.col("fetch_status") == "ok", F.col("items")))
+        "good", F.when(F.col("fetch_status") == "ok", F.col("items"))).drop("raw_text")
     order = ["captured_at", "id"]
     over = f"OVER (PARTITION BY {', '.join(KEYS)}, bucket ORDER BY captured_at, id)"
     here = Window.partitionBy(*KEYS, "bucket").orderBy(*order)
     within = rows.withColumns({
         "first_here": F.row_number().over(here) == 1,
-        "last_here": F.lead("id").over(here).isNull(),
-        "near_hash": F.lag("content_hash").over(here), "near_text": F.lag("raw_text").over(here),
+        "last_here": F.lead(F.lit(True)).over(here).isNull(),
+        "near_hash": F.lag("content_hash").over(here), "near_id": F.lag("id").over(here),
         "near_good": F.array_compact(F.array(*[F.expr(f"lag(good, {k}) IGNORE NULLS {over}") for k in (1, 2, 3)])),
     })
     # the last row of every bucket, with the good counts up to and including it
     tails = within.filter("last_here").select(
-        *KEYS, "bucket", F.col("content_hash").alias("tail_hash"), F.col("raw_text").alias("tail_text"),
+        *KEYS, "bucket", F.col("content_hash").alias("tail_hash"), F.col("id").alias("tail_id"),
         F.slice(F.array_compact(F.concat(F.array("good"), F.col("near_good"))), 1, 3).alias("tail_good"))
     across = Window.partitionBy(*KEYS).orderBy("bucket")
     across_sql = f"OVER (PARTITION BY {', '.join(KEYS)} ORDER BY bucket)"
     carried = tails.withColumn("full_tail", F.when(F.size("tail_good") > 0, F.col("tail_good"))).select(
         *KEYS, "bucket", F.lag(F.lit(True)).over(across).alias("far"),
-        F.lag("tail_hash").over(across).alias("far_hash"), F.lag("tail_text").over(across).alias("far_text"),
+        F.lag("tail_hash").over(across).alias("far_hash"), F.lag("tail_id").over(across).alias("far_id"),
         F.slice(F.concat(*[F.coalesce(F.expr(f"lag(full_tail, {k}) IGNORE NULLS {across_sql}"),
                                       F.array().cast("array<int>")) for k in (1, 2, 3)]), 1, 3).alias("far_good"))
     joined = within.join(carried, [*KEYS, "bucket"], "left")
     first = F.col("first_here")
     return joined.withColumns({
         "has_previous": ~first | F.coalesce("far", F.lit(False)),
+        "previous_id": F.when(first, F.col("far_id")).otherwise(F.col("near_id")),
         "previous_hash": F.when(first, F.col("far_hash")).otherwise(F.col("near_hash")),
-        "previous_text": F.when(first, F.col("far_text")).otherwise(F.col("near_text")),
         "recent_items": F.slice(F.concat("near_good", F.coalesce("far_good", F.array().cast("array<int>"))), 1, 3),
-    }).select(*snapshots.columns, "items", "has_previous", "previous_hash", "previous_text", "recent_items")
+    }).select(*[c for c in snapshots.columns if c != "raw_text"], "items", "has_previous", "previous_id", "previous_hash",
+              "recent_items")
+
+
+def with_texts(rows: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """``rows`` of a history with ``raw_text`` and ``previous_text``; ``id`` is a key of ``snapshots``.
+
+    Texts are read once: a semi-join lets those of the rows and of the ones before them through, and both
+    joins read its one exchange.  They are hash joins by id, so no text is sorted.
+    """
+    needed = rows.select(F.explode(F.array("id", "previous_id")).alias("id"))
+    texts = snapshots.select("id", "raw_text").join(needed.hint("shuffle_hash"), "id", "left_semi")
+    before = texts.select(F.col("id").alias("previous_id"), F.col("raw_text").alias("previous_text"))
+    own = rows.hint("shuffle_hash").join(texts, "id")
+    return own.join(before.hint("shuffle_hash"), "previous_id", "left")
 
 
 def parse_warnings(history: DataFrame) -> DataFrame:
@@ -76,13 +91,12 @@ def last_good_baseline(snapshots: DataFrame, bucket: str = "day") -> DataFrame:
     return snapshot_history(snapshots.filter("fetch_status = 'ok'"), bucket)
 
 
-def changed_snapshots(history: DataFrame) -> DataFrame:
+def changed_snapshots(history: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Good snapshots whose hash differs from the previous row (failed fetches
-    count as an empty previous row)."""
-    return history.filter(
-        (F.col("fetch_status") == "ok") & F.col("has_previous")
-        & (F.col("content_hash") != F.col("previous_hash"))
-    ).withColumn("previous_text", F.coalesce("previous_text", F.lit("")))
+    count as an empty previous row), with both texts."""
+    changed = history.filter(
+        (F.col("fetch_status") == "ok") & F.col("has_previous") & (F.col("content_hash") != F.col("previous_hash")))
+    return with_texts(changed, snapshots).withColumn("previous_text", F.coalesce("previous_text", F.lit("")))
 
 
 def with_diff(changed: DataFrame) -> DataFrame:

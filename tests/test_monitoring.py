@@ -36,7 +36,8 @@ def test_history_across_buckets_equals_the_loop(spark):
     rows = [(f"s{rng.randint(0, 2) % 2}", f"u{rng.randint(0, 1)}", rng.choice(["", "a", "a\nb", "c\n\nd\ne"]),
              rng.choice(["ok", "ok", "error"]), h // 3) for h in range(400)]
     for bucket in ("hour", "day", "year"):
-        got = monitoring.snapshot_history(fetches(spark, rows), bucket).collect()
+        table = fetches(spark, rows)
+        got = monitoring.with_texts(monitoring.snapshot_history(table, bucket), table).collect()
         seen = {r.id: (r.has_previous, r.previous_text, list(r.recent_items)) for r in got}
         assert seen == reference_history(rows)
 
@@ -123,8 +124,8 @@ def test_pending_split_is_null_safe(spark):
 
 def test_legal_change_without_analysis_keeps_no_score(spark):
     sources = spark.createDataFrame([("s", "Источник", ["слово"], True)], "source_id string, name string, keywords array<string>, npa_critical boolean")
-    history = monitoring.snapshot_history(fetches(spark, [("s", "u", "a", "ok", 0), ("s", "u", "штраф", "ok", 1)]))
-    diffed = monitoring.with_diff(monitoring.changed_snapshots(history))
+    table = fetches(spark, [("s", "u", "a", "ok", 0), ("s", "u", "штраф", "ok", 1)])
+    diffed = monitoring.with_diff(monitoring.changed_snapshots(monitoring.snapshot_history(table), table))
     none = spark.createDataFrame([], "id bigint, reply string")
     row = monitoring.legal_changes(diffed, sources, none).first()
     assert (row.change_type, row.threat_score, row.npa_critical) == ("npa", None, None)

@@ -53,7 +53,7 @@ def history(spark, sf):
 
 
 def changed(spark, sf):
-    return monitoring.changed_snapshots(history(spark, sf))
+    return monitoring.changed_snapshots(history(spark, sf), snapshots(spark, sf))
 
 
 @query("K5_snapshot_rows", f"WITH {SNAP_CTE} SELECT id, source_id, url, content_hash, raw_text, fetch_status FROM snapshots")
@@ -61,9 +61,10 @@ def k5(spark, sf):
     return snapshots(spark, sf).drop("captured_at")
 
 
-@query("W1_previous_snapshot", f"""WITH {SNAP_CTE} SELECT id, source_id, url, has_previous, previous_hash, previous_text FROM history""")
+@query("W1_previous_snapshot", f"""WITH {SNAP_CTE} SELECT id, source_id, url, has_previous, lag(id) OVER (PARTITION BY source_id, url ORDER BY captured_at, id) AS previous_id, previous_hash, previous_text FROM history""")
 def w1(spark, sf):
-    return history(spark, sf).select("id", "source_id", "url", "has_previous", "previous_hash", "previous_text")
+    rows = monitoring.with_texts(history(spark, sf), snapshots(spark, sf))
+    return rows.select("id", "source_id", "url", "has_previous", "previous_id", "previous_hash", "previous_text")
 
 
 @query("W1_previous_good_snapshot", f"""WITH {SNAP_CTE}
