@@ -1,16 +1,22 @@
 """Writing results.
 
-Event-like results are appended.  Keyed tables are upserted by writing a new
-version next to the old one, so a job that loses executors, or fails half-way,
-never leaves a half-written table and readers never see one.
+Event-like results are appended.  Keyed tables are split into buckets by a hash of the key.  An upsert
+rewrites only the buckets that it touches, beside the old ones, and then appends one file to the manifest
+that names the live folder of every bucket.  That file appears at once or not at all, so a job that
+loses executors, or fails half-way, leaves the old version as it was and readers never see a part of a new one.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditspan.localtable import local_table
 from auditspan.session import scratch_path  # noqa: F401 - part of this module's interface
 
+MANIFEST = "version long, bucket int, buckets int, key string, folder string"
+
 
 def append(df: DataFrame, path: str, *partition_by: str, fmt: str = "parquet") -> None:
     writer = df.write.mode("append").format(fmt)
@@ -77,21 +83,68 @@ def upserted(existing: DataFrame, incoming: DataFrame, key: str = "id", updated_
     return both.groupBy(key).agg(F.max_by(row, F.struct(updated_at, "_new")).alias("r")).select("r.*")
 
 
-def write_version(df: DataFrame, root: str, version: int) -> str:
-    """Write a table version; fails rather than overwrite an existing one."""
-    path = f"{root.rstrip('/')}/version={version}"
-    df.write.mode("errorifexists").parquet(path)
-    return path
+def _bucket(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("_bucket")
 
 
-def read_version(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
-    """The given version, by default the highest."""
+def _manifest(spark: SparkSession, root: str, version: int | None) -> list:
+    """The live folders of a version, one row a bucket; files that are still being written are not listed."""
+    entries = spark.read.schema(MANIFEST).parquet(f"{root}/manifest")
     if version is None:
-        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(root)
-        listing = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(jvm_path)
-        version = max(int(s.getPath().getName().split("=")[1]) for s in listing
-                      if s.getPath().getName().startswith("version="))
-    return spark.read.parquet(f"{root.rstrip('/')}/version={version}")
+        version = entries.agg(F.max("version")).first()[0]
+    return entries.filter(F.col("version") == version).collect()
+
+
+def _commit(rows: DataFrame, root: str, key: str, buckets: int, version: int, live: dict[int, str], files: int) -> None:
+    """Write the buckets in ``rows``, then the manifest of the version in one file."""
+    folder = f"commit={uuid.uuid4().hex}"
+    dealt = rows.withColumn("_bucket", _bucket(key, buckets)).repartition(
+        "_bucket", F.pmod(F.xxhash64(key, F.lit(1)), F.lit(files)))
+    dealt.write.partitionBy("_bucket").parquet(f"{root}/data/{folder}")
+    spark = rows.sparkSession
+    written = spark.read.schema("_bucket int").parquet(f"{root}/data/{folder}").distinct().collect()
+    live = {**live, **{r[0]: f"{folder}/_bucket={r[0]}" for r in written}}
+    entries = [(version, bucket, buckets, key, path) for bucket, path in sorted(live.items())]
+    # one file: it is moved into place in one step
+    local_table(spark, entries, MANIFEST).coalesce(1).write.mode("append").parquet(f"{root}/manifest")
+
+
+def create_keyed(rows: DataFrame, root: str, key: str = "id", *, buckets: int = 64, files: int = 1) -> None:
+    """First version of a keyed table; ``files`` are written for each bucket.
+
+    Choose ``buckets`` so that a bucket is what an upsert may rewrite; their number bounds the manifest.
+    """
+    root = root.rstrip("/")
+    # one row for the schema, so that an empty table can be read too
+    rows.limit(0).write.mode("errorifexists").parquet(f"{root}/schema")
+    _commit(rows, root, key, buckets, 1, {-1: "../schema"}, files)
+
+
+def merge_keyed(incoming: DataFrame, root: str, updated_at: str = "updated_at", *, files: int = 1) -> int:
+    """Upsert ``incoming`` and return the new version.
+
+    Only buckets that hold an incoming key are read and rewritten.  One writer at a time.
+    """
+    spark, root = incoming.sparkSession, root.rstrip("/")
+    entries = _manifest(spark, root, None)
+    version, buckets, key = entries[0].version + 1, entries[0].buckets, entries[0].key
+    live = {e.bucket: e.folder for e in entries}
+    touched = {r[0] for r in incoming.select(_bucket(key, buckets)).distinct().collect()}
+    old = _read(spark, root, [live[b] for b in sorted(touched | {-1}) if b in live])
+    _commit(upserted(old, incoming.select(old.columns), key, updated_at), root, key, buckets, version, live, files)
+    return version
+
+
+def _read(spark: SparkSession, root: str, folders: list[str]) -> DataFrame:
+    schema = spark.read.parquet(f"{root}/schema").schema
+    return spark.read.schema(schema).parquet(*[
+        f"{root}/schema" if f == "../schema" else f"{root}/data/{f}" for f in folders])
+
+
+def read_keyed(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
+    """The given version of a keyed table, by default the last that was finished."""
+    root = root.rstrip("/")
+    return _read(spark, root, [e.folder for e in _manifest(spark, root, version)])
 
 
 def export_documents(audit, chunk: int = 1000) -> DataFrame:

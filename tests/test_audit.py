@@ -197,13 +197,51 @@ def test_preview_orders(spark):
     assert [r.check_id for r in serving.preview(v, critical_last=True).orderBy("rank").collect()] == ["A", "C", "B"]
 
 
-def test_versions_never_overwrite(spark, tmp_path):
+def stored(spark, rows):
+    return spark.createDataFrame(rows, "id string, v string, updated_at int")
+
+
+def test_upserts_rewrite_only_touched_buckets(spark, tmp_path):
+    root = str(tmp_path / "t")
+    rows = [(f"k{i}", "old", 1) for i in range(200)] + [(None, "null", 1)]
+    tables.create_keyed(stored(spark, rows), root, buckets=16)
+    changed = [("k7", "new", 2), ("k8", "stale", 0), ("fresh", "new", 2), (None, "newer", 3), ("k7", "twice", 1)]
+    assert tables.merge_keyed(stored(spark, changed), root) == 2
+    want = {r[0]: r[1] for r in rows} | {"k7": "new", "fresh": "new", None: "newer"}
+    assert {r.id: r.v for r in tables.read_keyed(spark, root).collect()} == want
+    assert {r.id: r.v for r in tables.read_keyed(spark, root, 1).collect()} == {r[0]: r[1] for r in rows}
+    first, second = ({e.bucket: e.folder for e in tables._manifest(spark, root, v)} for v in (1, 2))
+    moved = {b for b in second if second[b] != first.get(b)}
+    assert 1 <= len(moved) <= 4 and len(second) >= 16
+    assert tables.merge_keyed(stored(spark, []), root) == 3 and tables.read_keyed(spark, root).count() == 202
+
+
+def test_a_failed_upsert_leaves_the_old_version(spark, tmp_path):
+    root = str(tmp_path / "t")
+    tables.create_keyed(stored(spark, [(f"k{i}", "old", 1) for i in range(50)]), root, buckets=4)
+    broken = stored(spark, [(f"k{i}", "new", 2) for i in range(50)]).withColumn(
+        "v", F.when(F.col("id") == "k33", F.raise_error(F.lit("lost"))).otherwise(F.col("v")))
+    reader = tables.read_keyed(spark, root)
+    with pytest.raises(Exception, match="lost"):
+        tables.merge_keyed(broken, root)
+    assert {r.v for r in tables.read_keyed(spark, root).collect()} == {"old"} and reader.count() == 50
+    # data that was written without its manifest, as by a driver that is lost in between
+    stored(spark, [("x", "ghost", 9)]).write.parquet(f"{root}/data/commit=ghost/_bucket=0")
+    assert tables.read_keyed(spark, root).count() == 50
+    assert tables.merge_keyed(stored(spark, [("k1", "new", 2)]), root) == 2
+    assert sorted({r.v for r in tables.read_keyed(spark, root).collect()}) == ["new", "old"]
+    # a reader that began before the upsert still reads the files of its version
+    assert {r.v for r in reader.collect()} == {"old"}
+
+
+def test_empty_keyed_table(spark, tmp_path):
     root = str(tmp_path / "t")
-    tables.write_version(spark.range(2), root, 1)
-    tables.write_version(spark.range(3), root, 2)
-    assert tables.read_version(spark, root).count() == 3 and tables.read_version(spark, root, 1).count() == 2
+    tables.create_keyed(stored(spark, []), root)
+    assert tables.read_keyed(spark, root).count() == 0
+    tables.merge_keyed(stored(spark, [("a", "x", 1)]), root)
+    assert [r.v for r in tables.read_keyed(spark, root).collect()] == ["x"]
     with pytest.raises(Exception):
-        tables.write_version(spark.range(1), root, 2)
+        tables.create_keyed(stored(spark, []), root)
 
 
 def test_report_needs_one_exchange_of_page_rows(spark):

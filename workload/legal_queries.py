@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from auditspan.knowledge import fixed_values as fixed
 from auditspan.functions import replies
+from auditspan.operators import digest
 from auditspan.operators import documents as doc_ops
 from auditspan.operators import legal, monitoring, serving
 from auditspan.operators import pages as page_ops
@@ -17,8 +18,9 @@ from auditspan.streaming import jobs
 from workload import crawl_table as ct
 from workload.audit_queries import REPORTS_CTE
 from workload.crawl_table import crawl_cte, lit, site, values
-from workload.monitor_queries import DIGEST_PARTS_SQL, DIGEST_TEXT_SQL, IS_LEGAL_SQL, LEGAL_CTE, SNAP_CTE, SNAP_SELECT, snapshots
+from workload.monitor_queries import ALL_CHANGES_CTE, DIGEST_PARTS_SQL, DIGEST_TEXT_SQL, IS_LEGAL_SQL, LEGAL_CTE, SNAP_CTE, SNAP_SELECT, snapshots
 from workload.monitor_queries import legal as legal_rows
+from workload.monitor_queries import pending
 from workload.page_queries import FORM_VALUES, IS_HTML_SQL, SCRIPT_VALUES
 from workload import dimension_files
 from workload.registry import plan_once, query, table
@@ -370,32 +372,48 @@ def k2(spark, sf):
                          "risk_level", "summary")
 
 
-@query("K3_upsert_organizations", f"WITH {ORGS_CTE} SELECT id, CASE WHEN c_custkey % 3 = 0 THEN 'renamed' ELSE legal_name END AS legal_name FROM orgs")
-def k3(spark, sf):
+def _stored_organizations(spark, sf):
+    """A table of organisations, and a third of them renamed by an upsert."""
     orgs = organizations(spark, sf).withColumn("updated_at", F.lit("2025-01-01").cast("timestamp"))
     n = F.regexp_extract("id", r"(\d+)", 1).cast("bigint")
     incoming = orgs.filter(n % 3 == 0).withColumns({
         "legal_name": F.lit("renamed"), "updated_at": F.lit("2025-02-01").cast("timestamp")})
     root = tables.scratch_path(spark, "orgs")
-    tables.write_version(orgs, root, 1)
-    tables.write_version(tables.upserted(tables.read_version(spark, root), incoming), root, 2)
-    return tables.read_version(spark, root).select("id", "legal_name")
+    tables.create_keyed(orgs, root, buckets=8)
+    tables.merge_keyed(incoming, root)
+    return root
+
+
+@query("K3_upsert_organizations", f"WITH {ORGS_CTE} SELECT id, CASE WHEN c_custkey % 3 = 0 THEN 'renamed' ELSE legal_name END AS legal_name FROM orgs")
+def k3(spark, sf):
+    return tables.read_keyed(spark, _stored_organizations(spark, sf)).select("id", "legal_name")
+
+
+@query("K3_earlier_version", f"WITH {ORGS_CTE} SELECT id, legal_name, inn FROM orgs")
+def k3_earlier(spark, sf):
+    return tables.read_keyed(spark, _stored_organizations(spark, sf), 1).select("id", "legal_name", "inn")
 
 
-@query("K4_upsert_documents", f"WITH {DOCS_CTE} SELECT id, CASE WHEN version = 2 THEN 'rewritten' ELSE content_md END AS content_md FROM docs")
+@query("K4_upsert_documents", f"""WITH {DOCS_CTE} SELECT id, CASE WHEN version = 2 THEN 'rewritten' ELSE content_md END AS content_md FROM docs
+UNION ALL SELECT id || '-new', content_md FROM docs WHERE version = 1""")
 def k4(spark, sf):
     docs = org_documents(spark, sf).withColumn("updated_at", F.col("created_at"))
-    incoming = docs.filter("version = 2").withColumns({
-        "content_md": F.lit("rewritten"), "updated_at": F.lit("2025-02-01").cast("timestamp")})
-    return tables.upserted(docs, incoming).select("id", "content_md")
+    later = F.lit("2025-02-01").cast("timestamp")
+    root = tables.scratch_path(spark, "documents")
+    tables.create_keyed(docs, root, buckets=8)
+    tables.merge_keyed(docs.filter("version = 2").withColumns({"content_md": F.lit("rewritten"), "updated_at": later}), root)
+    tables.merge_keyed(docs.filter("version = 1").withColumns({"id": F.concat("id", F.lit("-new")), "updated_at": later}), root)
+    return tables.read_keyed(spark, root).select("id", "content_md")
 
 
-@query("K8_append_digest", "SELECT count(*) AS changes, '2024-01-01' AS period_start, '2024-01-08' AS period_end FROM events WHERE event_type = 'error'")
+@query("K8_append_digest", f"""WITH {ALL_CHANGES_CTE}, s AS (SELECT *, CASE WHEN {IS_LEGAL_SQL} THEN 'npa' ELSE 'competitor' END AS section FROM pending),
+{DIGEST_PARTS_SQL.format(by="", group="")}
+SELECT {DIGEST_TEXT_SQL.format(day="'05.02.2024'")} AS content_md, '2024-01-29' AS period_start, '2024-02-05' AS period_end FROM t""")
 def k8(spark, sf):
-    n = table(spark, sf, "events").filter("event_type = 'error'").agg(F.count("*").cast("string").alias("content_md"))
+    text = digest.digest_text(pending(spark, sf), F.lit("05.02.2024"))
     path = tables.scratch_path(spark, "digests")
-    tables.append_digest(n, path, "2024-01-01", "2024-01-08")
-    return spark.read.parquet(path).select(F.col("content_md").cast("bigint").alias("changes"), "period_start", "period_end")
+    tables.append_digest(text, path, "2024-01-29", "2024-02-05")
+    return spark.read.parquet(path).select("content_md", "period_start", "period_end")
 
 
 @query("K9_append_updates", f"WITH {UPDATES_CTE} SELECT source, title, count(*) AS n FROM updates GROUP BY ALL")
@@ -409,7 +427,8 @@ def k9(spark, sf):
 SELECT site, part, pages, overall_score FROM p JOIN reports USING (site)""")
 def k10(spark, sf):
     docs = tables.export_documents(audit_plan.audit(ct.crawl_table(spark, sf), materialise=True), chunk=100)
-    return docs.select("site", "part", F.size(F.from_json("document", "pages array<struct<url:string>>").getField("pages")).cast("bigint").alias("pages"),
+    path = tables.write_export(docs, tables.scratch_path(spark, "export"), "2025-01-01")
+    return spark.read.schema(docs.schema).json(path).select("site", "part", F.size(F.from_json("document", "pages array<struct<url:string>>").getField("pages")).cast("bigint").alias("pages"),
                        F.get_json_object("document", "$.report.overall_score").cast("int").alias("overall_score"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from auditspan.functions import diffs
 from auditspan.knowledge import fixed_values as fixed
 from auditspan.operators import digest, monitoring
+from auditspan.sinks import tables
 from auditspan.localtable import local_table
 from workload.audit_queries import contains_any
 from workload.crawl_table import lit, values
@@ -58,7 +59,10 @@ def changed(spark, sf):
 
 @query("K5_snapshot_rows", f"WITH {SNAP_CTE} SELECT id, source_id, url, content_hash, raw_text, fetch_status FROM snapshots")
 def k5(spark, sf):
-    return snapshots(spark, sf).drop("captured_at")
+    path = tables.scratch_path(spark, "stored-snapshots")
+    for part in (0, 1):  # two runs append to one table
+        tables.append_snapshots(snapshots(spark, sf).filter(F.col("id") % 2 == part), path)
+    return spark.read.parquet(path).drop("captured_at", "day")
 
 
 @query("W1_previous_snapshot", f"""WITH {SNAP_CTE} SELECT id, source_id, url, has_previous, lag(id) OVER (PARTITION BY source_id, url ORDER BY captured_at, id) AS previous_id, previous_hash, previous_text FROM history""")
@@ -163,7 +167,9 @@ def d6(spark, sf):
 @query("K6_change_rows_per_source", f"""WITH {COMPETITOR_CTE}
 SELECT source_id, change_type, count(*) AS changes, count_if(analysed) AS analysed, max(threat_score) AS max_score FROM competitor GROUP BY ALL""")
 def k6(spark, sf):
-    return competitor(spark, sf).groupBy("source_id", "change_type").agg(
+    path = tables.scratch_path(spark, "stored-changes")
+    tables.append_changes(competitor(spark, sf), path)
+    return spark.read.parquet(path).groupBy("source_id", "change_type").agg(
         F.count("*").alias("changes"), F.count_if("analysed").alias("analysed"), F.max("threat_score").alias("max_score"))
 
 
@@ -295,4 +301,6 @@ def d7(spark, sf):
 
 @query("K7_mark_digested", f"WITH {ALL_CHANGES_CTE} SELECT id AS change_id, CAST(7 AS BIGINT) AS digest_id FROM pending")
 def k7(spark, sf):
-    return digest.mark_digested(pending(spark, sf), 7)
+    path = tables.scratch_path(spark, "stored-membership")
+    tables.append_digest_membership(digest.mark_digested(pending(spark, sf), 7), path)
+    return spark.read.parquet(path)
