@@ -33,10 +33,6 @@ def prohibited_mask(host: Column) -> Column:
     return F.coalesce(_first_match(host, bits), F.lit(0).cast("bigint"))
 
 
-def service_bit(name: str) -> int:
-    return 1 << [s[0] for s in fixed.PROHIBITED_SERVICES].index(name)
-
-
 def tracker_mask(host: Column) -> Column:
     """Bit i is set when ``host`` is, or is under, a domain of tracker i."""
     dotted = F.concat(F.lit("."), host)
@@ -61,8 +57,17 @@ def disclosed_tracker_mask(policy_lower: Column) -> Column:
 FOREIGN_TRACKERS = sum(1 << i for i, t in enumerate(fixed.TRACKERS) if t[3])
 
 
-def tracker_names(mask: Column) -> Column:
-    """Names of the trackers of a mask, in registry order, comma separated."""
-    names = [F.when(mask.bitwiseAND(F.lit(1 << i)) != 0, F.lit(name))
-             for i, (name, *_) in enumerate(fixed.TRACKERS)]
-    return F.concat_ws(", ", *names)
+def _names(mask: Column, names) -> Column:
+    """Names of the bits of a mask, in registry order."""
+    return F.array_compact(F.array(*[
+        F.when(mask.bitwiseAND(F.lit(1 << i)) != 0, F.lit(name)) for i, name in enumerate(names)]))
+
+
+def site_columns(prohibited: Column, trackers: Column, disclosed: Column) -> dict[str, Column]:
+    """Services and trackers of a site by name, from the masks of the built-in registries."""
+    names = [t[0] for t in fixed.TRACKERS]
+    return {
+        "services_used": _names(prohibited, [s[0] for s in fixed.PROHIBITED_SERVICES]),
+        "trackers_used": _names(trackers, names),
+        "trackers_hidden": _names(trackers.bitwiseAND(F.bitwise_not(disclosed)), names),
+        "trackers_foreign": _names(trackers.bitwiseAND(F.lit(FOREIGN_TRACKERS)), names)}

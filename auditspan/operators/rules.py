@@ -11,7 +11,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditspan.functions import registries
 from auditspan.functions import text as tx
 from auditspan.knowledge import fixed_values as fixed
 
@@ -163,7 +162,7 @@ def _technical_checks() -> list[Check]:
         "TECH_001", "technical", _pass_if(ssl), _yes(ssl, texts["ok"], texts["details"]),
         F.lit(texts["title"]), F.lit(texts["description"]), F.col("site_url"))]
     for cid, service, replacement in fixed.SERVICE_CHECKS:
-        used = F.col("prohibited_mask").bitwiseAND(F.lit(registries.service_bit(service))) != 0
+        used = F.array_contains("services_used", service)
         checks.append(Check(
             cid, "technical", _pass_if(~used),
             _yes(used, fixed.SERVICE_FOUND.format(service), fixed.SERVICE_ABSENT.format(service)),
@@ -174,26 +173,23 @@ def _technical_checks() -> list[Check]:
 
 def _tracker_checks() -> list[Check]:
     found, has_text = F.col("policy_found"), F.col("policy_has_text")
-    used = F.col("tracker_mask")
-    disclosed = F.coalesce(F.col("policy.disclosed_trackers"), F.lit(0))
-    hidden = used.bitwiseAND(F.bitwise_not(disclosed))
-    foreign = used.bitwiseAND(F.lit(registries.FOREIGN_TRACKERS))
+    hidden, foreign = F.col("trackers_hidden"), F.size("trackers_foreign") > 0
     transfer = F.coalesce(F.col("policy.discloses_transfer"), F.lit(False)) & has_text
-    silent = F.when(transfer, F.lit(0)).otherwise(foreign)
-    hidden_names, silent_names = registries.tracker_names(hidden), registries.tracker_names(silent)
+    silent = ~transfer & foreign
+    hidden_names, silent_names = F.array_join(hidden, ", "), F.array_join("trackers_foreign", ", ")
     one, two = _T["TRACKER_001"], _T["TRACKER_002"]
     return [
         Check("TRACKER_001", "trackers",
-              F.when(~found | ~has_text, F.lit(NA)).otherwise(_pass_if(hidden == 0)),
+              F.when(~found | ~has_text, F.lit(NA)).otherwise(_pass_if(F.size(hidden) == 0)),
               F.when(~found, F.lit(fixed.POLICY_SKIPPED)).when(~has_text, F.lit(one["unreadable"]))
-              .when(hidden != 0, tx.fill(one["details"], hidden_names))
-              .when(used != 0, F.lit(one["ok"])).otherwise(F.lit(one["none"])),
+              .when(F.size(hidden) > 0, tx.fill(one["details"], hidden_names))
+              .when(F.size("trackers_used") > 0, F.lit(one["ok"])).otherwise(F.lit(one["none"])),
               F.lit(one["title"]), tx.fill(one["description"], hidden_names), F.col("policy_url"),
               tx.fill(one["advice"], hidden_names)),
         Check("TRACKER_002", "trackers",
-              F.when(~found, F.lit(NA)).otherwise(_pass_if(silent == 0)),
-              F.when(~found, F.lit(fixed.POLICY_SKIPPED)).when(silent != 0, tx.fill(two["details"], silent_names))
-              .when(transfer & (foreign != 0), F.lit(two["ok"])).otherwise(F.lit(two["none"])),
+              F.when(~found, F.lit(NA)).otherwise(_pass_if(~silent)),
+              F.when(~found, F.lit(fixed.POLICY_SKIPPED)).when(silent, tx.fill(two["details"], silent_names))
+              .when(transfer & foreign, F.lit(two["ok"])).otherwise(F.lit(two["none"])),
               F.lit(two["title"]), tx.fill(two["description"], silent_names), F.col("policy_url"),
               tx.fill(two["advice"], silent_names)),
     ]

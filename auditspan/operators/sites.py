@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditspan.functions import registries
 from auditspan.functions import text as tx
 from auditspan.functions import urls
 from auditspan.knowledge import fixed_values as fixed
@@ -83,6 +84,7 @@ def site_facts(facts: DataFrame) -> DataFrame:
         F.coalesce(F.bit_or(F.when(primary, F.col("prohibited_mask"))), F.lit(0)).alias("prohibited_mask"),
         F.coalesce(F.bit_or(F.when(primary, F.col("tracker_mask"))), F.lit(0)).alias("tracker_mask"),
         F.min_by("banner", F.when(F.col("banner").isNotNull() & primary, F.col("page_ord"))).alias("banner"),
+        F.min(F.when(F.col("banner").isNotNull() & primary, F.col("page_ord"))).alias("banner_page"),
         F.count_if(policy.isNotNull() & primary).alias("crawled_policies"),
         F.count_if(policy.isNotNull()).alias("all_policies"),
         F.max_by(policy, F.when(valid & primary, policies.preference(policy))).alias("main_policy"),
@@ -105,7 +107,35 @@ def site_facts(facts: DataFrame) -> DataFrame:
         "policy_has_text": F.coalesce(F.col("policy.has_text"), F.lit(False)),
         "policy_separate": F.coalesce(F.col("policy.is_separate_page"), F.lit(False)),
         "banner_found": F.col("banner").isNotNull(),
-    }).drop("main_pages", "main_without_link", "extra_pages", "extra_without_link", "main_policy", "other_policy", "policy_url_only", "crawled_policies", "all_policies")
+        **registries.site_columns(F.col("prohibited_mask"), F.col("tracker_mask"),
+                                  F.coalesce("policy.disclosed_trackers", F.lit(0))),
+    }).drop("prohibited_mask", "tracker_mask", "main_pages", "main_without_link", "extra_pages", "extra_without_link", "main_policy", "other_policy", "policy_url_only", "crawled_policies", "all_policies")
+
+
+def with_registry_tables(sites: DataFrame, found: DataFrame, columns: list[str]) -> DataFrame:
+    """Sites with ``columns`` from registry tables in place of the built-in ones; sites without a row have none."""
+    none = F.array().cast("array<string>")
+    return sites.drop(*columns).join(found.select("site", *columns), "site", "left").withColumns(
+        {c: F.coalesce(c, none) for c in columns})
+
+
+def with_request_log(sites: DataFrame, requests: DataFrame) -> DataFrame:
+    """Browser mode: analytics before consent is what the page with the banner really requested.
+
+    ``requests`` has one row (site, page_ord, analytics_before_consent) per page; a page without a row requested nothing.
+    """
+    flags = requests.select("site", F.col("page_ord").alias("banner_page"), F.col("analytics_before_consent").alias("_early"))
+    joined = sites.join(flags, ["site", "banner_page"], "left")
+    early = F.coalesce("_early", F.lit(False))
+    return joined.withColumn("banner", F.when(F.col("banner").isNotNull(), F.col("banner").withField(
+        "analytics_before_consent", early))).drop("_early")
+
+
+def with_crawler_notes(sites: DataFrame, notes: DataFrame) -> DataFrame:
+    """Sites with the notes that their crawl left: (site, note_ord, note), in order, in ``crawler_notes``."""
+    gathered = notes.groupBy("site").agg(F.array_sort(F.collect_list(F.struct("note_ord", "note"))).alias("n"))
+    return sites.join(gathered.select("site", F.col("n.note").alias("crawler_notes")), "site", "left").withColumn(
+        "crawler_notes", F.coalesce("crawler_notes", F.array().cast("array<string>")))
 
 
 def site_cookies(crawl: DataFrame) -> DataFrame:
@@ -175,3 +205,31 @@ def unvisited_links(links: DataFrame, fetched: DataFrame) -> DataFrame:
 def fetched_urls(crawl: DataFrame) -> DataFrame:
     return crawl.select(
         urls.site_of(F.col("url")).alias("site"), urls.normalize_url(F.col("url")).alias("norm_url")).distinct()
+
+
+def probe_frontier(crawl: DataFrame, candidates: DataFrame, paths=fixed.WELL_KNOWN_POLICY_PATHS) -> DataFrame:
+    """Well-known addresses to try on sites whose crawl met no policy candidate.
+
+    Rows are (site, page_ord, url, norm_url); ``page_ord`` goes on after the site's pages, in the order of ``paths``.
+    Addresses that were visited, as a page or as a probe, are left out.  Only visited rows
+    whose path is one of ``paths`` can be among them, so no others reach the join.
+    """
+    own = ~F.coalesce("is_fallback", F.lit(False))
+    host = urls.host_of(F.col("url"))
+    homes = crawl.withColumn("site", urls.site_of(F.col("url"))).groupBy("site").agg(
+        F.min_by(host, F.when(own, F.col("page_ord"))).alias("host"), F.max("page_ord").alias("last"))
+    met = candidates.filter(own).select("site").distinct()
+    wanted = homes.filter("host != ''").join(met, "site", "left_anti").select(
+        "site", "host", "last", F.posexplode(F.array(*[F.lit(p) for p in paths])).alias("i", "path"))
+    wanted = wanted.select("site", (F.col("last") + 1 + F.col("i")).alias("page_ord"),
+                           F.concat(F.lit("https://"), "host", "path").alias("url"))
+    norm = urls.normalize_url(F.col("url"))
+    visited = crawl.filter(F.rtrim(urls.path_of(F.col("url")), F.lit("/")).isin(*paths)).select(
+        urls.site_of(F.col("url")).alias("site"), norm.alias("norm_url")).distinct()
+    return wanted.withColumn("norm_url", norm).join(visited, ["site", "norm_url"], "left_anti").select(
+        "site", "page_ord", "url", "norm_url")
+
+
+def with_probes(crawl: DataFrame, answers: DataFrame) -> DataFrame:
+    """The crawl with what its probes answered (rows of a crawl); a probe is no visited page."""
+    return crawl.unionByName(answers.withColumn("is_fallback", F.lit(True)), allowMissingColumns=True)

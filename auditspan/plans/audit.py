@@ -13,7 +13,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditspan.operators import pages, rules, scoring
+from auditspan.operators import pages, rules, scoring, scripts
 from auditspan.operators import sites as site_ops
 from auditspan.session import cut_lineage
 from auditspan.sources import dimensions
@@ -28,16 +28,32 @@ class Audit:
     """
 
     def __init__(self, crawl: DataFrame, materialise: bool = False,
-                 checklist: DataFrame | None = None, fines: DataFrame | None = None):
+                 checklist: DataFrame | None = None, fines: DataFrame | None = None, *,
+                 services: DataFrame | None = None, trackers: DataFrame | None = None,
+                 request_log: DataFrame | None = None, notes: DataFrame | None = None):
         spark = crawl.sparkSession
         self.checklist = checklist if checklist is not None else dimensions.checklist(spark)
         self.fine_schedule = fines if fines is not None else dimensions.fines(spark)
+        self.crawl, self.services, self.trackers = crawl, services, trackers
+        self.request_log, self.notes = request_log, notes
         facts = pages.page_facts(crawl)
         self.facts = cut_lineage(facts) if materialise else facts
 
     @cached_property
     def sites(self) -> DataFrame:
-        return site_ops.site_facts(self.facts)
+        sites = site_ops.site_facts(self.facts)
+        if self.request_log is not None:
+            sites = site_ops.with_request_log(sites, scripts.tracker_requests(self.request_log, self.trackers))
+        hosts = scripts.primary_hosts(self.facts)
+        if self.services is not None:
+            found = scripts.services_of_sites(hosts, self.services)
+            sites = site_ops.with_registry_tables(sites, found, ["services_used"])
+        if self.trackers is not None:
+            chosen = sites.select("site", F.col("policy.page_ord").alias("page_ord")).filter("page_ord is not null")
+            texts = pages.policy_candidates(self.crawl).select("site", "page_ord", "text").join(chosen, ["site", "page_ord"])
+            found = scripts.trackers_of_sites(hosts, self.trackers, texts)
+            sites = site_ops.with_registry_tables(sites, found, ["trackers_used", "trackers_hidden", "trackers_foreign"])
+        return sites if self.notes is None else site_ops.with_crawler_notes(sites, self.notes)
 
     @cached_property
     def forms(self) -> DataFrame:
@@ -57,9 +73,14 @@ class Audit:
         return reports(self.sites, self.checklist, self.fine_schedule)
 
 
-def audit(crawl: DataFrame, materialise: bool = False,
-          checklist: DataFrame | None = None, fines: DataFrame | None = None) -> Audit:
-    return Audit(crawl, materialise, checklist, fines)
+def audit(crawl: DataFrame, materialise: bool = False, checklist: DataFrame | None = None, fines: DataFrame | None = None,
+          **tables: DataFrame | None) -> Audit:
+    """The audit of a crawl.
+
+    ``tables`` may hold ``services`` and ``trackers`` (registries of any size in place of the built-in ones),
+    ``request_log`` (browser mode: what the pages requested) and ``notes`` (what the crawler could not do).
+    """
+    return Audit(crawl, materialise, checklist, fines, **tables)
 
 
 def reports(sites: DataFrame, checklist: DataFrame, fines: DataFrame) -> DataFrame:
@@ -75,7 +96,8 @@ def reports(sites: DataFrame, checklist: DataFrame, fines: DataFrame) -> DataFra
         F.col("policy.content_length").alias("policy_length"),
         F.col("policy.text_truncated").alias("policy_truncated"),
         F.col("policy.extraction_method").alias("policy_method"),
-        scoring.scan_limitations().alias("scan_limitations"))
+        scoring.scan_limitations(F.col("crawler_notes") if "crawler_notes" in sites.columns else None)
+        .alias("scan_limitations"))
     outcomes = rules.site_outcomes(sites.withColumn("base", base), "base")
     priced = scoring.price_outcomes(outcomes, checklist, fines)
     folded = scoring.fold_outcomes(priced, "site", F.any_value("base").alias("base"))

@@ -67,7 +67,11 @@ def fines(spark: SparkSession, path: str | None = None) -> DataFrame:
         for fid, violation, law, low, high, repeat in fixed.FINES), schemas.FINES)
 
 
-def trackers(spark: SparkSession) -> DataFrame:
+def trackers(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """One row per tracker; ``tracker_ord`` keeps the order of the file."""
+    if path:
+        # one JSON document is read by one task, so the id follows its order
+        return _json(spark, path, schemas.TRACKERS).withColumn("tracker_ord", F.monotonically_increasing_id())
     rows = [(i, name, list(domains), list(keywords), foreign)
             for i, (name, domains, keywords, foreign) in enumerate(fixed.TRACKERS)]
     return local_table(

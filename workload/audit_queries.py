@@ -14,7 +14,7 @@ from auditspan.plans import audit as audit_plan
 from auditspan.sources import dimensions
 from workload import crawl_table as ct
 from workload import dimension_files
-from workload.crawl_table import crawl_cte, lit, norm, path, site, values
+from workload.crawl_table import crawl_cte, host, lit, norm, path, site, values
 from workload.page_queries import (
     BANNERS_CTE, FOOTER_SQL, FORM_VALUES, IS_HTML_SQL, POLICY_PAGE_SQL, PRIORITY_SQL, SCRIPTS_CTE, TITLE_SQL,
     VISIBLE_SQL, facts, rx)
@@ -125,6 +125,43 @@ def u5(spark, sf):
         "site", "page_ord", "url")
 
 
+PROBES_CTE = f"""{values('paths', 'probe_ord, path', list(enumerate(fixed.WELL_KNOWN_POLICY_PATHS)))},
+homes AS (SELECT {site('url')} AS site, arg_min({host('url')}, page_ord) FILTER (NOT is_fallback) AS host, max(page_ord) AS last FROM crawl GROUP BY 1),
+probes AS (SELECT site, last + 1 + probe_ord AS page_ord, 'https://' || host || path AS url, probe_ord FROM homes, paths
+  WHERE site NOT IN (SELECT site FROM candidates WHERE NOT is_fallback)
+  AND 'https://' || host || path NOT IN (SELECT {norm('url')} FROM crawl))"""
+
+
+def probes(spark, sf):
+    return site_ops.probe_frontier(ct.crawl_table(spark, sf), candidates(spark, sf))
+
+
+@query("U5_probe_frontier", f"WITH {crawl_cte()}, {CANDIDATES_CTE}, {PROBES_CTE} SELECT site, page_ord, url FROM probes")
+def u5_probes(spark, sf):
+    return probes(spark, sf).select("site", "page_ord", "url")
+
+
+ANSWER_PAGE = f"""CASE WHEN page_ord % 3 = 0 THEN {lit(ct._PLAIN_PAGE % ct.POLICIES[0])} ELSE {lit(ct._PLAIN_PAGE % ct.POLICIES[2])} END"""
+
+
+@query("U5_policies_with_probes", f"""WITH {crawl_cte()}, {CANDIDATES_CTE}, {PROBES_CTE},
+answered AS (SELECT *, 1 + CASE WHEN page_ord % 3 = 0 THEN 1 ELSE 0 END AS good FROM probes WHERE page_ord % 4 <> 0),
+known AS (SELECT DISTINCT site FROM candidates WHERE NOT is_fallback),
+earlier AS (SELECT site, page_ord, url, coalesce(length(text), 0) AS n, priority FROM valid WHERE is_fallback AND site NOT IN (SELECT site FROM known)),
+later AS (SELECT site, page_ord, url, (SELECT max(length(text)) FROM candidates WHERE starts_with(text, 'Документ') AND contains(text, 'ООО Ромашка')) AS n,
+  {PRIORITY_SQL.format(p=path('url'))} AS priority FROM answered WHERE good = 2),
+chosen AS (SELECT * FROM (SELECT * FROM earlier UNION ALL SELECT * FROM later)
+  QUALIFY row_number() OVER (PARTITION BY site ORDER BY n DESC, priority DESC, page_ord) = 1)
+SELECT site, url FROM best WHERE NOT is_fallback UNION ALL SELECT site, url FROM chosen""")
+def u5_policies(spark, sf):
+    crawl = ct.crawl_table(spark, sf)
+    answers = probes(spark, sf).select(
+        "page_ord", "url", F.when(F.col("page_ord") % 4 == 0, 404).otherwise(200).alias("status_code"),
+        F.lit("text/html").alias("content_type"), F.expr(ANSWER_PAGE).alias("html"))
+    united = site_ops.with_probes(crawl, answers)
+    return policy_ops.best_policies(page_ops.policy_candidates(united)).select("site", "url")
+
+
 # -- trackers against the policy ----------------------------------------------
 
 TRACKERS_CTE = "used AS (SELECT DISTINCT site, tracker FROM scripts WHERE tracker IS NOT NULL)"
@@ -288,6 +325,68 @@ _check_group("C19_C20_tracker_checks", "TRACKER")
 _check_group("C21_regulatory_checks", "REG")
 
 
+# -- the same checks with tables in place of the built-in registries -----------
+
+MANY_CTE = f"""{values('many_services', 'service_ord, name, domain_ord, domain', [
+    (i, name, j, d) for i, (name, _, domains) in enumerate(dimension_files.MANY_SERVICES) for j, d in enumerate(domains)])},
+{values('many_trackers', 'tracker_ord, name, domain', [(i, t[0], d) for i, t in enumerate(dimension_files.MANY_TRACKERS) for d in t[1]])},
+{values('many_words', 'tracker_ord, is_foreign, word', [(i, t[3], w) for i, t in enumerate(dimension_files.MANY_TRACKERS) for w in (t[2] or (None,))])},
+own_hosts AS (SELECT DISTINCT site, domain FROM scripts WHERE page_ord NOT IN (SELECT page_ord FROM crawl WHERE is_fallback)),
+named AS (SELECT o.site, o.domain, name, service_ord FROM own_hosts o JOIN many_services m ON contains(o.domain, m.domain)
+  QUALIFY row_number() OVER (PARTITION BY o.site, o.domain ORDER BY service_ord, domain_ord) = 1),
+tracked AS (SELECT DISTINCT o.site, tracker_ord, name FROM own_hosts o JOIN many_trackers m ON o.domain = m.domain OR ends_with(o.domain, '.' || m.domain)),
+untold AS (SELECT t.*, NOT EXISTS (SELECT 1 FROM many_words k WHERE k.tracker_ord = t.tracker_ord AND contains(lower(w.policy_text), lower(k.word))) AS hidden,
+  (SELECT bool_or(is_foreign) FROM many_words k WHERE k.tracker_ord = t.tracker_ord) AS is_foreign FROM tracked t JOIN wide w USING (site))"""
+
+
+def loaded_audit(spark, sf):
+    return audit_plan.audit(ct.crawl_table(spark, sf), services=dimension_files.many_services(spark), trackers=dimension_files.many_trackers(spark))
+
+
+@query("C18_C20_loaded_registries", f"""WITH {BASE}, {MANY_CTE},
+s AS (SELECT w.*, (SELECT count(*) FROM untold u WHERE u.site = w.site AND hidden) AS n_hidden,
+  (SELECT count(*) FROM untold u WHERE u.site = w.site AND is_foreign) AS n_foreign FROM wide w)
+SELECT s.site, c.check_id, CASE WHEN EXISTS (SELECT 1 FROM named n WHERE n.site = s.site AND n.name = c.service) THEN 'fail' ELSE 'pass' END AS status
+FROM s, (VALUES {', '.join(f"({lit(cid)}, {lit(service)})" for cid, service, _ in fixed.SERVICE_CHECKS)}) AS c(check_id, service)
+UNION ALL SELECT site, 'TRACKER_001', CASE WHEN NOT found OR NOT has_text THEN 'not_applicable' WHEN n_hidden = 0 THEN 'pass' ELSE 'fail' END FROM s
+UNION ALL SELECT site, 'TRACKER_002', CASE WHEN NOT found THEN 'not_applicable' WHEN n_foreign = 0 OR (transfer AND has_text) THEN 'pass' ELSE 'fail' END FROM s""")
+def c18_loaded(spark, sf):
+    wanted = [cid for cid, *_ in fixed.SERVICE_CHECKS] + ["TRACKER_001", "TRACKER_002"]
+    return rules.site_checks(loaded_audit(spark, sf).sites).filter(F.col("check_id").isin(wanted)).select("site", "check_id", "status")
+
+
+@query("J1_J2_loaded_registry_names", f"""WITH {BASE}, {MANY_CTE}
+SELECT site, coalesce((SELECT string_agg(name, '|' ORDER BY service_ord) FROM (SELECT DISTINCT name, service_ord FROM named n WHERE n.site = w.site)), '') AS services_used,
+  coalesce((SELECT string_agg(name, '|' ORDER BY tracker_ord) FROM untold u WHERE u.site = w.site), '') AS trackers_used,
+  coalesce((SELECT string_agg(name, '|' ORDER BY tracker_ord) FROM untold u WHERE u.site = w.site AND hidden), '') AS trackers_hidden,
+  coalesce((SELECT string_agg(name, '|' ORDER BY tracker_ord) FROM untold u WHERE u.site = w.site AND is_foreign), '') AS trackers_foreign
+FROM wide w""")
+def j1_loaded(spark, sf):
+    return loaded_audit(spark, sf).sites.select("site", *[F.array_join(c, "|").alias(c) for c in (
+        "services_used", "trackers_used", "trackers_hidden", "trackers_foreign")])
+
+
+@query("C12_browser_mode", f"""WITH {BASE}, banner_pages AS (SELECT site, page_ord FROM banners WHERE NOT is_fallback QUALIFY row_number() OVER (PARTITION BY site ORDER BY page_ord) = 1)
+SELECT site, CASE WHEN page_ord IS NULL THEN 'not_applicable' WHEN page_ord % 2 = 0 AND page_ord % 7 IN (1, 2, 3) THEN 'fail' ELSE 'pass' END AS status,
+  (CASE WHEN hash_notes THEN 'limit of pages reached|timeout' ELSE '' END) AS notes
+FROM (SELECT site, length(site) % 2 = 0 AS hash_notes FROM wide) LEFT JOIN banner_pages USING (site)""")
+def c12_browser(spark, sf):
+    """Half of the pages sent requests, three of seven of them to a tracker."""
+    crawl = ct.crawl_table(spark, sf)
+    log = crawl.filter("page_ord % 2 = 0").select("page_ord", F.col("url").alias("page_url"), F.explode(F.array(
+        F.lit("https://static.example.net/a.js"), F.when(F.col("page_ord") % 7 == 1, "https://www.google-analytics.com/collect")
+        .when(F.col("page_ord") % 7 == 2, "https://x.tawk.to/").when(F.col("page_ord") % 7 == 3, "https://mc.yandex.ru/watch")
+        .otherwise("https://cdn.example.net/"))).alias("request_url"))
+    sites = site_ops.fetched_urls(crawl).select("site").distinct().filter(F.length("site") % 2 == 0)
+    notes = sites.select("site", F.explode(F.array(
+        F.struct(F.lit(2).alias("note_ord"), F.lit("timeout").alias("note")),
+        F.struct(F.lit(1).alias("note_ord"), F.lit("limit of pages reached").alias("note")))).alias("n")).select("site", "n.*")
+    found = audit_plan.audit(crawl, request_log=log, notes=notes)
+    early = rules.site_checks(found.sites).filter("check_id = 'COOKIE_005'").select("site", "status")
+    own = found.sites.select("site", F.array_join("crawler_notes", "|").alias("notes"))
+    return early.join(own, "site")
+
+
 @query("A5_site_fold", f"""WITH {BASE}
 SELECT site, site_url, pages_scanned, pages_without, client_errors, forms_count, pd, no_box, banner, found, policy_url FROM wide""")
 def a5(spark, sf):

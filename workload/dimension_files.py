@@ -45,6 +45,27 @@ def prohibited_services(spark: SparkSession) -> DataFrame:
     return dimensions.prohibited_services(spark, _file(spark, "services", rows))
 
 
+#: services and trackers that no built-in registry has, between hundreds that no page uses
+OWN_SERVICES = (("Segment", "FS-007", ("cookiebot.com",)), ("Hotjar", "FS-007", ("yandex.ru", "tawk")), ("Intercom", None, ("gstatic",)))
+OWN_TRACKERS = (("Cookiebot", ("cookiebot.com",), ("куки", "cookie"), False), ("Gstatic", ("gstatic.com", "googleapis.com"), ("gstatic",), True),
+                ("Analytics", ("google-analytics.com", "not-google-analytics.com"), ("GOOGLE anal",), True), ("Карты", ("www.google.com",), (), True))
+MANY_SERVICES = [*((f"Service {i}", None, (f"service{i}.invalid",)) for i in range(500)), *OWN_SERVICES]
+MANY_TRACKERS = [*((f"Tracker {i}", (f"t{i}.invalid", f"x.t{i}.invalid"), (f"word{i}",), i % 2 == 0) for i in range(500)), *OWN_TRACKERS]
+
+
+def many_services(spark: SparkSession) -> DataFrame:
+    def rows() -> DataFrame:
+        return local_table(spark, [(name, list(domains), "other", None, None, fine) for name, fine, domains in MANY_SERVICES],
+                           schemas.PROHIBITED_SERVICES).coalesce(1)
+    return dimensions.prohibited_services(spark, _file(spark, "many-services", rows))
+
+
+def many_trackers(spark: SparkSession) -> DataFrame:
+    def rows() -> DataFrame:
+        return local_table(spark, [(n, list(d), list(k), f) for n, d, k, f in MANY_TRACKERS], schemas.TRACKERS).coalesce(1)
+    return dimensions.trackers(spark, _file(spark, "many-trackers", rows))
+
+
 def legal_updates(spark: SparkSession) -> DataFrame:
     def rows() -> DataFrame:
         known = dimensions.legal_updates(spark)
