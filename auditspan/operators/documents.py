@@ -115,15 +115,18 @@ def rewrite_results(affected: DataFrame, contents: DataFrame, mode: str = "confi
     status = (F.when(empty, F.lit("skipped")).when(failed, F.lit("error"))
               .otherwise(F.lit("updated" if mode == "auto" else "draft")))
     done = ~empty & ~failed
-    return joined.withColumn("status", status).select(
+    made = joined.withColumn("status", status)
+    if diff:
+        made = made.withColumns({"_old": F.when(done, F.col("content_md")), "_new": F.when(done, F.col("new_content"))})
+        made = diffs.with_document_diff(made, "_old", "_new")
+    return made.select(
         *keys, "update_title", F.coalesce("title", "doc_type").alias("doc_title"), "status",
         F.when(empty, F.lit(fixed.EMPTY_DOCUMENT)).alias("reason"),
         F.when(~empty & failed, F.coalesce("error", F.lit("no new content"))).alias("error"),
         F.when(done, F.col("version")).alias("old_version"),
         F.when(done, F.col("version") + 1).alias("new_version"),
         F.when(done, F.col("new_content")).alias("content_md"),
-        *([diffs.document_diff(F.when(done, F.col("content_md")), F.when(done, F.col("new_content"))).alias("diff")]
-          if diff else []))
+        *(["diff"] if diff else []))
 
 
 def organization_documents(orgs: DataFrame, documents: DataFrame) -> DataFrame:

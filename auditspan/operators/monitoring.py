@@ -100,14 +100,8 @@ def changed_snapshots(history: DataFrame, snapshots: DataFrame) -> DataFrame:
 
 
 def with_diff(changed: DataFrame) -> DataFrame:
-    return changed.withColumn("diff", diffs.snapshot_diff(F.col("previous_text"), F.col("raw_text")))
-
-
-def with_line_diff(changed: DataFrame) -> DataFrame:
-    """Diff restricted to added and removed lines, all inside the JVM."""
-    lines = diffs.changed_lines(F.col("previous_text"), F.col("raw_text"))
-    return changed.withColumn("lines", lines).withColumn("diff", F.array_join(
-        F.concat("lines.removed", "lines.added"), "\n"))
+    """Changed rows with the unified diff of their texts."""
+    return diffs.with_snapshot_diff(changed, "previous_text", "raw_text")
 
 
 def route(history: DataFrame) -> Column:

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from auditspan import schemas
 from auditspan.functions import text as tx
+from auditspan.knowledge import fixed_values as fixed
 from auditspan.operators import policies, scoring, serving, sites
 from auditspan.plans.audit import audit
 from auditspan.sinks import tables
@@ -249,3 +250,64 @@ def test_report_needs_one_exchange_of_page_rows(spark):
     assert plan.count("Exchange hashpartitioning(site") == 1
     assert plan.count("ArrowEvalPython") == 1
     assert "CartesianProduct" not in plan
+
+
+def test_probes_go_to_sites_without_a_candidate(spark):
+    from auditspan.operators import pages as page_ops
+    from auditspan.operators import sites as site_ops
+    text = "<title>Политика</title><p>" + "Политика персональных данных. " * 40 + "</p>"
+
+    def row(url, order, html="<p>x</p>", probe=False, status=200):
+        return (order, url, status, "text/html", html, [], None, None, probe)
+    crawl = spark.createDataFrame([
+        row("https://has.com/privacy", 1, text), row("https://none.com/", 1), row("https://none.com/legal/privacy/", 2, status=404),
+        row("https://www.tried.com/", 1), row("https://www.tried.com/privacy", 2, status=404, probe=True)], schemas.CRAWL)
+    found = site_ops.probe_frontier(crawl, page_ops.policy_candidates(crawl)).collect()
+    by_site = {}
+    for r in sorted(found, key=lambda r: r.page_ord):
+        by_site.setdefault(r.site, []).append(r.url)
+    assert by_site["none.com"] == [f"https://none.com{p}" for p in fixed.WELL_KNOWN_POLICY_PATHS if p != "/legal/privacy"]
+    assert by_site["tried.com"] == [f"https://www.tried.com{p}" for p in fixed.WELL_KNOWN_POLICY_PATHS if p != "/privacy"]
+    assert set(by_site) == {"none.com", "tried.com"}
+    answers = crawl.filter("url like '%has.com%'").withColumns({"url": F.lit("https://none.com/personal-data"), "page_ord": F.lit(14)})
+    from auditspan.operators import policies as policy_ops
+    best = policy_ops.best_policies(page_ops.policy_candidates(site_ops.with_probes(crawl, answers)))
+    assert {r.site: r.url for r in best.collect()} == {"has.com": "https://has.com/privacy", "none.com": "https://none.com/personal-data"}
+
+
+def test_registry_tables_log_and_notes_reach_the_checks(spark):
+    html = ('<head><script src="https://a.counter.test/x.js"></script></head><div id=cookie-banner><button>ok</button></div>'
+            "<footer><a href=/privacy>Политика</a></footer>")
+    policy = "<title>Политика</title><p>" + "Политика персональных данных, Счётчик Б. " * 40 + "</p>"
+    crawl = spark.createDataFrame([
+        (1, "https://s.com/", 200, "text/html", html, [], None, None, False),
+        (2, "https://s.com/privacy", 200, "text/html", policy, [], None, None, False)], schemas.CRAWL)
+    services = spark.createDataFrame([("Segment", "FS", 0, 0, "counter.test")], "name string, fine_reference string, service_ord long, domain_ord int, domain string")
+    trackers = spark.createDataFrame(
+        [(0, "А", ["counter.test"], ["счётчик а"], True), (1, "Б", ["a.counter.test"], ["Счётчик Б"], False), (2, "В", ["test"], [], True)],
+        "tracker_ord int, name string, domains array<string>, keywords array<string>, is_foreign boolean")
+    log = spark.createDataFrame([(1, "https://s.com/", "https://b.counter.test/hit")], "page_ord long, page_url string, request_url string")
+    notes = spark.createDataFrame([("s.com", 2, "second"), ("s.com", 1, "first")], "site string, note_ord int, note string")
+    plain, loaded = audit(crawl), audit(crawl, services=services, trackers=trackers, request_log=log, notes=notes)
+    row = loaded.sites.first()
+    assert (row.services_used, row.trackers_used, row.trackers_hidden, row.trackers_foreign) == (["Segment"], ["А", "Б", "В"], ["А", "В"], ["А", "В"])
+
+    def status(a):
+        return {r.check_id: r.status for r in a.checks.collect()}
+    before, after = status(plain), status(loaded)
+    changed = {c for c in before if before[c] != after[c]}
+    assert changed == {"COOKIE_005", "TRACKER_001", "TRACKER_002", *[c for c, s, _ in fixed.SERVICE_CHECKS if s == "Segment"]}
+    assert all(after[c] == "fail" for c in changed)
+    assert loaded.reports.first().scan_limitations[:2] == ["first", "second"]
+    none = spark.createDataFrame([], trackers.schema)
+    assert audit(crawl, trackers=none, request_log=log.limit(0)).sites.first().trackers_used == []
+
+
+def test_equal_resources_of_a_page_are_found_in_linear_time(spark):
+    import time
+    from auditspan.operators import scripts as script_ops
+    html = "<head>" + "".join(f"<script src=https://h{i % 5000}.com/a.js></script>" for i in range(15_000)) + "</head>"
+    crawl = spark.createDataFrame([(1, "https://s.com/", 200, "text/html", html, [], None, None, False)], schemas.CRAWL)
+    started = time.perf_counter()
+    rows = script_ops.page_scripts(crawl).orderBy("script_ord").collect()
+    assert [r.domain for r in rows] == [f"h{i}.com" for i in range(5000)] and time.perf_counter() - started < 30

@@ -1,10 +1,12 @@
 import random
+import time
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from auditspan import schemas
 from auditspan.functions import diffs, replies
+from auditspan.knowledge import fixed_values as fixed
 from auditspan.localtable import local_table
 from auditspan.operators import digest, monitoring
 from auditspan.streaming import jobs
@@ -58,16 +60,93 @@ def test_parse_warning(spark):
     assert warned([good, good, empty]) == []
 
 
-def diff_of(spark, old, new):
-    return spark.createDataFrame([(old, new)], "o string, n string").select(
-        diffs.snapshot_diff(F.col("o"), F.col("n")).alias("d")).first().d
+def diff_of(spark, *pairs, cut=diffs.with_snapshot_diff):
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, o string, n string")
+    return [r.d for r in cut(rows, "o", "n", "d").orderBy("i").collect()]
 
 
 def test_diff(spark):
-    text = diff_of(spark, "Line 1\nLine 2\nLine 3\n", "Line 1\nLine 2 modified\nLine 3\nLine 4 added\n")
-    assert "-Line 2\n" in text and "+Line 2 modified\n" in text and "+Line 4 added\n" in text
-    assert diff_of(spark, "a\nb", "a\nb") == ""
-    assert diffs.unified_diff_text("", "".join(f"{i}\n" for i in range(999)), 2).count("\n") == 999
+    text, same, none, first, last, gone = diff_of(
+        spark, ("Line 1\nLine 2\nLine 3\n", "Line 1\nLine 2 modified\nLine 3\nLine 4 added\n"), ("a\nb", "a\nb"), (None, "x"),
+        ("", "new"), ("a", "a\n"), ("x\ny\n", ""))
+    assert text == "--- +++ @@ -1,3 +1,4 @@ Line 1\n-Line 2\n+Line 2 modified\n Line 3\n+Line 4 added\n"
+    assert same == "" and none is None and first == "--- +++ @@ -0,0 +1 @@+new"
+    assert last == "--- +++ @@ -1 +1 @@-a+a\n" and gone == "--- +++ @@ -1,2 +0,0 @@-x\n-y\n"
+
+
+def random_lines(rng):
+    lines = [rng.choice("abcdefgh") * rng.randint(1, 2) for _ in range(rng.randint(0, 14))]
+    changed = list(lines)
+    for _ in range(rng.randint(0, 4)):
+        at = rng.randint(0, len(changed))
+        kind = rng.random()
+        if kind < 0.4 or not changed:
+            changed.insert(at, rng.choice("abcxyz"))
+        elif kind < 0.7:
+            changed.pop(min(at, len(changed) - 1))
+        else:  # a move
+            changed.insert(at, changed.pop(rng.randrange(len(changed))))
+    return lines, changed
+
+
+def test_hunks_lead_from_the_old_lines_to_the_new():
+    rng = random.Random(11)
+    for _ in range(1500):
+        old, new = random_lines(rng)
+        kept = diffs.kept_lines(old, new)
+        assert all(old[i] == new[j] for i, j in kept)
+        assert all(a < c and b < d for (a, b), (c, d) in zip(kept, kept[1:]))
+        for context in (0, 2, 3):
+            made, at = [], 0
+            for h in diffs.hunks_of(old, new, context):
+                first = h["old_first"]
+                made += old[at:first]
+                assert len(made) == h["new_first"]
+                for line in h["lines"]:
+                    made += [] if line["kind"] == diffs.REMOVED else [new[line["at"]] if line["kind"] == diffs.ADDED else old[line["at"]]]
+                at = first + h["old_lines"]
+                assert sum(x["kind"] != diffs.REMOVED for x in h["lines"]) == h["new_lines"]
+                assert all(x["kind"] != diffs.KEPT for x in h["lines"]) or context
+            assert made + old[at:] == new
+
+
+def test_the_longest_rising_run_of_pairs_stays():
+    from itertools import combinations
+    rng = random.Random(12)
+    for _ in range(200):
+        old = rng.sample(range(9), rng.randint(0, 7))
+        new = rng.sample(range(9), rng.randint(0, 7))
+        pairs = [(i, new.index(x)) for i, x in enumerate(old) if x in new]
+        best = max((len(c) for n in range(len(pairs) + 1) for c in combinations(pairs, n)
+                    if all(a[1] < b[1] for a, b in zip(c, c[1:]))), default=0)
+        assert len(diffs.kept_lines(old, new)) == best
+
+
+def test_single_changes_equal_the_usual_unified_diff(spark):
+    import difflib
+    rng = random.Random(13)
+    pairs = []
+    for _ in range(60):
+        old = [f"line {i}\n" for i in range(rng.randint(0, 30))]
+        new = list(old)
+        for at in sorted(rng.sample(range(len(old) + 1), min(len(old), rng.randint(0, 4))), reverse=True):
+            new[at:at + rng.randint(0, 1)] = [f"other {at}\n"]
+        pairs.append((old, new))
+    for cut, context in ((diffs.with_snapshot_diff, 2), (diffs.with_document_diff, 3)):
+        labels = ("", "") if context == 2 else fixed.DIFF_LABELS
+        got = diff_of(spark, *[("".join(o), "".join(n)) for o, n in pairs], cut=cut)
+        assert got == ["".join(difflib.unified_diff(o, n, *labels, lineterm="", n=context)) for o, n in pairs]
+
+
+def test_diffs_of_long_texts_take_n_log_n_steps():
+    rng = random.Random(14)
+    lines = list(range(60_000))
+    moved = lines[:]
+    rng.shuffle(moved)
+    started = time.perf_counter()
+    diffs.hunks_of(lines, moved, 2)
+    diffs.hunks_of([0] * 60_000, [1, *[0] * 59_000, 2], 2)
+    assert time.perf_counter() - started < 5
 
 
 def test_classes(spark):

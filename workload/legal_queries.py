@@ -18,6 +18,7 @@ from auditspan.streaming import jobs
 from workload import crawl_table as ct
 from workload.audit_queries import REPORTS_CTE
 from workload.crawl_table import crawl_cte, lit, site, values
+from workload.diff_sql import diff_cte
 from workload.monitor_queries import ALL_CHANGES_CTE, DIGEST_PARTS_SQL, DIGEST_TEXT_SQL, IS_LEGAL_SQL, LEGAL_CTE, SNAP_CTE, SNAP_SELECT, snapshots
 from workload.monitor_queries import legal as legal_rows
 from workload.monitor_queries import pending
@@ -240,7 +241,7 @@ def a17_hits(spark, sf):
     return legal.numbered_hits(legal.top_hits(_merged(spark, sf), {0: 8, 1: 5}, "user_id"), "user_id")
 
 
-@query("U2_keyword_union", f"""WITH {SNAP_CTE} SELECT source_id, count(*) AS snapshots, {len(fixed.LEGAL_STEMS)} + 1 AS words FROM snapshots GROUP BY source_id""")
+@query("U2_keyword_union", f"""WITH RECURSIVE {SNAP_CTE} SELECT source_id, count(*) AS snapshots, {len(fixed.LEGAL_STEMS)} + 1 AS words FROM snapshots GROUP BY source_id""")
 def u2(spark, sf):
     base = F.array(*[F.lit(w) for w in fixed.LEGAL_STEMS])
     own = F.array(F.concat(F.lit("слово "), F.col("source_id")), F.lit(fixed.LEGAL_STEMS[0]))
@@ -341,7 +342,16 @@ def d11(spark, sf):
         "organization_id", "doc_type", "update_id", "status", "error", "old_version", "new_version")
 
 
-@query("D2_document_diff")
+REWRITTEN_CTE = f"""{UPDATES_VALUES}, {DOCS_CTE},
+cur AS (SELECT *, CAST(regexp_extract(organization_id, '([0-9]+)', 1) AS BIGINT) AS n FROM docs QUALIFY row_number() OVER (PARTITION BY organization_id, doc_type ORDER BY version DESC) = 1),
+rewritten AS (SELECT organization_id, doc_type, upd.id AS update_id, organization_id || '/' || doc_type || '/' || upd.id AS k,
+  CASE WHEN content_md = '' THEN 'skipped' WHEN n % 5 = 0 THEN 'error' ELSE 'draft' END AS status,
+  CASE WHEN content_md <> '' AND n % 5 <> 0 THEN content_md END AS before, CASE WHEN content_md <> '' AND n % 5 <> 0 THEN content_md || chr(10) || 'дополнено' END AS after
+  FROM cur JOIN upd USING (doc_type))"""
+
+
+@query("D2_document_diff", f"""WITH RECURSIVE {REWRITTEN_CTE}, {diff_cte('rewritten', 'k', 'before', 'after', 3, fixed.DIFF_LABELS)}
+SELECT organization_id, doc_type, update_id, status, diff FROM rewritten LEFT JOIN diffs ON key = k""")
 def d2(spark, sf):
     return _rewrites(spark, sf, diff=True).select("organization_id", "doc_type", "update_id", "status", "diff")
 
@@ -406,7 +416,7 @@ def k4(spark, sf):
     return tables.read_keyed(spark, root).select("id", "content_md")
 
 
-@query("K8_append_digest", f"""WITH {ALL_CHANGES_CTE}, s AS (SELECT *, CASE WHEN {IS_LEGAL_SQL} THEN 'npa' ELSE 'competitor' END AS section FROM pending),
+@query("K8_append_digest", f"""WITH RECURSIVE {ALL_CHANGES_CTE}, s AS (SELECT *, CASE WHEN {IS_LEGAL_SQL} THEN 'npa' ELSE 'competitor' END AS section FROM pending),
 {DIGEST_PARTS_SQL.format(by="", group="")}
 SELECT {DIGEST_TEXT_SQL.format(day="'05.02.2024'")} AS content_md, '2024-01-29' AS period_start, '2024-02-05' AS period_end FROM t""")
 def k8(spark, sf):
@@ -482,14 +492,14 @@ def _snapshot_stream(spark, sf):
     return monitoring.snapshot_rows(fetches)
 
 
-@query("ST1_snapshot_change_stream", f"""WITH {SNAP_CTE}
+@query("ST1_snapshot_change_stream", f"""WITH RECURSIVE {SNAP_CTE}
 SELECT id, CASE WHEN fetch_status <> 'ok' THEN 'failed' WHEN NOT has_previous THEN 'baseline'
   WHEN content_hash = previous_hash THEN 'unchanged' ELSE 'changed' END AS route, previous_hash FROM history""")
 def st1(spark, sf):
     return _run(spark, jobs.snapshot_changes(_snapshot_stream(spark, sf)), "st1").select("id", "route", "previous_hash")
 
 
-@query("ST2_parse_warning_stream", f"""WITH {SNAP_CTE},
+@query("ST2_parse_warning_stream", f"""WITH RECURSIVE {SNAP_CTE},
 n AS (SELECT *, CASE WHEN fetch_status = 'ok' THEN len(list_filter(string_split(raw_text, chr(10)), lambda x: trim(x) <> '')) ELSE 0 END AS items,
   CASE WHEN fetch_status = 'ok' THEN len(list_filter(string_split(raw_text, chr(10)), lambda x: trim(x) <> '')) END AS good FROM snapshots),
 l AS (SELECT *, lag(good, 1 IGNORE NULLS) OVER w AS g1, lag(good, 2 IGNORE NULLS) OVER w AS g2, lag(good, 3 IGNORE NULLS) OVER w AS g3
@@ -516,7 +526,7 @@ def _stored_in_files(spark, rows, name):
     return stored
 
 
-@query("ST4_critical_alert_stream", f"WITH {LEGAL_CTE} SELECT id, threat_score FROM legal WHERE npa_critical AND threat_score IS NOT NULL")
+@query("ST4_critical_alert_stream", f"WITH RECURSIVE {LEGAL_CTE} SELECT id, threat_score FROM legal WHERE npa_critical AND threat_score IS NOT NULL")
 def st4(spark, sf):
     stored = _stored_in_files(spark, legal_rows(spark, sf), "legal-changes")
     out = tables.scratch_path(spark, "alerts")
@@ -557,7 +567,7 @@ DELAY_DAYS = 2
 MOVED = "CASE id % 10 WHEN 3 THEN 1 WHEN 7 THEN 2 ELSE 0 END"
 
 
-@query("ST6_late_snapshots", f"""WITH {SNAP_CTE}, span AS (SELECT min(epoch_us(captured_at)) AS lo, max(epoch_us(captured_at)) AS hi FROM snapshots),
+@query("ST6_late_snapshots", f"""WITH RECURSIVE {SNAP_CTE}, span AS (SELECT min(epoch_us(captured_at)) AS lo, max(epoch_us(captured_at)) AS hi FROM snapshots),
 timed AS (SELECT *, epoch_us(captured_at) AS us FROM snapshots, span),
 a AS (SELECT *, us // 1000 AS ms, {QUARTER.format(div="//")} + {MOVED} AS arrival FROM timed),
 marks AS (SELECT arrival, max(max(ms)) OVER (ORDER BY arrival) - {DELAY_DAYS * 86_400_000} AS mark FROM a GROUP BY arrival),
@@ -583,7 +593,7 @@ def u4(spark, sf):
     return legal.new_updates(found, found.filter("doc_id % 3 = 0")).select("content_key")
 
 
-@query("S7_watched_sources", f"""WITH {SNAP_CTE}
+@query("S7_watched_sources", f"""WITH RECURSIVE {SNAP_CTE}
 SELECT source_id, 'Источник ' || source_id AS name, url, count(*) AS snapshots, count_if(fetch_status = 'ok') AS ok
 FROM snapshots WHERE url <> 'https://watched.example.org/2' GROUP BY ALL""")
 def s7(spark, sf):

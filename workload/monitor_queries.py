@@ -10,13 +10,17 @@ from auditspan.sinks import tables
 from auditspan.localtable import local_table
 from workload.audit_queries import contains_any
 from workload.crawl_table import lit, values
+from workload.diff_sql import diff_cte
 from workload.registry import plan_once, query, table
 
 SNAP_SELECT = """
 SELECT event_id AS id, 'src' || CAST(user_id % 12 AS STRING) AS source_id, 'https://watched.example.org/' || CAST(user_id % 3 AS STRING) AS url,
   CASE WHEN event_type = 'error' THEN 'blocked' ELSE 'ok' END AS fetch_status,
-  CASE WHEN k % 7 = 4 THEN '' ELSE 'Главная' || chr(10) || CASE k % 6 WHEN 0 THEN 'цена 100 руб' WHEN 1 THEN 'новая функция проверки'
-    WHEN 2 THEN 'новый дизайн' WHEN 3 THEN 'контакты' WHEN 4 THEN 'почта' ELSE 'штраф: закон' END || chr(10) || 'v' || CAST(k % 2 AS STRING) END AS text,
+  CASE WHEN k % 7 = 4 THEN '' ELSE 'Главная' || chr(10) || CASE WHEN k % 4 < 2 THEN 'Блок А' || chr(10) || 'Блок Б' ELSE 'Блок Б' || chr(10) || 'Блок А' END ||
+    chr(10) || repeat('---' || chr(10), 1 + k % 3) || CASE k % 6 WHEN 0 THEN 'цена 100 руб' WHEN 1 THEN 'новая функция проверки'
+    WHEN 2 THEN 'новый дизайн' WHEN 3 THEN 'контакты' WHEN 4 THEN 'почта' ELSE 'штраф: закон' END || chr(10) || 'первая строка' || chr(10) || 'вторая строка' ||
+    chr(10) || 'третья строка' || chr(10) || CASE WHEN user_id % 2 = 0 THEN 'тарифы' ELSE 'адреса' END || chr(10) || 'прочее' || chr(10) || 'v' || CAST(k % 2 AS STRING) ||
+    chr(10) || 'конец' || chr(10) || 'внизу' || chr(10) || 'добавили закон' END AS text,
   ts AS captured_at
 FROM (SELECT *, CAST(regexp_extract(props, '[0-9]+', 0) AS INT) AS k FROM {events}) AS e
 """
@@ -25,11 +29,12 @@ snapshots AS (SELECT id, source_id, url, fetch_status, captured_at, CASE WHEN fe
   CASE WHEN fetch_status = 'ok' THEN sha256(text) ELSE '' END AS content_hash FROM fetches),
 history AS (SELECT *, lag(content_hash) OVER w AS previous_hash, lag(raw_text) OVER w AS previous_text,
   row_number() OVER w > 1 AS has_previous FROM snapshots WINDOW w AS (PARTITION BY source_id, url ORDER BY captured_at, id)),
-changed AS (SELECT *, string_split(previous_text, chr(10)) AS a, string_split(raw_text, chr(10)) AS b FROM history
+changed AS (SELECT * EXCLUDE (previous_text), coalesce(previous_text, '') AS previous_text, string_split(previous_text, chr(10)) AS a, string_split(raw_text, chr(10)) AS b FROM history
   WHERE fetch_status = 'ok' AND has_previous AND content_hash <> previous_hash),
 lined AS (SELECT *, list_filter(a, lambda x: NOT list_contains(b, x)) AS removed,
   list_filter(b, lambda x: NOT list_contains(a, x)) AS added FROM changed),
-diffed AS (SELECT *, lower(array_to_string(list_concat(removed, added), chr(10))) AS d FROM lined)"""
+{diff_cte('changed', 'id', 'previous_text', 'raw_text', 2)},
+diffed AS (SELECT l.*, x.diff, lower(x.diff) AS d FROM lined l JOIN diffs x ON x.key = l.id)"""
 CLASS_SQL = f"""CASE WHEN NOT {contains_any('d', fixed.MEANINGFUL_STEMS)} THEN 'minor' WHEN {contains_any('d', fixed.PRICING_STEMS)} THEN 'pricing'
   WHEN {contains_any('d', fixed.FEATURE_STEMS)} THEN 'feature' ELSE 'ui' END"""
 
@@ -57,7 +62,7 @@ def changed(spark, sf):
     return monitoring.changed_snapshots(history(spark, sf), snapshots(spark, sf))
 
 
-@query("K5_snapshot_rows", f"WITH {SNAP_CTE} SELECT id, source_id, url, content_hash, raw_text, fetch_status FROM snapshots")
+@query("K5_snapshot_rows", f"WITH RECURSIVE {SNAP_CTE} SELECT id, source_id, url, content_hash, raw_text, fetch_status FROM snapshots")
 def k5(spark, sf):
     path = tables.scratch_path(spark, "stored-snapshots")
     for part in (0, 1):  # two runs append to one table
@@ -65,20 +70,20 @@ def k5(spark, sf):
     return spark.read.parquet(path).drop("captured_at", "day")
 
 
-@query("W1_previous_snapshot", f"""WITH {SNAP_CTE} SELECT id, source_id, url, has_previous, lag(id) OVER (PARTITION BY source_id, url ORDER BY captured_at, id) AS previous_id, previous_hash, previous_text FROM history""")
+@query("W1_previous_snapshot", f"""WITH RECURSIVE {SNAP_CTE} SELECT id, source_id, url, has_previous, lag(id) OVER (PARTITION BY source_id, url ORDER BY captured_at, id) AS previous_id, previous_hash, previous_text FROM history""")
 def w1(spark, sf):
     rows = monitoring.with_texts(history(spark, sf), snapshots(spark, sf))
     return rows.select("id", "source_id", "url", "has_previous", "previous_id", "previous_hash", "previous_text")
 
 
-@query("W1_previous_good_snapshot", f"""WITH {SNAP_CTE}
+@query("W1_previous_good_snapshot", f"""WITH RECURSIVE {SNAP_CTE}
 SELECT id, lag(content_hash) OVER (PARTITION BY source_id, url ORDER BY captured_at, id) AS previous_hash
 FROM snapshots WHERE fetch_status = 'ok'""")
 def w1_good(spark, sf):
     return monitoring.last_good_baseline(snapshots(spark, sf)).select("id", "previous_hash")
 
 
-@query("W2_parse_warnings", f"""WITH {SNAP_CTE},
+@query("W2_parse_warnings", f"""WITH RECURSIVE {SNAP_CTE},
 n AS (SELECT *, CASE WHEN fetch_status = 'ok' THEN len(list_filter(string_split(raw_text, chr(10)), lambda x: trim(x) <> '')) ELSE 0 END AS items,
   CASE WHEN fetch_status = 'ok' THEN len(list_filter(string_split(raw_text, chr(10)), lambda x: trim(x) <> '')) END AS good FROM snapshots),
 l AS (SELECT *, lag(good, 1 IGNORE NULLS) OVER w AS g1, lag(good, 2 IGNORE NULLS) OVER w AS g2, lag(good, 3 IGNORE NULLS) OVER w AS g3
@@ -88,8 +93,8 @@ def w2(spark, sf):
     return monitoring.parse_warnings(history(spark, sf)).drop("captured_at")
 
 
-@query("D1_line_diff", f"""WITH {SNAP_CTE}
-SELECT id, array_to_string(list_sort(removed), '|') AS removed, array_to_string(list_sort(added), '|') AS added FROM lined""")
+@query("D1_line_diff", f"""WITH RECURSIVE {SNAP_CTE}
+SELECT id, array_to_string(list_sort(list_distinct(removed)), '|') AS removed, array_to_string(list_sort(list_distinct(added)), '|') AS added FROM lined""")
 def d1(spark, sf):
     lines = diffs.changed_lines(F.col("previous_text"), F.col("raw_text"))
     return changed(spark, sf).select("id", lines.alias("l")).select(
@@ -97,23 +102,18 @@ def d1(spark, sf):
         F.array_join(F.array_sort("l.added"), "|").alias("added"))
 
 
-@query("D1_unified_diff")
+@query("D1_unified_diff", f"WITH RECURSIVE {SNAP_CTE} SELECT id, diff FROM diffed")
 def d1_full(spark, sf):
     return monitoring.with_diff(changed(spark, sf)).select("id", "diff")
 
 
-@query("D3_change_class", f"""WITH {SNAP_CTE} SELECT id, {contains_any('d', fixed.MEANINGFUL_STEMS)} AS meaningful, {CLASS_SQL} AS change_type FROM diffed""")
+@query("D3_change_class", f"""WITH RECURSIVE {SNAP_CTE} SELECT id, {contains_any('d', fixed.MEANINGFUL_STEMS)} AS meaningful, {CLASS_SQL} AS change_type FROM diffed""")
 def d3(spark, sf):
     return monitoring.with_diff(changed(spark, sf)).select(
         "id", diffs.is_meaningful(F.col("diff")).alias("meaningful"), diffs.change_class(F.col("diff")).alias("change_type"))
 
 
-@query("D3_change_class_full_diff")
-def d3_full(spark, sf):
-    return monitoring.with_diff(changed(spark, sf)).select("id", diffs.change_class(F.col("diff")).alias("change_type"))
-
-
-@query("D4_snapshot_route", f"""WITH {SNAP_CTE}
+@query("D4_snapshot_route", f"""WITH RECURSIVE {SNAP_CTE}
 SELECT id, CASE WHEN fetch_status <> 'ok' THEN 'failed' WHEN NOT has_previous THEN 'baseline'
   WHEN content_hash = previous_hash THEN 'unchanged' ELSE 'changed' END AS route FROM history""")
 def d4(spark, sf):
@@ -121,7 +121,7 @@ def d4(spark, sf):
     return h.select("id", monitoring.route(h).alias("route"))
 
 
-@query("D4_change_queue", f"""WITH {SNAP_CTE}, {SOURCES_CTE}, c AS (SELECT *, {CLASS_SQL} AS change_type FROM diffed)
+@query("D4_change_queue", f"""WITH RECURSIVE {SNAP_CTE}, {SOURCES_CTE}, c AS (SELECT *, {CLASS_SQL} AS change_type FROM diffed)
 SELECT id, change_type, CASE WHEN change_type <> 'minor' AND coalesce(llm_analyze, TRUE) THEN 'analyse' ELSE 'save' END AS route
 FROM c LEFT JOIN sources USING (source_id)""")
 def d4_queue(spark, sf):
@@ -159,12 +159,12 @@ def competitor(spark, sf):
     return monitoring.merge_analyses(queue(spark, sf), analyses(spark, sf))
 
 
-@query("D6_merge_analyses", f"""WITH {COMPETITOR_CTE} SELECT id, source_id, url, diff_summary, change_type, threat_score, analysed FROM competitor""")
+@query("D6_merge_analyses", f"""WITH RECURSIVE {COMPETITOR_CTE} SELECT id, source_id, url, diff_summary, change_type, threat_score, analysed FROM competitor""")
 def d6(spark, sf):
     return competitor(spark, sf).drop("npa_critical", "detected_at")
 
 
-@query("K6_change_rows_per_source", f"""WITH {COMPETITOR_CTE}
+@query("K6_change_rows_per_source", f"""WITH RECURSIVE {COMPETITOR_CTE}
 SELECT source_id, change_type, count(*) AS changes, count_if(analysed) AS analysed, max(threat_score) AS max_score FROM competitor GROUP BY ALL""")
 def k6(spark, sf):
     path = tables.scratch_path(spark, "stored-changes")
@@ -187,18 +187,18 @@ def legal(spark, sf):
         monitoring.with_diff(changed(spark, sf)), sources(spark), analyses(spark, sf))
 
 
-@query("J7_keyword_filter", f"""WITH {SNAP_CTE}, {SOURCES_CTE} SELECT id, {MEANING_SQL} AS meaningful FROM diffed LEFT JOIN sources USING (source_id)""")
+@query("J7_keyword_filter", f"""WITH RECURSIVE {SNAP_CTE}, {SOURCES_CTE} SELECT id, {MEANING_SQL} AS meaningful FROM diffed LEFT JOIN sources USING (source_id)""")
 def j7(spark, sf):
     joined = monitoring.with_diff(changed(spark, sf)).join(sources(spark), "source_id", "left")
     return joined.select("id", diffs.is_legally_meaningful(F.col("diff"), F.col("keywords")).alias("meaningful"))
 
 
-@query("J8_source_names", f"""WITH {SNAP_CTE}, {SOURCES_CTE} SELECT id, coalesce(name, source_id) AS source_name FROM changed LEFT JOIN sources USING (source_id)""")
+@query("J8_source_names", f"""WITH RECURSIVE {SNAP_CTE}, {SOURCES_CTE} SELECT id, coalesce(name, source_id) AS source_name FROM changed LEFT JOIN sources USING (source_id)""")
 def j8(spark, sf):
     return monitoring.with_source_names(changed(spark, sf), sources(spark)).select("id", "source_name")
 
 
-@query("D5_legal_changes", f"""WITH {LEGAL_CTE} SELECT id, source_id, source_name, diff_summary, change_type, threat_score, npa_critical, action_required FROM legal""")
+@query("D5_legal_changes", f"""WITH RECURSIVE {LEGAL_CTE} SELECT id, source_id, source_name, diff_summary, change_type, threat_score, npa_critical, action_required FROM legal""")
 def d5(spark, sf):
     return legal(spark, sf).select(
         "id", "source_id", "source_name", "diff_summary", "change_type", "threat_score", "npa_critical", "action_required")
@@ -209,7 +209,7 @@ ALERT_SQL = f"""'⚠️ *НПА — критическое изменение*'
   '*Изменение:*' || chr(10) || diff_summary || CASE WHEN action_required THEN chr(10) || chr(10) || '*Требуемые действия:*' || chr(10) || action ELSE '' END"""
 
 
-@query("D8_K11_critical_alerts", f"""WITH {LEGAL_CTE} SELECT id, {ALERT_SQL} AS message FROM legal WHERE npa_critical AND threat_score IS NOT NULL""")
+@query("D8_K11_critical_alerts", f"""WITH RECURSIVE {LEGAL_CTE} SELECT id, {ALERT_SQL} AS message FROM legal WHERE npa_critical AND threat_score IS NOT NULL""")
 def d8(spark, sf):
     return monitoring.critical_alerts(legal(spark, sf)).select("id", digest.alert_text().alias("message"))
 
@@ -253,12 +253,12 @@ def pending(spark, sf):
     return digest.pending_changes(changes, digested, 100)
 
 
-@query("T4_pending_changes", f"WITH {ALL_CHANGES_CTE} SELECT id, source_id, change_type, threat_score, npa_critical FROM pending")
+@query("T4_pending_changes", f"WITH RECURSIVE {ALL_CHANGES_CTE} SELECT id, source_id, change_type, threat_score, npa_critical FROM pending")
 def t4(spark, sf):
     return pending(spark, sf).select("id", "source_id", "change_type", "threat_score", "npa_critical")
 
 
-@query("J13_split_pending", f"WITH {ALL_CHANGES_CTE} SELECT id, CASE WHEN {IS_LEGAL_SQL} THEN 'npa' ELSE 'competitor' END AS section FROM pending")
+@query("J13_split_pending", f"WITH RECURSIVE {ALL_CHANGES_CTE} SELECT id, CASE WHEN {IS_LEGAL_SQL} THEN 'npa' ELSE 'competitor' END AS section FROM pending")
 def j13(spark, sf):
     law, comp = digest.split_pending(pending(spark, sf))
     return law.select("id", F.lit("npa").alias("section")).unionByName(comp.select("id", F.lit("competitor").alias("section")))
@@ -268,7 +268,7 @@ ORDER_SQL = (f"CASE WHEN {IS_LEGAL_SQL} AND coalesce(npa_critical, FALSE) THEN 0
              "threat_score IS NULL, detected_at DESC, id")
 
 
-@query("T5_digest_order", f"""WITH {ALL_CHANGES_CTE}, s AS (SELECT *, CASE WHEN {IS_LEGAL_SQL} THEN 'npa' ELSE 'competitor' END AS section FROM pending)
+@query("T5_digest_order", f"""WITH RECURSIVE {ALL_CHANGES_CTE}, s AS (SELECT *, CASE WHEN {IS_LEGAL_SQL} THEN 'npa' ELSE 'competitor' END AS section FROM pending)
 SELECT id, section, row_number() OVER (PARTITION BY section ORDER BY {ORDER_SQL}) AS position FROM s""")
 def t5(spark, sf):
     from pyspark.sql import Window
@@ -292,14 +292,14 @@ DIGEST_TEXT_SQL = f"""rtrim('📋 *Дайджест изменений — ' ||
   repeat('─', 24) || chr(10) || chr(10) || '🏢 *Конкуренты*' || chr(10) || chr(10) || comp, chr(10))"""
 
 
-@query("D7_A13_digest_text", f"""WITH {ALL_CHANGES_CTE}, s AS (SELECT *, CASE WHEN {IS_LEGAL_SQL} THEN 'npa' ELSE 'competitor' END AS section FROM pending),
+@query("D7_A13_digest_text", f"""WITH RECURSIVE {ALL_CHANGES_CTE}, s AS (SELECT *, CASE WHEN {IS_LEGAL_SQL} THEN 'npa' ELSE 'competitor' END AS section FROM pending),
 {DIGEST_PARTS_SQL.format(by="", group="")}
 SELECT changes, threat_score AS max_score, {DIGEST_TEXT_SQL.format(day="'05.02.2024'")} AS content_md FROM t""")
 def d7(spark, sf):
     return digest.digest_text(pending(spark, sf), F.lit("05.02.2024")).select("changes", "max_score", "content_md")
 
 
-@query("K7_mark_digested", f"WITH {ALL_CHANGES_CTE} SELECT id AS change_id, CAST(7 AS BIGINT) AS digest_id FROM pending")
+@query("K7_mark_digested", f"WITH RECURSIVE {ALL_CHANGES_CTE} SELECT id AS change_id, CAST(7 AS BIGINT) AS digest_id FROM pending")
 def k7(spark, sf):
     path = tables.scratch_path(spark, "stored-membership")
     tables.append_digest_membership(digest.mark_digested(pending(spark, sf), 7), path)
