@@ -64,6 +64,36 @@ def _piece_words(a: np.ndarray, between: np.ndarray) -> tuple[np.ndarray, np.nda
     return mix(hashes + (ends - starts).astype(np.uint64)), starts, ends
 
 
+#: keeps the first k of eight bytes
+_HEAD = np.array([0, *(((1 << 8 * k) - 1) << 8 * (8 - k) for k in range(1, 9))], np.uint64)
+#: bytes of a span that its key holds
+KEYED = 32
+
+
+def span_classes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """First span of every class of equal spans, and the class of each span; None if hashes collide.
+
+    Spans of up to ``KEYED`` bytes are compared byte by byte, eight at a time; each longer one is a class of its own.
+    """
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    windows = np.ndarray((len(data) + 1,), ">u8", padded.data, strides=(1,))
+    length = ends - starts
+    columns, key = [], mix(length.astype(np.uint64))
+    for first in range(0, KEYED, 8):
+        own = np.flatnonzero(length > first)
+        if not len(own):
+            break
+        column = np.zeros(len(starts), np.uint64)
+        column[own] = windows[starts[own] + first].astype(np.uint64) & _HEAD[np.minimum(length[own] - first, 8)]
+        key = mix(key * _WORD_ODD + column)
+        columns.append(column)
+    long = np.flatnonzero(length > KEYED)
+    key[long] = mix(key[long] + mix(long.astype(np.uint64) + np.uint64(1)))
+    _, heads, classes = np.unique(key, return_index=True, return_inverse=True)
+    equal = all((c == c[heads][classes]).all() for c in [*columns, length])
+    return (heads, classes) if equal and (heads[classes[long]] == long).all() else None
+
+
 def words(data: bytes, lower: bool = False, signs: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, first byte and end of every word; ``lower`` folds A-Z, ``signs`` splits at ASCII signs too."""
     between = _SIGN if signs else _SPACE

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -28,12 +29,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditspan.llm.tasks import kept_table, map_rows
+from auditspan.llm.arrays import span_classes
+from auditspan.llm.tasks import kept_table, map_rows, utf8
 
 SIZE = 1024
 END_ID = 0
 #: words of a generation whose ids a worker process remembers, about 250 bytes each
 CACHE = 400_000
+#: bytes of the longest words that are remembered
+LONG = 64
+#: bytes of texts whose words are gathered at once; longer texts are cut at a space
+CHUNK = 1 << 19
 #: rows of (task, length) that are sent to every executor
 MOST_OFFSETS = 2_000_000
 
@@ -42,8 +48,11 @@ class Encoder:
     """Ids of texts by a tokenizer file, remembering those of words met before.
 
     A byte-level tokenizer never joins a word with the space after it, so a text is
-    cut before every single space between two other characters.  Only words
-    without white space at their ends are remembered.
+    cut before every single space between two other characters, and before a line feed if the tokenizer
+    keeps that apart too.  Many texts are taken at once: their
+    words are sorted into classes of equal ones, each different word is looked up or encoded once,
+    and the ids of all words are gathered from one array.  A word is kept with the sign before it; only those without
+    other white space at their ends are remembered, and a text with others is encoded in larger parts.
     """
 
     def __init__(self, path: str):
@@ -51,44 +60,139 @@ class Encoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
+        vocabulary = self.tokenizer.get_vocab()
+        around = [("a", "b"), ("a.", "B"), ("1", "("), (")", "1"), ("a,", "\u00e9"), ("$", "$")]
+        #: the signs that words are cut before
+        self.cuts = b" \n" if all(
+            self._list(x + "\n" + y) == self._list(x) + self._list("\n" + y) for x, y in around) else b" "
+        #: ids of tokens that begin with one: the first of every word after the head of a text
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        signs = ("\u0120", "\u010a")[:len(self.cuts)]
+        self.begins[[i for token, i in vocabulary.items() if token.startswith(signs)]] = True
+        self._first = re.compile(b"[" + self.cuts + b"]")
         # two generations: when the young one is full it becomes the old one
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.heads: dict[bytes, bytes] = {}
         self.end = np.array([END_ID], np.uint32).tobytes()
 
+    def _list(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
     def _encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.array(self._list(text), np.uint32)
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
-        """Ids of each word with a space before it, from one call."""
-        found = self.tokenizer.encode(" " + " ".join(words), add_special_tokens=False)
-        ids = np.array(found.ids, np.uint32)
-        first = np.cumsum([0, *(len(w) + 1 for w in words)])
-        cuts = np.searchsorted(np.array([o[0] for o in found.offsets], np.int64), first)
-        return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+        """Ids of each word with the sign before it, from one call."""
+        ids = self._encode("".join(words))
+        cuts = np.flatnonzero(self.begins[ids])
+        if len(cuts) != len(words) or cuts[0] != 0:  # a tokenizer that writes spaces in another way
+            return [self._encode(w).tobytes() for w in words]
+        data, at = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
+        return [data[x:y] for x, y in zip(at, at[1:])]
+
+    def _head(self, word: bytes) -> bytes | None:
+        """Ids of a word that begins a text; None if white space stands at its end."""
+        known = self.heads.get(word)
+        if known is None:
+            text = word.decode()
+            if not text or text[-1].isspace():
+                return None
+            known = self._encode(text).tobytes()
+            if len(self.heads) >= CACHE:
+                self.heads.clear()
+            if len(word) <= LONG:
+                self.heads[word] = known
+        return known
+
+    def _ids_of(self, words: list[bytes]) -> list[bytes | None]:
+        """Ids of different words with the sign before them; None for one with other white space at an end."""
+        found = list(map(self.cache.get, words))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        if not missing:
+            return found
+        fresh, new = {}, []
+        for i, known in zip(missing, map(self.older.get, [words[i] for i in missing])):
+            if known is None:
+                new.append(i)
+            else:
+                found[i] = fresh[words[i]] = known
+        whole = b"".join([words[i] for i in new]).decode()
+        texts = [words[i].decode() for i in new]
+        if len(whole.split()) != len(texts):  # white space other than the signs before the words
+            plain = [len(t) > 1 and not t[1].isspace() and not t[-1].isspace() for t in texts]
+            new, texts = [i for i, ok in zip(new, plain) if ok], [t for t, ok in zip(texts, plain) if ok]
+        if new:
+            for i, ids in zip(new, self._encode_words(texts)):
+                found[i] = fresh[words[i]] = ids
+        for word in [w for w in fresh if len(w) > LONG]:
+            del fresh[word]
+        if len(self.cache) + len(fresh) > CACHE:
+            self.older, self.cache = self.cache, {}
+        if len(fresh) <= CACHE:
+            self.cache.update(fresh)
+        return found
+
+    def _gathered(self, parts: list[bytes]) -> list[bytes | None]:
+        """Ids of every part's words from its first cut on; None for a part with other white space at a word's end."""
+        data = b"".join(parts)
+        whole = np.frombuffer(data, np.uint8)
+        last = np.cumsum([len(p) for p in parts])
+        starts = np.flatnonzero((whole == 32) | (whole == self.cuts[-1]))
+        if not len(starts):
+            return [b""] * len(parts)
+        owner = np.searchsorted(last, starts, "right")
+        ends = np.minimum(np.append(starts[1:], len(data)), last[owner])
+        classes = span_classes(whole, starts, ends)
+        if classes is None:
+            return [None] * len(parts)  # two words with one hash
+        first, inverse = classes
+        found = self._ids_of([data[x:y] for x, y in zip(starts[first].tolist(), ends[first].tolist())])
+        odd = np.zeros(len(parts), bool)
+        if None in found:
+            odd[owner[np.array([ids is None for ids in found])[inverse]]] = True
+            found = [ids or b"" for ids in found]
+        known = np.frombuffer(b"".join(found), np.uint32)
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        before = np.cumsum(size) - size
+        n = size[inverse]
+        at = np.cumsum(n) - n
+        ids = known[np.repeat(before[inverse] - at, n) + np.arange(at[-1] + n[-1])]
+        edges = np.append(at, len(ids))[np.searchsorted(owner, np.arange(len(parts) + 1))]
+        return [None if bad else ids[x:y].tobytes() for bad, x, y in zip(odd.tolist(), edges.tolist(), edges[1:].tolist())]
+
+    def batch(self, texts: list[bytes]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each UTF-8 text, END_ID last; equal texts are encoded once."""
+        different = list(dict.fromkeys(texts))
+        parts, owner = [], []
+        for number, text in enumerate(different):
+            at = 0
+            while at < len(text) or at == 0:
+                end = text.find(b" ", at + CHUNK) if len(text) - at > CHUNK else -1
+                end = len(text) if end < 0 else end
+                parts.append(text[at:end])
+                owner.append(number)
+                at = max(end, 1)
+        made: list[bytes | None] = []
+        first = size = 0
+        for i, part in enumerate(parts):
+            size += len(part)
+            if size >= CHUNK or i == len(parts) - 1:
+                made += self._gathered(parts[first:i + 1])
+                first, size = i + 1, 0
+        rest: list[list[bytes | None]] = [[] for _ in different]
+        for number, ids in zip(owner, made):
+            rest[number].append(ids)
+        found = {}
+        for text, ids in zip(different, rest):
+            cut = self._first.search(text)
+            head = self._head(text if cut is None else text[:cut.start()])
+            found[text] = (self._spaced(text.decode().split(" ")) if head is None or None in ids
+                           else b"".join([head, *ids, self.end]))  # type: ignore[list-item]
+        return [found[text] for text in texts]
 
     def ids(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids, END_ID last."""
-        words = text.split(" ")
-        head, rest = words[0], words[1:]
-        found = list(map(self.cache.get, rest))
-        if None in found or head[-1:].isspace() or not head:
-            missing = dict.fromkeys(w for w, ids in zip(rest, found) if ids is None)
-            known = {w: ids for w in missing if (ids := self.older.get(w)) is not None}
-            new = [w for w in missing if w not in known]
-            if head[-1:].isspace() or not head or any(not w or w[0].isspace() or w[-1].isspace() for w in new):
-                return self._spaced(words)
-            if new:
-                known.update(zip(new, self._encode_words(new)))
-            found = [known[w] if ids is None else ids for w, ids in zip(rest, found)]
-            self._remember(known)
-        return b"".join([self._encode(head).tobytes(), *found, self.end])
-
-    def _remember(self, known: dict[str, bytes]) -> None:
-        if len(self.cache) + len(known) > CACHE:
-            self.older, self.cache = self.cache, {}
-        if len(known) <= CACHE:
-            self.cache.update((w, ids) for w, ids in known.items() if len(w) <= 64)
+        return self.batch([text.encode()])[0]
 
     def _spaced(self, words: list[str]) -> bytes:
         """A text with white space next to a space: its words stay together there."""
@@ -264,8 +368,8 @@ def pack(docs: DataFrame, tokenizer_path: str, *, size: int = SIZE, with_ids: bo
         ranks, full = [0] * size, 0
         for batch in batches:
             out: list[list] = [[] for _ in range(5)]
-            for text in batch.column("text").to_pylist():
-                ids = np.frombuffer(encoder.ids(text or ""), np.uint32)
+            for data in encoder.batch([text or b"" for text in utf8(batch.column("text"))]):
+                ids = np.frombuffer(data, np.uint32)
                 rest = len(ids) % size
                 values = (len(ids), ids.tobytes() if wide else ids.astype(np.uint16).tobytes(), rest, ranks[rest], full)
                 ranks[rest] += 1
