@@ -9,8 +9,8 @@ characters, found by dynamic programming over its prefixes.
 
 Rows: one per input row, repeated rows too.  A null text counts as empty and has
 no spans.  Offsets count code points, ends are exclusive.  Time is linear in the
-text: a segment is looked for at most ``LONGEST_WORD`` characters back, and
-repeats and walks are followed as they grow.
+text: a word is looked for as far back as the longest one reaches, and of the starts of a
+repeat or walk only those are followed that can still be the cheapest.
 """
 from __future__ import annotations
 
@@ -43,7 +43,6 @@ ASSIGN_HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 CONTEXT_HINTS = ("pass", "pwd", "secret", "token", "api", "auth", "credential", "bearer", "://")
 #: a value is reported from this many bits of guesses on
 MIN_BITS = 32.0
-LONGEST_WORD = 16
 #: frequent parts of passwords, the most frequent first; a word costs the logarithm of its place
 WORDS = ("password", "admin", "welcome", "login", "letmein", "master", "hello", "secret", "dragon", "monkey", "test",
          "user", "root", "guest", "default", "changeme", "pass", "word", "access", "token", "key", "api", "love",
@@ -66,6 +65,51 @@ def _brute_bits(c: str) -> float:
     return math.log2(33) if c.isascii() else math.log2(10_000)
 
 
+#: one bit for the border of a segment keeps many small ones from looking cheap
+BORDER = 1.0
+SHORTEST_RUN = 3
+
+
+class _Run:
+    """Cheapest start of a run that ends at the current place.
+
+    A start costs ``best[start] + log2(length)``.  What an earlier start pays more for its length shrinks as the
+    run grows, so a start that costs no less than an earlier one now never will, and is dropped: the few
+    that remain give the minimum over all starts in the run.
+    """
+
+    def __init__(self):
+        self.begin = 0
+        self.starts: list[int] = []
+
+    def restart(self, begin: int) -> None:
+        self.begin, self.starts = begin, []
+
+    def cheapest(self, end: int, best: list[float]) -> float:
+        fresh = end - SHORTEST_RUN
+        if fresh >= self.begin:
+            self.starts = [s for s in self.starts if best[s] < best[fresh]] + [fresh]
+        least, kept = math.inf, []
+        for start in self.starts:
+            cost = best[start] + math.log2(end - start)
+            if cost < least:
+                least = cost
+                kept.append(start)
+        self.starts = kept
+        return least
+
+
+def date_ends(value: str) -> dict[int, list[int]]:
+    """Starts of the dates that end at each place, in all their lengths."""
+    found: dict[int, list[int]] = {}
+    for at, c in enumerate(value):
+        if c.isdigit():
+            for end in (at + size for size in (4, 6, 7, 8, 9, 10)):
+                if end <= len(value) and DATE.fullmatch(value, at, end):
+                    found.setdefault(end, []).append(at)
+    return found
+
+
 def guess_bits(value: str, words: dict[str, float]) -> float:
     """Bits of the cheapest segmentation of ``value``; 0 for an empty value.
 
@@ -76,27 +120,19 @@ def guess_bits(value: str, words: dict[str, float]) -> float:
     low, plain = value.lower(), value.lower().translate(_LEET)
     if len(low) != n:  # lower-casing changed the length: compare characters as they are
         low = plain = value
-    dates: dict[int, list[int]] = {}
-    for at in range(n):
-        if value[at].isdigit() and (found := DATE.match(value, at)):
-            dates.setdefault(found.end(), []).append(at)
+    dates, longest = date_ends(value), max(map(len, words), default=0)
     best = [0.0] * (n + 1)
-    repeat = walk = 0  # where the runs that end here begin
+    repeat, walk = _Run(), _Run()
     for end in range(1, n + 1):
         c = value[end - 1]
-        cost = best[end - 1] + _brute_bits(c)
-        if end > 1:
-            if value[end - 2] != c:
-                repeat = end - 1
-            if low[end - 2:end] not in _NEXT:
-                walk = end - 1
-        if end - repeat >= 3:
-            cost = min(cost, best[repeat] + _brute_bits(c) + math.log2(end - repeat))
-        if end - walk >= 3:
-            cost = min(cost, best[walk] + math.log2(46) + 1 + math.log2(end - walk))
+        if end > 1 and value[end - 2] != c:
+            repeat.restart(end - 1)
+        if end > 1 and low[end - 2:end] not in _NEXT:
+            walk.restart(end - 1)
+        cost = min(repeat.cheapest(end, best) + _brute_bits(c), walk.cheapest(end, best) + math.log2(46) + 1)
         for start in dates.get(end, ()):
             cost = min(cost, best[start] + (math.log2(365 * 100) if end - start > 6 else math.log2(100)))
-        for start in range(max(0, end - LONGEST_WORD), end - 1):
+        for start in range(max(0, end - longest), end - 1):
             part = low[start:end]
             bits = words.get(part)
             if bits is None:
@@ -104,8 +140,7 @@ def guess_bits(value: str, words: dict[str, float]) -> float:
                 bits = None if bits is None else bits + 1
             if bits is not None:
                 cost = min(cost, best[start] + bits + (value[start:end] != part))
-        # one bit for the border between segments keeps many small ones from looking cheap
-        best[end] = cost if cost == best[end - 1] + _brute_bits(c) else cost + 1
+        best[end] = min(best[end - 1] + _brute_bits(c), cost + BORDER)
     return best[n]
 
 

@@ -335,17 +335,53 @@ def test_guess_cost():
     bits = secrets.word_bits()
     cheap = [secrets.guess_bits(v, bits) for v in ("password", "P@ssword1", "aaaaaaaaaaaa", "qwertyuiop", "19871231")]
     assert max(cheap) < 24 and secrets.guess_bits("Xk9vLq2mZr7T", bits) > 50 and secrets.guess_bits("", bits) == 0
-    # brute force over all segmentations of words and single characters
-    def brute(v):
-        if not v:
-            return 0.0
-        best = secrets._brute_bits(v[0]) + brute(v[1:])
-        for n in range(2, len(v) + 1):
-            if v[:n] in bits:
-                best = min(best, bits[v[:n]] + 1 + brute(v[n:]))
-        return best
-    for v in ("myloveb", "testkey", "keyboxapi"):
-        assert abs(secrets.guess_bits(v, bits) - brute(v)) < 1e-9
+
+
+def plain_bits(value, bits):
+    """Minimum over all segmentations, each segment priced by itself."""
+    import math
+    low, plain = value.lower(), value.lower().translate(secrets._LEET)
+
+    def segment(a, b):
+        part, size, costs = value[a:b], b - a, []
+        if size == 1:
+            return secrets._brute_bits(part)
+        if low[a:b] in bits:
+            costs.append(bits[low[a:b]] + (part != low[a:b]))
+        elif plain[a:b] in bits:
+            costs.append(bits[plain[a:b]] + 1 + (part != low[a:b]))
+        if size >= 3 and len(set(part)) == 1:
+            costs.append(secrets._brute_bits(part[0]) + math.log2(size))
+        if size >= 3 and all(low[i:i + 2] in secrets._NEXT for i in range(a, b - 1)):
+            costs.append(math.log2(46) + 1 + math.log2(size))
+        if secrets.DATE.fullmatch(part):
+            costs.append(math.log2(36500) if size > 6 else math.log2(100))
+        return min(costs, default=math.inf) + secrets.BORDER
+    best = [0.0]
+    for end in range(1, len(value) + 1):
+        best.append(min(best[start] + segment(start, end) for start in range(end)))
+    return best[-1]
+
+
+def test_guess_cost_is_the_minimum_of_all_segmentations():
+    import random
+    bits, r = secrets.word_bits(), random.Random(8)
+    parts = ["password", "Admin", "p@ss", "my", "fghjkl", "qwe", "4321", "aaaa", "nnnnnnnn", "2024", "2024-01-31", "31.12.1999",
+             "199912", "X", "k9", "zz", "é", "token1", "lkjhg", "111", "$$$", "abc", "love"]
+    values = ["".join(r.choice(parts) for _ in range(r.randint(1, 5))) for _ in range(1500)]
+    values += ["".join(r.choice("aab12qwer") for _ in range(r.randint(1, 24))) for _ in range(500)]
+    for v in values:
+        assert abs(secrets.guess_bits(v, bits) - plain_bits(v, bits)) < 1e-9, v
+    got = [round(secrets.guess_bits(v, bits), 1) for v in ("passwordfghjkl", "adminnnnnnnnn", "passwordfghjkl2024admin")]
+    assert got == [13.1, 12.3, 24.3]
+
+
+def test_guess_cost_of_long_values_is_linear():
+    import time
+    bits, started = secrets.word_bits(), time.perf_counter()
+    for v in ("a" * 200_000, "qw" * 100_000, "passwordnn" * 20_000, "1234567890" * 20_000):
+        secrets.guess_bits(v, bits)
+    assert time.perf_counter() - started < 60
 
 
 # 1, 3, 5 classifiers
