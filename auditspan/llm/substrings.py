@@ -114,7 +114,7 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     salts = Window.partitionBy("run", "window")
     spread = (witness.withColumn("salts", F.count(F.lit(1)).over(salts)).filter("n = 1 and salts > 1")
               .select("w.doc_id", "w.key", "w.start"))
-    return direct.union(spread).groupBy("doc_id", "key").agg(F.collect_list("start").alias("starts"))
+    return direct.union(spread).groupBy("doc_id", "key").agg(F.collect_set("start").alias("starts"))
 
 
 def deduplicated(docs: DataFrame, *, width: int = WIDTH, with_text: bool = True) -> DataFrame:

@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from auditspan.llm import decontamination, secrets, toxicity
+from auditspan.llm import decontamination, secrets, substrings, toxicity
 from tests.llm.conftest import prose
 
 
@@ -149,3 +149,15 @@ def test_decisions_of_the_pipeline_hold_for_id_and_text(spark, tmp_path):
     clean = pipeline.benchmark_decontamination(spark, docs, str(tmp_path)).collect()
     assert sorted(((r.doc_id, r.text) for r in clean), key=repr) == sorted(
         [r for r in rows if r[1] not in (a, near)], key=repr)
+
+
+# 4 substring dedup
+
+def test_starts_of_repeated_rows_are_gathered_once(spark):
+    """n equal rows have the same starts; each is named once, not once for every row."""
+    text = prose(9, 135)
+    docs = spark.createDataFrame([(1, text)] * 400 + [(i, text) for i in range(2, 50)], "doc_id long, text string").repartition(7)
+    found = substrings.repeated_windows(docs, 35).collect()
+    assert {r.doc_id: sorted(r.starts) for r in found} == {i: list(range(101)) for i in range(1, 50)}
+    made = substrings.deduplicated(docs, with_text=False).select("n_words", "n_removed").distinct().collect()
+    assert [tuple(r) for r in made] == [(135, 135)]
