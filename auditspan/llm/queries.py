@@ -25,30 +25,19 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def _op2_sql() -> str:
-    span, window, share = decontamination.SPAN, decontamination.WINDOW, decontamination.SIMILARITY
+    """Every alignment of a document with an item that has enough equal words at all, window by window; no seeds."""
+    window, share = decontamination.WINDOW, decontamination.SIMILARITY
     words = f"list_filter(string_split_regex(translate(coalesce(text, ''), '{ABC}', '{abc}'), '[ \\t-\\r]+'), lambda w: w <> '')"
-    masks = [f"SELECT id, words, p, {span} AS covers, {k} AS family, concat_ws(' ', "
-             + ", ".join(f"words[p + {i + 1}]" for i in mask) + f") AS seed FROM at WHERE p + {span} <= len(words)"
-             for k, mask in enumerate(decontamination.MASKS)]
-
-    def seeds(at: str) -> str:
-        return " UNION ALL ".join(m.replace("FROM at", f"FROM {at}") for m in masks)
     return f"""
-WITH d AS (SELECT DISTINCT doc_id AS id, {words} AS words FROM documents),
-b AS (SELECT DISTINCT item_id AS id, {words} AS words FROM benchmark),
-d_at AS (SELECT id, words, unnest(range(len(words))) AS p FROM d),
-b_at AS (SELECT id, words, unnest(range(len(words))) AS p FROM b WHERE len(words) > 0),
-lengths AS (SELECT DISTINCT len(words) AS n FROM b WHERE len(words) BETWEEN 1 AND {span - 1}),
-d_seeds AS ({seeds('d_at')} UNION ALL
-  SELECT id, words, p, n, 100 + n, array_to_string(words[p + 1 : p + n], ' ') FROM d_at, lengths
-  WHERE p + n <= len(words)),
-b_seeds AS ({seeds('b_at')} UNION ALL
-  SELECT id, words, p, len(words), 100 + len(words), array_to_string(words, ' ') FROM b_at
-  WHERE p = 0 AND len(words) < {span}),
-hits AS (SELECT DISTINCT d.id AS doc_id, b.id AS item_id, d.words AS dw, b.words AS bw, d.p - b.p AS shift, b.p AS bp,
-  b.covers, least({window}, len(b.words)) AS length FROM d_seeds d JOIN b_seeds b USING (family, covers, seed)),
-windows AS (SELECT *, unnest(range(greatest(bp + covers - length, 0, -shift),
-  least(bp, len(bw) - length, len(dw) - shift - length) + 1)) AS i FROM hits),
+WITH d AS (SELECT row_number() OVER () AS row, * FROM (SELECT DISTINCT doc_id AS id, {words} AS words FROM documents)),
+b AS (SELECT row_number() OVER () AS row, * FROM (SELECT DISTINCT item_id AS id, {words} AS words FROM benchmark)),
+d_at AS (SELECT row, unnest(words) AS word, unnest(range(len(words))) AS p FROM d),
+b_at AS (SELECT row, unnest(words) AS word, unnest(range(len(words))) AS p, least({window}, len(words)) AS length FROM b),
+shifts AS (SELECT d.row AS d_row, b.row AS b_row, d.p - b.p AS shift, length FROM d_at d JOIN b_at b USING (word)
+  GROUP BY ALL HAVING count(*) >= ceil({share} * length)),
+windows AS (SELECT d.id AS doc_id, b.id AS item_id, d.words AS dw, b.words AS bw, shift, length,
+  unnest(range(greatest(0, -shift), least(len(b.words), len(d.words) - shift) - length + 1)) AS i
+  FROM shifts JOIN d ON d.row = d_row JOIN b ON b.row = b_row),
 scored AS (SELECT doc_id, item_id, length, i + shift AS place,
   len(list_filter(range(length), lambda j: dw[i + j + shift + 1] = bw[i + j + 1])) AS matched FROM windows),
 best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, place) AS r
