@@ -23,9 +23,6 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: masks and span of the SQL twin: its three masks reach a part of what the rule accepts, the operator does not use them
-MASKS = ((0, 1, 2, 4, 7, 9), (0, 2, 3, 5, 8, 9), (0, 1, 3, 6, 7, 9))
-SPAN = 10
 WINDOW = 15
 SIMILARITY = 0.8
 #: more masks for one length are not taken, however selective they would be
