@@ -40,13 +40,15 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
                    text_key().alias("text"))
     keyed = docs.select(*COLUMNS, key.alias("row"))
     found = jaccard.near_duplicate_classes(keyed.select(F.col("row").alias("doc_id"), "text"), width=5, percent=80)
-    # only keys move: rows that another one stands for, and rows that are repeated
+    # rows that another one stands for, and rows that are repeated; all other rows stay as they are
     decided = kept_table(found.filter("n_shingles > 0").groupBy(F.col("doc_id").alias("row")).agg(
         F.max(F.col("component_id") < F.col("doc_id")).alias("gone"), F.count(F.lit(1)).alias("n"))
         .filter("gone or n > 1").select("row", "gone"), "copies")
-    single = keyed.join(decided.select("row"), "row", "left_anti").select(*COLUMNS)
-    repeated = keyed.join(decided.filter("not gone").select("row"), "row", "left_semi")
-    return single.union(repeated.groupBy("row").agg(F.min(F.struct(*COLUMNS)).alias("r")).select("r.*"))
+    # one exchange of the texts by their row, alike at every size: both branches read it, and equal rows meet in it
+    judged = keyed.join(decided.hint("shuffle_hash"), "row", "left")
+    single = judged.filter("gone is null").select(*COLUMNS)
+    repeated = judged.filter("not gone").groupBy("row").agg(F.min(F.struct(*COLUMNS)).alias("r")).select("r.*")
+    return single.union(repeated)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
