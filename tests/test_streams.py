@@ -164,3 +164,74 @@ def test_weekly_digest_is_the_text_of_the_best_changes(spark, tmp_path):
         text = digest.digest_text(spark.createDataFrame(best, schema), F.lit(end.strftime("%d.%m.%Y"))).first()
         assert (g.content_md, g.listed, g.max_score) == (text.content_md, 7, text.max_score)
         assert g.all_changes == len(own) and g.legal_changes == sum(x[4] == "npa" or bool(x[6]) for x in own)
+
+
+class MemoryState:
+    """State of one key in memory; counts how often it is asked."""
+
+    def __init__(self):
+        self.value, self.items, self.map, self.calls, self.timers = None, [], {}, 0, []
+
+    def getValueState(self, *_):
+        return self
+
+    getListState = getMapState = getValueState
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def getCurrentWatermarkInMs(self):
+        return max(self.timers) + 10 ** 9
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        self.calls += 1
+        return self.items or self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.items = []
+
+    def appendList(self, entries):
+        self.calls += 1
+        self.items = self.items + entries
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.map[key] = value
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.map[key]
+
+    def removeKey(self, key):
+        self.calls += 1
+        del self.map[key]
+
+
+class Waiting(MemoryState):
+    def getValueState(self, name, *_):
+        return self.__dict__.setdefault(name, MemoryState())
+
+    getListState = getMapState = getValueState
+
+
+def test_waiting_snapshots_are_stored_and_released_in_chunks():
+    import pandas as pd
+
+    from auditspan.streaming.processors import SnapshotRouter
+    store, router = Waiting(), SnapshotRouter()
+    router.init(store)
+    rows = [(i * 1_000_000, i, f"h{i % 2}", f"t{i % 2}", "ok", 1) for i in range(3000)]  # 50 minutes
+    random.Random(2).shuffle(rows)
+    frames = [pd.DataFrame(rows[a:a + 1000], columns=["at", "id", "content_hash", "raw_text", "fetch_status", "items"])
+              for a in (0, 1000, 2000)]
+    assert list(router.handleInputRows(("s", "u"), iter(frames), store)) == []
+    out = pd.concat(router.handleExpiredTimer(("s", "u"), store, None))
+    assert list(out["id"]) == list(range(3000)) and list(out["route"]) == ["baseline"] + ["changed"] * 2999
+    assert not store.waiting.map and not store.due.items
+    assert store.waiting.calls + store.due.calls < 30  # not several for every row
