@@ -23,12 +23,16 @@ def encode_organizations(orgs: DataFrame) -> DataFrame:
 
 
 def package(orgs: DataFrame, public_only: bool = False) -> DataFrame:
-    """One row per organisation and document type of its package."""
+    """One row per organisation and document type of its package.
+
+    Organisations are dealt out first: a package is many times its organisation, and a file of
+    organisations that one task reads would become the work of that task.
+    """
     types = [t for t in fixed.DOCUMENT_TYPES if not public_only or t[0] in fixed.PUBLIC_DOCUMENT_TYPES]
     rows = F.array(*[F.struct(
         F.lit(i).alias("type_ord"), F.lit(key).alias("doc_type"), F.lit(title).alias("title"),
         F.lit(template).cast("string").alias("template_file")) for i, (key, title, template, _) in enumerate(types)])
-    return orgs.select("*", F.explode(rows).alias("_t")).select(*orgs.columns, "_t.*")
+    return orgs.repartition("id").select("*", F.explode(rows).alias("_t")).select(*orgs.columns, "_t.*")
 
 
 def generation_inputs(orgs: DataFrame, templates: DataFrame, contexts: DataFrame,

@@ -21,3 +21,17 @@ def test_page_title_resolves_the_references_its_sql_resolves(spark, tmp_path):
     con = stored(spark, tmp_path, "pages", rows, "page_id long, url string, html string")
     difference, n = verify.compare(QUERIES["P7_page_title"](spark, str(tmp_path)), con, ORACLE["P7_page_title"])
     assert difference is None and n == len(titles)
+
+
+def test_packages_are_made_by_many_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from auditspan.operators import documents
+    orgs = spark.range(0, 4000, 1, 1).select(F.concat(F.lit("org"), F.col("id").cast("string")).alias("id"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # it would join parts as small as these
+    try:
+        made = documents.package(orgs).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    rows = [r[1] for r in made]
+    assert len(rows) > 1 and max(rows) < 2 * min(rows)
