@@ -35,3 +35,29 @@ def test_packages_are_made_by_many_tasks(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     rows = [r[1] for r in made]
     assert len(rows) > 1 and max(rows) < 2 * min(rows)
+
+
+def test_indexes_of_pages_are_python_objects_a_slice_at_a_time(monkeypatch):
+    import weakref
+
+    import pyarrow as pa
+
+    from auditspan.functions import page_elements
+
+    class Index(dict):
+        __hash__, __eq__ = object.__hash__, object.__eq__
+
+    alive, counts, whole = weakref.WeakSet(), [], page_elements.elements_of
+
+    def made(html):
+        index = Index(whole(html))
+        alive.add(index)
+        counts.append(len(alive))
+        return index
+
+    monkeypatch.setattr(page_elements, "elements_of", made)
+    html = ["<form><input name=a></form>", "<form><input name=b></form>"]
+    out = page_elements._elements.func(pa.array(html * 300))
+    assert [r["controls"][0]["name"] for r in out.to_pylist()] == ["a", "b"] * 300
+    assert max(counts) < 200
+    assert len(page_elements._elements.func(pa.array([], pa.string()))) == 0
