@@ -235,3 +235,9 @@ def test_waiting_snapshots_are_stored_and_released_in_chunks():
     assert list(out["id"]) == list(range(3000)) and list(out["route"]) == ["baseline"] + ["changed"] * 2999
     assert not store.waiting.map and not store.due.items
     assert store.waiting.calls + store.due.calls < 30  # not several for every row
+
+
+def test_arriving_pages_are_dealt_out(spark):
+    pages = spark.createDataFrame([], schemas.CRAWL)
+    plan = jobs.arriving_pages(pages)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [url" in plan
