@@ -61,3 +61,18 @@ def test_indexes_of_pages_are_python_objects_a_slice_at_a_time(monkeypatch):
     assert [r["controls"][0]["name"] for r in out.to_pylist()] == ["a", "b"] * 300
     assert max(counts) < 200
     assert len(page_elements._elements.func(pa.array([], pa.string()))) == 0
+
+
+def test_diffs_by_pairs_of_texts_equal_diffs_by_rows(spark):
+    from datetime import datetime, timedelta
+
+    from auditspan.operators import monitoring
+    texts = ["a\nb", "", "a\nc", "a\nb"]
+    rows = [(i, "s", f"u{i % 2}", texts[i * i % 7 % 4], "error" if i % 5 == 4 else "ok", datetime(2025, 1, 1) + timedelta(hours=7 * i))
+            for i in range(24)]
+    snapshots = monitoring.snapshot_rows(spark.createDataFrame(
+        rows, "id long, source_id string, url string, text string, fetch_status string, captured_at timestamp"))
+    history = monitoring.snapshot_history(snapshots)
+    by_rows = monitoring.with_diff(monitoring.changed_snapshots(history, snapshots)).select("id", "diff").collect()
+    by_pairs = monitoring.changed_diffs(history, snapshots).select("id", "diff").collect()
+    assert sorted(by_pairs) == sorted(by_rows) and len(by_rows) > 5
