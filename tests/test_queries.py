@@ -76,3 +76,20 @@ def test_diffs_by_pairs_of_texts_equal_diffs_by_rows(spark):
     by_rows = monitoring.with_diff(monitoring.changed_snapshots(history, snapshots)).select("id", "diff").collect()
     by_pairs = monitoring.changed_diffs(history, snapshots).select("id", "diff").collect()
     assert sorted(by_pairs) == sorted(by_rows) and len(by_rows) > 5
+
+
+def test_pages_go_to_python_in_batches_of_few_bytes(spark):
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from auditspan import schemas
+    from auditspan.operators import pages
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    pages.page_facts(spark.createDataFrame([], schemas.CRAWL))
+
+    @F.arrow_udf("long")
+    def held(html: pa.Array) -> pa.Array:
+        return pa.array([html.nbytes] * len(html), pa.int64())
+
+    rows = spark.range(0, 200, 1, 1).select(held(F.repeat(F.col("id").cast("string"), 40_000)).alias("n"))
+    assert rows.agg(F.max("n")).first()[0] < 3_000_000  # not the 20 MB of all
