@@ -44,17 +44,21 @@ class Audit:
         sites = site_ops.site_facts(self.facts)
         if self.request_log is not None:
             sites = site_ops.with_request_log(sites, scripts.tracker_requests(self.request_log, self.trackers))
-        hosts = scripts.primary_hosts(self.facts)
+        chosen = sites.select("site", F.col("policy.page_ord").alias("page_ord")).filter("page_ord is not null")
         if self.services is not None:
-            found = scripts.services_of_sites(hosts, self.services)
+            found = scripts.services_of_sites(self.hosts, self.services)
             sites = site_ops.with_registry_tables(sites, found, ["services_used"])
         if self.trackers is not None:
-            chosen = sites.select("site", F.col("policy.page_ord").alias("page_ord")).filter("page_ord is not null")
             texts = pages.policy_candidates(self.crawl).select("site", "page_ord", "text").join(chosen, ["site", "page_ord"])
-            found = scripts.trackers_of_sites(hosts, self.trackers, texts)
+            found = scripts.trackers_of_sites(self.hosts, self.trackers, texts)
             sites = site_ops.with_registry_tables(sites, found, ["trackers_used", "trackers_hidden", "trackers_foreign"])
         return sites if self.notes is None else site_ops.with_crawler_notes(sites, self.notes)
 
+    @cached_property
+    def hosts(self) -> DataFrame:
+        """Hosts of each site, written once: both registries meet them, and pages are read again for every reader."""
+        return cut_lineage(scripts.primary_hosts(self.facts), "hosts")
+
     @cached_property
     def forms(self) -> DataFrame:
         return pages.forms(self.facts.filter("NOT is_fallback"))

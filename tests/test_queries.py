@@ -93,3 +93,15 @@ def test_pages_go_to_python_in_batches_of_few_bytes(spark):
 
     rows = spark.range(0, 200, 1, 1).select(held(F.repeat(F.col("id").cast("string"), 40_000)).alias("n"))
     assert rows.agg(F.max("n")).first()[0] < 3_000_000  # not the 20 MB of all
+
+
+def test_registry_tables_meet_hosts_that_are_written_once(spark, tmp_path):
+    from auditspan import schemas
+    from auditspan.plans.audit import audit
+    from workload import dimension_files
+    spark.createDataFrame([], schemas.CRAWL).write.parquet(str(tmp_path / "crawl"))
+    crawl = spark.read.schema(schemas.CRAWL).parquet(str(tmp_path / "crawl"))
+    sites = audit(crawl, services=dimension_files.many_services(spark), trackers=dimension_files.many_trackers(spark)).sites
+    plan = sites.select("site", "services_used", "trackers_used")._jdf.queryExecution().optimizedPlan().toString()
+    reads = [line for line in plan.split("\n") if "Relation [" in line and "html#" in line]
+    assert len(reads) == 3  # the sites, the policy of each, and its text
