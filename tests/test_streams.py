@@ -241,3 +241,30 @@ def test_arriving_pages_are_dealt_out(spark):
     pages = spark.createDataFrame([], schemas.CRAWL)
     plan = jobs.arriving_pages(pages)._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression [url" in plan
+
+
+def test_a_week_is_counted_and_cut_by_frames():
+    import pandas as pd
+
+    from auditspan.streaming.processors import BestOfWeek
+
+    class Week(Waiting):
+        def put(self, items):
+            self.items = items
+
+        def getValueState(self, name, *_):
+            return self.__dict__.setdefault("own_" + name, Week())
+
+        getListState = getValueState
+
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    store, week = Week(), BestOfWeek(3)
+    week.init(store)
+    rows = [(i or week.NONE, "s", "u", None, "ui", i % 4 or None, None if i % 2 else True, i % 5, i % 2 == 0) for i in range(400)]
+    frames = [pd.DataFrame(rows[a:a + 100], columns=[*week.FIELDS, "legal"]) for a in range(0, 400, 100)]
+    assert list(week.handleInputRows((10 ** 9, 1), iter(frames), store)) == []
+    out = pd.concat(week.handleExpiredTimer((10 ** 9, 1), store, None))
+    assert list(out["id"]) == [19, 39, 59] and list(out["changes"]) == [400, 0, 0] and list(out["legal_changes"]) == [200, 0, 0]
+    assert list(out["threat_score"]) == [3, 3, 3]
