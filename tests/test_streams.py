@@ -268,3 +268,33 @@ def test_a_week_is_counted_and_cut_by_frames():
     out = pd.concat(week.handleExpiredTimer((10 ** 9, 1), store, None))
     assert list(out["id"]) == [19, 39, 59] and list(out["changes"]) == [400, 0, 0] and list(out["legal_changes"]) == [200, 0, 0]
     assert list(out["threat_score"]) == [3, 3, 3]
+
+
+def test_known_updates_are_asked_for_once_a_part():
+    import pandas as pd
+
+    from auditspan.streaming.processors import FirstSeen
+
+    class Keys(MemoryState):
+        def appendValue(self, value):
+            self.appendList([value])
+
+        def put(self, items):
+            self.calls, self.items = self.calls + 1, items
+
+        def get(self):
+            self.calls += 1
+            return iter(self.items)
+
+    store, first = Keys(), FirstSeen()
+    store.getListState = lambda *_: store
+    first.init(store)
+    for part in (["k0", "k1"], ["k2"]):
+        first.handleInitialState((1,), pd.DataFrame({"content_key": part, "part": 1}), None)
+    for batch in range(50):
+        rows = [(f"k{i}", "s", f"t{at}", at) for i in range(batch * 20, batch * 20 + 30) for at in (7, first.LATEST, 5)]
+        frames = [pd.DataFrame(rows[a:a + 40], columns=first.FIELDS) for a in range(0, 90, 40)]
+        out = pd.concat(first.handleInputRows((1,), iter(frames), None))
+        assert list(out["content_key"]) == [f"k{i}" for i in range(batch * 20 + (10 if batch else 3), batch * 20 + 30)]
+        assert set(out["title"]) == {"t5"}
+    assert store.calls <= 2 + 2 * 50 and len(store.items) <= first.TEXTS
