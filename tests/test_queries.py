@@ -95,6 +95,16 @@ def test_pages_go_to_python_in_batches_of_few_bytes(spark):
     assert rows.agg(F.max("n")).first()[0] < 3_000_000  # not the 20 MB of all
 
 
+def test_plans_used_again_bound_the_batches_again(spark):
+    from auditspan.session import PAGE_BATCH
+    bound, tables = "spark.sql.execution.arrow.maxBytesPerBatch", "/root/testdata/sf0.001"
+    for name in ("X3_forms",):
+        QUERIES[name](spark, tables)
+        spark.conf.unset(bound)
+        QUERIES[name](spark, tables)
+        assert spark.conf.get(bound) == PAGE_BATCH, name
+
+
 def test_registry_tables_meet_hosts_that_are_written_once(spark, tmp_path):
     from auditspan import schemas
     from auditspan.plans.audit import audit
