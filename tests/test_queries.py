@@ -98,7 +98,7 @@ def test_pages_go_to_python_in_batches_of_few_bytes(spark):
 def test_plans_used_again_bound_the_batches_again(spark):
     from auditspan.session import PAGE_BATCH
     bound, tables = "spark.sql.execution.arrow.maxBytesPerBatch", "/root/testdata/sf0.001"
-    for name in ("X3_forms",):
+    for name in ("X3_forms", "C01_C05_form_checks", "A3_risk_level"):
         QUERIES[name](spark, tables)
         spark.conf.unset(bound)
         QUERIES[name](spark, tables)
