@@ -4,16 +4,20 @@ A document is the set of its distinct ``width``-word shingles (words of lower-ca
 A-Z; a text with fewer words is one shingle, the whole sequence).  Two documents link
 when 100 * common >= percent * all.
 
-1. A merged count-min sketch of all shingles orders them, rare ones first.
-   Linked documents share a shingle within their prefixes, the first
+1. A merged count-min sketch of shingles orders them, rare ones first; a text that stands in several rows is
+   counted once.  Linked documents share a shingle within their prefixes, the first
    n - ceil(percent * n / 100) + 1 shingles in this order.  A shingle counted once
-   stands nowhere else; it fills its place in the prefix but needs no look-up.
+   stands nowhere else; it fills its place in the prefix but needs no look-up.  Where there are more
+   shingles than cells, only those whose hash is below a border are counted, and the prefix
+   takes them first: any order does, as long as it is the same for all documents.
 2. Documents with equal sets become one member.  Members with equal size and
    equal prefix are collapsed into one group, and the groups, not the members, are listed under
    the shingles of the prefix; shingles that only one member has are dropped, and lists with the same first member are one.
+   A list is cut where the next size is too large to link with any before.
 3. A list's groups are expanded and their members verified against each other in blocks: a
    list of many members is cut into parts, every pair of parts is one unit of work, and no
-   unit holds more than two parts.  A unit hands on only as many links as
+   unit holds more than two parts.  Only members of units are read again, one text each, and texts,
+   which compress, are dealt to the units instead of hashes, which do not.  A unit hands on only as many links as
    connect its members, at most one fewer than they are.
 4. Linked members are joined into classes; every document gets its class.
 
@@ -27,16 +31,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditspan.llm.arrays import signed, windows, words
 from auditspan.llm.components import components
-from auditspan.llm.sketch import bits_for, merged_sketch
-from auditspan.llm.tasks import kept_table, map_rows, text_bytes, utf8
+from auditspan.llm.sketch import Sketch, bits_for, merged_sketch
+from auditspan.llm.tasks import kept_table, map_rows, utf8
 
 #: counts that tell classes of frequency apart, rare to frequent
 CLASSES = (2, 16, 200)
+#: the tables of the higher classes have a quarter of the cells
+FOLDS = (0, 2, 2)
+#: where shingles that are not counted stand between the classes
+UNCOUNTED = 2.5
+#: greatest size of the sketch of shingles: 2**30 cells are 192 MiB for all classes
+MOST_BITS = 30
+#: cells for each value in a line of a table of marks
+KEY_CELLS = 16
 #: members of one part of a shingle's list
 PART = 500
 #: tasks that the rows of one class are spread over when they get its name
@@ -98,74 +110,147 @@ def linked_roots(sets: list[np.ndarray], sizes: np.ndarray, percent: int) -> np.
     return root
 
 
-def _members(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, n, node, prefix, common) of every row.
+def _texts(rows: DataFrame) -> tuple[Sketch | None, int]:
+    """Bit table of the marks of each text's first row and the digests of repeated texts, and the bytes of all texts once.
+
+    None if no text is repeated.  The first row of a text is one of its rows with the least mark.
+    """
+    texts = kept_table(
+        rows.groupBy("digest", F.xxhash64(F.lit(1), "text").alias("more"))
+        .agg(F.min("mark").alias("mark"), F.max(F.octet_length("text")).alias("bytes"), F.count(F.lit(1)).alias("rows"))
+        .select("mark", F.when(F.col("rows") > 1, F.col("digest")).alias("digest"), "bytes"), "texts")
+    several, n, size = texts.agg(F.count("digest"), F.count(F.lit(1)), F.sum(F.col("bytes").cast("long"))).first()
+    if not several:
+        return None, size or 0
+
+    def values(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for column in batch.select(["mark", "digest"]).columns:
+            yield column.drop_null().to_numpy().view(np.uint64)
+
+    return merged_sketch(texts, values, bits=bits_for(KEY_CELLS * (n + several)), lines=2, thresholds=(1,)), size or 0
+
+
+def _has(table: Sketch | None, batch: pa.RecordBatch, name: str, without: bool) -> np.ndarray:
+    """Whether the table may hold the values of a column; ``without`` if there is no table."""
+    if table is None:
+        return np.full(batch.num_rows, without)
+    return table.at_least(batch.column(name).to_numpy().view(np.uint64), 0)
+
+
+def _node(own: np.ndarray) -> bytes:
+    return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
+
+
+def _members(rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """(doc_id, mark, digest, n, node, prefix) of every row.
 
     ``node`` names the set (null if the row can link with nothing), ``prefix`` its look-up
-    shingles, ``common`` its shingles that may stand elsewhere.
+    shingles (null if it can only link with equal sets).
     """
-    spark = docs.sparkSession
-    rows = docs.select("doc_id", "text")
+    spark = rows.sparkSession
+    texts, size = _texts(rows)
     # about one shingle for each six bytes
-    bits = bits_for(text_bytes(docs) // 10)
+    bits = bits_for(size // 10, MOST_BITS)
+    share = max((1 << bits) / max(1, size // 6), 2 * (100 - percent) / 100)
+    border = np.uint64(int(share * 2**64)) if share < 1 else None
+    known = spark.sparkContext.broadcast(texts)
+
+    def counted(own: np.ndarray) -> int:
+        return len(own) if border is None else int(np.searchsorted(own, border))
 
     def all_shingles(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for data in utf8(batch.column("text")):
-            yield shingles(data, width)
+        first = _has(known.value, batch, "mark", True)
+        for data in utf8(batch.column("text").filter(pa.array(first))):
+            own = shingles(data, width)
+            yield own[:counted(own)]
 
-    sent = spark.sparkContext.broadcast(
-        merged_sketch(rows.select("text"), all_shingles, bits=bits, lines=1, thresholds=CLASSES))
-    kind = dict(docs.dtypes)["doc_id"]
+    sent = spark.sparkContext.broadcast(merged_sketch(
+        rows.select("text", "mark"), all_shingles, bits=bits, lines=1, thresholds=CLASSES, folds=FOLDS))
+    kind = dict(rows.dtypes)["doc_id"]
 
     def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = sent.value
         for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for data in utf8(batch.column("text")):
+            out: list[list] = [[], [], []]
+            for data, copied in zip(utf8(batch.column("text")), _has(known.value, batch, "digest", False).tolist()):
                 own = shingles(data, width)
                 n = len(own)
-                often = sketch.at_least(own, 0)
-                level = often.astype(np.int8)
+                level = np.full(n, UNCOUNTED)
+                some = own[:counted(own)]
+                often = sketch.at_least(some, 0)
+                level[:len(some)] = often
                 rest = np.flatnonzero(often)
                 for c in range(1, len(CLASSES)):
-                    level[rest] += sketch.at_least(own[rest], c)
+                    level[rest] += sketch.at_least(some[rest], c)
                 prefix = np.lexsort((own, level))[:n - needed(n, percent) + 1] if n else np.zeros(0, np.int64)
                 prefix = prefix[level[prefix] > 0]
                 out[0].append(n)
-                out[1].append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(prefix) else None)
+                out[1].append(_node(own) if len(prefix) or n and copied else None)
                 out[2].append(np.sort(signed(own[prefix])).tolist() if len(prefix) else None)
-                out[3].append(own[often].tobytes() if len(prefix) else None)
-            kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
+            kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *[pa.array(c, k) for c, k in zip(out, kinds)]],
-                ["doc_id", "n", "node", "prefix", "common"])
+                [*(batch.column(c) for c in ("doc_id", "mark", "digest")), *[pa.array(c, k) for c, k in zip(out, kinds)]],
+                ["doc_id", "mark", "digest", "n", "node", "prefix"])
+
+    members = kept_table(map_rows(rows.select("doc_id", "mark", "digest", "text"), ordered,
+                                  f"doc_id {kind}, mark long, digest long, n long, node binary, prefix array<long>"),
+                         "members")
+    sent.destroy()
+    known.destroy()
+    return members
+
 
-    return kept_table(map_rows(rows, ordered, f"doc_id {kind}, n long, node binary, prefix array<long>, "
-                                              "common binary"), "members")
+def _read_again(rows: DataFrame, members: DataFrame, units: DataFrame) -> DataFrame:
+    """(unit, node, text): a text of every node, for each of its units."""
+    chosen = kept_table(units.select("node").distinct().join(
+        members.filter("prefix is not null").groupBy("node").agg(F.min(F.struct("mark", "digest")).alias("row")), "node")
+        .select("node", "row.*"), "chosen")
 
+    def values(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        yield batch.column("mark").to_numpy().view(np.uint64)
 
-def _links(members: DataFrame, percent: int) -> DataFrame:
+    table = rows.sparkSession.sparkContext.broadcast(
+        merged_sketch(chosen.select("mark"), values, bits=bits_for(KEY_CELLS * chosen.count()), lines=2, thresholds=(1,)))
+
+    def chosen_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_has(table.value, batch, "mark", True)))
+
+    # the table lets a few other rows pass; they meet no node
+    texts = map_rows(rows.select("mark", "digest", "text"), chosen_rows, "mark long, digest long, text string")
+    return (units.join(chosen, "node").join(texts.dropDuplicates(["mark", "digest"]), ["mark", "digest"])
+            .select("unit", "node", "text"))
+
+
+def _links(rows: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
     """(a, b): links that connect the nodes of every class."""
-    nodes = members.filter("node is not null").select("node", "n", "prefix").dropDuplicates(["node"])
+    listing = members.filter("prefix is not null").withColumn("group", F.xxhash64("n", "prefix"))
     # groups: equal size and equal prefix; a shingle is listed once for each group
-    grouped = nodes.select("node", F.xxhash64("n", "prefix").alias("group"), "prefix")
-    groups = grouped.groupBy("group", "prefix").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("head"))
-    listed = groups.select("group", "size", "head", F.explode("prefix").alias("shingle"))
+    groups = (listing.select("node", "group", "n", "prefix").dropDuplicates(["node"])
+              .groupBy("group", "n", "prefix").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("head")))
+    listed = groups.select("group", "n", "size", "head", F.explode("prefix").alias("shingle"))
     # shingles whose lists begin with the same member are one list: near copies share most of their shingles
     lists = (listed.groupBy("shingle").agg(F.sum("size").alias("members"), F.min("head").alias("list"))
              .filter("members > 1").select("shingle", "list"))
-    listed = listed.join(lists, "shingle").select("list", "group", "size").distinct()
-    sizes = listed.groupBy("list").agg(F.sum("size").alias("members"))
+    listed = kept_table(listed.join(lists, "shingle").select("list", "group", "n", "size").distinct(), "lists")
+    # a list ends where the next size is too large to link with any before
+    by_size = Window.partitionBy("list").orderBy("n")
+    sizes = (listed.groupBy("list", "n").agg(F.sum("size").alias("here"))
+             .withColumn("cut", (100 * F.lag("n").over(by_size) < percent * F.col("n")).cast("int"))
+             .withColumn("run", F.coalesce(F.sum("cut").over(by_size), F.lit(0))))
+    runs = sizes.groupBy("list", "run").agg(F.sum("here").alias("members")).filter("members > 1")
+    sizes = sizes.join(runs, ["list", "run"]).select("list", "n", "run", "members")
     # expand: the members of each listed group, in parts
-    places = (listed.select("list", "group").join(sizes, "list")
-              .join(grouped.select("group", "node"), "group").select("list", "members", "node"))
+    places = (listed.select("list", "group", "n").join(sizes, ["list", "n"])
+              .join(listing.select("group", "n", "node").distinct(), ["group", "n"])
+              .select("list", "run", "members", "node"))
     parts = F.ceil(F.col("members") / PART).cast("int")
     own = F.pmod(F.xxhash64("node", F.lit(3)), parts).cast("int")
-    units = places.select("list", "node", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("with"))
-    units = units.select("node", "own", F.xxhash64("list", F.least("own", "with"), F.greatest("own", "with"))
-                         .alias("unit"))
-    sets = members.filter("node is not null").select("node", "n", "common").dropDuplicates(["node"])
-    dealt = units.join(sets, "node").select("unit", "own", "node", "n", "common")
+    units = places.select("list", "run", "node", own.alias("own"),
+                          F.explode(F.sequence(F.lit(0), parts - 1)).alias("with"))
+    units = kept_table(units.select("node", F.xxhash64("list", "run", F.least("own", "with"), F.greatest("own", "with"))
+                                    .alias("unit")), "units")
+    dealt = _read_again(rows, members, units)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -174,8 +259,8 @@ def _links(members: DataFrame, percent: int) -> DataFrame:
         def close():
             if len(held) < 2:
                 return
-            sets = [np.frombuffer(h[2], np.uint64) for h in held]
-            root = linked_roots(sets, np.array([h[1] for h in held], np.int64), percent)
+            sets = [h[1] for h in held]
+            root = linked_roots(sets, np.array([len(s) for s in sets], np.int64), percent)
             for i, r in enumerate(root.tolist()):
                 if r != i:
                     out[0].append(held[r][0])
@@ -189,13 +274,17 @@ def _links(members: DataFrame, percent: int) -> DataFrame:
 
         now = None
         for rows in batches:
-            for unit, node, n, common in zip(*(rows.column(c).to_pylist() for c in ("unit", "node", "n", "common"))):
+            for unit, node, data in zip(rows.column("unit").to_pylist(), rows.column("node").to_pylist(),
+                                        utf8(rows.column("text"))):
                 if unit != now:
                     close()
                     held, now = [], unit
                     if len(out[0]) >= 10_000:
                         yield batch()
-                held.append((node, n, common))
+                own = shingles(data, width)
+                # another text may have the same mark
+                if _node(own) == node:
+                    held.append((node, own))
         close()
         yield batch()
 
@@ -207,8 +296,11 @@ def near_duplicate_classes(docs: DataFrame, *, width: int = 3, percent: int = 90
 
     ``component_id`` is the smallest doc_id that links lead to, the row's own included.
     """
-    members = _members(docs, width, percent)
-    roots = components(_links(members, percent))
+    # a row is known by its mark wherever texts are read again; rows with one mark are taken together
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("digest"),
+                       F.xxhash64(F.lit(2), "doc_id", "text").alias("mark"))
+    members = _members(rows, width, percent)
+    roots = components(_links(rows, members, width, percent))
     # rows that can link with nothing keep clear of the joins, where they would all have the key null
     alone = members.filter("node is null").select("doc_id", F.col("n").alias("n_shingles"),
                                                   F.col("doc_id").alias("component_id"))

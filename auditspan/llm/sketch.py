@@ -6,6 +6,7 @@ in the one task it is dealt to.  What is sent back to the tasks is one bit a cel
 threshold: whether the merged count reaches it.  The estimate, the least
 count over the lines, is never below the true count, so a test for "at least t"
 misses nothing.  The bit tables have a fixed greatest size, whatever the input.
+The table of a threshold may be folded: 2**k neighbouring cells are added up first.
 """
 from __future__ import annotations
 
@@ -27,8 +28,8 @@ FLUSH = 2_000_000
 _SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89)
 
 
-def bits_for(cells: int) -> int:
-    return min(MOST_BITS, max(LEAST_BITS, int(cells).bit_length()))
+def bits_for(cells: int, most: int | None = None) -> int:
+    return min(most or MOST_BITS, max(LEAST_BITS, int(cells).bit_length()))
 
 
 def cells_of(hashes: np.ndarray, line: int, bits: int) -> np.ndarray:
@@ -38,21 +39,22 @@ def cells_of(hashes: np.ndarray, line: int, bits: int) -> np.ndarray:
 class Sketch:
     """Bit tables by line and threshold; tests hashes by the merged counts."""
 
-    def __init__(self, bits: int, thresholds: tuple[int, ...], tables: list[list[np.ndarray]]):
-        self.bits, self.thresholds, self.tables = bits, thresholds, tables
+    def __init__(self, bits: int, thresholds: tuple[int, ...], tables: list[list[np.ndarray]], folds: tuple[int, ...]):
+        self.bits, self.thresholds, self.tables, self.folds = bits, thresholds, tables, folds
 
     def at_least(self, hashes: np.ndarray, which: int) -> np.ndarray:
         """Whether the estimate reaches thresholds[which]."""
         out = np.ones(len(hashes), bool)
         for line, tables in enumerate(self.tables):
-            cell = cells_of(hashes, line, self.bits)
+            cell = cells_of(hashes, line, self.bits) >> self.folds[which]
             out &= (tables[which][cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
         return out
 
 
 def merged_sketch(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], *, bits: int, lines: int,
-                  thresholds: tuple[int, ...]) -> Sketch:
-    """Sketch of all arrays that ``hashes`` gives for the batches of ``df``."""
+                  thresholds: tuple[int, ...], folds: tuple[int, ...] | None = None) -> Sketch:
+    """Sketch of all arrays that ``hashes`` gives for the batches of ``df``; ``folds`` has the k of each threshold."""
+    folds = folds or (0,) * len(thresholds)
     names, kinds = ["line", "block", "cells", "counts"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +92,8 @@ def merged_sketch(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.
         def close():
             out[0].append(now[0])
             out[1].append(now[1])
-            out[2].append(b"".join(np.packbits(total >= t).tobytes() for t in thresholds))
+            out[2].append(b"".join(np.packbits(total.reshape(-1, 1 << k).sum(1) >= t).tobytes()
+                                   for t, k in zip(thresholds, folds)))
 
         for batch in batches:
             for line, block, cells, counts in zip(*(c.to_pylist() for c in batch.columns)):
@@ -108,10 +111,13 @@ def merged_sketch(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.
     parts = map_rows(df, count, "line int, block int, cells binary, counts binary")
     merged = map_rows(parts.repartition("line", "block").sortWithinPartitions("line", "block"), merge,
                       "line int, block int, bits binary").toArrow()
-    size = 1 << max(0, BLOCK_BITS - 3)
-    tables = [[np.zeros(max(size, 1 << (bits - 3)), np.uint8) for _ in thresholds] for _ in range(lines)]
-    for line, block, packed in zip(*(c.to_pylist() for c in merged.columns)):
-        whole = np.frombuffer(packed, np.uint8)
-        for t in range(len(thresholds)):
-            tables[line][t][block * size:(block + 1) * size] = whole[t * size:(t + 1) * size]
-    return Sketch(bits, thresholds, tables)
+    sizes = [1 << BLOCK_BITS - 3 - k for k in folds]
+    tables = [[np.zeros(max(size, 1 << max(0, bits - 3 - k)), np.uint8) for size, k in zip(sizes, folds)]
+              for _ in range(lines)]
+    for batch in merged.to_batches():
+        for line, block, packed in zip(*(c.to_pylist() for c in batch.columns)):
+            whole, at = np.frombuffer(packed, np.uint8), 0
+            for table, size in zip(tables[line], sizes):
+                table[block * size:(block + 1) * size] = whole[at:at + size]
+                at += size
+    return Sketch(bits, thresholds, tables, folds)
