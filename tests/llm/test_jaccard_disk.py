@@ -69,3 +69,16 @@ def test_folded_table_counts_no_less(spark):
         reached = made.at_least(values, which)
         assert reached[times >= least].all() and reached[times < least].sum() <= 10
     assert rows.agg(F.count("v")).first()[0] == times.sum()
+
+
+def test_near_copies_of_the_pipeline_with_a_full_sketch(spark, written, monkeypatch, tmp_path):
+    import corpus_pipeline as pipeline
+    full_sketch(monkeypatch)
+    texts = [(i, prose(900 + i, 600)) for i in range(120)]
+    copies = [(1000 + i, t + " changed end") for i, t in texts[:10]] + [(2000 + i, t) for i, t in texts[5:15]] + [texts[7]]
+    other = [(7, prose(1100, 50)), (None, texts[3][1]), (None, prose(1101, 50)), (3000, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts + copies + other],
+                                 "doc_id long, text string, lang string, source string, n_chars long").repartition(2)
+    left = pipeline.ngram_jaccard_join(spark, docs, str(tmp_path))
+    assert bag((r.doc_id, r.text) for r in left.collect()) == Counter([*texts, other[0], other[2], other[3]])
+    assert written() < 0.5 * sum(len(t or "") for _, t in texts + copies)
