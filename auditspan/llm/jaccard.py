@@ -16,7 +16,8 @@ when 100 * common >= percent * all.
    A list is cut where the next size is too large to link with any before.
 3. A list's groups are expanded and their members verified against each other in blocks: a
    list of many members is cut into parts, every pair of parts is one unit of work, and no
-   unit holds more than two parts.  Only members of units are read again, one text each, and texts,
+   unit holds more than two parts.  A fixed part of each set, the shingles of least hash, first rules out members that differ
+   too much for any link; equal remainders of units become one.  Only members that are left are read again, one text each, and texts,
    which compress, are dealt to the units instead of hashes, which do not.  A unit hands on only as many links as
    connect its members, at most one fewer than they are.
 4. Linked members are joined into classes; every document gets its class.
@@ -27,7 +28,7 @@ with nothing.  Documents with a null id count as members but never name a class;
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,8 @@ FOLDS = (0, 2, 2)
 UNCOUNTED = 2.5
 #: greatest size of the sketch of shingles: 2**30 cells are 192 MiB for all classes
 MOST_BITS = 30
+#: a part of a set is so many times the share in which linked sets may differ
+PART_TIMES = 2.5
 #: cells for each value in a line of a table of marks
 KEY_CELLS = 16
 #: members of one part of a shingle's list
@@ -63,20 +66,27 @@ def shingles(data: bytes | None, width: int) -> np.ndarray:
     return np.unique(windows(hashes, min(width, len(hashes)))) if len(hashes) else hashes
 
 
+def short(own: np.ndarray) -> np.ndarray:
+    """Distinct ends of hashes: two sets share no more hashes than ends and hashes without an end of their own."""
+    return np.unique(own.astype(np.uint32))
+
+
 def needed(n: int, percent: int) -> int:
     """Least overlap of a set of n shingles with one it links to."""
     return -(-percent * n // 100)
 
 
-def linked_roots(sets: list[np.ndarray], sizes: np.ndarray, percent: int) -> np.ndarray:
+def linked_roots(sets: list[np.ndarray], sizes: np.ndarray, percent: int, rest: np.ndarray | None = None) -> np.ndarray:
     """For every set the first set it is connected with by links among these sets.
 
-    ``sets`` may leave out shingles that no other set has; ``sizes`` are the true sizes.
+    ``sets`` may leave out shingles that no other set has; ``sizes`` are the true sizes.  ``rest`` counts other shingles
+    that are left out of each set: as many of them as two sets can share then count as shared.
     """
     m = len(sets)
     root = np.arange(m)
+    rest = np.zeros(m, np.int64) if rest is None else rest
     if m == 2:
-        common = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+        common = len(np.intersect1d(sets[0], sets[1], assume_unique=True)) + min(rest)
         root[1] = 0 if 100 * common >= percent * (sizes[0] + sizes[1] - common) else 1
         return root
     values, inverse, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -92,6 +102,7 @@ def linked_roots(sets: list[np.ndarray], sizes: np.ndarray, percent: int) -> np.
         table = np.zeros((m, COLUMNS), np.float32)
         table[owner[a:b], column[a:b] - first] = 1
         common += table @ table.T
+    common += np.minimum(rest[:, None], rest[None, :])
     total = sizes[:, None] + sizes[None, :] - common
     link = 100 * common >= percent * total
     np.fill_diagonal(link, True)
@@ -142,10 +153,10 @@ def _node(own: np.ndarray) -> bytes:
 
 
 def _members(rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, mark, digest, n, node, prefix) of every row.
+    """(doc_id, mark, digest, n, node, prefix, part) of every row.
 
     ``node`` names the set (null if the row can link with nothing), ``prefix`` its look-up
-    shingles (null if it can only link with equal sets).
+    shingles (null if it can only link with equal sets), ``part`` the ends of its shingles of least hash.
     """
     spark = rows.sparkSession
     texts, size = _texts(rows)
@@ -154,6 +165,8 @@ def _members(rows: DataFrame, width: int, percent: int) -> DataFrame:
     share = max((1 << bits) / max(1, size // 6), 2 * (100 - percent) / 100)
     border = np.uint64(int(share * 2**64)) if share < 1 else None
     known = spark.sparkContext.broadcast(texts)
+    # linked sets differ in (100 - percent) / (100 + percent) of their shingles at most; unlike ones in all of a part
+    part_border = np.uint64(int(min(0.5, PART_TIMES * (100 - percent) / (100 + percent)) * 2**64))
 
     def counted(own: np.ndarray) -> int:
         return len(own) if border is None else int(np.searchsorted(own, border))
@@ -171,7 +184,7 @@ def _members(rows: DataFrame, width: int, percent: int) -> DataFrame:
     def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = sent.value
         for batch in batches:
-            out: list[list] = [[], [], []]
+            out: list[list] = [[], [], [], []]
             for data, copied in zip(utf8(batch.column("text")), _has(known.value, batch, "digest", False).tolist()):
                 own = shingles(data, width)
                 n = len(own)
@@ -187,13 +200,15 @@ def _members(rows: DataFrame, width: int, percent: int) -> DataFrame:
                 out[0].append(n)
                 out[1].append(_node(own) if len(prefix) or n and copied else None)
                 out[2].append(np.sort(signed(own[prefix])).tolist() if len(prefix) else None)
-            kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64())]
+                out[3].append(short(own[:np.searchsorted(own, part_border)]).tobytes() if len(prefix) else None)
+            kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in ("doc_id", "mark", "digest")), *[pa.array(c, k) for c, k in zip(out, kinds)]],
-                ["doc_id", "mark", "digest", "n", "node", "prefix"])
+                ["doc_id", "mark", "digest", "n", "node", "prefix", "part"])
 
     members = kept_table(map_rows(rows.select("doc_id", "mark", "digest", "text"), ordered,
-                                  f"doc_id {kind}, mark long, digest long, n long, node binary, prefix array<long>"),
+                                  f"doc_id {kind}, mark long, digest long, n long, node binary, prefix array<long>, "
+                                  "part binary"),
                          "members")
     sent.destroy()
     known.destroy()
@@ -222,6 +237,34 @@ def _read_again(rows: DataFrame, members: DataFrame, units: DataFrame) -> DataFr
             .select("unit", "node", "text"))
 
 
+def _by_unit(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], member: Callable, close: Callable,
+             kinds: dict[str, pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """Rows that ``close`` makes of the members of each unit; a member that is None is left out."""
+    out: list[tuple] = []
+    held: list[tuple] = []
+    now = None
+
+    def made() -> pa.RecordBatch:
+        columns = list(zip(*out)) or [()] * len(kinds)
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values())], list(kinds))
+
+    for batch in batches:
+        columns = [utf8(batch.column(c)) if c == "text" else batch.column(c).to_pylist() for c in ("unit", *names)]
+        for unit, *row in zip(*columns):
+            if unit != now:
+                if len(held) > 1:
+                    out.extend(close(held))
+                held, now = [], unit
+                if len(out) >= 10_000:
+                    yield made()
+            if (one := member(*row)) is not None:
+                held.append(one)
+    if len(held) > 1:
+        out.extend(close(held))
+    yield made()
+
+
 def _links(rows: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
     """(a, b): links that connect the nodes of every class."""
     listing = members.filter("prefix is not null").withColumn("group", F.xxhash64("n", "prefix"))
@@ -248,46 +291,43 @@ def _links(rows: DataFrame, members: DataFrame, width: int, percent: int) -> Dat
     own = F.pmod(F.xxhash64("node", F.lit(3)), parts).cast("int")
     units = places.select("list", "run", "node", own.alias("own"),
                           F.explode(F.sequence(F.lit(0), parts - 1)).alias("with"))
-    units = kept_table(units.select("node", F.xxhash64("list", "run", F.least("own", "with"), F.greatest("own", "with"))
-                                    .alias("unit")), "units")
-    dealt = _read_again(rows, members, units)
+    units = units.select("node", F.xxhash64("list", "run", F.least("own", "with"), F.greatest("own", "with"))
+                         .alias("unit"))
+    parts = listing.select("node", "n", "part").dropDuplicates(["node"])
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def member(node: bytes, n: int, part: bytes) -> tuple:
+            return node, n, np.frombuffer(part, np.uint32)
+
+        def close(held: list[tuple]) -> Iterator[tuple]:
+            sizes, own = np.array([h[1] for h in held], np.int64), [h[2] for h in held]
+            root = linked_roots(own, sizes, percent, sizes - [len(s) for s in own])
+            for r in np.flatnonzero(np.bincount(root, minlength=len(held)) > 1):
+                group = [held[i][0] for i in np.flatnonzero(root == r)]
+                key = int.from_bytes(hashlib.blake2b(b"".join(group), digest_size=8).digest(), "big", signed=True)
+                yield from ((key, node) for node in group)
+
+        return _by_unit(batches, ("node", "n", "part"), member, close, {"unit": pa.int64(), "node": pa.binary()})
+
+    # members that may be linked, by what a part of their sets shows; the same members are one unit
+    units = kept_table(map_rows(
+        units.join(parts, "node").repartition("unit").sortWithinPartitions("unit", "node"), possible,
+        "unit long, node binary").distinct(), "units")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        out: list[list] = [[], []]
+        def member(node: bytes, data: bytes) -> tuple | None:
+            own = shingles(data, width)
+            # another text may have the same mark
+            return (node, own) if _node(own) == node else None
 
-        def close():
-            if len(held) < 2:
-                return
+        def close(held: list[tuple]) -> Iterator[tuple]:
             sets = [h[1] for h in held]
             root = linked_roots(sets, np.array([len(s) for s in sets], np.int64), percent)
-            for i, r in enumerate(root.tolist()):
-                if r != i:
-                    out[0].append(held[r][0])
-                    out[1].append(held[i][0])
-
-        def batch():
-            made = pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in out], ["a", "b"])
-            out[0].clear()
-            out[1].clear()
-            return made
-
-        now = None
-        for rows in batches:
-            for unit, node, data in zip(rows.column("unit").to_pylist(), rows.column("node").to_pylist(),
-                                        utf8(rows.column("text"))):
-                if unit != now:
-                    close()
-                    held, now = [], unit
-                    if len(out[0]) >= 10_000:
-                        yield batch()
-                own = shingles(data, width)
-                # another text may have the same mark
-                if _node(own) == node:
-                    held.append((node, own))
-        close()
-        yield batch()
+            yield from ((held[r][0], held[i][0]) for i, r in enumerate(root.tolist()) if r != i)
+
+        return _by_unit(batches, ("node", "text"), member, close, {"a": pa.binary(), "b": pa.binary()})
 
+    dealt = _read_again(rows, members, units)
     return map_rows(dealt.repartition("unit").sortWithinPartitions("unit", "node"), verify, "a binary, b binary")
 
 

@@ -82,3 +82,19 @@ def test_near_copies_of_the_pipeline_with_a_full_sketch(spark, written, monkeypa
     left = pipeline.ngram_jaccard_join(spark, docs, str(tmp_path))
     assert bag((r.doc_id, r.text) for r in left.collect()) == Counter([*texts, other[0], other[2], other[3]])
     assert written() < 0.5 * sum(len(t or "") for _, t in texts + copies)
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90, 100])
+def test_a_part_never_rules_out_a_link(percent):
+    """Classes by a part of each set, with ends that are equal by chance, hold the classes by whole sets together."""
+    r = np.random.default_rng(percent)
+    base = np.unique(r.integers(0, 2**63, 90, dtype=np.uint64))
+    base[1::7] = base[0:len(base[1::7]) * 7:7] + np.uint64(2**40)
+    sets = [np.unique(np.concatenate([base[r.random(len(base)) > d], r.integers(0, 2**63, e, dtype=np.uint64)]))
+            for d in (0, 0.02, 0.05, 0.1, 0.3) for e in (0, 1, 3, 9) for _ in range(3)]
+    for some in (sets, sets[:2], sets[5:7]):
+        sizes = np.array([len(s) for s in some])
+        parts = [jaccard.short(s[:np.searchsorted(s, np.uint64(2**61))]) for s in some]
+        whole = jaccard.linked_roots(some, sizes, percent)
+        part = jaccard.linked_roots(parts, sizes, percent, sizes - [len(p) for p in parts])
+        assert (part == part[whole]).all()
